@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -45,7 +48,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
 def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` whose text column holds about ``limit`` bytes, at least a row
     each, so that per-byte work arrays stay bounded whatever the batch holds."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > limit:
@@ -54,3 +57,17 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator
         total += n
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A string column's bytes end to end, nulls as empty texts, and the offsets."""
+    filled = pc.fill_null(column.cast(pa.large_binary()), b"")
+    offsets = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1]
+    body = filled.buffers()[2]
+    data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
+def held_out(id_col: str) -> Column:
+    """Whether crc32 of the id as text leaves 1 when divided by 3; never for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
