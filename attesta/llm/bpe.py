@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from attesta.llm.common import map_batches
 
 #: Entries of the per-worker word memo; it is emptied when full.
-WORD_MEMO = 300_000
+WORD_MEMO = 200_000
 #: Words longer than this many bytes are encoded, but not kept in the memo.
 MEMO_WORD = 64
 #: Up to U+024F the letters are known ranges, and a table-driven class is faster there.
