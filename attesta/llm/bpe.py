@@ -189,8 +189,9 @@ class Tokenizer:
         self.memo = _Memo(self.automaton)
 
     def _entries(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        if self.latin_words and not LATIN(text):
-            return [*map(self.memo.__getitem__, self.latin_words(text.lower()))]
+        low = text.lower()
+        if self.latin_words and not LATIN(low):
+            return [*map(self.memo.__getitem__, self.latin_words(low))]
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:  # lower case goes letter by letter, without a word-final form
             text = text.replace("Σ", "σ")
