@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, decontaminate, language, pii, quality, secrets, simhash, url_filter
+from attesta.llm import bpe, decontaminate, language, pii, quality, secrets, simhash, token_files, url_filter
 from attesta.llm.common import table
 
 #: Default place of the public tokenizer file; a parameter of the operator.
@@ -35,6 +35,15 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+#: The end-of-document id of the word tokenizer.
+END_OF_DOCUMENT = 49407
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_files.count_documents(table(spark, sf_dir, "documents"), _vocabulary(), END_OF_DOCUMENT)
+    return counted.select("doc_id", "n_tokens")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -62,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_language": op4_language,
+    "op5_token_counts": op5_token_counts,
     "op6_secrets": op6_secrets,
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
