@@ -71,3 +71,14 @@ def utf8_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def held_out(id_col: str) -> Column:
     """Whether crc32 of the id as text leaves 1 when divided by 3; never for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def cut_spans(text: Column, spans: Column, fill: str = "") -> Column:
+    """``text`` with its sorted disjoint code-point spans (start, end) replaced by
+    ``fill``; null spans change nothing."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    step = lambda acc, s: F.struct(
+        F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(fill)).alias("out"), s["end"].alias("at")
+    )
+    joined = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, joined).otherwise(text)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import map_batches
+from attesta.llm.common import cut_spans, map_batches
 
 #: Consecutive words of a window; shorter items are one window.
 WINDOW = 10
@@ -202,7 +202,7 @@ def _spans(hit: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).astype(np.int32)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """(id, n_words, n_hit, items array<string>, spans array<struct<start,end>>) of every
     row: words, words inside an occurrence of a window, the ids of the items whose windows
     occur (as sorted strings), and the merged removal spans in code points, end exclusive.
@@ -210,6 +210,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``benchmark`` has item_id and text; items without id or words are ignored. It is
     broadcast in blocks of ``BLOCK_CHARS`` characters, and with more than one block the
     documents pass through one search per block. Null and empty texts have no words.
+    With ``keep_text`` the text follows as a column of its own; the id may be a struct.
     Repeated rows stay repeated. Nothing is shuffled."""
     spark = docs.sparkSession
     items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
@@ -247,9 +248,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             at = [m.span() for m in _WORD.finditer(text.as_py())] if pairs else []
             spans.append([{"start": at[a][0], "end": at[b - 1][1]} for a, b in pairs])
         kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.record_batch([batch.column(0), batch.column(2).cast(pa.int64()), pa.array(n_hit, pa.int64()), batch.column(4), pa.array(spans, kinds)], names=[id_col, "n_words", "n_hit", "items", "spans"])
+        columns = [batch.column(0), batch.column(2).cast(pa.int64()), pa.array(n_hit, pa.int64()), batch.column(4), pa.array(spans, kinds)]
+        names = [id_col, "n_words", "n_hit", "items", "spans"]
+        return pa.record_batch([*columns, batch.column(1)], names=[*names, "text"]) if keep_text else pa.record_batch(columns, names=names)
 
-    return map_batches(out, places, f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
+    return map_batches(out, places, f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>" + ", text string" * keep_text)
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -264,12 +267,13 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def remove_spans(docs: DataFrame, text_col: str, spans_col: str, fill: str = "") -> DataFrame:
-    """Replace the sorted disjoint code-point spans of each row's text by ``fill``."""
-    text, spans = F.col(text_col), F.col(spans_col)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda acc, s: F.struct(
-        F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(fill)).alias("out"), s["end"].alias("at")
-    )
-    joined = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return docs.withColumn(text_col, F.when(F.size(spans) > 0, joined).otherwise(text))
+def remove_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The documents, with all their columns, without the spans that hold benchmark
+    windows; one of which no word is left goes. Clean rows pass unchanged, and the text
+    isn't shuffled."""
+    others = [c for c in docs.columns if c != text_col]
+    packed = docs.select(F.struct(*others).alias("row"), F.col(text_col).alias("text"))
+    found = decontaminate(packed, benchmark, "row", "text", window, keep_text=True)
+    found = found.filter((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words")))
+    text = cut_spans(F.col("text"), F.col("spans"))
+    return found.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -9,6 +9,7 @@ score is the mean of its lines' forward-backward marginals, weighted by line len
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -230,6 +231,24 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, score double, lines long, good_lines long")
 
 
+def keep_good(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
+    """The rows whose document scores a half or more, with all their columns. The text
+    isn't shuffled: rows pass through the scoring task."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, place) if batch.num_rows else ():
+                x, size, doc = line_features(*utf8_of(part.column(place)))
+                p, _ = marginals(shared.value.score(x, doc), doc, shared.value.pairs)
+                n = part.num_rows
+                good = np.bincount(doc, (size + 1.0) * p, n) >= 0.5 * np.bincount(doc, size + 1.0, n)
+                yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted, lines, good_lines): fits on the labelled rows that
     aren't held out and scores every row; predicted is 1 from a half on."""

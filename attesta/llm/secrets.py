@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut
+from attesta.llm.common import cut, cut_spans
 
 #: Strong kinds, in the order in which they are listed: (kind, pattern, filter on the match).
 STRONG = ("assign", "access", "hex")
@@ -144,3 +144,14 @@ def merged(spans: str) -> Column:
         F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end")))),
     ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
     return F.aggregate(F.col(spans), start, step)
+
+
+def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fill: str = "[secret]") -> DataFrame:
+    """The documents, with all their columns, with every found span replaced by ``fill``.
+    Rows meet their spans by id and a hash of the text, so repeated ids keep their own."""
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    found = scan(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text").filter(F.size("spans") > 0)
+    found = found.select("key", merged("spans").alias("spans")).dropDuplicates(["key"])
+    rows = docs.alias("d").join(found.alias("f"), key.eqNullSafe(F.col("f.key")), "left")
+    text = cut_spans(F.col(f"d.{text_col}"), F.col("f.spans"), fill)
+    return rows.select(*[text.alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns])
