@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.llm import bpe, decontaminate, language, pii, quality, secrets, simhash, token_files, url_filter
+from attesta.llm import bpe, chroma, decontaminate, language, pii, quality, secrets, simhash, token_files, url_filter
 from attesta.llm.common import table
 
 #: Default place of the public tokenizer file; a parameter of the operator.
@@ -48,6 +48,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.align(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", chroma.tones)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.digests(pii.find(docs, pii.train(docs)))
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_token_counts": op5_token_counts,
     "op6_secrets": op6_secrets,
+    "op7_chroma": op7_chroma,
     "op8_pii": op8_pii,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
