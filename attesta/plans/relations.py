@@ -113,11 +113,11 @@ def planted_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.when(F.col("row") % 4 < 3, whole + 712_345).otherwise(F.col("v"))
     second = F.when(F.col("row") % 4 < 3, whole + 9_000_000 + 123_458).otherwise(F.col("v") + 11)
     parts = F.array(F.struct(F.lit(1).alias("col"), first.cast("long").alias("v")), F.struct(F.lit(2).alias("col"), second.cast("long").alias("v")))
-    return base.filter("row <= 14").select("workbook", "sheet", "row", F.inline(parts))
+    return base.filter("row <= 12").select("workbook", "sheet", "row", F.inline(parts))
 
 
 _TAIL_CELLS = f"""{sheets.ORDER_SQL.replace("cells AS", "own AS")},
-    small AS (SELECT workbook, sheet, row, v, v // 1000000 * 1000000 AS w FROM own WHERE col = 1 AND row <= 14),
+    small AS (SELECT workbook, sheet, row, v, v // 1000000 * 1000000 AS w FROM own WHERE col = 1 AND row <= 12),
     cells AS (
         SELECT workbook, sheet, row, 1 AS col, CASE WHEN row % 4 < 3 THEN w + 712345 ELSE v END AS v FROM small
         UNION ALL SELECT workbook, sheet, row, 2, CASE WHEN row % 4 < 3 THEN w + 9123458 ELSE v + 11 END FROM small)"""
@@ -186,9 +186,11 @@ def bias_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("v", fine).unionByName(rows.withColumns({"row": F.col("row") + 10, "v": late.cast("long")}))
 
 
-_BIAS_SQL = f"""WITH {sheets.EVENT_SQL.replace("cells AS", "own AS")},
+_BIAS_CELLS = f"""{sheets.EVENT_SQL.replace("cells AS", "own AS")},
     fine AS (SELECT sheet, row, v + 1234 AS v FROM own WHERE col = 1 AND row <= 10),
-    cells AS (SELECT sheet, 1 AS col, row, v FROM fine UNION ALL SELECT sheet, 1, row + 10, CASE WHEN row % 2 = 0 THEN v ELSE (v // 10000 + 1) * 10000 END FROM fine), {_MET}
+    cells AS (SELECT sheet, 1 AS col, row, v FROM fine UNION ALL SELECT sheet, 1, row + 10, CASE WHEN row % 2 = 0 THEN v ELSE (v // 10000 + 1) * 10000 END FROM fine)"""
+
+_BIAS_SQL = f"""WITH {_BIAS_CELLS}, {_MET}
     SELECT 'events' AS workbook, sheet, CAST(col AS INTEGER) AS col, CAST(k AS INTEGER) AS row_offset, 'row_offset_partial_copy_rounding_bias' AS category, count(*) AS n, count(*) FILTER (a = b) AS exact, count(*) FILTER (b % 10000 = 0 AND a % 10 <> 0) AS rounded, count(*) FILTER (b > a) AS up
     FROM met GROUP BY sheet, col, k
     HAVING count(*) >= 8 AND count(*) FILTER (a = b) * 2 >= count(*) AND count(*) FILTER (b % 10000 = 0 AND a % 10 <> 0) * 10 >= count(*) * 3 AND count(*) FILTER (a <> b) > 0 AND count(*) FILTER (b > a) * 4 >= count(*) FILTER (a <> b) * 3"""
