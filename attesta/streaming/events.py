@@ -34,7 +34,7 @@ def staleness(events: DataFrame, keys: list[str], now: Column, seconds: int = ST
     """(keys, last_event_at, n_events, stale): whether a run's last event is older than
     ``seconds``; a run without a readable time is stale."""
     last = events.groupBy(*keys).agg(F.max("ts").alias("last_event_at"), F.count("*").alias("n_events"))
-    idle = F.unix_micros(now) - F.unix_micros("last_event_at")
+    idle = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_event_at").cast("timestamp"))
     return last.withColumn("stale", F.coalesce(idle > seconds * 1_000_000, F.lit(True)))
 
 
@@ -61,7 +61,7 @@ def sessions(events: DataFrame, gap: str = "10 minutes", late: str = "10 minutes
 def heartbeat_gaps(events: DataFrame, key: str = "user_id", seconds: int = 15) -> DataFrame:
     """(key, n_gaps, longest): pauses between events that call for a heartbeat."""
     w = Window.partitionBy(key).orderBy("ts", "event_id")
-    pause = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 1_000_000
+    pause = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 1_000_000
     gaps = events.select(key, pause.alias("pause")).filter(F.col("pause") > seconds)
     return gaps.groupBy(key).agg(F.count("*").alias("n_gaps"), F.max("pause").alias("longest"))
 
