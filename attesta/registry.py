@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attesta.plans import blocks, findings, relations, runs, texts
+from attesta.plans import blocks, findings, relations, reviews, runs, texts
 
-_MODULES = (findings, relations, blocks, texts, runs)
+_MODULES = (findings, relations, blocks, texts, reviews, runs)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}
