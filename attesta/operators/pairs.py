@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.operators.columns import COLUMN, column_stats, index_like, rate, strength
+from attesta.operators.columns import index_like, rate, strength
 
 PAIR = ["workbook", "sheet", "left", "right"]
 
@@ -50,56 +50,67 @@ def zero_inflated() -> Column:
     return (F.col("overlap") >= 20) & (F.col("both_zero") * 10 >= F.col("overlap") * 7) & few
 
 
-def _gated(found: DataFrame, support: DataFrame) -> DataFrame:
-    """Adds ``index_like``: either column's values on the supporting rows are a running
-    number. Only the rows of found pairs are looked at."""
-    rows = support.join(found.select(*PAIR), PAIR, "left_semi")
-    flags = index_like(rows, PAIR, "a", "ia").join(index_like(rows, PAIR, "b", "ib"), PAIR)
-    return found.join(flags, PAIR, "left").withColumn("index_like", F.coalesce(F.col("ia") | F.col("ib"), F.lit(False))).drop("ia", "ib")
-
-
-def duplicate_columns(cells: DataFrame, min_overlap: int = 12, support: int = 98) -> DataFrame:
-    """Column pairs that hold the same values in ``support`` percent of common rows."""
-    pairs = row_pairs(cells)
-    big = column_stats(cells).filter(F.col("n") >= min_overlap).select(*COLUMN)
-    found = pair_stats(pairs).filter((F.col("overlap") >= min_overlap) & (F.col("equal") * 100 >= F.col("overlap") * support))
-    for side in ("left", "right"):
-        found = found.join(big.withColumnRenamed("col", side), ["workbook", "sheet", side], "left_semi")
-    found = _gated(found, pairs.filter("a = b"))
-    risk = F.when(F.col("index_like") | zero_inflated(), "low").when(F.col("equal") >= 100, "high").otherwise("medium")
-    return found.select(*PAIR, F.lit("duplicate_numeric_columns").alias("category"), F.lit(0).cast("long").alias("value"), F.col("equal").alias("support"), "overlap", rate(F.col("equal"), F.col("overlap")).alias("support_rate"), risk.alias("risk_level"), F.when(F.col("equal") == F.col("overlap"), "high").otherwise("medium").alias("confidence"))
-
-
 def ratio_key(part: Column, whole: Column, places: int = 4) -> Column:
     """Ten-thousandths of a ratio, half to even; null for a zero denominator."""
     return F.rint(F.try_divide(part.cast("double") * float(10**places), whole.cast("double"))).cast("long")
 
 
-def _mode(pairs: DataFrame, key: Column) -> DataFrame:
-    """(pair, value, support): the most frequent key; the one seen first wins a tie."""
-    counts = pairs.select(*PAIR, "row", key.alias("value")).filter("value IS NOT NULL").groupBy(*PAIR, "value").agg(F.count("*").alias("n"), F.min("row").alias("first"))
-    best = counts.groupBy(*PAIR).agg(F.max(F.struct("n", (-F.col("first")).alias("early"), "value")).alias("m"))
-    return best.select(*PAIR, F.col("m.value").alias("value"), F.col("m.n").alias("support"))
+#: Relation: what is constant on the rows that support it, values that don't count, and
+#: the common rows it needs.
+RELATIONS = {
+    "duplicate_numeric_columns": (lambda a, b: F.when(a == b, F.lit(0).cast("long")), (), 12),
+    "fixed_difference": (lambda a, b: a - b, (0,), 8),
+    "fixed_ratio": (ratio_key, (0, 10_000), 8),
+}
 
 
-def _fixed(cells: DataFrame, category: str, key: Column, refused: list[int], min_overlap: int, support: int) -> DataFrame:
+def relations(cells: DataFrame, kinds: tuple[str, ...] = tuple(RELATIONS), support: int = 98) -> DataFrame:
+    """Column pairs that are one relation on ``support`` percent of their common rows:
+    equal values, one difference (millionths), one ratio (ten-thousandths). The value is
+    the most frequent one, the one seen first in a tie; the share is out of all common
+    rows. All kinds share one gather of the rows, one count of their values and one pass
+    over the rows that support what was found."""
     pairs = row_pairs(cells)
-    size = pairs.groupBy(*PAIR).agg(F.count("*").alias("overlap")).filter(F.col("overlap") >= min_overlap)
-    found = _mode(pairs, key).filter(~F.col("value").isin(refused)).join(size, PAIR).filter(F.col("support") * 100 >= F.col("overlap") * support)
-    found = _gated(found, pairs.withColumn("key", key).join(found.select(*PAIR, F.col("value").alias("key")), [*PAIR, "key"], "left_semi"))
+    a, b = F.col("a"), F.col("b")
+    ways = F.array(*[F.struct(F.lit(k).alias("category"), RELATIONS[k][0](a, b).alias("value")) for k in kinds])
+    keyed = pairs.select(*PAIR, "row", "a", "b", F.inline(ways)).filter("value IS NOT NULL")
+    key = [*PAIR, "category"]
+    counts = keyed.groupBy(*key, "value").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    best = counts.groupBy(*key).agg(F.max(F.struct("n", (-F.col("first")).alias("early"), "value")).alias("m")).select(*key, F.col("m.value").alias("value"), F.col("m.n").alias("support"))
+    stats = pair_stats(pairs).select(*PAIR, "overlap", "both_zero", "non_zero", "equal_non_zero")
+    counted = F.lit(False)
+    for k in kinds:
+        _, refused, least = RELATIONS[k]
+        counted = counted | ((F.col("category") == k) & ~F.col("value").isin(*refused) & (F.col("overlap") >= least))
+    found = best.join(stats, PAIR).filter(counted & (F.col("support") * 100 >= F.col("overlap") * support))
+
+    # A running number on either side makes a relation harmless.
+    sides = F.array(F.struct(F.lit(0).alias("side"), a.alias("v")), F.struct(F.lit(1).alias("side"), b.alias("v")))
+    rows = keyed.join(found.select(*key, "value"), [*key, "value"], "left_semi").select(*key, "row", F.inline(sides))
+    running = index_like(rows, [*key, "side"], "v", "flag").groupBy(*key).agg(F.max("flag").alias("index_like"))
+    found = found.join(running, key, "left")
+
     share = rate(F.col("support"), F.col("overlap"))
-    risk = F.when(F.col("index_like"), "low").when(F.col("support") >= 100, "high").otherwise("medium")
-    return found.select(*PAIR, F.lit(category).alias("category"), "value", "support", "overlap", share.alias("support_rate"), risk.alias("risk_level"), strength(share).alias("confidence"))
+    same = F.col("category") == "duplicate_numeric_columns"
+    harmless = F.coalesce("index_like", F.lit(False)) | (same & zero_inflated())
+    risk = F.when(harmless, "low").when(F.col("support") >= 100, "high").otherwise("medium")
+    confidence = F.when(same, F.when(F.col("support") == F.col("overlap"), "high").otherwise("medium")).otherwise(strength(share))
+    return found.select(*PAIR, "category", "value", "support", "overlap", share.alias("support_rate"), risk.alias("risk_level"), confidence.alias("confidence"))
+
+
+def duplicate_columns(cells: DataFrame, support: int = 98) -> DataFrame:
+    """Column pairs that hold the same values."""
+    return relations(cells, ("duplicate_numeric_columns",), support)
 
 
-def fixed_difference(cells: DataFrame, min_overlap: int = 8, support: int = 98) -> DataFrame:
-    """Pairs whose left minus right is one non-zero value (millionths)."""
-    return _fixed(cells, "fixed_difference", F.col("a") - F.col("b"), [0], min_overlap, support)
+def fixed_difference(cells: DataFrame, support: int = 98) -> DataFrame:
+    """Pairs whose left minus right is one non-zero value."""
+    return relations(cells, ("fixed_difference",), support)
 
 
-def fixed_ratio(cells: DataFrame, min_overlap: int = 8, support: int = 98) -> DataFrame:
-    """Pairs whose left over right is one value (ten-thousandths) besides zero and one."""
-    return _fixed(cells, "fixed_ratio", ratio_key(F.col("a"), F.col("b")), [0, 10_000], min_overlap, support)
+def fixed_ratio(cells: DataFrame, support: int = 98) -> DataFrame:
+    """Pairs whose left over right is one value besides zero and one."""
+    return relations(cells, ("fixed_ratio",), support)
 
 
 def pair_spread(cells: DataFrame, least: int = 8) -> DataFrame:

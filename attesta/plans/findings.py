@@ -17,9 +17,8 @@ def _columns():
 
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate columns, fixed differences and fixed ratios of the supplier sheets."""
-    cells = sheets.supplier_cells(spark, sf_dir)
-    found = [f(cells) for f in (pairs.duplicate_columns, pairs.fixed_difference, pairs.fixed_ratio)]
-    return ops.numbered([ops.unified(x, _columns()) for x in found])
+    found = pairs.relations(sheets.supplier_cells(spark, sf_dir))
+    return ops.numbered([ops.unified(found, _columns())])
 
 
 def _part(name: str) -> str:

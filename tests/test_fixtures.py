@@ -21,13 +21,13 @@ def cells(spark, columns):
 def test_duplicate_columns_of_mostly_zeros(spark):
     a = {r: 0 for r in range(1, 50)} | {50: 1}
     b = {r: 0 for r in range(1, 50)} | {50: 2}
-    found = pairs.duplicate_columns(cells(spark, {1: a, 2: b}), min_overlap=20).collect()
+    found = pairs.duplicate_columns(cells(spark, {1: a, 2: b})).collect()
     assert [(r.left, r.right, r.support, r.risk_level) for r in found] == [(1, 2, 49, "low")]
 
 
 def test_duplicate_columns_with_fewer_zeros(spark):
     a = {r: 0 if r <= 13 else r for r in range(1, 21)}
-    found = pairs.duplicate_columns(cells(spark, {1: a, 2: a}), min_overlap=20).collect()
+    found = pairs.duplicate_columns(cells(spark, {1: a, 2: a})).collect()
     assert [(r.support, r.overlap, r.risk_level) for r in found] == [(20, 20, "medium")]
 
 
@@ -87,19 +87,19 @@ def book(sheets, shared=()):
 
 def test_workbooks(spark, tmp_path):
     text_row = '<row r="1"><c r="A1" t="inlineStr"><is><t>Mean</t></is></c><c r="B1" t="s"><v>0</v></c></row>'
-    data = "".join(f'<row r="{r}"><c r="A{r}"><v>{r}.5</v></c><c r="B{r}"><f>A{r}*2</f><v>{2 * r + 1}</v></c><c r="AB{r}" t="b"><v>1</v></c></row>' for r in range(2, 8))
-    gap = '<row r="8"><c r="A8" t="inlineStr"><is><t>x</t></is></c><c r="B8" t="inlineStr"><is><t>x</t></is></c></row><row r="9"><c r="A9"><v>NaN</v></c><c r="B9"><v>3</v></c></row>'
+    data = "".join(f'<row r="{r}"><c r="A{r}"><v>{r}.5</v></c><c r="B{r}"><f>A{r}*2</f><v>{2 * r + 1}</v></c><c r="AB{r}" t="b"><v>1</v></c></row>' for r in range(2, 12))
+    gap = '<row r="12"><c r="A12" t="inlineStr"><is><t>x</t></is></c><c r="B12" t="inlineStr"><is><t>x</t></is></c></row><row r="13"><c r="A13"><v>NaN</v></c><c r="B13"><v>3</v></c></row>'
     (tmp_path / "one.xlsx").write_bytes(book({"Fig 1": text_row + data + gap, "Empty": ""}, ["Sum"]))
     (tmp_path / "~$one.xlsx").write_bytes(b"lock")
     (tmp_path / "bad.xlsx").write_bytes(b"no archive")
     got = xlsx.read(spark, str(tmp_path))
     assert [r.workbook for r in got.filter("error IS NOT NULL").collect()] == ["bad.xlsx"]
     numbers = xlsx.numeric(got)
-    assert numbers.count() == 13 and numbers.agg(F.max("col")).first()[0] == 2
+    assert numbers.count() == 21 and numbers.agg(F.max("col")).first()[0] == 2
     assert {r.col: r.label for r in xlsx.labels(got).collect()} == {1: "Mean / x", 2: "Sum / x"}
-    assert [r.row for r in xlsx.separators(got).collect()] == [8]
-    assert [(r.col, r.n, r.pattern, r.risk_level) for r in xlsx.formulas(got).collect()] == [(2, 6, "A<row>*2", "high")]
-    assert [(r.left, r.right, r.value) for r in pairs.fixed_ratio(numbers, min_overlap=6, support=85).collect()] == [(1, 2, 5000)]
+    assert [r.row for r in xlsx.separators(got).collect()] == [12]
+    assert [(r.col, r.n, r.pattern, r.risk_level) for r in xlsx.formulas(got).collect()] == [(2, 10, "A<row>*2", "high")]
+    assert [(r.left, r.right, r.value) for r in pairs.fixed_ratio(numbers, support=85).collect()] == [(1, 2, 5000)]
     kinds = {r.type: r.n for r in files.inventory(spark, str(tmp_path)).groupBy("type").agg(F.count("*").alias("n")).collect()}
     assert kinds == {"source_data": 3}
 
