@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -33,14 +34,16 @@ from pyspark.sql import functions as F
 from attesta.llm.common import map_batches
 
 #: Entries of the per-worker word memo; it is emptied when full.
-WORD_MEMO = 200_000
+WORD_MEMO = 80_000
+#: Rows whose ids and labels are held at once.
+ROWS = 500
 #: Words longer than this many bytes are encoded, but not kept in the memo.
 MEMO_WORD = 64
 #: Up to U+024F the letters are known ranges, and a table-driven class is faster there.
 LATIN = re.compile("[^\\x00-\\x1b\\x20-\\x84\\x86-\\u024f]").search
 LATIN_CLASSES = {r"\p{L}": "A-Za-zªµºÀ-ÖØ-öø-ɏ", r"\p{N}": "0-9²³¹¼½¾"}
 #: Transitions kept in the lazily filled table; it is emptied when full.
-TABLE = 1_000_000
+TABLE = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -245,12 +248,17 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             flat.append(ids)
             counts.append(len(ids))
             texts.append(" ".join([e[1] for e in found]))
-        values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
+        values = pa.array(np.concatenate(flat))
         offsets = pa.array(np.cumsum(counts, dtype=np.int32))
         return pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, values), pa.array(texts, pa.string())], names=[id_col, "ids", "decoded"])
 
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                yield run(batch.slice(at, ROWS))
+
     kind = df.schema[id_col].dataType.simpleString()
-    return map_batches(df.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return df.select(id_col, text_col).mapInArrow(parts, f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
 def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
