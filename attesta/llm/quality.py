@@ -21,6 +21,8 @@ from attesta.llm.common import held_out, map_batches, slices, utf8_of
 
 #: Labelled documents that the field is fitted on at most, in the order of a hash of the id.
 TRAIN_DOCS = 4000
+#: Bytes of text whose features are computed at once; a text counts whole.
+AT_ONCE = 1 << 20
 #: Longer documents are left out of the fitting sample (never out of scoring).
 TRAIN_LINES = 256
 ROUNDS = 120
@@ -217,7 +219,7 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         scores, lines, good = [], [], []
-        for part in slices(batch, 1):
+        for part in slices(batch, 1, AT_ONCE):
             x, size, doc = line_features(*utf8_of(part.column(1)))
             p, _ = marginals(shared.value.score(x, doc), doc, shared.value.pairs)
             weight = size + 1.0
@@ -239,7 +241,7 @@ def keep_good(docs: DataFrame, field: Field, text_col: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, place) if batch.num_rows else ():
+            for part in slices(batch, place, AT_ONCE) if batch.num_rows else ():
                 x, size, doc = line_features(*utf8_of(part.column(place)))
                 p, _ = marginals(shared.value.score(x, doc), doc, shared.value.pairs)
                 n = part.num_rows
