@@ -53,7 +53,7 @@ def instrument(pairs: DataFrame) -> DataFrame:
     correlated over 0.99 while their difference hardly varies. The pooled values of one
     pair are twice its common rows."""
     xs = F.array_sort(F.concat(F.collect_list("a"), F.collect_list("b")))
-    s = pairs.groupBy(*PAIR).agg(xs.alias("xs"), F.corr("a", "b").alias("corr"), F.stddev_samp((F.col("b") - F.col("a")) / 1e6).alias("sd"))
+    s = pairs.groupBy(*PAIR).agg(xs.alias("xs"), F.try_divide(F.covar_samp("a", "b"), F.stddev_samp("a") * F.stddev_samp("b")).alias("corr"), F.stddev_samp((F.col("b") - F.col("a")) / 1e6).alias("sd"))
     n = F.size("xs")
 
     def quantile(q: float) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attesta.operators import columns, gates, mapping, pairs, visual
 from attesta.plans import sheets
 from attesta.plans.sheets import read
+from attesta.sources import markup
 
 _LABELS = [(1, "n total"), (2, "Mean price"), (3, "count"), (4, "Average"), (5, "Sum of price"), (6, "total"), (7, "mean"), (8, "day")]
 
@@ -125,7 +126,66 @@ def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.quality_flags(o.select(F.col("o_custkey").alias("case_id"), status.alias("status")))
 
 
+def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as HTML tables with a header, by region."""
+    n = read(spark, sf_dir, "nation")
+    row = F.concat(F.lit("<tr class='r'><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td> <b>"), F.col("n_name"), F.lit("</b>&amp;co</td></tr>"))
+    whole = n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
+    html = F.concat(F.lit("<table><tr><th>key</th><th>name</th></tr>"), F.col("rows"), F.lit("</table>"))
+    return markup.html_cells(whole.select("n_regionkey", html.alias("html")), "n_regionkey", "html")
+
+
+_TABLES_SQL = """WITH r AS (SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INTEGER) AS row, n_nationkey, n_name FROM nation)
+    SELECT n_regionkey, row, 0 AS col, CAST(n_nationkey AS VARCHAR) AS body FROM r UNION ALL SELECT n_regionkey, row, 1, n_name || ' &co' FROM r
+    UNION ALL SELECT DISTINCT n_regionkey, 0, 0, 'key' FROM nation UNION ALL SELECT DISTINCT n_regionkey, 0, 1, 'name' FROM nation"""
+
+
+def keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    return visual.verified(p.select(F.col("p_partkey").alias("source"), (F.col("p_partkey") + 1).alias("target"), (F.col("p_size") * 6).alias("inliers"), (F.col("p_partkey") % 7 / 500.0).alias("overlap_source"), (F.col("p_partkey") % 5 / 500.0).alias("overlap_target")), top=50)
+
+
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as panels of nations: own classes for some, the nation's for others, and
+    the wet-lab ones of these."""
+    s = read(spark, sf_dir, "supplier")
+    own = s.filter("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("panel_id"), F.lit("chart").alias("class"))
+    figures = read(spark, sf_dir, "nation").filter("n_nationkey % 3 > 0").select(F.col("n_nationkey").alias("figure_id"), F.when(F.col("n_nationkey") % 3 == 1, "wet_lab").otherwise("mixed").alias("class"))
+    placed = visual.panel_class(s.select(F.col("s_suppkey").alias("panel_id"), F.col("s_nationkey").alias("figure_id")), own, figures)
+    kept = visual.wet_lab(placed.drop("class"), figures).select("panel_id", F.lit(True).alias("wet"))
+    return placed.join(kept, "panel_id", "left").withColumn("wet", F.coalesce("wet", F.lit(False)))
+
+
+_CLASSES_SQL = """SELECT s_suppkey AS panel_id, s_nationkey AS figure_id, CASE WHEN s_suppkey % 4 = 0 THEN 'chart' WHEN s_nationkey % 3 = 1 THEN 'wet_lab' WHEN s_nationkey % 3 = 2 THEN 'mixed' ELSE 'unknown' END AS class, s_nationkey % 3 > 0 AS wet FROM supplier"""
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = read(spark, sf_dir, "supplier")
+    page = F.concat(F.lit("head **#1** first of "), F.col("s_name"), F.lit("\n**#2**  second\n\nline **#13**"))
+    return mapping.split_posts(s.select(F.col("s_suppkey").alias("id"), page.alias("text")))
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as hand-written claims against part names and types."""
+    claims = spark.createDataFrame([(1, "Brand#1"), (2, "brand#25"), (3, "nothing"), (4, "")], "claim_id int, target string")
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("finding_id"), F.col("p_brand").alias("target"), (F.col("p_size") * 100_000 + F.col("p_partkey")).alias("seq"))
+    return mapping.first_matches(claims, p)
+
+
+def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    cases = c.select(F.col("c_custkey").alias("case_id"), (F.col("c_acctbal") > 0).alias("has_data"), (F.col("c_nationkey") % 2 == 0).alias("has_code"), (F.col("c_mktsegment") == "BUILDING").alias("reproduced"))
+    return mapping.verification_level(cases).groupBy("level").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "html_tables": tables,
+    "html_lists": lambda s, d: markup.elements(read(s, d, "pages"), "li", "page_id", "html"),
+    "verified_matches": keypoints,
+    "panel_classes": classes,
+    "forum_posts": posts,
+    "first_matches": matches,
+    "verification_levels": levels,
     "semantic_pairs": semantic,
     "summary_pairs": lambda s, d: gates.summary_pairs(pairs.row_pairs(sheets.supplier_cells(s, d)), _labels(s, d)),
     "time_design": lambda s, d: gates.time_design(_labels(s, d), columns.column_stats(sheets.small_cells(s, d))),
@@ -140,6 +200,18 @@ QUERIES = {
 }
 
 SQL = {
+    "html_tables": _TABLES_SQL,
+    "html_lists": r"""WITH f AS (SELECT page_id, regexp_extract_all(html, '(?is)<li(?:\s[^>]*)?>(.*?)</li\s*>', 1) AS xs FROM pages), e AS (SELECT page_id, xs, unnest(range(1, len(xs) + 1)) AS k FROM f)
+        SELECT page_id, CAST(k - 1 AS INTEGER) AS place, trim(regexp_replace(regexp_replace(xs[k], '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM e""",
+    "verified_matches": """SELECT p_partkey AS source, p_partkey + 1 AS target, p_size * 6 AS inliers, p_partkey % 7 / 500.0 AS overlap_source, p_partkey % 5 / 500.0 AS overlap_target, least(1.0, p_size * 6 / 200.0) AS score FROM part
+        WHERE p_size * 6 >= 10 AND (p_partkey % 7 / 500.0 >= 0.01 OR p_partkey % 5 / 500.0 >= 0.01) ORDER BY score DESC, source, target LIMIT 50""",
+    "panel_classes": _CLASSES_SQL,
+    "forum_posts": """SELECT s_suppkey AS id, 1 AS comment, 'first of ' || s_name AS body FROM supplier UNION ALL SELECT s_suppkey, 2, 'second line' FROM supplier UNION ALL SELECT s_suppkey, 13, '' FROM supplier""",
+    "first_matches": """WITH c(claim_id, target) AS (VALUES (1, 'Brand#1'), (2, 'brand#25'), (3, 'nothing'), (4, '')),
+        m AS (SELECT claim_id, arg_min(p_partkey, p_size * 100000 + p_partkey) AS finding_id FROM c JOIN part ON c.target <> '' AND contains(lower(p_brand), lower(c.target)) GROUP BY claim_id)
+        SELECT claim_id, finding_id, CASE WHEN finding_id IS NULL THEN 'gap' ELSE 'covered' END AS status FROM c LEFT JOIN m USING (claim_id)""",
+    "verification_levels": """WITH c AS (SELECT c_acctbal > 0 AS d, c_nationkey % 2 = 0 AS k, c_mktsegment = 'BUILDING' AS r FROM customer)
+        SELECT CASE WHEN d AND k AND r THEN 'V3' WHEN d AND k THEN 'V2' WHEN d OR k THEN 'V1' ELSE 'V0' END AS level, count(*) AS n FROM c GROUP BY ALL""",
     "semantic_pairs": _SEMANTIC_SQL,
     "summary_pairs": _SUMMARY_SQL,
     "time_design": _DESIGN_SQL,
