@@ -198,7 +198,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     vertices = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
     vertices = cut(vertices)
     roots = components(links(vertices, radius, block))
-    placed = vertices.join(roots, F.col("fp") == F.col("vertex"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(smallest, "root").select("fp", "component_id")
+    linked = vertices.join(roots, F.col("fp") == F.col("vertex")).select("fp", "least", "root")
+    # A table of its own, so that the join on root has plain exchanges that AQE can split.
+    smallest = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    labels = linked.join(smallest, "root").select("fp", "component_id")
+    named = vertices.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(named, "fp").select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
