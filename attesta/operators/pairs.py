@@ -10,13 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.operators.columns import index_like, rate, strength
+from attesta.operators.similarity import checkpointed
+from attesta.sources.cells import MICRO
 
 PAIR = ["workbook", "sheet", "left", "right"]
 
 
+def gathered(cells: DataFrame) -> DataFrame:
+    """(workbook, sheet, row, cells): the cells of a row as an array, by column."""
+    return cells.groupBy("workbook", "sheet", "row").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("cells"))
+
+
 def row_pairs(cells: DataFrame) -> DataFrame:
     """(workbook, sheet, row, left, right, a, b) for every two cells of a row, left < right."""
-    rows = cells.groupBy("workbook", "sheet", "row").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("cells"))
+    rows = gathered(cells)
     size = F.size("cells")
 
     def rest(x: Column, i: Column) -> Column:
@@ -63,30 +70,62 @@ RELATIONS = {
     "fixed_ratio": (ratio_key, (0, 10_000), 8),
 }
 
+#: Hash buckets by which a pair's values are counted before they are told apart.
+BUCKETS = 4
+
 
 def relations(cells: DataFrame, kinds: tuple[str, ...] = tuple(RELATIONS), support: int = 98) -> DataFrame:
     """Column pairs that are one relation on ``support`` percent of their common rows:
     equal values, one difference (millionths), one ratio (ten-thousandths). The value is
     the most frequent one, the one seen first in a tie; the share is out of all common
-    rows. All kinds share one gather of the rows, one count of their values and one pass
-    over the rows that support what was found."""
+    rows. A first pass only sums: rows of a pair are counted by ``BUCKETS`` hash buckets
+    of each kind's value, and a value that reaches the support fills its bucket at least
+    as far. Only pairs that pass are counted by value, so the many pairs without a
+    relation never leave as one row per value."""
     pairs = row_pairs(cells)
     a, b = F.col("a"), F.col("b")
-    ways = F.array(*[F.struct(F.lit(k).alias("category"), RELATIONS[k][0](a, b).alias("value")) for k in kinds])
-    keyed = pairs.select(*PAIR, "row", "a", "b", F.inline(ways)).filter("value IS NOT NULL")
+    values = {k: RELATIONS[k][0](a, b) for k in kinds}
+    one = lambda c: F.sum(c.cast("int"))
+    hashed = pairs.withColumns({f"_{k}": F.when(v.isNotNull(), F.pmod(F.hash(v), F.lit(BUCKETS))) for k, v in values.items()})
+    sums = [one(F.col(f"_{k}") == n).alias(f"{k}_{n}") for k in kinds for n in range(BUCKETS)]
+    stats = hashed.groupBy(*PAIR).agg(
+        F.count("*").alias("overlap"),
+        one((a == 0) & (b == 0)).alias("both_zero"),
+        one((a != 0) | (b != 0)).alias("non_zero"),
+        one((a == b) & (a != 0)).alias("equal_non_zero"),
+        *sums,
+    )
+    fullest = F.array(*[F.struct(F.lit(k).alias("category"), F.greatest(*[F.coalesce(f"{k}_{n}", F.lit(0)) for n in range(BUCKETS)]).alias("most")) for k in kinds])
+    stats = stats.select(*PAIR, "overlap", "both_zero", "non_zero", "equal_non_zero", F.inline(fullest))
+    stats = stats.filter(F.col("most") * 100 >= F.col("overlap") * support).drop("most")
     key = [*PAIR, "category"]
-    counts = keyed.groupBy(*key, "value").agg(F.count("*").alias("n"), F.min("row").alias("first"))
-    best = counts.groupBy(*key).agg(F.max(F.struct("n", (-F.col("first")).alias("early"), "value")).alias("m")).select(*key, F.col("m.value").alias("value"), F.col("m.n").alias("support"))
-    stats = pair_stats(pairs).select(*PAIR, "overlap", "both_zero", "non_zero", "equal_non_zero")
+    value = F.lit(None).cast("long")
+    for k, v in values.items():
+        value = F.when(F.col("category") == k, v).otherwise(value)
+    # A sheet's pairs that passed meet its gathered rows; only these pairs are unfolded.
+    passed = stats.groupBy("workbook", "sheet").agg(F.collect_list(F.struct("left", "right", "category")).alias("passed"))
+    named = gathered(cells).select("workbook", "sheet", "row", F.map_from_entries("cells").alias("at")).join(passed, ["workbook", "sheet"])
+    keyed = named.select("workbook", "sheet", "row", "at", F.inline("passed"))
+    keyed = keyed.select(*key, "row", F.try_element_at("at", F.col("left")).alias("a"), F.try_element_at("at", F.col("right")).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    keyed = keyed.withColumn("value", value).filter("value IS NOT NULL")
+    whole = lambda c: one(F.col(c) % MICRO == 0).alias(f"whole_{c}")
+    counts = keyed.groupBy(*key, "value").agg(F.count("*").alias("n"), F.min("row").alias("first"), whole("a"), whole("b"))
+    best = counts.groupBy(*key).agg(F.max(F.struct("n", (-F.col("first")).alias("early"), "value", "whole_a", "whole_b")).alias("m"))
+    best = best.select(*key, F.col("m.value").alias("value"), F.col("m.n").alias("support"), "m.whole_a", "m.whole_b")
     counted = F.lit(False)
     for k in kinds:
         _, refused, least = RELATIONS[k]
         counted = counted | ((F.col("category") == k) & ~F.col("value").isin(*refused) & (F.col("overlap") >= least))
-    found = best.join(stats, PAIR).filter(counted & (F.col("support") * 100 >= F.col("overlap") * support))
-
-    # A running number on either side makes a relation harmless.
-    sides = F.array(F.struct(F.lit(0).alias("side"), a.alias("v")), F.struct(F.lit(1).alias("side"), b.alias("v")))
-    rows = keyed.join(found.select(*key, "value"), [*key, "value"], "left_semi").select(*key, "row", F.inline(sides))
+    # Found relations are few beside cells: a table of their own keeps what follows from
+    # computing them again.
+    found = checkpointed(best.join(stats, key).filter(counted & (F.col("support") * 100 >= F.col("overlap") * support)))
+
+    # A running number on either side makes a relation harmless; only the rows of sides
+    # that are whole numbers are put in order.
+    able = lambda side: (F.col("support") >= 8) & (F.col(f"whole_{side}") * 100 >= F.col("support") * 95)
+    sides = F.array_compact(F.array(F.when(able("a"), F.lit(0)), F.when(able("b"), F.lit(1))))
+    wanted = found.select(*key, "value", F.explode(sides).alias("side"))
+    rows = checkpointed(keyed.join(wanted, [*key, "value"]).select(*key, "side", "row", F.when(F.col("side") == 0, a).otherwise(b).alias("v")))
     running = index_like(rows, [*key, "side"], "v", "flag").groupBy(*key).agg(F.max("flag").alias("index_like"))
     found = found.join(running, key, "left")
 
