@@ -44,7 +44,10 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, separator: int, i
     ``folder``, a shared one. Returns (file, place, id): the documents in file order, for
     naming only. A file is named by its content's digest, so a task that runs twice leaves
     the same file, and it appears by a rename once it is whole. Null and empty texts are
-    lone separators."""
+    lone separators. Where a text itself encodes to the separator's id (a literal special
+    token), the largest number of ``dtype`` is written for it, so that a separator always
+    ends a document; a vocabulary that uses that number is refused."""
+    stand_in = int(np.iinfo(dtype).max)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,8 +59,13 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, separator: int, i
         with system.open_output_stream(temporary) as out:
             for batch in batches:
                 t = t or tokenizer(shared.value)
+                if max(t.label) >= stand_in:
+                    raise ValueError(f"{dtype} has no number beyond the vocabulary's")
                 for text in batch.column(1):
-                    data = np.array([*t.encode(text.as_py() or ""), separator], dtype).tobytes()
+                    tokens = np.array([*t.encode(text.as_py() or ""), separator], dtype)
+                    content = tokens[:-1]
+                    content[content == separator] = stand_in
+                    data = tokens.tobytes()
                     digest.update(data)
                     out.write(data)
                 ids.append(batch.column(0))
@@ -144,9 +152,15 @@ def count_tokens(spark: SparkSession, folder: str, separator: int, dtype: str =
 def count_documents(docs: DataFrame, vocabulary: str, separator: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, file, place, start, n_tokens) of every row: writes the token files into the
     shared checkpoint folder, counts them from the flat files alone, and names the counted
-    documents by their place."""
+    documents by their place. Raises RuntimeError if a file has more or fewer separators
+    than documents."""
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
     named = write_files(docs, folder, vocabulary, separator, id_col, text_col)
-    counted = count_tokens(spark, folder, separator, block=block, files=named.select("file"))
-    return named.join(counted, ["file", "place"]).select(id_col, "file", "place", "start", "n_tokens")
+    scanned = cut(scan_blocks(list_blocks(spark, folder, block=block, files=named.select("file")), folder, separator))
+    written = named.groupBy("file").agg(F.count("*").alias("n"))
+    ends = scanned.groupBy("file").agg(F.sum(F.size("ends")).alias("ends"))
+    wrong = written.join(ends, "file", "full").filter(~F.col("n").eqNullSafe(F.col("ends"))).first()
+    if wrong:
+        raise RuntimeError(f"{wrong['file']} has {wrong['ends']} separators for {wrong['n']} documents")
+    return named.join(stitch(scanned), ["file", "place"]).select(id_col, "file", "place", "start", "n_tokens")

@@ -47,3 +47,12 @@ def test_documents_against_the_library(spark):
     want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in [*enumerate(texts), (None, "null id")]}
     assert got == want
     assert token_files.count_documents(docs.limit(0), bpe.read_vocabulary(PATH), END).count() == 0
+
+
+def test_separator_inside_a_text(spark):
+    library = Tokenizer.from_file(PATH)
+    texts = ["before", "one <|endoftext|> two three", "<|endoftext|>", "after that", None, "<|endoftext|><|endoftext|> x", "last of all words"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    for block in (3, 1000):
+        got = {r.doc_id: r.n_tokens for r in token_files.count_documents(docs, bpe.read_vocabulary(PATH), END, block=block).collect()}
+        assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
