@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,16 +13,26 @@ from pyspark.sql import functions as F
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineages: ``spark.checkpoint.dir``, or the one already
-    set on the context. Only where neither is set (local tests) is a temporary one made."""
+    set on the context. Where neither is set, a local master gets a folder beside its
+    warehouse; on a cluster it is an error, as executors must see one folder."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir()
     if known:
         return known
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attesta-checkpoint-")
-    sc.setCheckpointDir(path)
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(path or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return sc.getCheckpointDir()
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this job made in the shared store."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -76,9 +85,8 @@ def held_out(id_col: str) -> Column:
 def cut_spans(text: Column, spans: Column, fill: str = "") -> Column:
     """``text`` with its sorted disjoint code-point spans (start, end) replaced by
     ``fill``; null spans change nothing."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda acc, s: F.struct(
-        F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(fill)).alias("out"), s["end"].alias("at")
-    )
-    joined = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, joined).otherwise(text)
+    n = F.size(spans)
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"])
+    end = lambda i: F.when(i == n, F.length(text)).otherwise(F.get(spans, i)["start"])
+    kept = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(text, begin(i) + 1, end(i) - begin(i)))
+    return F.when(n > 0, F.array_join(kept, fill)).otherwise(text)
