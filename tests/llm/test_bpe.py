@@ -1,6 +1,9 @@
 import hashlib
+import json
 import random
+from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +17,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def own():
-    return bpe.Tokenizer(bpe.read_vocabulary(PATH))
+    return bpe.Encoder(bpe.tokenizer(bpe.read_vocabulary(PATH)))
 
 
 @pytest.fixture(scope="module")
@@ -39,8 +42,10 @@ def test_automaton_against_merging():
             vocab[a + b] = len(vocab)
             tokens.append(a + b)
         automaton = bpe.MergeAutomaton(vocab, merges, "_")
-        for _ in range(150):
-            word = "".join(draw.choices("abc", k=draw.randrange(1, 14)))
+        labels = {i: s for s, i in vocab.items()}
+        words = ["".join(draw.choices("abc", k=draw.randrange(1, 14))) for _ in range(150)]
+        flat, counts = automaton.words([w.encode() for w in words])
+        for word, ids in zip(words, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
             parts = [*word[:-1], word[-1] + "_"]
             for a, b in merges:
                 i = 0
@@ -48,7 +53,8 @@ def test_automaton_against_merging():
                     if (parts[i], parts[i + 1]) == (a, b):
                         parts[i : i + 2] = [a + b]
                     i += 1
-            assert [automaton.labels[i] for i in automaton.word(word.encode())] == parts, (merges, word)
+            assert [labels[i] for i in ids.tolist()] == parts, (merges, word)
+            assert [labels[i] for i in automaton._alone(word.encode())] == parts, (merges, word)
 
 
 def test_random_texts_against_the_library(own, library):
@@ -57,8 +63,41 @@ def test_random_texts_against_the_library(own, library):
     for _ in range(4000):
         text = "".join(draw.choice(pool) if draw.random() < 0.5 else chr(draw.randrange(32, 0x2FF)) for _ in range(draw.randrange(14)))
         ids = library.encode(text, add_special_tokens=False).ids
-        assert own.encode(text) == ids, repr(text)
-        assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+        flat, counts = own.encode([text])
+        assert flat.tolist() == ids, repr(text)
+        assert own.t.decode(flat, counts).to_pylist() == [library.decode(ids, skip_special_tokens=False)]
+
+
+def test_every_code_point_against_the_library(own, library):
+    texts = [f"a{chr(c)}b {chr(c)}" for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(texts), 1 << 16):
+        some = texts[at : at + (1 << 16)]
+        flat, counts = own.encode(some)
+        want = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+        assert flat.tolist() == [*chain.from_iterable(want)] and counts.tolist() == [*map(len, want)]
+
+
+def test_memo_is_emptied_and_long_texts_are_split(own, library, monkeypatch):
+    monkeypatch.setattr(bpe, "WORD_MEMO", 50)
+    monkeypatch.setattr(bpe, "LONG", 100)
+    draw = random.Random(4)
+    for _ in range(40):
+        texts = [" ".join("".join(draw.choices("aeinthr", k=draw.randrange(1, 90))) for _ in range(draw.randrange(30))) for _ in range(5)]
+        flat, counts = own.encode([*texts, None, ""])
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert flat.tolist() == [*chain.from_iterable(want)] and counts.tolist() == [*map(len, want), 0, 0]
+
+
+def test_files_of_another_shape_are_refused():
+    spec = json.loads(bpe.read_vocabulary(PATH))
+    for path, value in ((("added_tokens", 0, "lstrip"), True), (("normalizer", "normalizers", 1, "content"), "_"), (("pre_tokenizer", "pretokenizers", 0, "invert"), False), (("model", "dropout"), 0.1)):
+        other = json.loads(json.dumps(spec))
+        at = other
+        for key in path[:-1]:
+            at = at[key]
+        at[path[-1]] = value
+        with pytest.raises(ValueError):
+            bpe.Tokenizer(json.dumps(other))
 
 
 def test_documents_against_the_library(spark, library):
