@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.bpe import tokenizer
-from attesta.llm.common import cut, ensure_checkpoint_dir, map_batches
+from attesta.llm.bpe import AT_ONCE, encoder, share
+from attesta.llm.common import cut, delete_folder, ensure_checkpoint_dir, map_batches, slices
 
 #: Tokens of a block.
 BLOCK = 1 << 18
@@ -48,27 +48,26 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, separator: int, i
     token), the largest number of ``dtype`` is written for it, so that a separator always
     ends a document; a vocabulary that uses that number is refused."""
     stand_in = int(np.iinfo(dtype).max)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = share(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(folder)
         system.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
         temporary = f"{root}/.{part}-{uuid.uuid4().hex}"
-        t, ids, digest = None, [], hashlib.sha256(str(part).encode())
+        ids, digest = [], hashlib.sha256(str(part).encode())
         with system.open_output_stream(temporary) as out:
             for batch in batches:
-                t = t or tokenizer(shared.value)
-                if max(t.label) >= stand_in:
-                    raise ValueError(f"{dtype} has no number beyond the vocabulary's")
-                for text in batch.column(1):
-                    tokens = np.array([*t.encode(text.as_py() or ""), separator], dtype)
-                    content = tokens[:-1]
-                    content[content == separator] = stand_in
-                    data = tokens.tobytes()
+                for some in slices(batch, 1, AT_ONCE) if batch.num_rows else ():
+                    e = encoder(shared)
+                    if e.t.top >= stand_in:
+                        raise ValueError(f"{dtype} has no number beyond the vocabulary's")
+                    flat, counts = e.encode(some.column(1).to_pylist())
+                    content = np.where(flat == separator, stand_in, flat)
+                    data = np.insert(content, np.cumsum(counts), separator).astype(dtype).tobytes()
                     digest.update(data)
                     out.write(data)
-                ids.append(batch.column(0))
+                    ids.append(some.column(0))
         if not ids:
             system.delete_file(temporary)
             return
@@ -152,12 +151,14 @@ def count_tokens(spark: SparkSession, folder: str, separator: int, dtype: str =
 def count_documents(docs: DataFrame, vocabulary: str, separator: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id, file, place, start, n_tokens) of every row: writes the token files into the
     shared checkpoint folder, counts them from the flat files alone, and names the counted
-    documents by their place. Raises RuntimeError if a file has more or fewer separators
-    than documents."""
+    documents by their place. The files are deleted when they are counted. Raises
+    RuntimeError if a file has more or fewer separators than documents."""
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
     named = write_files(docs, folder, vocabulary, separator, id_col, text_col)
+    # The scan's result is a table of its own, so the files can go as soon as it is there.
     scanned = cut(scan_blocks(list_blocks(spark, folder, block=block, files=named.select("file")), folder, separator))
+    delete_folder(spark, folder)
     written = named.groupBy("file").agg(F.count("*").alias("n"))
     ends = scanned.groupBy("file").agg(F.sum(F.size("ends")).alias("ends"))
     wrong = written.join(ends, "file", "full").filter(~F.col("n").eqNullSafe(F.col("ends"))).first()
