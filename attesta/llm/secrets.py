@@ -5,8 +5,9 @@ match. Weak candidates - named identifiers, bare tokens, endpoints - are reporte
 complementary parts co-occur: each access identifier opens a scope of ``SCOPE`` code
 points to both sides; an interval join meets it with the secrets and endpoints that lie
 inside. An identifier with a secret is a credential, and an endpoint in reach of a
-credential completes it. The join is dealt by row and bin of positions, and a bin can
-only hold as many candidates as fit into its width.
+credential completes it. Parts are different stretches of text: a bare token that touches
+an identifier or an endpoint is no secret of its own. The join is dealt by row and bin of
+positions, and a bin can only hold as many candidates as fit into its width.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGNED = 6
 #: Weak kinds: a named identifier, a bare token with letters and digits, an endpoint.
 WEAK = ("ident", "part", "endpoint")
-IDENT = r"""(?i:\b(access_?key_?id|client_?id|account_?id|key_?id|username|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,})"""
+IDENT = r"""(?i:(?<![A-Za-z0-9_])(access_?key_?id|client_?id|account_?id|key_?id|username|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,})"""
 PART = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-ENDPOINT = r"""(?i:[a-z][a-z0-9+.-]*://[^\s"'<>|]+|\b(endpoint|host|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/-]{4,})"""
+ENDPOINT = r"""(?i:[a-z][a-z0-9+.-]{0,30}://[^\s"'<>|]+|(?<![A-Za-z0-9_])(endpoint|host|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/-]{4,})"""
+#: Matches whose positions are added up in one piece.
+PIECE = 256
 #: Code points to either side of an identifier that its scope reaches.
 SCOPE = 300
 
@@ -41,12 +44,21 @@ def spans_of(text: Column, pattern: str, found: Column) -> Column:
     matches and the matches themselves give the positions as running sums of lengths."""
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
     parts = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("body")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + x["size"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end"), x["body"].alias("body")))).alias("out"),
-    )
-    return F.when(F.size(found) > 0, F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPANS))
+    # Appending to an array copies it: matches are added up in pieces of bounded size.
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / PIECE).cast("int")), lambda k: F.slice(parts, k * PIECE + 1, PIECE))
+    total = lambda piece: F.aggregate(piece, F.lit(0), lambda acc, x: acc + x["gap"] + x["size"])
+    places = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, piece: F.concat(acc, F.array(F.element_at(acc, -1) + total(piece))))
+
+    def placed(piece: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast(_SPANS).alias("out"))
+        step = lambda acc, x: F.struct(
+            (acc["at"] + x["gap"] + x["size"]).alias("at"),
+            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end"), x["body"].alias("body")))).alias("out"),
+        )
+        return F.aggregate(piece, start, step, lambda acc: acc["out"])
+
+    spans = F.flatten(F.zip_with(pieces, F.slice(places, 1, F.size(pieces)), placed))
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(_SPANS))
 
 
 def _with_spans(df: DataFrame, patterns: dict[str, str], only: Column | None = None) -> DataFrame:
@@ -59,14 +71,21 @@ def _with_spans(df: DataFrame, patterns: dict[str, str], only: Column | None = N
     return df.withColumns({k: spans_of(text, p, F.col(f"_{k}")) for k, p in patterns.items()}).drop(*searched)
 
 
+def _strong(df: DataFrame) -> DataFrame:
+    """Adds a span column per strong kind."""
+    df = _with_spans(df, {"assign": ASSIGN, "access": ACCESS, "hex": HEX})
+    return df.withColumn("assign", F.filter("assign", lambda s: F.length(F.regexp_extract(s["body"], ASSIGN, 2)) >= ASSIGNED))
+
+
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, _row, one span array per kind) of every row. Weak secrets and endpoints are
     searched where an identifier is present, as only there they can be linked."""
     rows = df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("_row"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = _with_spans(rows, {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "ident": IDENT})
-    rows = rows.withColumn("assign", F.filter("assign", lambda s: F.length(F.regexp_extract(s["body"], ASSIGN, 2)) >= ASSIGNED))
+    rows = _with_spans(_strong(rows), {"ident": IDENT})
     rows = _with_spans(rows, {"part": PART, "endpoint": ENDPOINT}, (F.size("access") > 0) | (F.size("ident") > 0))
     rows = rows.withColumn("part", F.filter("part", lambda s: s["body"].rlike("[0-9]") & s["body"].rlike("[A-Za-z]")))
+    others = F.concat("access", "ident", "endpoint")
+    rows = rows.withColumn("part", F.filter("part", lambda s: ~F.exists(others, lambda o: _touch(s, o))))
     place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
     return rows.select("id", "_row", *[F.transform(k, place).alias(k) for k in (*STRONG, *WEAK)])
 
@@ -83,7 +102,7 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     idents = idents.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / scope), F.floor(F.col("high") / scope))))
     others = exploded({"assign": "secret", "hex": "secret", "part": "secret", "endpoint": "endpoint"}).withColumn("bin", F.floor(F.col("start") / scope))
     met = idents.join(others, ["_row", "bin"]).filter((F.col("start") >= F.col("low")) & (F.col("end") <= F.col("high")))
-    # An identifier is no secret of its own.
+    # An identifier is no secret and no endpoint of its own.
     met = met.filter((F.col("end") <= F.col("i_start")) | (F.col("start") >= F.col("i_end")))
     key = ["_row", "i_kind", "i_start", "i_end"]
     whole = met.groupBy(*key).agg(F.max(F.col("role") == "secret").alias("whole"), F.collect_set(F.struct("kind", "start", "end")).alias("parts")).filter("whole")
@@ -94,7 +113,7 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """(id, base, spans) of every row, arrays of struct<kind,start,end> in code points,
     end exclusive, by start and then kind as listed. ``base`` holds the strong matches,
-    ``spans`` these and the linked weak ones that no strong match covers. Null texts are
+    ``spans`` these and the linked weak ones that touch no strong match. Null texts are
     empty; rows without matches have empty arrays; repeated rows stay repeated; other
     columns are not read."""
     found = cut(candidates(df, id_col, text_col))
@@ -108,11 +127,16 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
 
     base = F.concat(*[_tagged(k, kind=k) for k in STRONG])
     rows = joined.select("id", base.alias("base"), F.coalesce("extra", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("extra"))
-    fresh = F.filter("extra", lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
+    fresh = F.filter("extra", lambda x: ~F.exists("base", lambda b: _touch(x, b)))
     rows = rows.withColumn("extra", fresh)
     return rows.select(F.col("id").alias(id_col), ordered(F.col("base")).alias("base"), ordered(F.concat("base", "extra")).alias("spans"))
 
 
+def _touch(a: Column, b: Column) -> Column:
+    """Whether two spans have a code point in common."""
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
 def _tagged(spans: str, **tags: str) -> Column:
     """The spans of a column with constant fields before them."""
     fields = [F.lit(v).alias(k) for k, v in tags.items()]
@@ -147,11 +171,21 @@ def merged(spans: str) -> Column:
 
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fill: str = "[secret]") -> DataFrame:
-    """The documents, with all their columns, with every found span replaced by ``fill``.
-    Rows meet their spans by id and a hash of the text, so repeated ids keep their own."""
+    """The documents, with all their columns, with every found span replaced by ``fill``;
+    null texts stay null. Texts without an identifier have nothing to link and are masked
+    as they are read; only the others meet their spans in a join, by id and a hash of the
+    text, so that repeated ids keep their own."""
+    text = F.col(text_col)
+    named = F.coalesce(text.rlike(ACCESS) | text.rlike(IDENT), F.lit(False))
+    plain = _strong(docs.filter(~named).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), text.alias("text")))
+    base = F.array_sort(F.concat(*[_tagged(k) for k in STRONG]))
+    plain = plain.select("row", "text", base.alias("base")).select("row", "text", merged("base").alias("spans"))
+    plain = plain.select(*[cut_spans(F.col("text"), F.col("spans"), fill).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+
+    rows = docs.filter(named)
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
-    found = scan(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text").filter(F.size("spans") > 0)
+    found = scan(rows.select(key.alias("key"), text.alias("text")), "key", "text").filter(F.size("spans") > 0)
     found = found.select("key", merged("spans").alias("spans")).dropDuplicates(["key"])
-    rows = docs.alias("d").join(found.alias("f"), key.eqNullSafe(F.col("f.key")), "left")
-    text = cut_spans(F.col(f"d.{text_col}"), F.col("f.spans"), fill)
-    return rows.select(*[text.alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns])
+    met = rows.alias("d").join(found.alias("f"), key.eqNullSafe(F.col("f.key")), "left")
+    cleared = cut_spans(F.col(f"d.{text_col}"), F.col("f.spans"), fill)
+    return plain.unionByName(met.select(*[cleared.alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns]))
