@@ -1,7 +1,7 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-Every Arrow batch of documents is a shard. Its words are coded by the benchmark's
-vocabulary; a stretch of known words that is shorter than the shortest window cannot
+A shard is a run of whole documents of about ``SHARD_BYTES``. Its words are coded by the
+benchmark's vocabulary; a stretch of known words that is shorter than the shortest window cannot
 hold one and is left out, which loses nothing. The rest, with separators, is indexed: a suffix
 array by prefix doubling, the Burrows-Wheeler transform in a wavelet matrix, and every
 16th suffix position. All windows search backwards at once, one wavelet rank per word;
@@ -11,6 +11,7 @@ occurrences walk to the next sampled position, and the words they cover merge in
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -18,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut_spans, map_batches
+from attesta.llm.common import cut_spans, map_batches, slices
 
 #: Consecutive words of a window; shorter items are one window.
 WINDOW = 10
 #: Every this many text positions a suffix position is kept.
 SAMPLE = 16
+#: Bytes of text in a shard; a document counts whole.
+SHARD_BYTES = 8 << 20
+#: Occurrences that are located at once.
+LOCATED = 1 << 20
 #: Benchmark characters that are broadcast at once; a larger benchmark goes block by block.
 BLOCK_CHARS = 16_000_000
 
@@ -180,20 +185,21 @@ class _Benchmark:
             text[s : s + len(p)] = p
         index = FMIndex(text)
         low, high = index.search(self.patterns, self.lengths)
-        counts = high - low
-        which = np.repeat(np.arange(len(counts)), counts)
-        rows = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
-        at = index.locate(rows)
         cover = np.zeros(len(text) + 1, np.int64)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + self.lengths[which], -1)
-        cover = np.cumsum(cover)[:-1] > 0
-        part = np.searchsorted(starts, at, side="right") - 1
-        for p, w in np.unique(np.stack([part, which]), axis=1).T:
-            items[places[p][0]] |= self.items[w]
-        for p in np.unique(part):
-            k, a = places[p]
-            hit[k][a : a + sizes[p]] |= cover[starts[p] : starts[p] + sizes[p]]
+        # Rows of all windows end to end, located a bounded number at a time.
+        ends = np.cumsum(high - low)
+        for first in range(0, int(ends[-1]), LOCATED):
+            place = np.arange(first, min(first + LOCATED, int(ends[-1])))
+            which = np.searchsorted(ends, place, side="right")
+            at = index.locate(high[which] - (ends[which] - place))
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + self.lengths[which], -1)
+            part = np.searchsorted(starts, at, side="right") - 1
+            for p, w in zip(*np.divmod(np.unique(part * len(self.items) + which), len(self.items)), strict=True):
+                items[places[p][0]] |= self.items[w]
+        covered = np.cumsum(cover)[:-1] > 0
+        for s, n, (k, a) in zip(starts, sizes, places, strict=True):
+            hit[k][a : a + n] |= covered[s : s + n]
         return hit, items
 
 
@@ -223,8 +229,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast(_Benchmark([(r[0], r[1]) for r in rows], window))
 
-        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            bench = shared.value
+        def search(batch: pa.RecordBatch, bench: _Benchmark) -> pa.RecordBatch:
             get, coded = bench.codes.get, []
             for text in batch.column(1):
                 coded.append(np.array([*map(get, words_of(text.as_py()), repeat(0))], np.int32))
@@ -238,7 +243,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             words = pa.array([len(d) for d in coded], pa.int32())
             return pa.record_batch([batch.column(0), batch.column(1), words, pa.array(spans, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=[id_col, "text", "words", "hits", "items"])
 
-        out = map_batches(out, run, schema)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, search=search) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, 1, SHARD_BYTES) if batch.num_rows else ():
+                    yield search(part, shared.value)
+
+        out = out.mapInArrow(run, schema)
 
     def places(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_hit, spans = [], []
