@@ -21,7 +21,8 @@ from attesta.llm.common import held_out, map_batches, slices, utf8_of
 
 #: Labelled documents that the field is fitted on at most, in the order of a hash of the id.
 TRAIN_DOCS = 4000
-#: Bytes of text whose features are computed at once; a text counts whole.
+#: Bytes of text whose features are computed at once. A line that is longer counts as
+#: several lines of this length.
 AT_ONCE = 1 << 20
 #: Longer documents are left out of the fitting sample (never out of scoring).
 TRAIN_LINES = 256
@@ -40,6 +41,32 @@ FEATURES = len(_CLASSES) + 7
 def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts laid end to end: features of each line, its length in bytes and its
     document. A text has one line more than it has line feeds."""
+    return _features(*_line_counts(data, offsets))
+
+
+def features_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` of a column of texts; a long text is counted in pieces that end
+    with a line wherever they can."""
+    data, offsets = utf8_of(column)
+    if len(column) > 1 or len(data) <= AT_ONCE:
+        return line_features(data, offsets)
+    parts = [_line_counts(piece, np.array([0, len(piece)])) for piece in _pieces(data)]
+    return _features(*[np.concatenate([p[k] for p in parts], axis=-1) for k in range(6)])
+
+
+def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
+    at = 0
+    while len(data) - at > AT_ONCE:
+        feeds = np.flatnonzero(data[at : at + AT_ONCE] == 10)
+        end = at + int(feeds[-1]) if len(feeds) else at + AT_ONCE
+        yield data[at:end]
+        at = end + bool(len(feeds))
+    yield data[at:]
+
+
+def _line_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each line: bytes by class, words, words that stand again one to three words on,
+    length, a hash, and the document."""
     n = len(data)
     feeds = np.flatnonzero(data == 10)
     docs = len(offsets) - 1
@@ -93,9 +120,13 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         line = whole[end] - whole[first]
     else:
         line = np.zeros(len(starts), np.uint64)
+    return counts, words, again, size, line, doc
+
+
+def _features(counts: np.ndarray, words: np.ndarray, again: np.ndarray, size: np.ndarray, line: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # Lines that stood earlier in the same document.
-    order = np.lexsort((np.arange(len(starts)), line, doc))
-    seen = np.zeros(len(starts), bool)
+    order = np.lexsort((np.arange(len(doc)), line, doc))
+    seen = np.zeros(len(doc), bool)
     seen[order[1:]] = (line[order[1:]] == line[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]]) & (words[order[1:]] > 0)
     length = np.maximum(size, 1)
     share = counts / length
@@ -193,16 +224,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = rows.groupBy(id_col).agg(F.min(label_col).cast("int").alias("_label")).orderBy(F.xxhash64(id_col), id_col).limit(limit)
     sample = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(text_col, "_label")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, size, doc = line_features(*utf8_of(batch.column(0)))
-        lines = np.bincount(doc, minlength=batch.num_rows)
-        short = (lines <= TRAIN_LINES).tolist()
-        bounds = np.concatenate([[0], np.cumsum(lines)])
-        flat = [x[a:b].ravel().tobytes() if keep else None for a, b, keep in zip(bounds, bounds[1:], short, strict=False)]
-        return pa.record_batch([pa.array(flat, pa.binary()), batch.column(1)], names=["x", "label"])
-
-    found = map_batches(sample, run, "x binary, label int").filter("x IS NOT NULL").collect()
-    found = sorted((bytes(r.x), r.label) for r in found)[: 2 * limit]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 0, AT_ONCE) if batch.num_rows else ():
+                x, size, doc = features_of(part.column(0))
+                lines = np.bincount(doc, minlength=part.num_rows)
+                short = (lines <= TRAIN_LINES).tolist()
+                bounds = np.concatenate([[0], np.cumsum(lines)])
+                flat = [x[a:b].ravel().tobytes() if keep else None for a, b, keep in zip(bounds, bounds[1:], short, strict=False)]
+                yield pa.record_batch([pa.array(flat, pa.binary()), part.column(1)], names=["x", "label"])
+
+    # Ids that stand in several rows may bring more than ``limit`` texts; each counts once.
+    found = sample.mapInArrow(run, "x binary, label int").filter("x IS NOT NULL").distinct().orderBy(F.xxhash64("x", "label"), "x").limit(2 * limit).collect()
+    found = sorted((bytes(r.x), r.label) for r in found)
     parts = [np.frombuffer(r[0], np.float32).reshape(-1, FEATURES) for r in found]
     if not parts:
         return fit(np.zeros((0, FEATURES), np.float32), np.zeros(0, int), np.zeros(0, int))
@@ -220,7 +254,7 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         scores, lines, good = [], [], []
         for part in slices(batch, 1, AT_ONCE):
-            x, size, doc = line_features(*utf8_of(part.column(1)))
+            x, size, doc = features_of(part.column(1))
             p, _ = marginals(shared.value.score(x, doc), doc, shared.value.pairs)
             weight = size + 1.0
             n = part.num_rows
@@ -242,7 +276,7 @@ def keep_good(docs: DataFrame, field: Field, text_col: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, place, AT_ONCE) if batch.num_rows else ():
-                x, size, doc = line_features(*utf8_of(part.column(place)))
+                x, size, doc = features_of(part.column(place))
                 p, _ = marginals(shared.value.score(x, doc), doc, shared.value.pairs)
                 n = part.num_rows
                 good = np.bincount(doc, (size + 1.0) * p, n) >= 0.5 * np.bincount(doc, size + 1.0, n)
