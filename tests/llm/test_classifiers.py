@@ -29,6 +29,42 @@ def test_line_features_by_hand():
     assert got["blank_line"].tolist() == [0, 0, 0, 1, 0, 1, 1, 0, 0]
 
 
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    draw = np.random.default_rng(5)
+    for _ in range(60):
+        text = "".join(draw.choice([*"aB1 |", "\n", "word ", "é"], 400))
+        whole = quality.line_features(*utf8_of(pa.array([text])))
+        longest = max(len(x.encode()) for x in text.split("\n"))
+        monkeypatch.setattr(quality, "AT_ONCE", longest + 1 + int(draw.integers(20)))
+        parts = quality.features_of(pa.array([text]))
+        assert all(np.allclose(a, b) for a, b in zip(whole, parts, strict=True))
+        monkeypatch.setattr(quality, "AT_ONCE", 5)
+        assert quality.features_of(pa.array([text]))[1].sum() == len(text.encode()) - text.count("\n")
+
+
+def test_quality_against_loops(spark):
+    """The query's scores by forward and backward sums over one line at a time."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    field = quality.train(docs, labels)
+    move = np.exp(field.pairs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.score(docs, field).collect():
+        x, size, doc = quality.line_features(*utf8_of(pa.array([texts[r.doc_id]], pa.string())))
+        z = (x - field.center) / field.scale
+        nothing = np.zeros(quality.FEATURES)
+        score = [np.concatenate([z[i], z[i - 1] if i else nothing, z[i + 1] if i + 1 < len(z) else nothing, [1]]) @ field.weights for i in range(len(z))]
+        emit = [np.array([1 - (p := 1 / (1 + np.exp(-min(30, max(-30, s))))), p]) for s in score]
+        ahead, back = [emit[0] / emit[0].sum()], [np.ones(2)]
+        for e in emit[1:]:
+            a = (ahead[-1] @ move) * e
+            ahead.append(a / a.sum())
+        for e in emit[:0:-1]:
+            b = move @ (e * back[0])
+            back.insert(0, b / b.sum())
+        good = [(a * b)[1] / (a * b).sum() for a, b in zip(ahead, back, strict=True)]
+        assert r.score == pytest.approx(np.average(good, weights=size + 1.0), abs=1e-4)
+
+
 def test_marginals_against_enumeration():
     draw = np.random.default_rng(1)
     doc = np.repeat([0, 1, 2], [3, 1, 5])
@@ -73,7 +109,7 @@ def test_kernel_against_sets():
 
     def grams(t):
         code = [int(language._CODE[b]) for b in t.lower().encode()]
-        code = [c for k, c in enumerate(code) if k == 0 or c or code[k - 1]]
+        code = [c for k, c in enumerate(code) if k == 0 or c != 32 or code[k - 1] != 32]
         return {(p, *code[i : i + p]) for p in (1, 2, 3) for i in range(len(code) - p + 1)}
 
     samples = [("x" if k % 2 else "y", np.unique(language.cells_of(np.frombuffer(t.lower().encode(), np.uint8)))) for k, t in enumerate(texts)]
@@ -89,6 +125,45 @@ def test_kernel_against_sets():
             assert got[i, j] == pytest.approx(want, abs=1e-6)
 
 
+def grams_of(text):
+    code = [b if 97 <= b <= 122 or b >= 0x80 else 32 for b in text.lower().encode()]
+    code = [c for k, c in enumerate(code) if k == 0 or c != 32 or code[k - 1] != 32]
+    return {(p, *code[i : i + p]) for p in (1, 2, 3) for i in range(len(code) - p + 1)}
+
+
+def test_language_against_sets(spark):
+    """The query's predictions by set intersections with each landmark."""
+    docs = table(spark, SF, "documents")
+    model = language.train(docs)
+    named = {}
+    for cell, column in zip(model.cells.tolist(), model.landmarks, strict=True):
+        p = 1 if cell < 1 << 8 else 2 if cell < (1 << 8) + (1 << 16) else 3
+        cell -= sum(1 << (8 * q) for q in range(1, p))
+        gram = (p, *[(cell >> (8 * (p - 1 - i))) & 255 for i in range(p)])
+        for k in np.flatnonzero(column):
+            named.setdefault(int(k), set()).add(gram)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in language.predict(docs, model).collect():
+        mine = grams_of(texts[r.doc_id])
+        kernel = [len(mine & named[k]) / np.sqrt(max(1, len(mine)) * len(named[k])) for k in range(len(named))]
+        values = np.array(kernel) @ model.weights
+        if not any(c.isalpha() for c in texts[r.doc_id]):
+            assert r.lang_pred == "und"
+            continue
+        assert values[model.languages.index(r.lang_pred)] == pytest.approx(values.max(), abs=1e-4)
+        assert r.score == pytest.approx(min(1, max(0, (values.max() + 1) / 2)), abs=1e-4)
+
+
+def test_cells_of_long_texts(monkeypatch):
+    draw = np.random.default_rng(9)
+    for _ in range(100):
+        data = np.frombuffer("".join(draw.choice([*"aé  .B"], 60)).lower().encode(), np.uint8)
+        monkeypatch.setattr(language, "PIECE", 1 << 20)
+        whole = language.cells_of(data)
+        monkeypatch.setattr(language, "PIECE", int(draw.integers(1, 9)))
+        assert whole.tolist() == language.cells_of(data).tolist()
+
+
 def test_language_on_held_out_rows(spark):
     docs = table(spark, SF, "documents")
     got = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -98,10 +173,10 @@ def test_language_on_held_out_rows(spark):
 
 def test_language_of_odd_rows(spark):
     a, b, c = [i for i in range(10, 60) if not held(i)][:3]
-    rows = [(1, None, "en"), (2, "", "en"), (3, "12 ..!", None), (a, "the", "en"), (a, "the", "en"), (None, "le", "fr"), (b, "le la " * 30_000, "fr"), (c, "der", None)]
+    rows = [(1, None, "en"), (2, "", "en"), (3, "12 ..!", None), (a, "the", "en"), (a, "the", "en"), (None, "le", "fr"), (b, "le la " * 30_000, "fr"), (c, "der", None), (61, "x" * 3_000_000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("own"))
     got = language.identify(docs).collect()
-    assert len(got) == 8
+    assert len(got) == 9
     assert all((r.lang_pred == "und") == (r.doc_id in (1, 2, 3)) for r in got)
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language.identify(docs.limit(0)).count() == 0
