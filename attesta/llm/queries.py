@@ -13,14 +13,15 @@ from attesta.llm.common import table
 WORD_BPE = "word_bpe_49k.json"
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
+    """The public tokenizer file; needed only by the queries that encode."""
     import public_tokenizers
 
     return bpe.read_vocabulary(public_tokenizers.path(WORD_BPE))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), _vocabulary()))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), vocabulary()))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ END_OF_DOCUMENT = 49407
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = token_files.count_documents(table(spark, sf_dir, "documents"), _vocabulary(), END_OF_DOCUMENT)
+    counted = token_files.count_documents(table(spark, sf_dir, "documents"), vocabulary(), END_OF_DOCUMENT)
     return counted.select("doc_id", "n_tokens")
 
 

@@ -28,6 +28,8 @@ from attesta.llm.common import cut, map_batches
 
 #: Fingerprints of a bucket that are compared in one group.
 BLOCK = 1024
+#: A class with over this share of the rows is hot; there are at most as many as 1 / HOT.
+HOT = 1 / 256
 RADIUS = 4
 SHINGLE = 4
 
@@ -188,6 +190,28 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def name_components(vertices: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """(key, n, component_id) of every vertex (key, least, n): the smallest ``least`` of the
+    vertices with its root in ``roots`` (key, root), its own without one."""
+    linked = vertices.join(roots, key).select(key, "least", "root")
+    # A table of its own, so that the join on root has plain exchanges that AQE can split.
+    smallest = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    labels = linked.join(smallest, "root").select(key, "component_id")
+    return cut(vertices.join(labels, key, "left").select(key, "n", F.coalesce("component_id", "least").alias("component_id")))
+
+
+def label_rows(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the component_id of their class in ``named`` (key, n, component_id).
+    Rows of hot classes, which are few by the bound of ``HOT``, take it from a broadcast
+    where they are; only the others are dealt out by their class."""
+    total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.col("n") > total * HOT
+    common = named.filter(hot).select(key, F.struct("component_id").alias("_hot"))
+    met = rows.join(F.broadcast(common), key, "left")
+    easy = met.filter("_hot IS NOT NULL").withColumn("component_id", F.col("_hot.component_id")).drop("_hot")
+    return easy.unionByName(met.filter("_hot IS NULL").drop("_hot").join(named.filter(~hot).select(key, "component_id"), key))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """(id, fp, fingerprint, component_id) of every row: documents whose fingerprints
     differ in at most ``radius`` bits are linked; component_id is the smallest id
@@ -195,12 +219,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated rows stay repeated; null ids keep their rows but never name a component
     unless it has no other id. Other columns are not read."""
     prints = cut(fingerprints(df, id_col, text_col, shingle))
-    vertices = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    vertices = cut(vertices)
+    vertices = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")))
     roots = components(links(vertices, radius, block))
-    linked = vertices.join(roots, F.col("fp") == F.col("vertex")).select("fp", "least", "root")
-    # A table of its own, so that the join on root has plain exchanges that AQE can split.
-    smallest = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
-    labels = linked.join(smallest, "root").select("fp", "component_id")
-    named = vertices.join(labels, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "fp").select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = name_components(vertices, roots.withColumnRenamed("vertex", "fp"), "fp")
+    return label_rows(prints, named, "fp").select(id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -141,26 +141,55 @@ def test_cut_spans(spark):
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"), ("a.example.com", "allow"), ("example.com/de/x", "allow"), ("org/fr/", "block")]
 
 
-def brute_verdict(url):
+def brute_verdict(url, rules=RULES):
     m = re.search(r"://([^/?#]*)([^?#]*)", url or "", re.S)
-    host, path = (m[1].lower(), m[2]) if m else ("", "")
+    fold = lambda x: "".join(c.lower() if c.isascii() else c for c in x)
+    host, path = (fold(m[1]), m[2]) if m else ("", "")
     fits = []
-    for rule, verdict in RULES:
+    for rule, verdict in rules:
         h, s, p = rule.partition("/")
-        if (host == h or host.endswith("." + h)) and path.startswith(s + p):
-            fits.append((len(h), len(s + p), verdict == "allow", rule, verdict))
-    best = max(fits, default=(0, 0, 0, None, "allow"))
+        h = fold(h)
+        if (host == h or host.endswith("." + h) or not h) and path.startswith(s + p):
+            fits.append((-len(h), -len(s + p), verdict != "allow", rule, verdict))
+    best = min(fits, default=(0, 0, 0, None, "allow"))
     return host, path, best[3], best[4]
 
 
+URLS = [
+    "http://x.example.net/en/1", "http://example.net", "http://example.net/", "http://EXAMPLE.net/en", "https://a.example.com/de/x1?q=/#z", "https://b.example.com/de/xy",
+    "https://b.example.com/de/y#/de", "ftp://q.org/fr/", "q.org/fr/", "http://notexample.net.com/en/", "http://myexample.com/de/", "", None, "://", "http://?net/", "http://u://v.net/x", "http://net/", "http://a..net/",
+    "http://É.org/fr/é", "http://x.net/" + "a/" * 50_000, "http://" + "a." * 20_000 + "net/",
+]
+
+
 @pytest.mark.parametrize("size", [100, 3])
 def test_url_filter_against_scan(spark, size):
-    urls = [
-        "http://x.example.net/en/1", "http://example.net", "http://example.net/", "http://EXAMPLE.net/en", "https://a.example.com/de/x1?q=/#z", "https://b.example.com/de/xy",
-        "https://b.example.com/de/y#/de", "ftp://q.org/fr/", "q.org/fr/", "http://notexample.net.com/en/", "http://myexample.com/de/", "", None, "://", "http://?net/", "http://u://v.net/x", "http://net/", "http://a..net/",
-    ]
-    pages = spark.createDataFrame([*enumerate(urls), (2, urls[2])], "page_id long, url string").withColumn("rule", F.lit("own"))
+    pages = spark.createDataFrame([*enumerate(URLS[:-1]), (2, URLS[2])], "page_id long, url string").withColumn("rule", F.lit("own"))
     rules = spark.createDataFrame([*RULES, RULES[0], (None, "block")], "rule string, verdict string")
     got = url_filter.judge(pages, rules, trie_entries=size).collect()
-    want = [(i, *brute_verdict(u)) for i, u in [*enumerate(urls), (2, urls[2])]]
+    want = [(i, *brute_verdict(u)) for i, u in [*enumerate(URLS[:-1]), (2, URLS[2])]]
     assert sorted(map(str, ((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got))) == sorted(map(str, want))
+    assert url_filter.judge(pages.limit(0), rules, trie_entries=size).count() == 0
+    assert {r.verdict for r in url_filter.judge(pages, rules.limit(0), trie_entries=size).collect()} == {"allow"}
+
+
+def test_url_filter_of_many_host_labels(spark):
+    rules = spark.createDataFrame(RULES, "rule string, verdict string")
+    got = url_filter.judge(spark.createDataFrame([(1, URLS[-1])], "page_id long, url string"), rules).first()
+    assert (got.rule, got.verdict) == ("net/", "block")
+
+
+def test_trie_and_join_agree(spark):
+    """Entries that differ in case, verdict or spelling only, on both sides of the switch."""
+    draw = random.Random(12)
+    for turn in range(3):
+        hosts = ["a.com", "A.com", "b.a.com", "B.A.COM", "com", "", "x.B.a.com"]
+        paths = ["", "/", "/p", "/p/", "/p/q", "/P"]
+        entries = [(draw.choice(hosts) + draw.choice(paths), draw.choice(["allow", "block"])) for _ in range(draw.randrange(4, 25))]
+        urls = [f"http://{draw.choice(hosts)}{draw.choice(['', '/p', '/p/q/r', '/', '/Pp'])}" for _ in range(60)]
+        pages = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
+        rules = spark.createDataFrame(entries, "rule string, verdict string")
+        want = [(i, *brute_verdict(u, entries)) for i, u in enumerate(urls)]
+        for limits in ({}, {"trie_entries": 1}, {"trie_bytes": 1}):
+            got = url_filter.judge(pages, rules, **limits).collect()
+            assert sorted(map(tuple, got)) == sorted(want), (turn, limits)

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from attesta.llm import quality, secrets, simhash
+from attesta.llm import quality, secrets
 from attesta.llm.common import table
-from tests.llm.test_near_and_filters import brute_hits, brute_print, brute_roots
+from tests.llm.test_near_and_filters import brute_hits, brute_roots
+from tests.llm.test_near_copies import Linked, grams
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,7 +18,7 @@ def test_stages_against_plain_loops(spark):
     labels = table(spark, SF, "labels")
     scores = {r.doc_id: r.score for r in quality.score(docs, quality.train(docs, labels)).collect()}
     texts = {r.doc_id: r.text for r in docs.collect() if scores[r.doc_id] >= 0.5}
-    roots = brute_roots({i: int(brute_print(t)) for i, t in texts.items()}, simhash.RADIUS)
+    roots = brute_roots({i: Linked(grams(t)) for i, t in texts.items()}, 4)
     texts = {i: t for i, t in texts.items() if roots[i] == i}
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
 
@@ -64,5 +65,9 @@ def test_stages_of_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             step = stage(spark, step, SF)
             assert step.columns == docs.columns
+            if start is docs and stage is corpus_pipeline.keep_one_of_near_copies:
+                # One id with two texts is two documents; copies under other ids go.
+                assert sorted(r.text for r in step.filter("doc_id = 5").collect()) == ["other words token=abcdef", "token=abcdef x"]
+                assert step.filter("doc_id IS NULL").count() == 1 and step.filter("doc_id = 4").count() == 0
         assert not any("token=abcdef" in (r.text or "") for r in step.collect())
         assert corpus_pipeline.encode(spark, step, SF).count() == step.count()
