@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from attesta.llm.common import map_batches, slices
 
 #: Words of the per-worker memo; it is emptied when full.
-WORD_MEMO = 200_000
+WORD_MEMO = 80_000
 #: Characters of memo words at most, by which long words are bounded.
-MEMO_CHARS = 8_000_000
+MEMO_CHARS = 2_000_000
 #: Bytes of text that are encoded at once; a text counts whole.
 AT_ONCE = 4 << 20
 #: Words of up to this many bytes run through the table together.
@@ -408,18 +408,21 @@ def tokenizer(content: str) -> Tokenizer:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(shared: Broadcast) -> Encoder:
-    """The worker's encoder of a broadcast tokenizer; workers keep one per vocabulary."""
-    t = shared.value
-    if t.key not in _ENCODERS:
+def encoder(shared: tuple[str, Broadcast]) -> Encoder:
+    """The worker's encoder of a shared tokenizer; workers keep one, and load a tokenizer
+    only if it is another one."""
+    key, broadcast = shared
+    if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[t.key] = Encoder(t)
-    return _ENCODERS[t.key]
+        _ENCODERS[key] = Encoder(broadcast.value)
+    return _ENCODERS[key]
 
 
-def share(spark: SparkSession, vocabulary: str) -> Broadcast:
-    """The compiled tokenizer for all workers; its size is that of the vocabulary."""
-    return spark.sparkContext.broadcast(tokenizer(vocabulary))
+def share(spark: SparkSession, vocabulary: str) -> tuple[str, Broadcast]:
+    """The key of a compiled tokenizer, and itself for all workers; its size is that of the
+    vocabulary."""
+    t = tokenizer(vocabulary)
+    return t.key, spark.sparkContext.broadcast(t)
 
 
 def read_vocabulary(path: str) -> str:
