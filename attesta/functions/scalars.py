@@ -63,13 +63,15 @@ def referenced_columns(formula: Column) -> Column:
 
 
 #: Words that mark a label as a mean, a sum, a count, or a time or event.
-MEAN_TERMS = ("mean", "average", "avg")
+MEAN_TERMS = ("mean", "average")
 SUM_TERMS = ("sum", "total")
-TIME_TERMS = ("time", "day", "week", "month", "event", "status", "survival")
+COUNT_TERMS = ("n total", "n=", "n ", "count", "number")
+TIME_TERMS = ("day", "days", "time", "week", "weeks", "control", "tumor free", "tumour free", "survival", "event")
 
 
 def has_term(label: Column, terms: tuple[str, ...]) -> Column:
-    return F.lower(label).rlike("|".join(terms))
+    """Whether a label contains one of the terms; a null label has none."""
+    return F.coalesce(F.lower(label).rlike("|".join(terms)), F.lit(False))
 
 
 def sentences(text: Column) -> Column:

@@ -24,22 +24,6 @@ def informative(cells: DataFrame, min_pairs: int = 8, least: int = 3) -> DataFra
     return cells.join(kept, COLUMN, "left_semi")
 
 
-def index_like(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """(keys, name): whether the values in row order look like a running number: eight or
-    more rows, 95 % whole numbers, and 70 % steps of one, or 90 % distinct with one step
-    that makes up 85 %. Rows are those that support a relation. Keys that fail on size or
-    whole numbers are left out; only the rows of the others are ordered."""
-    whole = F.sum((F.col(value) % 1_000_000 == 0).cast("int"))
-    able = rows.groupBy(*keys).agg(F.count("*").alias("n"), whole.alias("whole")).filter("n >= 8 AND whole * 100 >= n * 95")
-    w = Window.partitionBy(*keys).orderBy("row")
-    stepped = rows.join(able.select(*keys), keys, "left_semi").select(*keys, "row", F.col(value).alias("v"), (F.col(value) - F.lag(value).over(w)).alias("step"))
-    by_step = stepped.groupBy(*keys, "step").count().groupBy(*keys).agg(F.sum(F.when(F.col("step").isNotNull(), F.col("count"))).alias("steps"), F.sum(F.when(F.col("step") == 1_000_000, F.col("count"))).alias("ones"), F.max(F.when(F.col("step").isNotNull(), F.col("count"))).alias("most"))
-    distinct = stepped.groupBy(*keys, "v").count().groupBy(*keys).agg(F.count("*").alias("u"))
-    ones = F.coalesce("ones", F.lit(0))
-    flag = (ones * 10 >= F.col("steps") * 7) | ((F.col("u") * 10 >= F.col("n") * 9) & (F.col("most") * 100 >= F.col("steps") * 85))
-    return able.join(by_step, keys).join(distinct, keys).select(*keys, F.coalesce(flag, F.lit(False)).alias(name))
-
-
 def rate(part: Column, whole: Column) -> Column:
     """A share to four places, half up."""
     return F.floor(part * 10000.0 / whole + 0.5) / 10000.0

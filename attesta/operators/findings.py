@@ -7,14 +7,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.operators.similarity import checkpointed
+
 RISKS = ["info", "low", "medium", "high", "critical"]
-#: Id prefix of each category.
+#: Id prefix of each category; categories without one have OTHER.
 PREFIX = {
-    "duplicate_numeric_columns": "DC", "fixed_difference": "FD", "fixed_ratio": "FR", "paired_difference_too_narrow": "PDS",
-    "small_n_fixed_difference": "SNF", "small_n_fixed_ratio": "SNR", "strict_linear_relation": "SLR", "copy_paste_modify": "CPM",
-    "shifted_paste": "SHP", "row_offset_exact_reuse": "ROE", "row_offset_scalar_multiple": "ROS", "paired_ratio_reuse": "PRR",
-    "repeated_measurement_value": "RMV", "duplicate_row_vector": "DRV", "internal_sequence_relation": "ISR",
+    "duplicate_numeric_columns": "DC", "fixed_difference": "FD", "fixed_ratio": "FR", "formula_derived_column": "FM",
+    "row_offset_exact_reuse": "ROE", "row_offset_scalar_multiple": "ROS", "paired_ratio_reuse": "PRR", "duplicate_row_vector": "DRV",
+    "long_format_paired_ratio_reuse": "LPR", "long_format_within_pair_ratio_enrichment": "LPE", "row_offset_partial_copy_rounding_bias": "RBR",
+    "paired_difference_too_narrow": "PDS", "cross_block_paired_diff_too_narrow": "CBD", "repeated_measurement_value": "RMV",
+    "fractional_tail_reuse": "FTR", "small_n_fixed_difference": "SNF", "small_n_fixed_ratio": "SNR", "cross_sheet_fractional_tail_reuse": "CFT",
+    "binary_arithmetic_relation": "BAR", "shifted_paste": "SHP", "copy_paste_modify": "CPM", "internal_sequence_relation": "ISR",
+    "decimal_tail_match_shifted": "DTS", "strict_linear_relation": "SLR",
 }
+OTHER = "PF"
+#: Categories whose clusters are told apart by the value of their relation.
+BY_RELATIONSHIP = (
+    "row_offset_scalar_multiple", "row_offset_exact_reuse", "long_format_within_pair_ratio_enrichment", "row_offset_partial_copy_rounding_bias",
+    "repeated_measurement_value", "fractional_tail_reuse", "small_n_fixed_difference", "small_n_fixed_ratio", "cross_sheet_fractional_tail_reuse",
+    "binary_arithmetic_relation", "shifted_paste", "copy_paste_modify", "internal_sequence_relation", "decimal_tail_match_shifted", "strict_linear_relation",
+)
 
 
 def risk_rank(level: Column) -> Column:
@@ -26,33 +38,55 @@ def risk_level(rank: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, RISKS)), rank + 1)
 
 
-def unified(found: DataFrame, columns: Column, support: str = "support", overlap: str = "overlap") -> DataFrame:
-    """Brings a detector's rows to the common schema."""
+#: Optional fields of a finding, and what they are if a detector doesn't say.
+FIELDS = {"row_offset": "int", "relationship": "string", "width": "int", "support": "long", "overlap": "long", "support_rate": "double", "artifact_likelihood": "string"}
+
+
+def unified(found: DataFrame, columns: Column) -> DataFrame:
+    """Brings a detector's rows to the common schema; missing fields are null."""
     has = set(found.columns)
-    pick = lambda name, kind: F.col(name).cast(kind) if name in has else F.lit(None).cast(kind)
-    return found.select("workbook", "sheet", "category", "risk_level", columns.alias("columns"), pick("row_offset", "int").alias("row_offset"), pick(support, "long").alias("support"), pick(overlap, "long").alias("overlap"), pick("support_rate", "double").alias("support_rate"))
+    pick = lambda name, kind: (F.col(name) if name in has else F.lit(None)).cast(kind).alias(name)
+    return found.select("workbook", "sheet", "category", "risk_level", columns.alias("columns"), *[pick(*f) for f in FIELDS.items()])
 
 
 def numbered(parts: list[DataFrame]) -> DataFrame:
-    """All findings with ids PREFIX-0001 per category, by risk, workbook, sheet, columns.
-    Categories number their findings apart; a category's findings are few beside cells."""
+    """All findings with ids PREFIX-0001 per category, by risk, workbook, sheet, columns,
+    offset, relationship and support; from the 10,000th on an id has more digits. Findings
+    are range-partitioned in that order and counted per partition, and a partition goes on
+    where the ones before it stopped, so no task holds a whole category."""
     union = reduce(DataFrame.unionByName, parts).withColumn("rank", risk_rank(F.col("risk_level")))
-    w = Window.partitionBy("category").orderBy(F.desc("rank"), "workbook", "sheet", "columns", "row_offset", "support")
-    prefix = F.coalesce(F.create_map(*[F.lit(x) for kv in PREFIX.items() for x in kv])[F.col("category")], F.lit("XX"))
-    return union.withColumn("finding_id", F.concat(prefix, F.lit("-"), F.lpad(F.row_number().over(w).cast("string"), 4, "0")))
+    order = [F.col("category"), -F.col("rank"), *map(F.col, ("workbook", "sheet", "columns", "row_offset", "relationship", "support"))]
+    placed = checkpointed(union.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    parts_of = placed.groupBy("category", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("category").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts_of.select("category", "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    number = (F.col("_at") + F.col("_shift") + 1).cast("string")
+    digits = F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)
+    prefix = F.coalesce(F.create_map(*[F.lit(x) for kv in PREFIX.items() for x in kv])[F.col("category")], F.lit(OTHER))
+    named = placed.join(starts, ["category", "_part"]).withColumn("finding_id", F.concat(prefix, F.lit("-"), digits))
+    return named.select(*union.columns, "finding_id")
 
 
 def priority(findings: DataFrame) -> DataFrame:
     """Findings of medium risk or more that aren't held for artifacts."""
-    artifact = F.col("artifact_likelihood") if "artifact_likelihood" in findings.columns else F.lit(None).cast("string")
-    return findings.filter((risk_rank(F.col("risk_level")) >= 2) & (F.coalesce(artifact, F.lit("")) != "high"))
+    return findings.filter((risk_rank(F.col("risk_level")) >= 2) & (F.coalesce("artifact_likelihood", F.lit("")) != "high"))
+
+
+def signature() -> Column:
+    """What tells the clusters of a category, sheet and offset apart: the value of the
+    relation, a row's width, or nothing more."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    offset = F.concat(F.lit("offset="), text("row_offset"))
+    related = F.concat(offset, F.lit(";relationship="), text("relationship"))
+    return F.when(F.col("category").isin(*BY_RELATIONSHIP), related).when(F.col("category") == "duplicate_row_vector", F.concat(F.lit("width="), text("width"))).otherwise(offset)
 
 
 def clusters(findings: DataFrame, representatives: int = 8) -> DataFrame:
     """One row per (category, workbook, sheet, offset, signature): size, summed support,
     highest rate and risk, and up to eight representative ids, riskiest first."""
-    key = ["category", "workbook", "sheet", "row_offset"]
-    ranked = findings.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("rank"), F.desc("support"), "finding_id")))
+    key = ["category", "workbook", "sheet", "row_offset", "signature"]
+    ranked = findings.withColumn("signature", signature())
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("rank"), F.desc("support"), "finding_id")))
     some = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= representatives, F.struct("place", "finding_id")))), lambda x: x["finding_id"]), ",")
     return ranked.groupBy(*key).agg(F.count("*").alias("size"), F.sum("support").alias("support"), F.max("support_rate").alias("max_rate"), F.max("rank").alias("rank"), some.alias("representatives"))
 

@@ -1,69 +1,107 @@
-"""Gates that mark harmless relations: summary statistics, instruments, designs."""
+"""Gates that mark harmless relations: running numbers, summary statistics, designs,
+instruments."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.functions.scalars import MEAN_TERMS, SUM_TERMS, TIME_TERMS, has_term
+from attesta.functions.scalars import COUNT_TERMS, MEAN_TERMS, SUM_TERMS, TIME_TERMS, has_term
 
-PAIR = ["workbook", "sheet", "left", "right"]
+SHEET = ["workbook", "sheet"]
+PAIR = [*SHEET, "left", "right"]
 
-#: Labels that mean the same; a label belongs to a group if it contains one
-#: of its words.
-GROUPS = (("mean", "average", "avg"), ("sum", "total"), ("n", "count", "number"), ("sd", "std", "stdev"), ("sem", "se", "stderr"))
+#: Words of labels that go together, by group; a label belongs to a group if
+#: it contains one of its words.
+GROUPS = (
+    ("mean", "avg", "average", "sd", "std", "stderr", "sem"),
+    ("median", "iqr", "q1", "q3", "25%", "75%"),
+    ("n", "count", "total", "proportion", "percentage", "%"),
+    ("pre", "post", "baseline", "followup", "t0", "t1"),
+    ("control", "treatment", "case", "case_control"),
+)
 
 
 def semantic_pair(left: Column, right: Column) -> Column:
     """Both labels contain a word of one group."""
-    inside = lambda label, words: F.lower(label).rlike("|".join(words))
-    any_group = F.lit(False)
-    for words in GROUPS:
-        any_group = any_group | (inside(left, words) & inside(right, words))
-    return F.coalesce(any_group, F.lit(False))
-
-
-def summary_pairs(pairs: DataFrame, labels: DataFrame, least: int = 3) -> DataFrame:
-    """Pairs (row_pairs rows) of a column labelled mean and one labelled sum whose ratio
-    sum / mean is a whole number over one on 80 % of the rows with a non-zero mean."""
-    name = lambda side: labels.select("workbook", "sheet", F.col("col").alias(side), F.col("label").alias(f"label_{side}"))
-    met = pairs.join(name("left"), ["workbook", "sheet", "left"]).join(name("right"), ["workbook", "sheet", "right"])
-    forward = has_term(F.col("label_left"), MEAN_TERMS) & has_term(F.col("label_right"), SUM_TERMS)
-    backward = has_term(F.col("label_right"), MEAN_TERMS) & has_term(F.col("label_left"), SUM_TERMS)
-    met = met.filter(forward | backward).select(*PAIR, F.when(forward, F.col("a")).otherwise(F.col("b")).alias("mean"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("total"))
-    ratio = F.try_divide(F.col("total").cast("double"), F.col("mean").cast("double"))
-    whole = (ratio > 1) & (F.abs(ratio - F.rint(ratio)) <= 1e-6)
-    s = met.filter("mean <> 0").groupBy(*PAIR).agg(F.count("*").alias("n"), F.count_if(whole).alias("whole"))
-    return s.filter((F.col("n") >= least) & (F.col("whole") * 10 >= F.col("n") * 8))
-
-
-def time_design(labels: DataFrame, stats: DataFrame) -> DataFrame:
-    """(workbook, sheet, design): sheets with a time or event label in which all columns
-    but one, or all, hold few distinct values."""
-    few = (F.col("distinct_values") <= 3) | (F.col("distinct_values") * 5 <= F.col("n"))
-    s = stats.groupBy("workbook", "sheet").agg(F.count("*").alias("columns"), F.count_if(few).alias("few"))
-    timed = labels.filter(has_term(F.col("label"), TIME_TERMS)).select("workbook", "sheet").distinct().withColumn("timed", F.lit(True))
-    design = F.coalesce("timed", F.lit(False)) & (F.col("few") >= F.greatest(F.lit(1), F.col("columns") - 1))
-    return s.join(timed, ["workbook", "sheet"], "left").select("workbook", "sheet", design.alias("design"))
+    both = [has_term(left, words) & has_term(right, words) for words in GROUPS]
+    found = both[0]
+    for one in both[1:]:
+        found = found | one
+    return found
+
+
+def mean_and_sum(left: Column, right: Column) -> Column:
+    """1 where the left label is a mean and the right one a sum, 2 the other way round,
+    else null."""
+    return F.when(has_term(left, MEAN_TERMS) & has_term(right, SUM_TERMS), 1).when(has_term(right, MEAN_TERMS) & has_term(left, SUM_TERMS), 2)
+
+
+def timed(left: Column, right: Column) -> Column:
+    """One of the labels has a term of time or events."""
+    return has_term(left, TIME_TERMS) | has_term(right, TIME_TERMS)
+
+
+def running_numbers(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, index_like): whether both ``a`` and ``b`` of a key's rows, in row order, are
+    running numbers: eight rows or more, 95 % whole numbers, 70 % steps of one."""
+    w = Window.partitionBy(*keys).orderBy("row")
+    stepped = rows.select(*keys, "a", "b", *[(F.col(c) - F.lag(c).over(w)).alias(f"step_{c}") for c in "ab"])
+    one = lambda c: F.sum(c.cast("int"))
+    s = stepped.groupBy(*keys).agg(F.count("*").alias("n"), *[one(F.col(c) % 1_000_000 == 0).alias(f"whole_{c}") for c in "ab"], *[one(F.col(f"step_{c}") == 1_000_000).alias(f"ones_{c}") for c in "ab"])
+    side = lambda c: (F.col(f"whole_{c}") * 100 >= F.col("n") * 95) & (F.coalesce(f"ones_{c}", F.lit(0)) * 10 >= (F.col("n") - 1) * 7)
+    return s.select(*keys, ((F.col("n") >= 8) & side("a") & side("b")).alias("index_like"))
+
+
+def designs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, design): whether one side or both of a key's rows hold few distinct values:
+    three, or a fifth of the rows."""
+    s = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("a").alias("da"), F.count_distinct("b").alias("db"))
+    few = lambda c: (F.col(c) <= 3) | (F.col(c) * 5 <= F.col("n"))
+    return s.select(*keys, (few("da") | few("db")).alias("design"))
+
+
+def summaries(rows: DataFrame, keys: list[str], cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """(keys, summary) of keys whose ``mean`` is 1 where ``a`` is a mean and ``b`` a sum, or
+    2: three rows or more with a non-zero mean, 80 % of whose ratios sum / mean are whole
+    numbers over one. Where the sheet has columns labelled as counts, the ratio must be
+    such a count, to a thousandth, on 80 % of the rows that have it; where it has none, the
+    whole ratios are at most two numbers."""
+    mean, total = F.when(F.col("mean") == 1, F.col("a")).otherwise(F.col("b")), F.when(F.col("mean") == 1, F.col("b")).otherwise(F.col("a"))
+    used = rows.select(*keys, "row", mean.alias("m"), total.alias("s")).filter("m <> 0").withColumn("ratio", F.col("s").cast("double") / F.col("m"))
+    whole = (F.col("ratio") > 1) & (F.abs(F.col("ratio") - F.rint("ratio")) <= 1e-6)
+    s = used.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(whole).alias("whole"), F.count_distinct(F.when(whole, F.rint("ratio"))).alias("ratios"))
+    s = s.filter("n >= 3 AND whole * 10 >= n * 8")
+    counts = labels.filter(has_term(F.col("label"), COUNT_TERMS)).select(*SHEET, F.col("col").alias("count_col")).distinct()
+    able = s.join(counts, SHEET, "left").filter(F.col("count_col").isNull() | ~F.col("count_col").isin(F.col("left"), F.col("right")))
+    able = able.select(*keys, "ratios", "count_col")
+    with_count = able.filter("count_col IS NOT NULL").select(*keys, "count_col")
+    value = cells.select(*SHEET, F.col("col").alias("count_col"), "row", F.col("v").alias("count"))
+    met = used.join(with_count, keys).join(value, [*SHEET, "count_col", "row"])
+    near = F.abs(F.col("ratio") - F.col("count") / 1e6) <= 0.001 + 1e-12
+    fits = met.groupBy(*keys, "count_col").agg((F.count_if(near) * 10 >= F.count("*") * 8).alias("fits")).groupBy(*keys).agg(F.max("fits").alias("fits"))
+    counted = s.join(with_count.select(*keys).distinct().withColumn("counted", F.lit(True)), keys, "left").join(fits, keys, "left")
+    return counted.select(*keys, F.when(F.col("counted"), F.coalesce("fits", F.lit(False))).otherwise(F.col("ratios") <= 2).alias("summary"))
 
 
 def instrument(pairs: DataFrame) -> DataFrame:
     """(pair, instrument): the pooled quartile distance is under 1 % of a positive median
-    (exclusive quartiles at places (n + 1) q of the sorted values), or the columns are
-    correlated over 0.99 while their difference hardly varies. The pooled values of one
-    pair are twice its common rows."""
-    xs = F.array_sort(F.concat(F.collect_list("a"), F.collect_list("b")))
-    s = pairs.groupBy(*PAIR).agg(xs.alias("xs"), F.try_divide(F.covar_samp("a", "b"), F.stddev_samp("a") * F.stddev_samp("b")).alias("corr"), F.stddev_samp((F.col("b") - F.col("a")) / 1e6).alias("sd"))
-    n = F.size("xs")
-
-    def quantile(q: float) -> Column:
-        at = F.greatest(F.lit(1.0), F.least(n.cast("double") - 1, (n + 1) * q))
-        low = F.floor(at).cast("int")
-        return F.get("xs", low - 1) + (at - low) * (F.get("xs", low) - F.get("xs", low - 1))
-
-    narrow = (n >= 2) & (quantile(0.5) > 0) & (quantile(0.75) - quantile(0.25) < 0.01 * quantile(0.5))
-    stable = F.coalesce((F.col("corr") > 0.99) & (F.col("sd") < 0.001), F.lit(False))
-    return s.select(*PAIR, (F.coalesce(narrow, F.lit(False)) | stable).alias("instrument"))
+    (exclusive quartiles, at places (n + 1) q of the sorted values), or the columns are
+    correlated over 0.99 while their difference hardly varies. Places are counted over
+    sorted rows, so no pair's values are held at once."""
+    s = pairs.groupBy(*PAIR).agg(F.count("*").alias("rows"), F.try_divide(F.covar_samp("a", "b"), F.stddev_samp("a") * F.stddev_samp("b")).alias("corr"), F.stddev_samp((F.col("b") - F.col("a")) / 1e6).alias("sd"))
+    n = 2 * F.col("rows")
+    at = lambda q: F.greatest(F.lit(1.0), F.least(n.cast("double") - 1, (n + 1) * q))
+    places = {k: at(q) for k, q in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))}
+    sized = s.withColumns(places)
+    pooled = pairs.select(*PAIR, F.explode(F.array("a", "b")).alias("v")).withColumn("k", F.row_number().over(Window.partitionBy(*PAIR).orderBy("v")))
+    met = pooled.join(sized.select(*PAIR, *places), PAIR)
+    part = lambda p: F.sum(F.when(F.col("k") == F.floor(p), F.col("v") * (1 - (F.col(p) - F.floor(p)))).when(F.col("k") == F.floor(p) + 1, F.col("v") * (F.col(p) - F.floor(p)))).alias(p)
+    quartiles = met.groupBy(*PAIR).agg(*[part(p) for p in places])
+    narrow = (F.col("q2") > 0) & (F.col("q3") - F.col("q1") < 0.01 * F.col("q2"))
+    stable = (F.col("corr") > 0.99) & (F.col("sd") < 0.001)
+    found = s.join(quartiles, PAIR)
+    return found.select(*PAIR, (F.coalesce(narrow, F.lit(False)) | F.coalesce(stable, F.lit(False))).alias("instrument"))
 
 
 def violations(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.operators.columns import index_like, rate, strength
+from attesta.operators import gates
+from attesta.operators.columns import informative, rate, strength
 from attesta.operators.similarity import checkpointed
 from attesta.sources.cells import MICRO
 
@@ -23,7 +24,11 @@ def gathered(cells: DataFrame) -> DataFrame:
 
 def row_pairs(cells: DataFrame) -> DataFrame:
     """(workbook, sheet, row, left, right, a, b) for every two cells of a row, left < right."""
-    rows = gathered(cells)
+    return pairs_of(gathered(cells))
+
+
+def pairs_of(rows: DataFrame) -> DataFrame:
+    """The pairs of gathered rows."""
     size = F.size("cells")
 
     def rest(x: Column, i: Column) -> Column:
@@ -43,8 +48,7 @@ def pair_stats(pairs: DataFrame) -> DataFrame:
         one((F.col("a") != 0) | (F.col("b") != 0)).alias("non_zero"),
         one((F.col("a") == F.col("b")) & (F.col("a") != 0)).alias("equal_non_zero"),
         F.max(F.abs(d)).alias("max_diff"),
-        F.min(d).alias("low_diff"),
-        F.max(d).alias("high_diff"),
+        F.min(F.abs(d)).alias("min_diff"),
         F.sum(F.abs("a") + F.abs("b")).alias("magnitude"),
         F.least(F.min(F.abs("a")), F.min(F.abs("b"))).alias("low_abs"),
         F.greatest(F.max(F.abs("a")), F.max(F.abs("b"))).alias("high_abs"),
@@ -58,8 +62,9 @@ def zero_inflated() -> Column:
 
 
 def ratio_key(part: Column, whole: Column, places: int = 4) -> Column:
-    """Ten-thousandths of a ratio, half to even; null for a zero denominator."""
-    return F.rint(F.try_divide(part.cast("double") * float(10**places), whole.cast("double"))).cast("long")
+    """A ratio in units of ``places`` decimals, half to even; null for a zero denominator
+    and for ratios that a BIGINT can't hold."""
+    return F.rint(F.try_divide(part.cast("double") * float(10**places), whole.cast("double"))).try_cast("bigint")
 
 
 #: Relation: what is constant on the rows that support it, values that don't count, and
@@ -67,22 +72,35 @@ def ratio_key(part: Column, whole: Column, places: int = 4) -> Column:
 RELATIONS = {
     "duplicate_numeric_columns": (lambda a, b: F.when(a == b, F.lit(0).cast("long")), (), 12),
     "fixed_difference": (lambda a, b: a - b, (0,), 8),
-    "fixed_ratio": (ratio_key, (0, 10_000), 8),
+    "fixed_ratio": (lambda a, b: ratio_key(a, b, 6), (0, MICRO), 8),
 }
 
 #: Hash buckets by which a pair's values are counted before they are told apart.
 BUCKETS = 4
+#: Why a relation may be harmless.
+REASONS = {
+    "index_like": "running numbers on both sides", "zero": "zero-inflated columns", "summary": "summary statistics",
+    "design": "time or event design", "formula": "formula column involved",
+}
 
 
-def relations(cells: DataFrame, kinds: tuple[str, ...] = tuple(RELATIONS), support: int = 98) -> DataFrame:
+def relations(cells: DataFrame, kinds: tuple[str, ...] = tuple(RELATIONS), support: int = 98, labels: DataFrame | None = None, formulas: DataFrame | None = None) -> DataFrame:
     """Column pairs that are one relation on ``support`` percent of their common rows:
-    equal values, one difference (millionths), one ratio (ten-thousandths). The value is
-    the most frequent one, the one seen first in a tie; the share is out of all common
-    rows. A first pass only sums: rows of a pair are counted by ``BUCKETS`` hash buckets
-    of each kind's value, and a value that reaches the support fills its bucket at least
-    as far. Only pairs that pass are counted by value, so the many pairs without a
-    relation never leave as one row per value."""
-    pairs = row_pairs(cells)
+    equal values, one difference or one ratio (both in millionths). The value is the most
+    frequent one, the one seen first in a tie; the share is out of all common rows.
+
+    A first pass only sums: rows of a pair are counted by ``BUCKETS`` hash buckets of each
+    kind's value, and a value that reaches the support fills its bucket at least as far.
+    Only pairs that pass are counted by value, so the many pairs without a relation never
+    leave as one row per value.
+
+    Relations are harmless (low risk, artifact_likelihood high) if the supporting rows are
+    running numbers on both sides, zero-inflated (copies), a mean and its sum, or a time or
+    event design; ``labels`` (workbook, sheet, col, label) names the columns for the last
+    two. Differences and ratios that involve a column of ``formulas`` (workbook, sheet, col)
+    are low, too (artifact_likelihood medium)."""
+    rows = checkpointed(gathered(cells))
+    pairs = pairs_of(rows)
     a, b = F.col("a"), F.col("b")
     values = {k: RELATIONS[k][0](a, b) for k in kinds}
     one = lambda c: F.sum(c.cast("int"))
@@ -95,71 +113,110 @@ def relations(cells: DataFrame, kinds: tuple[str, ...] = tuple(RELATIONS), suppo
         one((a == b) & (a != 0)).alias("equal_non_zero"),
         *sums,
     )
-    fullest = F.array(*[F.struct(F.lit(k).alias("category"), F.greatest(*[F.coalesce(f"{k}_{n}", F.lit(0)) for n in range(BUCKETS)]).alias("most")) for k in kinds])
+    fullest = F.array(*[F.struct(F.lit(k).alias("category"), F.greatest(*[F.coalesce(f"{k}_{n}", F.lit(0)) for n in range(BUCKETS)]).alias("most"), F.lit(RELATIONS[k][2]).alias("least")) for k in kinds])
     stats = stats.select(*PAIR, "overlap", "both_zero", "non_zero", "equal_non_zero", F.inline(fullest))
-    stats = stats.filter(F.col("most") * 100 >= F.col("overlap") * support).drop("most")
+    stats = stats.filter((F.col("most") * 100 >= F.col("overlap") * support) & (F.col("overlap") >= F.col("least"))).drop("most", "least")
     key = [*PAIR, "category"]
     value = F.lit(None).cast("long")
     for k, v in values.items():
         value = F.when(F.col("category") == k, v).otherwise(value)
     # A sheet's pairs that passed meet its gathered rows; only these pairs are unfolded.
-    passed = stats.groupBy("workbook", "sheet").agg(F.collect_list(F.struct("left", "right", "category")).alias("passed"))
-    named = gathered(cells).select("workbook", "sheet", "row", F.map_from_entries("cells").alias("at")).join(passed, ["workbook", "sheet"])
-    keyed = named.select("workbook", "sheet", "row", "at", F.inline("passed"))
-    keyed = keyed.select(*key, "row", F.try_element_at("at", F.col("left")).alias("a"), F.try_element_at("at", F.col("right")).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    keyed = keyed.withColumn("value", value).filter("value IS NOT NULL")
+    stats = checkpointed(stats)
+    keyed = chosen_pairs(rows, stats.select(*key), ["category"]).withColumn("value", value).filter("value IS NOT NULL")
     whole = lambda c: one(F.col(c) % MICRO == 0).alias(f"whole_{c}")
     counts = keyed.groupBy(*key, "value").agg(F.count("*").alias("n"), F.min("row").alias("first"), whole("a"), whole("b"))
     best = counts.groupBy(*key).agg(F.max(F.struct("n", (-F.col("first")).alias("early"), "value", "whole_a", "whole_b")).alias("m"))
     best = best.select(*key, F.col("m.value").alias("value"), F.col("m.n").alias("support"), "m.whole_a", "m.whole_b")
-    counted = F.lit(False)
+    refused = F.lit(False)
     for k in kinds:
-        _, refused, least = RELATIONS[k]
-        counted = counted | ((F.col("category") == k) & ~F.col("value").isin(*refused) & (F.col("overlap") >= least))
+        refused = refused | ((F.col("category") == k) & F.col("value").isin(*RELATIONS[k][1]))
+    found = best.join(stats, key).filter(~refused & (F.col("support") * 100 >= F.col("overlap") * support))
+    found = _with_labels(found, labels)
     # Found relations are few beside cells: a table of their own keeps what follows from
     # computing them again.
-    found = checkpointed(best.join(stats, key).filter(counted & (F.col("support") * 100 >= F.col("overlap") * support)))
-
-    # A running number on either side makes a relation harmless; only the rows of sides
-    # that are whole numbers are put in order.
-    able = lambda side: (F.col("support") >= 8) & (F.col(f"whole_{side}") * 100 >= F.col("support") * 95)
-    sides = F.array_compact(F.array(F.when(able("a"), F.lit(0)), F.when(able("b"), F.lit(1))))
-    wanted = found.select(*key, "value", F.explode(sides).alias("side"))
-    rows = checkpointed(keyed.join(wanted, [*key, "value"]).select(*key, "side", "row", F.when(F.col("side") == 0, a).otherwise(b).alias("v")))
-    running = index_like(rows, [*key, "side"], "v", "flag").groupBy(*key).agg(F.max("flag").alias("index_like"))
-    found = found.join(running, key, "left")
+    found = checkpointed(_with_formulas(found, formulas))
 
-    share = rate(F.col("support"), F.col("overlap"))
+    # Only rows of relations that a gate may let off are looked at again.
+    able = (F.col("support") >= 8) & (F.col("whole_a") * 100 >= F.col("support") * 95) & (F.col("whole_b") * 100 >= F.col("support") * 95)
     same = F.col("category") == "duplicate_numeric_columns"
-    harmless = F.coalesce("index_like", F.lit(False)) | (same & zero_inflated())
-    risk = F.when(harmless, "low").when(F.col("support") >= 100, "high").otherwise("medium")
-    confidence = F.when(same, F.when(F.col("support") == F.col("overlap"), "high").otherwise("medium")).otherwise(strength(share))
-    return found.select(*PAIR, "category", "value", "support", "overlap", share.alias("support_rate"), risk.alias("risk_level"), confidence.alias("confidence"))
-
+    asked = found.select(*key, "value", able.alias("numbers"), "timed", F.when(~same, F.col("mean")).alias("mean")).filter("numbers OR timed OR mean IS NOT NULL")
+    again = chosen_pairs(rows, asked, ["category", "value", "numbers", "timed", "mean"]).withColumn("_v", value).filter("_v = value")
+    if labels is not None:
+        again = checkpointed(again)
+        found = found.join(gates.designs(again.filter("timed"), key), key, "left").join(gates.summaries(again.filter("mean IS NOT NULL"), key, cells, labels), key, "left")
+    else:
+        found = found.withColumns({"design": F.lit(False), "summary": F.lit(False)})
+    found = found.join(gates.running_numbers(again.filter("numbers"), key), key, "left").na.fill(False, ["index_like", "design", "summary"])
+    found = found.withColumns({"zero": same & zero_inflated(), "formula": ~same & F.col("formula")})
 
-def duplicate_columns(cells: DataFrame, support: int = 98) -> DataFrame:
+    share = rate(F.col("support"), F.col("overlap"))
+    harmless = F.col("index_like") | F.col("zero") | F.col("summary") | F.col("design")
+    differ = F.col("label_left").isNull() | F.col("label_right").isNull() | (F.col("label_left") != F.col("label_right"))
+    risk = F.when(harmless | F.col("formula"), "low").when((F.col("support") >= 100) & (~same | differ), "high").otherwise("medium")
+    confidence = F.when(~same | (F.col("support") == F.col("overlap")), "high").otherwise("medium")
+    likely = F.when(harmless, "high").when(F.col("formula"), "medium").otherwise("unknown")
+    reason = F.coalesce(*[F.when(F.col(c), text) for c, text in REASONS.items()])
+    return found.select(*PAIR, "category", "value", "support", "overlap", share.alias("support_rate"), risk.alias("risk_level"), confidence.alias("confidence"), strength(share).alias("pattern_strength"), likely.alias("artifact_likelihood"), reason.alias("artifact_reason"))
+
+
+def chosen_pairs(rows: DataFrame, wanted: DataFrame, tags: list[str]) -> DataFrame:
+    """(workbook, sheet, row, left, right, tags, a, b): the pairs of gathered rows that
+    ``wanted`` (workbook, sheet, left, right, tags) names for their sheet."""
+    named = wanted.groupBy("workbook", "sheet").agg(F.collect_list(F.struct("left", "right", *tags)).alias("wanted"))
+    met = rows.join(named, ["workbook", "sheet"]).select("workbook", "sheet", "row", F.map_from_entries("cells").alias("at"), F.explode("wanted").alias("w"))
+    at = lambda side: F.try_element_at("at", F.col(f"w.{side}"))
+    return met.select("workbook", "sheet", "row", "w.*", at("left").alias("a"), at("right").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+
+
+def _with_labels(found: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Adds the labels of both sides and what they make of a pair."""
+    if labels is None:
+        return found.withColumns({"label_left": F.lit(None).cast("string"), "label_right": F.lit(None).cast("string"), "timed": F.lit(False), "mean": F.lit(None).cast("int")})
+    side = lambda s: labels.select("workbook", "sheet", F.col("col").alias(s), F.col("label").alias(f"label_{s}"))
+    met = found.join(side("left"), ["workbook", "sheet", "left"], "left").join(side("right"), ["workbook", "sheet", "right"], "left")
+    left, right = F.col("label_left"), F.col("label_right")
+    return met.withColumns({"timed": gates.timed(left, right), "mean": gates.mean_and_sum(left, right)})
+
+
+def _with_formulas(found: DataFrame, formulas: DataFrame | None) -> DataFrame:
+    """Adds whether a side is a formula column."""
+    if formulas is None:
+        return found.withColumn("formula", F.lit(False))
+    columns = formulas.groupBy("workbook", "sheet").agg(F.collect_set("col").alias("_formulas"))
+    inside = F.array_contains("_formulas", F.col("left")) | F.array_contains("_formulas", F.col("right"))
+    return found.join(columns, ["workbook", "sheet"], "left").withColumn("formula", F.coalesce(inside, F.lit(False))).drop("_formulas")
+
+
+def duplicate_columns(cells: DataFrame, support: int = 98, **known: DataFrame) -> DataFrame:
     """Column pairs that hold the same values."""
-    return relations(cells, ("duplicate_numeric_columns",), support)
+    return relations(cells, ("duplicate_numeric_columns",), support, **known)
 
 
-def fixed_difference(cells: DataFrame, support: int = 98) -> DataFrame:
+def fixed_difference(cells: DataFrame, support: int = 98, **known: DataFrame) -> DataFrame:
     """Pairs whose left minus right is one non-zero value."""
-    return relations(cells, ("fixed_difference",), support)
+    return relations(cells, ("fixed_difference",), support, **known)
 
 
-def fixed_ratio(cells: DataFrame, support: int = 98) -> DataFrame:
+def fixed_ratio(cells: DataFrame, support: int = 98, **known: DataFrame) -> DataFrame:
     """Pairs whose left over right is one value besides zero and one."""
-    return relations(cells, ("fixed_ratio",), support)
+    return relations(cells, ("fixed_ratio",), support, **known)
 
 
 def pair_spread(cells: DataFrame, least: int = 8) -> DataFrame:
-    """Paired differences that are too narrow: the largest is under 5 % of the mean
-    magnitude, or both their spread and the largest are under 1 % of the range."""
-    s = pair_stats(row_pairs(cells)).filter(F.col("overlap") >= least)
+    """Paired differences that are too narrow, of columns that aren't low in information:
+    the largest is under 5 % of the mean magnitude, or both the spread of the absolute
+    differences and the largest are under 1 % of the range of the absolute values. What
+    looks like an instrument's precision is low."""
+    rows = checkpointed(gathered(informative(cells, least, 1)))
+    s = pair_stats(pairs_of(rows)).filter(F.col("overlap") >= least)
     span = F.col("high_abs") - F.col("low_abs")
-    narrow = (F.col("max_diff") * 40 * F.col("overlap") < F.col("magnitude")) | (((F.col("high_diff") - F.col("low_diff")) * 100 < span) & (F.col("max_diff") * 100 < span))
-    found = s.filter(narrow & (F.col("max_diff") > 0))
-    return found.select(*PAIR, F.lit("paired_difference_too_narrow").alias("category"), "max_diff", "overlap", F.when(F.col("overlap") >= 10, "high").otherwise("medium").alias("risk_level"))
+    by_magnitude = (F.col("magnitude") > 0) & (F.col("max_diff") * 40 * F.col("overlap") < F.col("magnitude"))
+    by_range = (span > 0) & ((F.col("max_diff") - F.col("min_diff")) * 100 < span) & (F.col("max_diff") * 100 < span)
+    found = checkpointed(s.filter(by_magnitude | by_range).select(*PAIR, "max_diff", "overlap"))
+    precise = gates.instrument(chosen_pairs(rows, found.select(*PAIR), []))
+    risk = F.when(F.col("instrument"), "low").when(F.col("overlap") >= 10, "high").otherwise("medium")
+    likely = F.when(F.col("instrument"), "high")
+    return found.join(precise, PAIR).select(*PAIR, F.lit("paired_difference_too_narrow").alias("category"), "max_diff", "overlap", risk.alias("risk_level"), likely.alias("artifact_likelihood"))
 
 
 def small_n_fixed(cells: DataFrame, least: int = 3) -> DataFrame:

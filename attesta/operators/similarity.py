@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared checkpoint folder of the session."""
+    """Cuts the lineage in the shared folder that ``spark.checkpoint.dir`` names, or the one
+    already set. Where neither is set, a local master gets a folder beside its warehouse; on
+    a cluster it is an error, as executors must see one folder."""
     spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="attesta-"))
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(path or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return df.checkpoint()
 
 
@@ -29,25 +35,46 @@ def signature(values: Column, bits: int = 63) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda acc, i: acc + F.when(F.get(values, i) > F.get(values, i + 1), F.expr("1L")).otherwise(F.lit(0).cast("long")) * F.pow(F.lit(2.0), i).cast("long"))
 
 
-def hamming_pairs(rows: DataFrame, limit: int, id_col: str = "id", hash_col: str = "h", width: int = 64) -> DataFrame:
-    """(a, b, distance) of ids whose hashes differ in at most ``limit`` bits: of limit + 1
-    bands of bits one must be equal, so candidates come from an equi-join on bands. Equal
-    hashes are joined once per value."""
-    size = -(-width // (limit + 1))
-    bands = [(k * size, min(size, width - k * size)) for k in range(limit + 1) if k * size < width]
-    values = rows.select(F.col(hash_col).alias("h")).distinct().select("h", F.inline(_bands(bands)))
-    left = values.select(F.col("h").alias("x"), "band", "key")
-    right = values.select(F.col("h").alias("y"), "band", "key")
-    near = left.join(right, ["band", "key"]).filter((F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= limit)).select("x", "y").distinct()
-    same = rows.select(F.col(hash_col).alias("x"), F.col(hash_col).alias("y")).distinct()
-    ids = lambda h, name: rows.select(F.col(hash_col).alias(h), F.col(id_col).alias(name))
-    met = near.unionByName(same).join(ids("x", "p"), "x").join(ids("y", "q"), "y").filter("p <> q")
-    out = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).alias("distance"))
-    return out.distinct()
-
-
-def _bands(bands: list[tuple[int, int]]) -> Column:
-    return F.array(*[F.struct(F.lit(at).alias("band"), F.shiftrightunsigned("h", at).bitwiseAND(F.lit((1 << n) - 1).cast("long")).alias("key")) for at, n in bands])
+def classes(rows: DataFrame, id_col: str = "id", hash_col: str = "h") -> DataFrame:
+    """(id, h, class_id): the smallest id with a row's hash. Null hashes are left out."""
+    known = rows.filter(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
+    return known.join(known.groupBy("h").agg(F.min("id").alias("class_id")), "h").select("id", "h", "class_id")
+
+
+def intact_masks(limit: int, intact: int, width: int = 64) -> list[int]:
+    """Masks of ``intact`` of ``limit + intact`` bands of bits, of sizes that differ by one
+    at most: hashes that differ in at most ``limit`` bits are equal under one of them."""
+    many = limit + intact
+    if many > width:
+        raise ValueError(f"{many} bands of {width} bits")
+    edges = [k * width // many for k in range(many + 1)]
+    bands = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return [signed(sum(chosen)) for chosen in combinations(bands, intact)]
+
+
+def hamming_links(hashes: DataFrame, limit: int, intact: int = 2, width: int = 64) -> DataFrame:
+    """(x, y, distance) of distinct hashes ``h``, x < y, that differ in at most ``limit``
+    bits: candidates are equal under one of the masks, an equi-join. More ``intact`` bands
+    make more masks and keys of more bits: ``width * intact / (limit + intact)``."""
+    masks = F.array(*[F.lit(m).cast("long") for m in intact_masks(limit, intact, width)])
+    values = hashes.select(F.col("h").cast("long").alias("h")).distinct()
+    keyed = values.select("h", F.posexplode(F.transform(masks, lambda m: F.col("h").bitwiseAND(m))).alias("t", "key"))
+    other = keyed.withColumnRenamed("h", "y")
+    distance = F.bit_count(F.col("h").bitwiseXOR(F.col("y")))
+    near = keyed.join(other, ["t", "key"]).filter((F.col("h") < F.col("y")) & (distance <= limit))
+    return near.select(F.col("h").alias("x"), "y", distance.alias("distance")).distinct()
+
+
+def hamming_pairs(rows: DataFrame, limit: int, id_col: str = "id", hash_col: str = "h", width: int = 64, intact: int = 2) -> DataFrame:
+    """(a, b, distance): classes of ids with one hash, named by their smallest id, that
+    differ in at most ``limit`` bits, a < b. ``classes`` has the members; copies are not
+    expanded into pairs."""
+    named = classes(rows, id_col, hash_col).select("h", "class_id").distinct()
+    near = hamming_links(named, limit, intact, width)
+    side = lambda h, name: named.select(F.col("h").alias(h), F.col("class_id").alias(name))
+    met = near.join(side("x", "p"), "x").join(side("y", "q"), "y")
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -92,9 +119,11 @@ def tiles(panels: DataFrame, size: int = 128, stride: int = 64, least: int = 64,
 def outliers(values: DataFrame, group: str, id_col: str, value: str) -> DataFrame:
     """Rows further than twice the quartile distance from their group's median, in groups
     of three or more. Quartiles are order statistics: places n // 4 and 3n // 4."""
-    lists = values.groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("xs")).withColumn("n", F.size("xs")).filter("n >= 3")
-    half = F.floor(F.col("n") / 2).cast("int")
-    median = F.when(F.col("n") % 2 == 1, F.get("xs", half)).otherwise((F.get("xs", half - 1) + F.get("xs", half)) / 2)
-    iqr = F.when(F.col("n") >= 4, F.get("xs", F.floor(3 * F.col("n") / 4).cast("int")) - F.get("xs", F.floor(F.col("n") / 4).cast("int"))).otherwise(0.0)
-    limits = lists.select(group, median.alias("median"), iqr.alias("iqr"))
+    w = Window.partitionBy(group)
+    ranked = values.filter(F.col(value).isNotNull()).select(group, F.col(value).alias("x"), F.row_number().over(w.orderBy(value)).alias("k"), F.count("*").over(w).alias("n")).filter("n >= 3")
+    at = lambda place: F.max(F.when(F.col("k") == F.floor(place).cast("int") + 1, F.col("x")))
+    n = F.col("n")
+    limits = ranked.groupBy(group, "n").agg(at(n / 2).alias("upper"), at((n - 1) / 2).alias("lower"), at(n / 4).alias("q1"), at(3 * n / 4).alias("q3"))
+    iqr = F.when(n >= 4, F.col("q3") - F.col("q1")).otherwise(0.0)
+    limits = limits.select(group, ((F.col("lower") + F.col("upper")) / 2).alias("median"), iqr.alias("iqr"))
     return values.join(limits, group).filter(F.abs(F.col(value) - F.col("median")) > 2 * F.col("iqr")).select(group, id_col, value, "median", "iqr")

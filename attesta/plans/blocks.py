@@ -52,9 +52,9 @@ _SEQUENCE_ALONE = _SEQUENCE_SQL.replace("n1 AS (SELECT *, row -", "chosen AS (SE
 
 
 def block_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three blocks of six rows, parted by rows 7 and 14: the second repeats the first with
-    a cent more, the third is other data."""
-    rows = _accounts(spark, sf_dir).filter("row <= 6")
+    """Sheets of six balances in three blocks, parted by rows 7 and 14: the second repeats
+    the first with a cent more, the third is other data."""
+    rows = sheets.parted(_accounts(spark, sf_dir), 6)
     own = rows.select("workbook", "sheet", "row", "x", (F.col("x") * 2).alias("y"))
     near = own.select("workbook", "sheet", (F.col("row") + 7).alias("row"), (F.col("x") + 10_000).alias("x"), (F.col("y") + 10_000).alias("y"))
     far = own.select("workbook", "sheet", (F.col("row") + 14).alias("row"), (F.col("x") * 3 + 5_000_000).alias("x"), (F.col("y") + 999_000_000).alias("y"))
@@ -65,27 +65,26 @@ def _separators(cells: DataFrame) -> DataFrame:
     return cells.select("workbook", "sheet").distinct().select("workbook", "sheet", F.explode(F.array(F.lit(7), F.lit(14))).alias("row"))
 
 
-_BLOCK_SQL = f"""WITH {_ACCOUNTS}, own AS (SELECT sheet, row, x, x * 2 AS y FROM base WHERE row <= 6),
+_BLOCK_SQL = f"""WITH {_ACCOUNTS}, {sheets.parted_sql("base", "parts", 6)}, own AS (SELECT sheet, row, x, x * 2 AS y FROM parts),
     three AS (SELECT sheet, 0 AS block, row, x, y FROM own UNION ALL SELECT sheet, 1, row, x + 10000, y + 10000 FROM own UNION ALL SELECT sheet, 2, row, x * 3 + 5000000, y + 999000000 FROM own),
     long AS (SELECT sheet, block, row, 1 AS col, x AS v FROM three UNION ALL SELECT sheet, block, row, 2, y FROM three),
     sized AS (SELECT sheet, block, count(DISTINCT row) AS size FROM long GROUP BY ALL HAVING count(DISTINCT row) >= 3),
     s AS (
-        SELECT a.sheet, a.block AS p, b.block AS q, a.col, count(*) AS n, max(abs(b.v - a.v)) AS md, min(b.v - a.v) AS ld, max(b.v - a.v) AS hd, sum(abs(a.v) + abs(b.v)) AS mag, least(min(abs(a.v)), min(abs(b.v))) AS la, greatest(max(abs(a.v)), max(abs(b.v))) AS ha
+        SELECT a.sheet, a.block AS p, b.block AS q, a.col, count(*) AS n, max(abs(b.v - a.v)) AS md, min(abs(b.v - a.v)) AS ld, sum(abs(a.v) + abs(b.v)) AS mag, least(min(abs(a.v)), min(abs(b.v))) AS la, greatest(max(abs(a.v)), max(abs(b.v))) AS ha
         FROM long a JOIN long b ON a.sheet = b.sheet AND a.col = b.col AND a.row = b.row AND a.block < b.block JOIN sized ON sized.sheet = a.sheet AND sized.block = a.block GROUP BY ALL)
     SELECT 'customer' AS workbook, sheet, CAST(p AS BIGINT) AS block_x, CAST(q AS BIGINT) AS block_y, 'cross_block_paired_diff_too_narrow' AS category, count(*) AS n_columns, max(n) AS n_rows
-    FROM s WHERE md * 40 * n < mag OR ((hd - ld) * 100 < ha - la AND md * 100 < ha - la) GROUP BY sheet, p, q HAVING count(*) >= 2"""
+    FROM s WHERE md * 40 * n < mag OR ((md - ld) * 100 < ha - la AND md * 100 < ha - la) GROUP BY sheet, p, q HAVING count(*) >= 2"""
 
 _LOW = "SELECT sheet, col FROM cells GROUP BY ALL HAVING count(*) >= 8 AND (count(DISTINCT v) <= 3 OR (count(*) >= 20 AND count(DISTINCT v) * 10 <= count(*)))"
 
 
 def group_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discount, tax and rounded quantity of supplier sheets, with a low-information flag
-    column that leaves them informative."""
-    rows = sheets._lines(spark, sf_dir).filter("row <= 60")
+    """Quantity, discount and tax of supplier sheets, sixty rows each."""
+    rows = sheets.parted(sheets._lines(spark, sf_dir), 60)
     return unpivot(rows, [F.col("q"), F.col("d"), F.col("t")])
 
 
-_GROUP = f"{sheets._LINES_SQL}, few AS (SELECT * FROM lines WHERE row <= 60), cells AS ({sheets._union(['q', 'd', 't'], 'few')})"
+_GROUP = f"{sheets._LINES_SQL}, {sheets.parted_sql('lines', 'parts', 60)}, cells AS ({sheets._union(['q', 'd', 't'], 'parts')})"
 
 _ROWS_SQL = f"""WITH {_GROUP}, low AS ({_LOW}),
     vec AS (SELECT sheet, row, list((col, v) ORDER BY col) AS vector, count(*) FILTER (NOT EXISTS (SELECT 1 FROM low WHERE low.sheet = c.sheet AND low.col = c.col)) AS known FROM cells c GROUP BY sheet, row)
@@ -114,16 +113,16 @@ _REUSE_SQL = f"""WITH rows AS (
 
 
 def compare_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Balances, of which rows 11 to 20 repeat rows 1 to 10: plus five, times three, plus
+    """Sheets of ten balances, of which rows 11 to 20 repeat rows 1 to 10: plus five, times three, plus
     two except one row, and as they are."""
-    rows = _accounts(spark, sf_dir).filter("row <= 10")
+    rows = sheets.parted(_accounts(spark, sf_dir), 10)
     x = F.col("x")
     one = unpivot(rows, [x, x, x, x])
     two = unpivot(rows.withColumn("row", F.col("row") + 10), [x + 5_000_000, x * 3, x + F.when(F.col("row") == 14, 1).otherwise(2_000_000), F.col("x") * F.when(F.col("row") > 15, 2).otherwise(1)])
     return one.unionByName(two)
 
 
-_COMPARE_SQL = f"""WITH {_ACCOUNTS}, own AS (SELECT sheet, row, x FROM base WHERE row <= 10),
+_COMPARE_SQL = f"""WITH {_ACCOUNTS}, {sheets.parted_sql("base", "parts", 10)}, own AS (SELECT sheet, row, x FROM parts),
     met AS (
         SELECT sheet, 1 AS col, row, x AS a, x + 5000000 AS b FROM own UNION ALL SELECT sheet, 2, row, x, x * 3 FROM own
         UNION ALL SELECT sheet, 3, row, x, x + CASE WHEN row = 4 THEN 1 ELSE 2000000 END FROM own UNION ALL SELECT sheet, 4, row, x, x * CASE WHEN row > 5 THEN 2 ELSE 1 END FROM own),
@@ -154,8 +153,8 @@ _TAIL_REUSE_SQL = f"""WITH {_TAIL_CELLS}, {_TAILED}
 
 
 def tail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as rows of eight six-place decimals, and shifted copies of every hundredth."""
-    e = sheets.read(spark, sf_dir, "embeddings").filter("vec_id % 20 < 2").select("vec_id", F.posexplode("embedding").alias("k", "x")).filter("k < 8")
+    """Vectors as rows of six-place decimals, and shifted copies of every hundredth."""
+    e = sheets.read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x"))
     v = F.rint(F.col("x").cast("double") * 1e6).cast("long")
     place = [(F.col("vec_id") + 1).cast("int").alias("row"), (F.col("k") + 1).cast("int").alias("col")]
     own = e.select(F.lit("embeddings").alias("workbook"), F.lit("a").alias("sheet"), *place, v.alias("v"))
@@ -164,7 +163,7 @@ def tail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CROSS_TAIL_SQL = f"""WITH own AS (
-        SELECT 'a' AS sheet, CAST(vec_id + 1 AS INTEGER) AS row, CAST(k AS INTEGER) AS col, CAST(round_even(CAST(embedding[k] AS DOUBLE) * 1e6, 0) AS BIGINT) AS v FROM embeddings, (SELECT unnest(range(1, 9)) AS k) WHERE vec_id % 20 < 2),
+        SELECT 'a' AS sheet, CAST(vec_id + 1 AS INTEGER) AS row, CAST(k AS INTEGER) AS col, CAST(round_even(CAST(embedding[k] AS DOUBLE) * 1e6, 0) AS BIGINT) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS k) WHERE embedding[k] IS NOT NULL),
     cells AS (SELECT * FROM own UNION ALL SELECT 'b', row, col, CASE WHEN v < 0 THEN v - 3000000 ELSE v + 3000000 END FROM own WHERE row % 100 = 1), {_TAILED},
     num AS (SELECT sheet, row, tail, v, row_number() OVER (PARTITION BY sheet, row ORDER BY col) AS ord, count(*) OVER (PARTITION BY sheet, row) AS width FROM tailed WHERE tail <> 0),
     met AS (SELECT a.sheet AS sx, a.row AS rx, b.sheet AS sy, b.row AS ry, a.ord AS o, a.ord - b.ord AS off FROM num a JOIN num b ON a.tail = b.tail AND (a.sheet, a.row) < (b.sheet, b.row) AND a.v <> b.v WHERE a.width >= 4 AND b.width >= 4),

@@ -15,33 +15,42 @@ def _columns():
     return F.concat_ws("|", F.col("left").cast("string"), F.col("right").cast("string"))
 
 
-def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def relation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate columns, fixed differences and fixed ratios of the supplier sheets."""
-    found = pairs.relations(sheets.supplier_cells(spark, sf_dir))
+    found = pairs.relations(sheets.supplier_cells(spark, sf_dir), **sheets.known(spark, sf_dir)).withColumn("relationship", F.col("value"))
     return ops.numbered([ops.unified(found, _columns())])
 
 
 def _part(name: str) -> str:
-    return f"SELECT workbook, sheet, category, risk_level, concat_ws('|', CAST(\"left\" AS VARCHAR), CAST(\"right\" AS VARCHAR)) AS columns, CAST(NULL AS INTEGER) AS row_offset, support, overlap, support_rate FROM ({RELATIONS[name]})"
+    return f"SELECT workbook, sheet, category, risk_level, concat_ws('|', CAST(\"left\" AS VARCHAR), CAST(\"right\" AS VARCHAR)) AS columns, CAST(NULL AS INTEGER) AS row_offset, CAST(value AS VARCHAR) AS relationship, CAST(NULL AS INTEGER) AS width, support, overlap, support_rate, artifact_likelihood FROM ({RELATIONS[name]})"
 
 
-_ALL = f"""u AS ({" UNION ALL ".join(map(_part, ("duplicate_columns", "fixed_difference", "fixed_ratio")))}),
+def _numbered_sql(parts: list[str]) -> str:
+    """f: the union of ``parts`` with ranks and ids."""
+    prefix = "CASE category " + " ".join(f"WHEN '{c}' THEN '{p}'" for c, p in ops.PREFIX.items()) + f" ELSE '{ops.OTHER}' END"
+    return f"""u AS ({" UNION ALL ".join(parts)}),
     ranked AS (SELECT *, CAST(CASE risk_level WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS INTEGER) AS rank FROM u),
     f AS (
-        SELECT *, CASE category WHEN 'duplicate_numeric_columns' THEN 'DC' WHEN 'fixed_difference' THEN 'FD' ELSE 'FR' END || '-' ||
-               CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE substr(CAST(n AS VARCHAR), 1, 4) END AS finding_id
-        FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY rank DESC, workbook, sheet, columns, row_offset, support) AS n FROM ranked))"""
-_FIELDS = "workbook, sheet, category, risk_level, columns, row_offset, support, overlap, support_rate, rank, finding_id"
-_CLUSTERS = """p AS (SELECT * FROM f WHERE rank >= 2),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY category, workbook, sheet, row_offset ORDER BY rank DESC, support DESC, finding_id) AS place FROM p),
+        SELECT *, {prefix} || '-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS finding_id
+        FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY rank DESC, workbook, sheet, columns, row_offset NULLS FIRST, relationship NULLS FIRST, support NULLS FIRST) AS n FROM ranked))"""
+
+
+_ALL = _numbered_sql([*map(_part, ("duplicate_columns", "fixed_difference", "fixed_ratio"))])
+_FIELDS = "workbook, sheet, category, risk_level, columns, row_offset, relationship, width, support, overlap, support_rate, artifact_likelihood, rank, finding_id"
+_BY_RELATIONSHIP = ", ".join(f"'{c}'" for c in ops.BY_RELATIONSHIP)
+_CLUSTERS = f"""p AS (
+        SELECT *, CASE WHEN category IN ({_BY_RELATIONSHIP}) THEN 'offset=' || coalesce(CAST(row_offset AS VARCHAR), '-') || ';relationship=' || coalesce(relationship, '-')
+                       WHEN category = 'duplicate_row_vector' THEN 'width=' || coalesce(CAST(width AS VARCHAR), '-') ELSE 'offset=' || coalesce(CAST(row_offset AS VARCHAR), '-') END AS signature
+        FROM f WHERE rank >= 2 AND coalesce(artifact_likelihood, '') <> 'high'),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY category, workbook, sheet, row_offset, signature ORDER BY rank DESC, support DESC NULLS LAST, finding_id) AS place FROM p),
     c AS (
-        SELECT category, workbook, sheet, row_offset, count(*) AS size, CAST(sum(support) AS BIGINT) AS support, max(support_rate) AS max_rate, max(rank) AS rank, string_agg(finding_id, ',' ORDER BY place) FILTER (place <= 8) AS representatives
-        FROM placed GROUP BY category, workbook, sheet, row_offset)"""
+        SELECT category, workbook, sheet, row_offset, signature, count(*) AS size, CAST(sum(support) AS BIGINT) AS support, max(support_rate) AS max_rate, max(rank) AS rank, string_agg(finding_id, ',' ORDER BY place) FILTER (place <= 8) AS representatives
+        FROM placed GROUP BY category, workbook, sheet, row_offset, signature)"""
 
 
 def fixed_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: detectors, priority filter, clusters."""
-    return ops.clusters(ops.priority(all_findings(spark, sf_dir)))
+    return ops.clusters(ops.priority(relation_findings(spark, sf_dir)))
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,12 +82,12 @@ _GRADE_SQL = """WITH r AS (
 
 QUERIES = {
     "fixed_relationships": fixed_relationships,
-    "findings": all_findings,
+    "findings": relation_findings,
     "review_tasks": lambda s, d: ops.review_tasks(fixed_relationships(s, d)),
-    "finding_layers": lambda s, d: ops.layers(all_findings(s, d)),
-    "risk_summary": lambda s, d: ops.risk_summary(all_findings(s, d)),
-    "verdict_split": lambda s, d: ops.expand_verdicts(all_findings(s, d), _verdicts(s, d)).groupBy("category", "active", "verdict").agg(F.count("*").alias("n")),
-    "similar_findings": lambda s, d: ops.group_similar(all_findings(s, d)).groupBy("suppressed_by").agg(F.count("*").alias("n")),
+    "finding_layers": lambda s, d: ops.layers(relation_findings(s, d)),
+    "risk_summary": lambda s, d: ops.risk_summary(relation_findings(s, d)),
+    "verdict_split": lambda s, d: ops.expand_verdicts(relation_findings(s, d), _verdicts(s, d)).groupBy("category", "active", "verdict").agg(F.count("*").alias("n")),
+    "similar_findings": lambda s, d: ops.group_similar(relation_findings(s, d)).groupBy("suppressed_by").agg(F.count("*").alias("n")),
     "grades": grades,
 }
 

@@ -12,25 +12,43 @@ from attesta.plans import sheets
 
 _RATE = "floor({0} * 10000.0 / {1} + 0.5) / 10000.0"
 
-#: Flags per pair and side: the supporting rows (l, r, row, a, b in ``support``) look like
-#: a running number.
-_INDEX_LIKE = """
-    sides AS (SELECT sheet, l, r, 0 AS side, row, a AS v FROM support UNION ALL SELECT sheet, l, r, 1, row, b FROM support),
-    steps AS (SELECT *, v - lag(v) OVER (PARTITION BY sheet, l, r, side ORDER BY row) AS step FROM sides),
+_MEAN, _SUM, _COUNT = "mean|average", "sum|total", "n total|n=|n |count|number"
+_TIME = "day|days|time|week|weeks|control|tumor free|tumour free|survival|event"
+
+#: Gates of found pairs (sheet, l, r, lx, ly) by their supporting rows (``support``).
+_GATES = f"""
+    steps AS (SELECT sheet, l, r, a, b, a - lag(a) OVER w AS sa, b - lag(b) OVER w AS sb FROM support WINDOW w AS (PARTITION BY sheet, l, r ORDER BY row)),
     shape AS (
-        SELECT sheet, l, r, side, count(*) AS n, count(DISTINCT v) AS u, count(*) FILTER (v % 1000000 = 0) AS whole, count(step) AS steps, count(*) FILTER (step = 1000000) AS ones
+        SELECT sheet, l, r,
+               count(*) >= 8 AND count(*) FILTER (a % 1000000 = 0) * 100 >= count(*) * 95 AND count(*) FILTER (b % 1000000 = 0) * 100 >= count(*) * 95
+               AND count(*) FILTER (sa = 1000000) * 10 >= (count(*) - 1) * 7 AND count(*) FILTER (sb = 1000000) * 10 >= (count(*) - 1) * 7 AS idx,
+               count(DISTINCT a) <= 3 OR count(DISTINCT a) * 5 <= count(*) OR count(DISTINCT b) <= 3 OR count(DISTINCT b) * 5 <= count(*) AS few
         FROM steps GROUP BY ALL),
-    tops AS (SELECT sheet, l, r, side, max(c) AS most FROM (SELECT sheet, l, r, side, step, count(*) AS c FROM steps WHERE step IS NOT NULL GROUP BY ALL) GROUP BY ALL),
-    flags AS (
-        SELECT sheet, l, r, bool_or(n >= 8 AND whole * 100 >= n * 95 AND (ones * 10 >= steps * 7 OR (u * 10 >= n * 9 AND coalesce(most, 0) * 100 >= steps * 85))) AS idx
-        FROM shape LEFT JOIN tops USING (sheet, l, r, side) GROUP BY ALL)"""
+    sums AS (
+        SELECT sheet, l, r, row, CAST(CASE WHEN fwd THEN b ELSE a END AS DOUBLE) / CASE WHEN fwd THEN a ELSE b END AS k FROM (
+            SELECT s.*, regexp_matches(lower(lx), '{_MEAN}') AND regexp_matches(lower(ly), '{_SUM}') AS fwd, regexp_matches(lower(ly), '{_MEAN}') AND regexp_matches(lower(lx), '{_SUM}') AS bwd
+            FROM support s JOIN named USING (sheet, l, r)) WHERE (fwd OR bwd) AND CASE WHEN fwd THEN a ELSE b END <> 0),
+    wholes AS (
+        SELECT sheet, l, r, count(DISTINCT CASE WHEN k > 1 AND abs(k - round_even(k, 0)) <= 1e-6 THEN round_even(k, 0) END) AS u FROM sums GROUP BY ALL
+        HAVING count(*) >= 3 AND count(*) FILTER (k > 1 AND abs(k - round_even(k, 0)) <= 1e-6) * 10 >= count(*) * 8),
+    counted AS (SELECT w.*, n.col FROM wholes w JOIN labs n ON n.sheet = w.sheet AND regexp_matches(lower(n.label), '{_COUNT}') AND n.col <> l AND n.col <> r),
+    fits AS (
+        SELECT sheet, l, r, bool_or(ok) AS ok FROM (
+            SELECT c.sheet, c.l, c.r, c.col, count(*) FILTER (abs(k - v / 1e6) <= 0.001 + 1e-12) * 10 >= count(*) * 8 AS ok
+            FROM counted c JOIN sums q ON q.sheet = c.sheet AND q.l = c.l AND q.r = c.r JOIN cells x ON x.sheet = c.sheet AND x.col = c.col AND x.row = q.row GROUP BY ALL) GROUP BY ALL),
+    summed AS (SELECT w.sheet, w.l, w.r, CASE WHEN EXISTS (SELECT 1 FROM counted c WHERE c.sheet = w.sheet AND c.l = w.l AND c.r = w.r) THEN coalesce(ok, false) ELSE u <= 2 END AS summary FROM wholes w LEFT JOIN fits USING (sheet, l, r)),
+    gates AS (
+        SELECT n.*, idx, few AND (regexp_matches(lower(lx), '{_TIME}') OR regexp_matches(lower(ly), '{_TIME}')) AS design, coalesce(summary, false) AS summary,
+               EXISTS (SELECT 1 FROM formulas f WHERE f.sheet = n.sheet AND f.col IN (n.l, n.r)) AS formula
+        FROM named n JOIN shape USING (sheet, l, r) LEFT JOIN summed USING (sheet, l, r))"""
+_NAMED = "named AS (SELECT f.*, x.label AS lx, y.label AS ly FROM found f JOIN labs x ON x.sheet = f.sheet AND x.col = f.l JOIN labs y ON y.sheet = f.sheet AND y.col = f.r)"
 
 _STRENGTH = "CASE WHEN {0} >= 0.99 THEN 'complete' WHEN {0} >= 0.8 THEN 'strong' WHEN {0} >= 0.5 THEN 'moderate' ELSE 'weak' END"
 
 
 def _fixed_sql(category: str, key: str, refused: str) -> str:
     share = _RATE.format("support", "overlap")
-    return f"""WITH {sheets.SUPPLIER_SQL}, {sheets.PAIRS_SQL},
+    return f"""WITH {sheets.SUPPLIER_SQL}, {sheets.PAIRS_SQL}, {sheets.KNOWN_SQL},
     keyed AS (SELECT *, {key} AS k FROM pairs),
     size AS (SELECT sheet, l, r, count(*) AS overlap FROM pairs GROUP BY ALL HAVING count(*) >= 8),
     modes AS (
@@ -39,30 +57,45 @@ def _fixed_sql(category: str, key: str, refused: str) -> str:
             FROM (SELECT sheet, l, r, k, count(*) AS n, min(row) AS first FROM keyed WHERE k IS NOT NULL GROUP BY ALL))
         WHERE rn = 1 AND k NOT IN ({refused})),
     found AS (SELECT sheet, l, r, k, n AS support, overlap FROM modes JOIN size USING (sheet, l, r) WHERE n * 100 >= overlap * 98),
-    support AS (SELECT sheet, l, r, row, a, b FROM keyed JOIN found USING (sheet, l, r, k)),{_INDEX_LIKE}
+    support AS (SELECT sheet, l, r, row, a, b FROM keyed JOIN found USING (sheet, l, r, k)), {_NAMED},{_GATES}
     SELECT 'lineitem' AS workbook, sheet, l AS "left", r AS "right", '{category}' AS category, k AS value, support, overlap, {share} AS support_rate,
-           CASE WHEN idx THEN 'low' WHEN support >= 100 THEN 'high' ELSE 'medium' END AS risk_level, {_STRENGTH.format(share)} AS confidence
-    FROM found JOIN flags USING (sheet, l, r)"""
+           CASE WHEN idx OR summary OR design OR formula THEN 'low' WHEN support >= 100 THEN 'high' ELSE 'medium' END AS risk_level, 'high' AS confidence, {_STRENGTH.format(share)} AS pattern_strength,
+           CASE WHEN idx OR summary OR design THEN 'high' WHEN formula THEN 'medium' ELSE 'unknown' END AS artifact_likelihood,
+           CASE WHEN idx THEN 'running numbers on both sides' WHEN summary THEN 'summary statistics' WHEN design THEN 'time or event design' WHEN formula THEN 'formula column involved' END AS artifact_reason
+    FROM gates"""
 
 
-_DUPLICATE_SQL = f"""WITH {sheets.SUPPLIER_SQL}, {sheets.PAIRS_SQL},
-    sized AS (SELECT sheet, col FROM cells GROUP BY ALL HAVING count(*) >= 12),
+_DUPLICATE_SQL = f"""WITH {sheets.SUPPLIER_SQL}, {sheets.PAIRS_SQL}, {sheets.KNOWN_SQL},
     found AS (
         SELECT sheet, l, r, count(*) AS overlap, count(*) FILTER (a = b) AS equal, count(*) FILTER (a = 0 AND b = 0) AS zz, count(*) FILTER (a <> 0 OR b <> 0) AS nz, count(*) FILTER (a = b AND a <> 0) AS enz
         FROM pairs GROUP BY ALL HAVING count(*) >= 12 AND count(*) FILTER (a = b) * 100 >= count(*) * 98),
-    gated AS (SELECT found.* FROM found JOIN sized x ON x.sheet = found.sheet AND x.col = l JOIN sized y ON y.sheet = found.sheet AND y.col = r),
-    support AS (SELECT p.sheet, p.l, p.r, p.row, p.a, p.b FROM pairs p JOIN gated g ON p.sheet = g.sheet AND p.l = g.l AND p.r = g.r WHERE a = b),{_INDEX_LIKE}
+    support AS (SELECT p.sheet, p.l, p.r, p.row, p.a, p.b FROM pairs p JOIN found g ON p.sheet = g.sheet AND p.l = g.l AND p.r = g.r WHERE a = b), {_NAMED},{_GATES},
+    rated AS (SELECT *, overlap >= 20 AND zz * 10 >= overlap * 7 AND (nz < 5 OR enz * 100 < nz * 98) AS zero FROM gates)
     SELECT 'lineitem' AS workbook, sheet, l AS "left", r AS "right", 'duplicate_numeric_columns' AS category, CAST(0 AS BIGINT) AS value, equal AS support, overlap, {_RATE.format("equal", "overlap")} AS support_rate,
-           CASE WHEN idx OR (overlap >= 20 AND zz * 10 >= overlap * 7 AND (nz < 5 OR enz * 100 < nz * 98)) THEN 'low' WHEN equal >= 100 THEN 'high' ELSE 'medium' END AS risk_level,
-           CASE WHEN equal = overlap THEN 'high' ELSE 'medium' END AS confidence
-    FROM gated JOIN flags USING (sheet, l, r)"""
-
-_SPREAD_SQL = f"""WITH {sheets.SUPPLIER_SQL}, {sheets.PAIRS_SQL},
+           CASE WHEN idx OR design OR zero THEN 'low' WHEN equal >= 100 AND lx <> ly THEN 'high' ELSE 'medium' END AS risk_level,
+           CASE WHEN equal = overlap THEN 'high' ELSE 'medium' END AS confidence, {_STRENGTH.format(_RATE.format("equal", "overlap"))} AS pattern_strength, CASE WHEN idx OR design OR zero THEN 'high' ELSE 'unknown' END AS artifact_likelihood,
+           CASE WHEN idx THEN 'running numbers on both sides' WHEN zero THEN 'zero-inflated columns' WHEN design THEN 'time or event design' END AS artifact_reason
+    FROM rated"""
+
+#: Cells of columns with at least {0} values that aren't low in information.
+_INFORMATIVE = "{1} AS (SELECT c.* FROM {2} c JOIN (SELECT workbook, sheet, col FROM {2} GROUP BY ALL HAVING count(*) >= {0} AND NOT (count(*) >= 8 AND (count(DISTINCT v) <= 3 OR (count(*) >= 20 AND count(DISTINCT v) * 10 <= count(*))))) k USING (workbook, sheet, col))"
+#: Exclusive quartiles of the pooled values of a pair's rows, and what they make of it.
+_PRECISE = """pool AS (SELECT p.sheet, p.l, p.r, p.v, row_number() OVER (PARTITION BY p.sheet, p.l, p.r ORDER BY p.v) AS k, count(*) OVER (PARTITION BY p.sheet, p.l, p.r) AS n FROM (SELECT sheet, l, r, unnest([a, b]) AS v FROM chosen) p),
+    places AS (SELECT *, greatest(1.0, least(n - 1.0, (n + 1) * 0.25)) AS p1, greatest(1.0, least(n - 1.0, (n + 1) * 0.5)) AS p2, greatest(1.0, least(n - 1.0, (n + 1) * 0.75)) AS p3 FROM pool),
+    quart AS (SELECT sheet, l, r, """ + ", ".join(
+    f"sum(CASE WHEN k = floor(p{i}) THEN v * (1 - (p{i} - floor(p{i}))) WHEN k = floor(p{i}) + 1 THEN v * (p{i} - floor(p{i})) END) AS q{i}" for i in (1, 2, 3)
+) + """ FROM places GROUP BY ALL),
+    even AS (SELECT sheet, l, r, coalesce(corr(a, b) > 0.99 AND stddev_samp((b - a) / 1e6) < 0.001, false) AS stable FROM chosen GROUP BY ALL),
+    precise AS (SELECT sheet, l, r, (q2 > 0 AND q3 - q1 < 0.01 * q2) OR stable AS instrument FROM quart JOIN even USING (sheet, l, r))"""
+
+_SPREAD_SQL = f"""WITH {sheets.SUPPLIER_SQL.replace("cells AS", "raw AS")}, {_INFORMATIVE.format(1, "cells", "raw")}, {sheets.PAIRS_SQL},
     s AS (
-        SELECT sheet, l, r, count(*) AS overlap, max(abs(b - a)) AS md, min(b - a) AS ld, max(b - a) AS hd, sum(abs(a) + abs(b)) AS mag, least(min(abs(a)), min(abs(b))) AS la, greatest(max(abs(a)), max(abs(b))) AS ha
-        FROM pairs GROUP BY ALL HAVING count(*) >= 8)
-    SELECT 'lineitem' AS workbook, sheet, l AS "left", r AS "right", 'paired_difference_too_narrow' AS category, md AS max_diff, overlap, CASE WHEN overlap >= 10 THEN 'high' ELSE 'medium' END AS risk_level
-    FROM s WHERE md > 0 AND (md * 40 * overlap < mag OR ((hd - ld) * 100 < ha - la AND md * 100 < ha - la))"""
+        SELECT sheet, l, r, count(*) AS overlap, max(abs(b - a)) AS md, min(abs(b - a)) AS ld, sum(abs(a) + abs(b)) AS mag, least(min(abs(a)), min(abs(b))) AS la, greatest(max(abs(a)), max(abs(b))) AS ha
+        FROM pairs GROUP BY ALL HAVING count(*) >= 8),
+    found AS (SELECT * FROM s WHERE (mag > 0 AND md * 40 * overlap < mag) OR (ha > la AND (md - ld) * 100 < ha - la AND md * 100 < ha - la)),
+    chosen AS (SELECT pairs.sheet, pairs.l, pairs.r, a, b FROM pairs JOIN found ON found.sheet = pairs.sheet AND found.l = pairs.l AND found.r = pairs.r), {_PRECISE}
+    SELECT 'lineitem' AS workbook, sheet, l AS "left", r AS "right", 'paired_difference_too_narrow' AS category, md AS max_diff, overlap, CASE WHEN instrument THEN 'low' WHEN overlap >= 10 THEN 'high' ELSE 'medium' END AS risk_level, CASE WHEN instrument THEN 'high' END AS artifact_likelihood
+    FROM found JOIN precise USING (sheet, l, r)"""
 
 _SMALL_SQL = f"""WITH {sheets.SUPPLIER_SQL}, {sheets.PAIRS_SQL},
     s AS (
@@ -106,18 +139,18 @@ def _paste_sql(category: str, lags: str, run: int) -> str:
 
 
 def planted_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices by customer group; every fourth row's first column gets one tail, its second
-    the same digits a place earlier."""
-    base = sheets.order_cells(spark, sf_dir).filter("col = 1").select("workbook", "sheet", "row", "v")
+    """Prices by customer group, in sheets of twelve rows; of every four rows, three get one
+    tail in the first column, and the same digits a place earlier in the second."""
+    base = sheets.parted(sheets.order_cells(spark, sf_dir).filter("col = 1").select("workbook", "sheet", "row", "v"), 12)
     whole = F.floor(F.col("v") / 1_000_000) * 1_000_000
     first = F.when(F.col("row") % 4 < 3, whole + 712_345).otherwise(F.col("v"))
     second = F.when(F.col("row") % 4 < 3, whole + 9_000_000 + 123_458).otherwise(F.col("v") + 11)
     parts = F.array(F.struct(F.lit(1).alias("col"), first.cast("long").alias("v")), F.struct(F.lit(2).alias("col"), second.cast("long").alias("v")))
-    return base.filter("row <= 12").select("workbook", "sheet", "row", F.inline(parts))
+    return base.select("workbook", "sheet", "row", F.inline(parts))
 
 
 _TAIL_CELLS = f"""{sheets.ORDER_SQL.replace("cells AS", "own AS")},
-    small AS (SELECT workbook, sheet, row, v, v // 1000000 * 1000000 AS w FROM own WHERE col = 1 AND row <= 12),
+    {sheets.parted_sql("own", "parts", 12)}, small AS (SELECT workbook, sheet, row, v, v // 1000000 * 1000000 AS w FROM parts WHERE col = 1),
     cells AS (
         SELECT workbook, sheet, row, 1 AS col, CASE WHEN row % 4 < 3 THEN w + 712345 ELSE v END AS v FROM small
         UNION ALL SELECT workbook, sheet, row, 2, CASE WHEN row % 4 < 3 THEN w + 9123458 ELSE v + 11 END FROM small)"""
@@ -153,9 +186,9 @@ _ARITHMETIC_SQL = f"""WITH {sheets.UNIT_SQL}, {sheets.PAIRS_SQL},
     best AS (SELECT *, row_number() OVER (PARTITION BY sheet, c1, c2, c3 ORDER BY support DESC, res DESC, (op = 'mul') DESC, op DESC, l DESC, r DESC) AS rn FROM found)
     SELECT 'lineitem' AS workbook, sheet, c1, c2, c3, 'binary_arithmetic_relation' AS category, op, res AS result, support, overlap, {_RATE.format("support", "overlap")} AS support_rate FROM best WHERE rn = 1"""
 
-_MET = """met AS (SELECT a.sheet, a.col, a.row, b.row - a.row AS k, a.v AS a, b.v AS b FROM cells a JOIN cells b ON a.sheet = b.sheet AND a.col = b.col AND b.row BETWEEN a.row + 1 AND a.row + 10)"""
+_MET = """met AS (SELECT a.sheet, a.col, a.row, b.row - a.row AS k, a.v AS a, b.v AS b FROM cells a JOIN cells b ON a.sheet = b.sheet AND a.col = b.col AND b.row BETWEEN a.row + 1 AND a.row + 80)"""
 
-_OFFSET_SQL = f"""WITH {sheets.EVENT_SQL}, {_MET},
+_OFFSET_SQL = f"""WITH {sheets.OFFSET_SQL.replace("cells AS", "raw AS")}, {_INFORMATIVE.format(1, "cells", "raw")}, {_MET},
     keyed AS (SELECT *, CASE WHEN a <> 0 THEN CAST(round_even(CAST(b AS DOUBLE) * 10000 / a, 0) AS BIGINT) END AS ratio FROM met),
     counts AS (SELECT sheet, col, k, ratio, count(*) AS n, min(row) AS first FROM keyed GROUP BY ALL),
     best AS (
@@ -166,20 +199,20 @@ _OFFSET_SQL = f"""WITH {sheets.EVENT_SQL}, {_MET},
            CASE WHEN sum(n) >= 10 AND ratio <> 10000 THEN 'high' ELSE 'medium' END AS risk_level
     FROM found GROUP BY sheet, k, ratio"""
 
-_RATIO_REUSE_SQL = f"""WITH {sheets.EVENT_SQL}, {sheets.PAIRS_SQL},
+_RATIO_REUSE_SQL = f"""WITH {sheets.OFFSET_SQL.replace("cells AS", "raw AS")}, {_INFORMATIVE.format(1, "cells", "raw")}, {sheets.PAIRS_SQL},
     ratios AS (SELECT sheet, l, r, row, CAST(round_even(CAST(b AS DOUBLE) * 10000 / a, 0) AS BIGINT) AS q FROM pairs WHERE a <> 0),
     wide AS (SELECT sheet, l, r FROM ratios GROUP BY ALL HAVING count(*) >= 16),
     met AS (
         SELECT a.sheet, a.l, a.r, b.row - a.row AS k, count(*) AS overlap, count(*) FILTER (a.q = b.q) AS support
-        FROM ratios a JOIN ratios b ON a.sheet = b.sheet AND a.l = b.l AND a.r = b.r AND b.row BETWEEN a.row + 1 AND a.row + 12 JOIN wide ON wide.sheet = a.sheet AND wide.l = a.l AND wide.r = a.r GROUP BY ALL)
+        FROM ratios a JOIN ratios b ON a.sheet = b.sheet AND a.l = b.l AND a.r = b.r AND b.row BETWEEN a.row + 1 AND a.row + 80 JOIN wide ON wide.sheet = a.sheet AND wide.l = a.l AND wide.r = a.r GROUP BY ALL)
     SELECT 'events' AS workbook, sheet, l AS "left", r AS "right", CAST(k AS INTEGER) AS row_offset, 'paired_ratio_reuse' AS category, support, overlap, CASE WHEN support >= 10 THEN 'high' ELSE 'medium' END AS risk_level
     FROM met WHERE support >= 8 AND support * 100 >= overlap * 95"""
 
 
 def bias_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event values in blocks of twenty rows: the second ten repeat the first, every other
-    one with its decimals cut upwards."""
-    rows = sheets.event_cells(spark, sf_dir).filter("col = 1 AND row <= 10")
+    """Event values in sheets of ten rows, repeated in ten more, every other one with its
+    decimals cut upwards."""
+    rows = sheets.parted(sheets.event_cells(spark, sf_dir).filter("col = 1"), 10)
     fine = F.col("v") + 1_234
     up = (F.floor(fine / 10_000) + 1) * 10_000
     late = F.when(F.col("row") % 2 == 0, fine).otherwise(up)
@@ -187,33 +220,33 @@ def bias_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BIAS_CELLS = f"""{sheets.EVENT_SQL.replace("cells AS", "own AS")},
-    fine AS (SELECT sheet, row, v + 1234 AS v FROM own WHERE col = 1 AND row <= 10),
-    cells AS (SELECT sheet, 1 AS col, row, v FROM fine UNION ALL SELECT sheet, 1, row + 10, CASE WHEN row % 2 = 0 THEN v ELSE (v // 10000 + 1) * 10000 END FROM fine)"""
+    {sheets.parted_sql("own", "parts", 10)}, fine AS (SELECT workbook, sheet, row, v + 1234 AS v FROM parts WHERE col = 1),
+    cells AS (SELECT workbook, sheet, 1 AS col, row, v FROM fine UNION ALL SELECT workbook, sheet, 1, row + 10, CASE WHEN row % 2 = 0 THEN v ELSE (v // 10000 + 1) * 10000 END FROM fine)"""
 
-_BIAS_SQL = f"""WITH {_BIAS_CELLS}, {_MET}
+_BIAS_SQL = f"""WITH {_BIAS_CELLS.replace("cells AS", "raw AS")}, {_INFORMATIVE.format(1, "cells", "raw")}, {_MET}
     SELECT 'events' AS workbook, sheet, CAST(col AS INTEGER) AS col, CAST(k AS INTEGER) AS row_offset, 'row_offset_partial_copy_rounding_bias' AS category, count(*) AS n, count(*) FILTER (a = b) AS exact, count(*) FILTER (b % 10000 = 0 AND a % 10 <> 0) AS rounded, count(*) FILTER (b > a) AS up
     FROM met GROUP BY sheet, col, k
     HAVING count(*) >= 8 AND count(*) FILTER (a = b) * 2 >= count(*) AND count(*) FILTER (b % 10000 = 0 AND a % 10 <> 0) * 10 >= count(*) * 3 AND count(*) FILTER (a <> b) > 0 AND count(*) FILTER (b > a) * 4 >= count(*) FILTER (a <> b) * 3"""
 
 
 def long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event rows of each user in pairs of an id; from the eleventh id on, a pair's second
-    value is its first times the id's last digit plus two."""
+    """Event rows of each user in pairs of an id; a pair's second value is its first times
+    three for every fifth id, times two for the others."""
     rows = sheets.event_cells(spark, sf_dir).filter("col = 1").withColumn("id", F.floor((F.col("row") + 1) / 2).cast("int"))
     first = F.lag("v").over(Window.partitionBy("sheet").orderBy("row"))
-    planted = (F.col("row") % 2 == 0) & (F.col("id") > 10)
+    planted = F.col("row") % 2 == 0
     return rows.withColumn("v", F.when(planted, first * F.when(F.col("id") % 5 == 0, 3).otherwise(2)).otherwise(F.col("v")))
 
 
 _LONG_CTE = f"""{sheets.EVENT_SQL}, raw AS (SELECT sheet, row, v, (row + 1) // 2 AS id, lag(v) OVER (PARTITION BY sheet ORDER BY row) AS first FROM cells WHERE col = 1),
-    rows AS (SELECT sheet, row, id, CASE WHEN row % 2 = 0 AND id > 10 THEN first * CASE WHEN id % 5 = 0 THEN 3 ELSE 2 END ELSE v END AS v FROM raw),
+    rows AS (SELECT sheet, row, id, CASE WHEN row % 2 = 0 THEN first * CASE WHEN id % 5 = 0 THEN 3 ELSE 2 END ELSE v END AS v FROM raw),
     ids AS (SELECT sheet, id, count(*) AS n, arg_min(v, row) AS first, arg_max(v, row) AS second FROM rows GROUP BY ALL),
     good AS (SELECT sheet FROM ids GROUP BY ALL HAVING count(*) FILTER (n = 2) >= 8 AND count(*) FILTER (n = 2) * 100 >= count(*) * 75),
     r AS (SELECT sheet, id, CAST(round_even(CAST(second AS DOUBLE) * 10000 / first, 0) AS BIGINT) AS q FROM ids SEMI JOIN good USING (sheet) WHERE n = 2 AND first <> 0)"""
 
 _LONG_REUSE_SQL = f"""WITH {_LONG_CTE}
     SELECT 'events' AS workbook, a.sheet, CAST(b.id - a.id AS INTEGER) AS row_offset, 'long_format_paired_ratio_reuse' AS category, count(*) FILTER (a.q = b.q) AS support, count(*) AS overlap
-    FROM r a JOIN r b ON a.sheet = b.sheet AND b.id BETWEEN a.id + 1 AND a.id + 10 GROUP BY a.sheet, b.id - a.id HAVING count(*) FILTER (a.q = b.q) >= 8 AND count(*) FILTER (a.q = b.q) * 100 >= count(*) * 60"""
+    FROM r a JOIN r b ON a.sheet = b.sheet AND b.id BETWEEN a.id + 1 AND a.id + 80 GROUP BY a.sheet, b.id - a.id HAVING count(*) FILTER (a.q = b.q) >= 8 AND count(*) FILTER (a.q = b.q) * 100 >= count(*) * 95"""
 
 _LONG_RICH_SQL = f"""WITH {_LONG_CTE}, total AS (SELECT sheet, count(*) AS overlap FROM r GROUP BY ALL)
     SELECT 'events' AS workbook, sheet, q AS ratio, 'long_format_within_pair_ratio_enrichment' AS category, count(*) AS support, overlap, CASE WHEN count(*) * 2 >= overlap THEN 'high' ELSE 'medium' END AS risk_level
@@ -226,9 +259,9 @@ _STATS_SQL = f"""WITH {sheets.SUPPLIER_SQL}
 
 QUERIES = {
     "column_stats": lambda s, d: columns.column_stats(sheets.supplier_cells(s, d)),
-    "duplicate_columns": lambda s, d: pairs.duplicate_columns(sheets.supplier_cells(s, d)),
-    "fixed_difference": lambda s, d: pairs.fixed_difference(sheets.supplier_cells(s, d)),
-    "fixed_ratio": lambda s, d: pairs.fixed_ratio(sheets.supplier_cells(s, d)),
+    "duplicate_columns": lambda s, d: pairs.duplicate_columns(sheets.supplier_cells(s, d), **sheets.known(s, d)),
+    "fixed_difference": lambda s, d: pairs.fixed_difference(sheets.supplier_cells(s, d), **sheets.known(s, d)),
+    "fixed_ratio": lambda s, d: pairs.fixed_ratio(sheets.supplier_cells(s, d), **sheets.known(s, d)),
     "pair_spread": lambda s, d: pairs.pair_spread(sheets.supplier_cells(s, d)),
     "small_n_fixed": lambda s, d: pairs.small_n_fixed(sheets.supplier_cells(s, d)),
     "strict_linear": lambda s, d: pairs.strict_linear(sheets.supplier_cells(s, d)),
@@ -237,10 +270,10 @@ QUERIES = {
     "shifted_paste": lambda s, d: fractions.shifted_paste(sheets.order_cells(s, d)),
     "decimal_tail_shifted": lambda s, d: fractions.decimal_tail_shifted(planted_tails(s, d)),
     "binary_arithmetic": lambda s, d: arithmetic.binary_arithmetic(sheets.unit_cells(s, d)),
-    "row_offset_reuse": lambda s, d: offsets.row_offset_reuse(sheets.event_cells(s, d), max_offset=10, support=30),
-    "paired_ratio_reuse": lambda s, d: offsets.paired_ratio_reuse(sheets.event_cells(s, d), max_offset=12),
-    "rounding_bias": lambda s, d: offsets.rounding_bias(bias_cells(s, d), max_offset=10),
-    "long_format_reuse": lambda s, d: offsets.long_format_ratio_reuse(long_rows(s, d), max_offset=10, support=60),
+    "row_offset_reuse": lambda s, d: offsets.row_offset_reuse(sheets.offset_cells(s, d)),
+    "paired_ratio_reuse": lambda s, d: offsets.paired_ratio_reuse(sheets.offset_cells(s, d)),
+    "rounding_bias": lambda s, d: offsets.rounding_bias(bias_cells(s, d)),
+    "long_format_reuse": lambda s, d: offsets.long_format_ratio_reuse(long_rows(s, d)),
     "long_format_enrichment": lambda s, d: offsets.long_format_enrichment(long_rows(s, d)),
 }
 
@@ -248,7 +281,7 @@ SQL = {
     "column_stats": _STATS_SQL,
     "duplicate_columns": _DUPLICATE_SQL,
     "fixed_difference": _fixed_sql("fixed_difference", "a - b", "0"),
-    "fixed_ratio": _fixed_sql("fixed_ratio", "CASE WHEN b <> 0 THEN CAST(round_even(CAST(a AS DOUBLE) * 10000.0 / b, 0) AS BIGINT) END", "0, 10000"),
+    "fixed_ratio": _fixed_sql("fixed_ratio", "CASE WHEN b <> 0 THEN CAST(round_even(CAST(a AS DOUBLE) * 1000000.0 / b, 0) AS BIGINT) END", "0, 1000000"),
     "pair_spread": _SPREAD_SQL,
     "small_n_fixed": _SMALL_SQL,
     "strict_linear": _LINEAR_SQL,

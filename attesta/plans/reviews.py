@@ -5,45 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.operators import columns, gates, mapping, pairs, visual
+from attesta.operators import gates, mapping, pairs, visual
 from attesta.plans import sheets
 from attesta.plans.sheets import read
 from attesta.sources import markup
 
-_LABELS = [(1, "n total"), (2, "Mean price"), (3, "count"), (4, "Average"), (5, "Sum of price"), (6, "total"), (7, "mean"), (8, "day")]
+def semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two labels of a supplier sheet."""
+    labels = sheets.supplier_labels(spark, sf_dir)
+    side = lambda s: labels.select("workbook", "sheet", F.col("col").alias(s), F.col("label").alias(f"label_{s}"))
+    met = side("left").join(side("right"), ["workbook", "sheet"]).filter("left < right")
+    return met.select("sheet", "left", "right", gates.semantic_pair(F.col("label_left"), F.col("label_right")).alias("same"))
 
 
-def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame(_LABELS, "col int, label string")
-    s = read(spark, sf_dir, "supplier").select(F.lit("lineitem").alias("workbook"), F.col("s_suppkey").cast("string").alias("sheet"))
-    return s.crossJoin(F.broadcast(names))
+_SEMANTIC_SQL = f"WITH {sheets.KNOWN_SQL} SELECT a.sheet, a.col AS \"left\", b.col AS \"right\", " + " OR ".join(f"(regexp_matches(lower(a.label), '{'|'.join(g)}') AND regexp_matches(lower(b.label), '{'|'.join(g)}'))" for g in (
+    ("mean", "avg", "average", "sd", "std", "stderr", "sem"), ("median", "iqr", "q1", "q3", "25%", "75%"), ("n", "count", "total", "proportion", "percentage", "%"), ("pre", "post", "baseline", "followup", "t0", "t1"), ("control", "treatment", "case", "case_control"),
+)) + " AS same FROM labs a JOIN labs b ON a.sheet = b.sheet AND a.col < b.col"
 
 
-_LABELS_SQL = "names(col, label) AS (VALUES " + ", ".join(f"({c}, '{n}')" for c, n in _LABELS) + ")"
+def designs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which column pairs of quantity, discount and tax hold few values on a side, and
+    which are running numbers."""
+    rows = pairs.row_pairs(sheets.small_cells(spark, sf_dir))
+    return gates.designs(rows, gates.PAIR).join(gates.running_numbers(rows, gates.PAIR), gates.PAIR)
 
 
-def semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame(_LABELS, "col int, label string")
-    met = names.select(F.col("col").alias("left"), F.col("label").alias("x")).crossJoin(names.select(F.col("col").alias("right"), F.col("label").alias("y"))).filter("left < right")
-    return met.select("left", "right", gates.semantic_pair(F.col("x"), F.col("y")).alias("same"))
+_DESIGN_SQL = f"""WITH {sheets.SMALL_SQL}, {sheets.PAIRS_SQL}, s AS (SELECT sheet, l, r, a, b, a - lag(a) OVER w AS sa, b - lag(b) OVER w AS sb FROM pairs WINDOW w AS (PARTITION BY sheet, l, r ORDER BY row))
+    SELECT 'lineitem' AS workbook, sheet, l AS "left", r AS "right", count(DISTINCT a) <= 3 OR count(DISTINCT a) * 5 <= count(*) OR count(DISTINCT b) <= 3 OR count(DISTINCT b) * 5 <= count(*) AS design,
+           count(*) >= 8 AND count(*) FILTER (a % 1000000 = 0) * 100 >= count(*) * 95 AND count(*) FILTER (b % 1000000 = 0) * 100 >= count(*) * 95 AND count(*) FILTER (sa = 1000000) * 10 >= (count(*) - 1) * 7 AND count(*) FILTER (sb = 1000000) * 10 >= (count(*) - 1) * 7 AS index_like
+    FROM s GROUP BY ALL"""
 
 
-_SEMANTIC_SQL = f"WITH {_LABELS_SQL} SELECT a.col AS \"left\", b.col AS \"right\", " + " OR ".join(f"(regexp_matches(lower(a.label), '{'|'.join(g)}') AND regexp_matches(lower(b.label), '{'|'.join(g)}'))" for g in gates.GROUPS) + " AS same FROM names a JOIN names b ON a.col < b.col"
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and their sums in the supplier sheets."""
+    cells, labels = sheets.supplier_cells(spark, sf_dir), sheets.supplier_labels(spark, sf_dir)
+    side = lambda s: labels.select("workbook", "sheet", F.col("col").alias(s), F.col("label").alias(f"label_{s}"))
+    rows = pairs.row_pairs(cells).join(side("left"), ["workbook", "sheet", "left"]).join(side("right"), ["workbook", "sheet", "right"])
+    rows = rows.withColumn("mean", gates.mean_and_sum(F.col("label_left"), F.col("label_right"))).filter("mean IS NOT NULL")
+    return gates.summaries(rows, gates.PAIR, cells, labels)
 
-_SUMMARY_SQL = f"""WITH {sheets.SUPPLIER_SQL}, {sheets.PAIRS_SQL}, {_LABELS_SQL},
-    named AS (SELECT p.*, regexp_matches(lower(x.label), 'mean|average|avg') AND regexp_matches(lower(y.label), 'sum|total') AS fwd, regexp_matches(lower(y.label), 'mean|average|avg') AND regexp_matches(lower(x.label), 'sum|total') AS bwd FROM pairs p JOIN names x ON x.col = l JOIN names y ON y.col = r),
-    m AS (SELECT sheet, l, r, CASE WHEN fwd THEN a ELSE b END AS mean, CASE WHEN fwd THEN b ELSE a END AS total FROM named WHERE fwd OR bwd),
-    q AS (SELECT sheet, l, r, CAST(total AS DOUBLE) / CAST(mean AS DOUBLE) AS k FROM m WHERE mean <> 0)
-    SELECT 'lineitem' AS workbook, sheet, l AS "left", r AS "right", count(*) AS n, count(*) FILTER (k > 1 AND abs(k - round_even(k, 0)) <= 1e-6) AS whole FROM q GROUP BY sheet, l, r HAVING count(*) >= 3 AND count(*) FILTER (k > 1 AND abs(k - round_even(k, 0)) <= 1e-6) * 10 >= count(*) * 8"""
 
-_DESIGN_SQL = f"""WITH {sheets.SMALL_SQL}, s AS (SELECT sheet, col, count(*) AS n, count(DISTINCT v) AS u FROM cells GROUP BY ALL),
-    d AS (SELECT sheet, count(*) AS k, count(*) FILTER (u <= 3 OR u * 5 <= n) AS few FROM s GROUP BY ALL)
-    SELECT 'lineitem' AS workbook, sheet, few >= greatest(1, k - 1) AS design FROM d"""
+_SUMMARY_SQL = f"""WITH {sheets.SUPPLIER_SQL}, {sheets.KNOWN_SQL},
+    k AS (SELECT a.sheet, a.row, CAST(b.v AS DOUBLE) / a.v AS k FROM cells a JOIN cells b ON a.sheet = b.sheet AND a.row = b.row AND a.col = 2 AND b.col = 5 WHERE a.v <> 0),
+    w AS (SELECT sheet, count(DISTINCT CASE WHEN k > 1 AND abs(k - round_even(k, 0)) <= 1e-6 THEN round_even(k, 0) END) AS u FROM k GROUP BY ALL HAVING count(*) >= 3 AND count(*) FILTER (k > 1 AND abs(k - round_even(k, 0)) <= 1e-6) * 10 >= count(*) * 8),
+    n AS (SELECT sheet, col FROM labs WHERE regexp_matches(lower(label), 'n total|n=|n |count|number') AND col NOT IN (2, 5)),
+    f AS (SELECT sheet, bool_or(ok) AS ok FROM (SELECT n.sheet, n.col, count(*) FILTER (abs(k - v / 1e6) <= 0.001) * 10 >= count(*) * 8 AS ok FROM n JOIN k USING (sheet) JOIN cells c ON c.sheet = n.sheet AND c.col = n.col AND c.row = k.row GROUP BY ALL) GROUP BY sheet)
+    SELECT 'lineitem' AS workbook, sheet, 2 AS "left", 5 AS "right", CASE WHEN sheet IN (SELECT sheet FROM n) THEN coalesce(ok, false) ELSE u <= 2 END AS summary FROM w LEFT JOIN f USING (sheet)"""
 
 
 def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as panels: a case per fifty, a figure per five, four rotated hashes."""
-    e = read(spark, sf_dir, "embeddings").filter("vec_id < 400")
+    e = read(spark, sf_dir, "embeddings")
     from attesta.operators.similarity import signature
 
     turned = lambda k: F.concat(F.slice("embedding", k + 1, 64 - k), F.slice("embedding", 1, k)) if k else F.col("embedding")
@@ -51,7 +63,7 @@ def panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.floor(F.col("vec_id") / 50).alias("case_id"), F.col("vec_id").alias("panel_id"), F.floor(F.col("vec_id") / 5).alias("figure_id"), F.array(F.col("label") % 3, F.lit(7)).alias("types"), rotations.alias("rotations"))
 
 
-_ROTATION_SQL = """WITH t AS (SELECT vec_id, label, k, embedding[k + 1:] || embedding[:k] AS e FROM embeddings, (SELECT unnest([0, 16, 32, 48]) AS k) WHERE vec_id < 400),
+_ROTATION_SQL = """WITH t AS (SELECT vec_id, label, k, embedding[k + 1:] || embedding[:k] AS e FROM embeddings, (SELECT unnest([0, 16, 32, 48]) AS k)),
     h AS (SELECT vec_id, CAST(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN e[i] > e[i + 1] THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)) AS BIGINT) AS h FROM t)
     SELECT a.vec_id // 50 AS case_id, a.vec_id AS a, b.vec_id AS b, CAST(min(bit_count(xor(a.h, b.h))) AS INTEGER) AS distance FROM h a JOIN h b ON a.vec_id // 50 = b.vec_id // 50 AND a.vec_id < b.vec_id AND a.vec_id // 5 <> b.vec_id // 5
     GROUP BY a.vec_id, b.vec_id HAVING min(bit_count(xor(a.h, b.h))) <= 20"""
@@ -187,8 +199,8 @@ QUERIES = {
     "first_matches": matches,
     "verification_levels": levels,
     "semantic_pairs": semantic,
-    "summary_pairs": lambda s, d: gates.summary_pairs(pairs.row_pairs(sheets.supplier_cells(s, d)), _labels(s, d)),
-    "time_design": lambda s, d: gates.time_design(_labels(s, d), columns.column_stats(sheets.small_cells(s, d))),
+    "summary_pairs": summaries,
+    "pair_designs": designs,
     "rotation_pairs": lambda s, d: visual.rotation_pairs(panels(s, d)),
     "visual_findings": lambda s, d: visual.visual_findings(*_relations(s, d)),
     "provenance_findings": provenance,
@@ -214,7 +226,7 @@ SQL = {
         SELECT CASE WHEN d AND k AND r THEN 'V3' WHEN d AND k THEN 'V2' WHEN d OR k THEN 'V1' ELSE 'V0' END AS level, count(*) AS n FROM c GROUP BY ALL""",
     "semantic_pairs": _SEMANTIC_SQL,
     "summary_pairs": _SUMMARY_SQL,
-    "time_design": _DESIGN_SQL,
+    "pair_designs": _DESIGN_SQL,
     "rotation_pairs": _ROTATION_SQL,
     "visual_findings": _VISUAL_SQL,
     "provenance_findings": """WITH e AS (SELECT p_partkey AS source, p_partkey + 1 AS target, coalesce(CASE WHEN p_partkey % 3 = 0 THEN p_size / 50.0 END, CASE WHEN p_partkey % 2 = 0 THEN p_size / 51.0 END, p_size / 52.0) AS strength FROM part)

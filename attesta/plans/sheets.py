@@ -17,6 +17,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parted(rows: DataFrame, size: int) -> DataFrame:
+    """Sheets cut into sheets of ``size`` rows each, numbered from one."""
+    part = F.floor((F.col("row") - 1) / size).cast("string")
+    return rows.withColumns({"sheet": F.concat_ws("/", "sheet", part), "row": ((F.col("row") - 1) % size + 1).cast("int")})
+
+
+def parted_sql(source: str, name: str, size: int) -> str:
+    return f"{name} AS (SELECT * REPLACE (sheet || '/' || CAST((row - 1) // {size} AS VARCHAR) AS sheet, CAST((row - 1) % {size} + 1 AS INTEGER) AS row) FROM {source})"
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {"q": micro("l_quantity"), "p": micro("l_extendedprice"), "d": micro("l_discount"), "t": micro("l_tax")}
     return from_table(read(spark, sf_dir, "lineitem"), "lineitem", F.col("l_suppkey"), LINE_ORDER, columns)
@@ -47,6 +57,37 @@ PAIRS_SQL = """pairs AS (
     FROM cells a JOIN cells b ON a.workbook = b.workbook AND a.sheet = b.sheet AND a.row = b.row AND a.col < b.col)"""
 
 
+#: Labels of the supplier sheets' columns: (column, label, divisor, label of the suppliers
+#: whose key the divisor divides).
+LABELS = [
+    (1, "quantity", 2, "N total"), (2, "Mean price", None, None), (3, "quantity again", 5, "day quantity"), (4, "price plus", None, None),
+    (5, "Sum of prices", None, None), (6, "line", None, None), (7, "price cent", None, None), (8, "rebate", None, None),
+]
+
+
+def supplier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    label = lambda name, every, other: F.when(key % every == 0, other).otherwise(name) if every else F.lit(name)
+    named = F.array(*[F.struct(F.lit(col).alias("col"), label(*rest).alias("label")) for col, *rest in LABELS])
+    return read(spark, sf_dir, "supplier").select(F.lit("lineitem").alias("workbook"), key.cast("string").alias("sheet"), F.inline(named))
+
+
+def supplier_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column 6 is a formula in the sheets of every seventh supplier."""
+    return read(spark, sf_dir, "supplier").filter("s_suppkey % 7 = 0").select(F.lit("lineitem").alias("workbook"), F.col("s_suppkey").cast("string").alias("sheet"), F.lit(6).alias("col"))
+
+
+def known(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """What is known of the supplier sheets besides their cells."""
+    return {"labels": supplier_labels(spark, sf_dir), "formulas": supplier_formulas(spark, sf_dir)}
+
+
+KNOWN_SQL = """labs AS (""" + " UNION ALL ".join(
+    f"SELECT CAST(s_suppkey AS VARCHAR) AS sheet, {col} AS col, " + (f"CASE WHEN s_suppkey % {every} = 0 THEN '{other}' ELSE '{name}' END" if every else f"'{name}'") + " AS label FROM supplier"
+    for col, name, every, other in LABELS
+) + """), formulas AS (SELECT CAST(s_suppkey AS VARCHAR) AS sheet, 6 AS col FROM supplier WHERE s_suppkey % 7 = 0)"""
+
+
 def unit_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantity, unit price, quantity times unit price, and tax, by supplier."""
     q, unit = F.col("q"), F.rint(F.col("p") * 1e6 / F.col("q")).cast("long")
@@ -94,19 +135,6 @@ ORDER_SQL = f"""base AS (
     cells AS ({_union(['p', 'p + CASE WHEN row % 10 = 0 THEN 7100000 ELSE 7000000 END', 'before'], 'shifted')})"""
 
 
-def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as columns of six-place decimals, eight dimensions as rows: sheets of ten
-    vectors each."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("k", "x")).filter("k < 8")
-    return e.select(F.lit("embeddings").alias("workbook"), F.floor(F.col("vec_id") / 10).cast("string").alias("sheet"), (F.col("k") + 1).cast("int").alias("row"), (F.col("vec_id") % 10 + 1).cast("int").alias("col"), F.rint(F.col("x").cast("double") * 1e6).cast("long").alias("v"))
-
-
-VECTOR_SQL = """cells AS (
-    SELECT 'embeddings' AS workbook, CAST(vec_id // 10 AS VARCHAR) AS sheet, CAST(k AS INTEGER) AS row, CAST(vec_id % 10 + 1 AS INTEGER) AS col,
-           CAST(round_even(CAST(embedding[k] AS DOUBLE) * 1e6, 0) AS BIGINT) AS v
-    FROM embeddings, (SELECT unnest(range(1, 9)) AS k))"""
-
-
 def event_cells(spark: SparkSession, sf_dir: str, factor: int = 2) -> DataFrame:
     """Event values by user; in every second ten rows, column 1 repeats the value of ten
     rows before times two; column 2 is column 1 times the row's last digit plus two."""
@@ -122,3 +150,22 @@ EVENT_SQL = f"""base AS (
            CAST(round_even(value * 1e6, 0) AS BIGINT) AS x FROM events),
     shifted AS (SELECT *, CASE WHEN (row - 1) // 10 % 2 = 1 THEN lag(x, 10) OVER (PARTITION BY sheet ORDER BY row) * 2 ELSE x END AS v1 FROM base),
     cells AS ({_union(['v1', 'v1 * (row % 10 + 2)'], 'shifted')})"""
+
+
+def offset_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event values by user that repeat every 13 to 32 rows, doubled each time but for
+    every third user; column 2 is column 1 times the place in the period plus two."""
+    rows = from_table(read(spark, sf_dir, "events"), "events", F.col("user_id"), ["ts", "event_id"], {"user": F.col("user_id"), "x": micro("value")})
+    rows = rows.withColumn("period", (13 + F.col("user") % 20).cast("int"))
+    phase = (F.col("row") - 1) % F.col("period")
+    first = F.first("x").over(Window.partitionBy("sheet", phase).orderBy("row"))
+    times = F.when(F.col("user") % 3 == 0, F.lit(1).cast("long")).otherwise(F.expr("shiftleft(1L, CAST((row - 1) DIV period AS INT))"))
+    rows = rows.withColumn("v1", first * times)
+    return unpivot(rows, [F.col("v1"), F.col("v1") * (phase + 2)])
+
+
+OFFSET_SQL = f"""base AS (
+    SELECT 'events' AS workbook, CAST(user_id AS VARCHAR) AS sheet, user_id, 13 + user_id % 20 AS period, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS row,
+           CAST(round_even(value * 1e6, 0) AS BIGINT) AS x FROM events),
+    periods AS (SELECT *, first_value(x) OVER (PARTITION BY sheet, (row - 1) % period ORDER BY row) * CASE WHEN user_id % 3 = 0 THEN 1 ELSE CAST(1 AS BIGINT) << ((row - 1) // period) END AS v1 FROM base),
+    cells AS ({_union(['v1', 'v1 * ((row - 1) % period + 2)'], 'periods')})"""

@@ -96,31 +96,36 @@ _CAPTION_SQL = """WITH i AS (SELECT p_partkey AS item_id, p_brand || CAST(p_size
     SELECT caption_id, item_id, 'high' AS confidence FROM high UNION ALL SELECT caption_id, item_id, 'medium' FROM first JOIN free USING (page)"""
 
 #: Differing bits that make two 63-bit signatures a pair.
-LIMIT = 16
+LIMIT = 8
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), similarity.signature(F.col("embedding")).alias("h"))
+    """Signatures of the vectors, and for every third vector a copy with up to nine bits
+    turned, one in each of nine parts of the hash."""
+    own = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), similarity.signature(F.col("embedding")).alias("h"))
+    turned = F.array(*[F.lit(sum(1 << (7 * k + 3) for k in range(n))).cast("long") for n in range(10)])
+    copies = own.filter("id % 3 = 0").select((F.col("id") + 1_000_000_000).alias("id"), F.col("h").bitwiseXOR(F.element_at(turned, (F.col("id") % 10 + 1).cast("int"))).alias("h"))
+    return own.unionByName(copies)
 
 
-_HASHES = "h AS (SELECT vec_id AS id, CAST(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > embedding[i + 1] THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)) AS BIGINT) AS h FROM embeddings)"
-_PAIR_SQL = f"""WITH RECURSIVE {_HASHES}, near AS (SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM h a JOIN h b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= {LIMIT})"""
+_HASHES = "own AS (SELECT vec_id AS id, CAST(list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > embedding[i + 1] THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)) AS BIGINT) AS h FROM embeddings), turned AS (SELECT n, CAST(coalesce(list_sum([CAST(1 AS BIGINT) << (7 * k + 3) for k in range(n)]), 0) AS BIGINT) AS mask FROM range(10) t(n)), h AS (SELECT id, h FROM own UNION ALL SELECT id + 1000000000, xor(h, mask) FROM own JOIN turned ON n = id % 10 WHERE id % 3 = 0)"
+_PAIR_SQL = f"""WITH RECURSIVE {_HASHES}, classed AS (SELECT h, min(id) AS id FROM h GROUP BY h), near AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM classed a JOIN classed b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= {LIMIT})"""
 _COMPONENT_SQL = f"""{_PAIR_SQL}, both_ways AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
     reach(id, seen) AS (SELECT a, a FROM both_ways UNION SELECT r.id, e.b FROM reach r JOIN both_ways e ON r.seen = e.a)
     SELECT id, min(seen) AS component FROM reach GROUP BY id"""
 
 
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash pairs, before pairs of equal label in id order."""
+    """Hash pairs, before pairs of equal label of vectors that follow each other."""
     near = similarity.hamming_pairs(hashes(spark, sf_dir), LIMIT).select(F.col("a").alias("source"), F.col("b").alias("target"), (1 - F.col("distance") / 64).alias("score"), F.col("a").alias("seq"))
-    e = read(spark, sf_dir, "embeddings").filter("vec_id < 120").select("vec_id", "label")
-    same = e.join(e.select(F.col("vec_id").alias("other"), "label"), "label").filter("vec_id > other")
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    same = e.select("vec_id", "label", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).select("vec_id", "label", (F.col("vec_id") - F.col("k")).alias("other")).join(e.select(F.col("vec_id").alias("other"), "label"), ["other", "label"])
     return similarity.build_relationships([near, same.select(F.col("vec_id").alias("source"), F.col("other").alias("target"), F.lit(0.5).cast("double").alias("score"), F.col("vec_id").alias("seq"))])
 
 
 _RELATION_SQL = f"""{_PAIR_SQL}, u AS (
         SELECT a AS source, b AS target, 1 - distance / 64 AS score, a AS seq, 0 AS pass FROM near
-        UNION ALL SELECT x.vec_id, y.vec_id, 0.5, x.vec_id, 1 FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id > y.vec_id WHERE x.vec_id < 120),
+        UNION ALL SELECT x.vec_id, y.vec_id, 0.5, x.vec_id, 1 FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id - y.vec_id BETWEEN 1 AND 3),
     r AS (SELECT *, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY pass, seq, source, target) AS rn FROM u)
     SELECT least(source, target) AS a, greatest(source, target) AS b, source, target, score, pass AS priority FROM r WHERE rn = 1"""
 
@@ -134,15 +139,15 @@ _TILE_SQL = """WITH p AS (SELECT p_partkey AS panel_id, p_size * 9 AS width, CAS
     t AS (SELECT panel_id, width, height, x, y FROM (SELECT *, unnest(range(0, width, 64)) AS x FROM p WHERE width >= 64 AND height >= 64), LATERAL (SELECT unnest(range(0, height, 64)) AS y))
     SELECT panel_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(least(128, width - x) AS INTEGER) AS w, CAST(least(128, height - y) AS INTEGER) AS h FROM t WHERE least(128, width - x) >= 32 AND least(128, height - y) >= 32"""
 
-_OUTLIER_SQL = """WITH l AS (SELECT p_brand, list_sort(list(p_retailprice)) AS xs, count(*) AS n FROM part GROUP BY ALL HAVING count(*) >= 3),
+_OUTLIER_SQL = """WITH prices AS (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 97 = 0 THEN p_retailprice * 10 ELSE p_retailprice END AS p_retailprice FROM part), l AS (SELECT p_brand, list_sort(list(p_retailprice)) AS xs, count(*) AS n FROM prices GROUP BY ALL HAVING count(*) >= 3),
     q AS (SELECT p_brand, CASE WHEN n % 2 = 1 THEN xs[n // 2 + 1] ELSE (xs[n // 2] + xs[n // 2 + 1]) / 2 END AS median, CASE WHEN n >= 4 THEN xs[3 * n // 4 + 1] - xs[n // 4 + 1] ELSE 0.0 END AS iqr FROM l)
-    SELECT p_brand, p_partkey, p_retailprice, median, iqr FROM part JOIN q USING (p_brand) WHERE abs(p_retailprice - median) > 0.7 * 2 * iqr"""
+    SELECT p_brand, p_partkey, p_retailprice, median, iqr FROM prices JOIN q USING (p_brand) WHERE abs(p_retailprice - median) > 2 * iqr"""
 
 
 def spread_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part")
-    limits = similarity.outliers(p, "p_brand", "p_partkey", "p_retailprice")
-    return limits
+    """Prices by brand; those of every 97th part are ten times as high."""
+    p = read(spark, sf_dir, "part").withColumn("p_retailprice", F.when(F.col("p_partkey") % 97 == 0, F.col("p_retailprice") * 10).otherwise(F.col("p_retailprice")))
+    return similarity.outliers(p, "p_brand", "p_partkey", "p_retailprice")
 
 
 def scalar_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,6 +195,7 @@ QUERIES = {
     "caption_links": captions,
     "hamming_pairs": lambda s, d: similarity.hamming_pairs(hashes(s, d), LIMIT),
     "similarity_components": lambda s, d: similarity.components(similarity.hamming_pairs(hashes(s, d), LIMIT)),
+    "hash_classes": lambda s, d: similarity.classes(hashes(s, d)).select("id", "class_id"),
     "relationships": relationships,
     "tiles": tile_rows,
     "texture_outliers": spread_outliers,
@@ -209,8 +215,9 @@ SQL = {
     "caption_links": _CAPTION_SQL,
     "hamming_pairs": f"{_PAIR_SQL} SELECT a, b, distance FROM near",
     "similarity_components": _COMPONENT_SQL,
+    "hash_classes": f"WITH {_HASHES} SELECT id, min(id) OVER (PARTITION BY h) AS class_id FROM h",
     "relationships": _RELATION_SQL,
     "tiles": _TILE_SQL,
-    "texture_outliers": _OUTLIER_SQL.replace("0.7 * 2 * iqr", "2 * iqr"),
+    "texture_outliers": _OUTLIER_SQL,
     "scalar_functions": _SCALAR_SQL,
 }

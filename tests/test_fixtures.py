@@ -1,6 +1,7 @@
 """Known answers on small hand-made sheets, workbooks and streams."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -33,7 +34,74 @@ def test_duplicate_columns_with_fewer_zeros(spark):
 
 def test_fixed_ratio_of_means_and_sums(spark):
     found = pairs.fixed_ratio(cells(spark, {5: {r: r for r in range(10, 20)}, 7: {r: r * 2.5 for r in range(10, 20)}})).collect()
-    assert [(r.left, r.right, r.value, r.support) for r in found] == [(5, 7, 4000, 10)]
+    assert [(r.left, r.right, r.value, r.support) for r in found] == [(5, 7, 400_000, 10)]
+
+
+def test_ratios_close_to_one(spark):
+    base = {r: 1000 * r for r in range(1, 21)}
+    found = pairs.fixed_ratio(cells(spark, {1: {r: v * 1.00004 for r, v in base.items()}, 2: base})).collect()
+    assert [(r.value, r.support, r.risk_level) for r in found] == [(1_000_040, 20, "medium")]
+
+
+def test_running_numbers_on_one_side_or_both(spark):
+    rows = range(1, 21)
+    one = pairs.fixed_difference(cells(spark, {1: {r: r for r in rows}, 2: {r: r + 0.37 for r in rows}})).collect()
+    both = pairs.fixed_difference(cells(spark, {1: {r: r for r in rows}, 2: {r: r + 7 for r in rows}})).collect()
+    twos = pairs.fixed_difference(cells(spark, {1: {r: 2 * r for r in rows}, 2: {r: 2 * r + 7 for r in rows}})).collect()
+    assert [(r.value, r.risk_level, r.artifact_likelihood) for r in one] == [(-370_000, "medium", "unknown")]
+    assert [(r.value, r.risk_level, r.artifact_likelihood) for r in both] == [(-7_000_000, "low", "high")]
+    assert [(r.value, r.risk_level) for r in twos] == [(-7_000_000, "medium")]
+
+
+def named(spark, labels):
+    return spark.createDataFrame([("w", "s", c, text) for c, text in labels.items()], "workbook string, sheet string, col int, label string")
+
+
+def test_what_labels_and_formulas_explain(spark):
+    mean = {r: 1.5 * r + 0.25 for r in range(1, 13)}
+    sheet = cells(spark, {1: mean, 2: {r: 4 * v for r, v in mean.items()}, 3: {r: 4 for r in mean}})
+    summary = pairs.fixed_ratio(sheet, labels=named(spark, {1: "Mean", 2: "Sum", 3: "n total"})).filter("left = 1 AND right = 2").collect()
+    other = pairs.fixed_ratio(sheet.withColumn("v", F.when(F.col("col") == 3, F.col("v") + 1_000_000).otherwise(F.col("v"))), labels=named(spark, {1: "Mean", 2: "Sum", 3: "n total"})).filter("left = 1 AND right = 2").collect()
+    bare = pairs.fixed_ratio(sheet, labels=named(spark, {1: "Mean", 2: "Sum", 3: "dose"})).filter("left = 1 AND right = 2").collect()
+    assert [(r.risk_level, r.artifact_reason) for r in summary + other + bare] == [("low", "summary statistics"), ("medium", None), ("low", "summary statistics")]
+    step = {r: float(r % 3) + 0.5 for r in range(1, 13)}
+    design = pairs.fixed_difference(cells(spark, {1: step, 2: {r: v + 2 for r, v in step.items()}}), labels=named(spark, {1: "Day", 2: "dose"})).collect()
+    assert [(r.risk_level, r.artifact_reason) for r in design] == [("low", "time or event design")]
+    formulas = spark.createDataFrame([("w", "s", 2)], "workbook string, sheet string, col int")
+    formula = pairs.fixed_ratio(sheet, formulas=formulas).filter("left = 1 AND right = 2").collect()
+    assert [(r.risk_level, r.artifact_likelihood) for r in formula] == [("low", "medium")]
+
+
+def test_finding_ids_beyond_four_digits(spark):
+    found = spark.range(12_000).select(F.lit("w").alias("workbook"), (F.col("id") % 97).cast("string").alias("sheet"), F.lit("fixed_ratio").alias("category"), F.when(F.col("id") % 5 == 0, "high").otherwise("low").alias("risk_level"), F.col("id").cast("string").alias("columns"))
+    odd = found.limit(3).withColumn("category", F.lit("another"))
+    rows = findings.numbered([findings.unified(found, F.col("columns")), findings.unified(odd, F.col("columns"))]).collect()
+    ids = sorted((r.finding_id for r in rows if r.category == "fixed_ratio"), key=lambda x: int(x[3:]))
+    assert ids == [f"FR-{k:04d}" for k in range(1, 12_001)]
+    assert {r.finding_id for r in rows if r.category == "another"} == {"PF-0001", "PF-0002", "PF-0003"}
+    order = sorted((r for r in rows if r.category == "fixed_ratio"), key=lambda r: (-r["rank"], r.workbook, r.sheet, r.columns))
+    assert [r.finding_id for r in order] == ids
+
+
+@pytest.mark.parametrize(("limit", "intact"), [(3, 1), (8, 2), (16, 1), (20, 3)])
+def test_hamming_pairs_lose_none(spark, limit, intact):
+    draw = random.Random(limit)
+    values = [0, 0x1111111111111111, (1 << 63) - 1, -1, -1, -2, -(1 << 63)]
+    for _ in range(25):
+        h = draw.getrandbits(63)
+        values += [h, h]
+        for many in range(1, limit + 3):  # bits spread over the bands, or anywhere
+            values.append(h ^ sum(1 << (63 * k // many) for k in range(many)))
+            values.append(h ^ sum(1 << b for b in draw.sample(range(63), many)))
+    rows = [*enumerate(values), (9999, None)]
+    df = spark.createDataFrame(rows, "id int, h long")
+    least = {}
+    for i, h in enumerate(values):
+        least.setdefault(h, i)
+    apart = lambda x, y: ((x ^ y) & ((1 << 64) - 1)).bit_count()
+    want = {(min(a, b), max(a, b), apart(x, y)) for x, a in least.items() for y, b in least.items() if x < y and apart(x, y) <= limit}
+    assert {tuple(r) for r in similarity.hamming_pairs(df, limit, intact=intact).collect()} == want
+    assert {(r.id, r.class_id) for r in similarity.classes(df).collect()} == {(i, least[h]) for i, h in enumerate(values)}
 
 
 def test_row_offsets_of_a_repeated_half(spark):
@@ -99,7 +167,7 @@ def test_workbooks(spark, tmp_path):
     assert {r.col: r.label for r in xlsx.labels(got).collect()} == {1: "Mean / x", 2: "Sum / x"}
     assert [r.row for r in xlsx.separators(got).collect()] == [12]
     assert [(r.col, r.n, r.pattern, r.risk_level) for r in xlsx.formulas(got).collect()] == [(2, 10, "A<row>*2", "high")]
-    assert [(r.left, r.right, r.value) for r in pairs.fixed_ratio(numbers, support=85).collect()] == [(1, 2, 5000)]
+    assert [(r.left, r.right, r.value) for r in pairs.fixed_ratio(numbers, support=85).collect()] == [(1, 2, 500_000)]
     kinds = {r.type: r.n for r in files.inventory(spark, str(tmp_path)).groupBy("type").agg(F.count("*").alias("n")).collect()}
     assert kinds == {"source_data": 3}
 
@@ -133,18 +201,6 @@ def test_components_of_a_path(spark):
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100
 
 
-def test_hamming_pairs_against_all(spark):
-    import random
-
-    draw = random.Random(1)
-    values = [draw.getrandbits(63) for _ in range(30)]
-    values += [v ^ (1 << draw.randrange(63)) ^ (1 << draw.randrange(63)) for v in values[:15]] + values[:3] + [-1, -1, -2]
-    got = similarity.hamming_pairs(spark.createDataFrame([*enumerate(values)], "id int, h long"), 3).collect()
-    mask = (1 << 64) - 1
-    want = {(i, j): ((a ^ b) & mask).bit_count() for i, a in enumerate(values) for j, b in enumerate(values) if i < j and ((a ^ b) & mask).bit_count() <= 3}
-    assert {(r.a, r.b): r.distance for r in got} == want
-
-
 def test_streams(spark, tmp_path):
     batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     batch.write.parquet(str(tmp_path / "in"))
