@@ -97,14 +97,11 @@ def review_tasks(cluster: DataFrame, top: int = 20) -> DataFrame:
     return tasks.orderBy(F.desc("rank"), F.desc("n_findings"), "category", "workbook", "sheet").limit(top)
 
 
-#: Categories that always go to the third layer.
-BACKGROUND = ("repeated_measurement_value", "fractional_tail_reuse")
-
-
 def layers(findings: DataFrame) -> DataFrame:
-    """(layer, category, n): first layer high and critical, second medium, third the rest
-    and the background categories."""
-    layer = F.when(F.col("category").isin(*BACKGROUND), 3).when(F.col("rank") >= 3, 1).when(F.col("rank") == 2, 2).otherwise(3)
+    """(layer, category, n) by ``reports.layer_of``."""
+    from attesta.operators.reports import layer_of
+
+    layer = layer_of(F.col("risk_level"), F.col("category"), F.lit(None).cast("string"))
     return findings.groupBy(layer.alias("layer"), "category").agg(F.count("*").alias("n"))
 
 
@@ -118,23 +115,48 @@ def risk_summary(findings: DataFrame) -> DataFrame:
 TIER_CAP = {"full": "A", "partial": "B", "code_only": "C", "static": "C"}
 
 
+#: Steps without which nothing is reproducible, and words of categories that
+#: bear on the method.
+CRITICAL_STEPS = ("discover", "material_inventory", "mineru", "evidence_ledger")
+METHOD_WORDS = ("data_leakage", "statistical", "leakage")
+
+
 def grade(runs: DataFrame, findings: DataFrame, tier: str) -> DataFrame:
-    """(case_id, reproducibility, fidelity, grade). ``runs`` has case_id, step, status;
-    ``findings`` case_id, risk_level. A failed basic step fails reproducibility, a failed
-    source-data step warns; high risks fail fidelity, medium ones warn. Grades fall from A
-    over B (warning) and C (failure) to D (failed reproducibility) and are capped by tier;
-    an unknown tier raises ValueError."""
+    """(case_id, reproducibility, fidelity, methodology, interpretation, grade). ``runs`` has
+    case_id, step, status; ``findings`` case_id, risk_level, category, issue_category.
+
+    A failed critical step fails reproducibility, a failed source-data step warns.
+    Consistency findings fail fidelity if one is critical or high, warn if one is medium,
+    else pass with notes. Critical or high completeness findings, or first-layer findings
+    about method, warn on methodology. A methodology review warns on interpretation; only
+    third-layer findings pass it with notes. Grades fall from A over B (a warning) and C (a
+    failure) to D (failed reproducibility) and are capped by tier; an unknown tier raises
+    ValueError."""
+    from attesta.operators.reports import layer_of
+
     if tier not in TIER_CAP:
         raise ValueError(f"unknown tier {tier!r}")
-    basic = F.col("step").isin("discover", "material_inventory", "parse", "evidence_ledger")
     failed = F.col("status") == "failed"
-    steps = runs.groupBy("case_id").agg(F.max((failed & basic).cast("int")).alias("broken"), F.max((failed & F.col("step").startswith("source_data")).cast("int")).alias("partly"))
-    risks = findings.groupBy("case_id").agg(F.max(risk_rank(F.col("risk_level"))).alias("rank"))
-    both = steps.join(risks, "case_id", "full").na.fill(0)
-    repro = F.when(F.col("broken") == 1, "fail").when(F.col("partly") == 1, "warning").otherwise("pass")
-    fidelity = F.when(F.col("rank") >= 3, "fail").when(F.col("rank") == 2, "warning").otherwise("pass_with_notes")
-    letter = F.when(F.col("broken") == 1, "D").when(F.col("rank") >= 3, "C").when((F.col("partly") == 1) | (F.col("rank") == 2), "B").otherwise("A")
-    return both.select("case_id", repro.alias("reproducibility"), fidelity.alias("fidelity"), F.greatest(letter, F.lit(TIER_CAP[tier])).alias("grade"))
+    steps = runs.groupBy("case_id").agg(F.max((failed & F.col("step").isin(*CRITICAL_STEPS)).cast("int")).alias("broken"), F.max((failed & F.col("step").startswith("source_data")).cast("int")).alias("partly"))
+    rank, issue = risk_rank(F.col("risk_level")), F.coalesce("issue_category", F.lit(""))
+    layer = layer_of(F.col("risk_level"), F.col("category"), F.lit(None).cast("string"))
+    any_of = lambda c: F.max(c.cast("int"))
+    risks = findings.groupBy("case_id").agg(
+        F.max(F.when(issue == "consistency", rank)).alias("consistency"),
+        any_of(((issue == "completeness") & (rank >= 3)) | ((layer == 1) & F.col("category").rlike("|".join(METHOD_WORDS)))).alias("method"),
+        any_of(F.col("category") == "paperfraud.methodology_review").alias("reviewed"),
+        any_of(layer < 3).alias("weighty"),
+    )
+    both = steps.join(risks, "case_id", "full")
+    on = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
+    repro = F.when(on("broken"), "fail").when(on("partly"), "warning").otherwise("pass")
+    fidelity = F.when(F.col("consistency") >= 3, "fail").when(F.col("consistency") == 2, "warning").when(F.col("consistency").isNotNull(), "pass_with_notes").otherwise("pass")
+    method = F.when(on("method"), "warning").otherwise("pass")
+    reading = F.when(on("reviewed"), "warning").when(F.col("weighty") == 0, "pass_with_notes").otherwise("pass")
+    four = both.select("case_id", repro.alias("reproducibility"), fidelity.alias("fidelity"), method.alias("methodology"), reading.alias("interpretation"))
+    states = F.array("reproducibility", "fidelity", "methodology", "interpretation")
+    letter = F.when(F.col("reproducibility") == "fail", "D").when(F.array_contains(states, "fail"), "C").when(F.array_contains(states, "warning"), "B").otherwise("A")
+    return four.withColumn("grade", F.greatest(letter, F.lit(TIER_CAP[tier])))
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -61,24 +61,34 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds.select("category", "workbook", "sheet", "seq", verdict.alias("verdict"))
 
 
+_ISSUES = ("consistency", "completeness", "other")
+_KINDS = ("fixed_ratio", "data_leakage", "paperfraud.methodology_review", "duplicate_row_vector")
+
+
 def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as cases: orders are steps, balances risks."""
+    """Customers as cases: orders are steps, and findings as well."""
     orders = sheets.read(spark, sf_dir, "orders")
-    step = F.element_at(F.array(*map(F.lit, ("discover", "parse", "source_data_scan", "report", "visual"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    key = F.col("o_orderkey")
+    step = F.element_at(F.array(*map(F.lit, ("discover", "parse", "source_data_scan", "report", "visual"))), (key % 5 + 1).cast("int"))
     status = F.when((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 400_000), "failed").otherwise("done")
     runs = orders.select(F.col("o_custkey").alias("case_id"), step.alias("step"), status.alias("status"))
-    risk = F.when(F.col("c_acctbal") < 0, "high").when(F.col("c_acctbal") < 2_000, "medium").otherwise("low")
-    risks = sheets.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), risk.alias("risk_level"))
-    return ops.grade(runs, risks, "partial")
+    issue = F.element_at(F.array(*map(F.lit, _ISSUES)), (key % 3 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.floor(key / 3) % 4 + 1).cast("int"))
+    risk = F.when(F.col("o_totalprice") > 420_000, "high").when(F.col("o_totalprice") > 300_000, "medium").otherwise("low")
+    found = orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("case_id"), risk.alias("risk_level"), kind.alias("category"), issue.alias("issue_category"))
+    return ops.grade(runs, found, "partial")
 
 
-_GRADE_SQL = """WITH r AS (
+_GRADE_SQL = f"""WITH r AS (
         SELECT o_custkey AS case_id, ['discover', 'parse', 'source_data_scan', 'report', 'visual'][o_orderkey % 5 + 1] AS step, o_orderstatus = 'F' AND o_totalprice > 400000 AS failed FROM orders),
-    s AS (SELECT case_id, max(CAST(failed AND step IN ('discover', 'parse') AS INTEGER)) AS broken, max(CAST(failed AND step LIKE 'source_data%' AS INTEGER)) AS partly FROM r GROUP BY ALL),
-    k AS (SELECT c_custkey AS case_id, CASE WHEN c_acctbal < 0 THEN 3 WHEN c_acctbal < 2000 THEN 2 ELSE 1 END AS rank FROM customer),
-    b AS (SELECT coalesce(s.case_id, k.case_id) AS case_id, coalesce(broken, 0) AS broken, coalesce(partly, 0) AS partly, coalesce(rank, 0) AS rank FROM s FULL JOIN k ON s.case_id = k.case_id)
-    SELECT case_id, CASE WHEN broken = 1 THEN 'fail' WHEN partly = 1 THEN 'warning' ELSE 'pass' END AS reproducibility, CASE WHEN rank >= 3 THEN 'fail' WHEN rank = 2 THEN 'warning' ELSE 'pass_with_notes' END AS fidelity,
-           greatest(CASE WHEN broken = 1 THEN 'D' WHEN rank >= 3 THEN 'C' WHEN partly = 1 OR rank = 2 THEN 'B' ELSE 'A' END, 'B') AS grade FROM b"""
+    s AS (SELECT case_id, bool_or(failed AND step = 'discover') AS broken, bool_or(failed AND step LIKE 'source_data%') AS partly FROM r GROUP BY ALL),
+    g AS (SELECT o_custkey AS case_id, CASE WHEN o_totalprice > 420000 THEN 3 WHEN o_totalprice > 300000 THEN 2 ELSE 1 END AS rank, {list(_KINDS)}[o_orderkey // 3 % 4 + 1] AS kind, {list(_ISSUES)}[o_orderkey % 3 + 1] AS issue FROM orders WHERE o_orderpriority = '1-URGENT'),
+    y AS (SELECT *, CASE WHEN kind IN ('duplicate_row_vector', 'paperfraud.methodology_review') THEN 3 WHEN rank = 3 THEN 1 WHEN rank = 2 THEN 2 ELSE 3 END AS layer FROM g),
+    k AS (SELECT case_id, max(rank) FILTER (issue = 'consistency') AS top, bool_or((issue = 'completeness' AND rank = 3) OR (layer = 1 AND kind = 'data_leakage')) AS method, bool_or(kind = 'paperfraud.methodology_review') AS reviewed, bool_or(layer < 3) AS weighty FROM y GROUP BY ALL),
+    d AS (
+        SELECT case_id, CASE WHEN broken THEN 'fail' WHEN partly THEN 'warning' ELSE 'pass' END AS reproducibility, CASE WHEN top = 3 THEN 'fail' WHEN top = 2 THEN 'warning' WHEN top = 1 THEN 'pass_with_notes' ELSE 'pass' END AS fidelity,
+               CASE WHEN method THEN 'warning' ELSE 'pass' END AS methodology, CASE WHEN reviewed THEN 'warning' WHEN NOT weighty THEN 'pass_with_notes' ELSE 'pass' END AS interpretation FROM s LEFT JOIN k USING (case_id))
+    SELECT *, CASE WHEN reproducibility = 'fail' THEN 'D' WHEN fidelity = 'fail' THEN 'C' ELSE 'B' END AS grade FROM d"""
 
 QUERIES = {
     "fixed_relationships": fixed_relationships,

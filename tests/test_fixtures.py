@@ -188,8 +188,11 @@ def test_files(spark, tmp_path):
 
 def test_grades(spark):
     runs = spark.createDataFrame([("a", "discover", "failed"), ("b", "source_data_scan", "failed"), ("c", "report", "failed"), ("d", "parse", "done")], "case_id string, step string, status string")
-    risks = spark.createDataFrame([("c", "high"), ("d", "low")], "case_id string, risk_level string")
-    assert {r.case_id: r.grade for r in findings.grade(runs, risks, "full").collect()} == {"a": "D", "b": "B", "c": "C", "d": "A"}
+    risks = spark.createDataFrame(
+        [("c", "high", "fixed_ratio", "consistency"), ("d", "low", "fixed_ratio", "consistency"), ("e", "high", "fixed_ratio", "other"), ("f", "low", "paperfraud.methodology_review", "other"), ("g", "critical", "x", "completeness"), ("h", "high", "statistical_test", "other")],
+        "case_id string, risk_level string, category string, issue_category string",
+    )
+    assert {r.case_id: r.grade for r in findings.grade(runs, risks, "full").collect()} == {"a": "D", "b": "B", "c": "C", "d": "A", "e": "A", "f": "B", "g": "B", "h": "B"}
     assert {r.grade for r in findings.grade(runs, risks, "static").collect()} == {"C", "D"}
     with pytest.raises(ValueError, match="unknown tier"):
         findings.grade(runs, risks, "gold")
@@ -201,6 +204,28 @@ def test_components_of_a_path(spark):
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100
 
 
+def test_spanning_tree_against_kruskal(spark):
+    from attesta.operators import reports
+
+    draw = random.Random(7)
+    edges = [(draw.randrange(60), draw.randrange(60), float(draw.randrange(6))) for _ in range(150)] + [(100, 101, 1.0), (5, 5, 0.0), (7, None, 1.0)]
+    got = [tuple(r) for r in reports.spanning_tree(spark.createDataFrame(edges, "a int, b int, weight double")).collect()]
+    root = {v: v for e in edges for v in e[:2]}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    want = []
+    for w, a, b in sorted((w, min(a, b), max(a, b)) for a, b, w in edges if b is not None and a != b):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.append((a, b, w))
+    assert sorted(got) == sorted(want)
+    assert reports.spanning_tree(spark.createDataFrame([], "a int, b int, weight double")).count() == 0
+
+
 def test_streams(spark, tmp_path):
     batch = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     batch.write.parquet(str(tmp_path / "in"))

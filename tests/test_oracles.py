@@ -28,7 +28,7 @@ def norm(v):
     return round(float(v), 9) if type(v).__name__ == "Decimal" else v
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
