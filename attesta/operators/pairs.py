@@ -223,8 +223,8 @@ def small_n_fixed(cells: DataFrame, least: int = 3) -> DataFrame:
     """Pairs with few common rows that all have one difference, or one ratio."""
     p = row_pairs(cells).withColumns({"d": F.col("b") - F.col("a"), "r": F.when(F.col("a") != 0, F.rint(F.col("b") * 1e6 / F.col("a")).cast("long"))})
     s = p.groupBy(*PAIR).agg(F.count("*").alias("n"), F.min("d").alias("d0"), F.max("d").alias("d1"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.count("r").alias("nr")).filter(F.col("n") >= least)
-    difference = s.filter("d0 = d1 AND d0 <> 0").select(*PAIR, F.lit("small_n_fixed_difference").alias("category"), F.col("d0").alias("value"), "n")
-    ratio = s.filter("nr = n AND r0 = r1 AND r0 NOT IN (0, 1000000)").select(*PAIR, F.lit("small_n_fixed_ratio").alias("category"), F.col("r0").alias("value"), "n")
+    difference = s.filter("d0 = d1 AND d0 <> 0").select(*PAIR, F.lit("small_n_fixed_difference").alias("category"), F.col("d0").alias("value"), "n", F.lit("medium").alias("risk_level"))
+    ratio = s.filter("nr = n AND r0 = r1 AND r0 NOT IN (0, 1000000)").select(*PAIR, F.lit("small_n_fixed_ratio").alias("category"), F.col("r0").alias("value"), "n", F.lit("medium").alias("risk_level"))
     return difference.unionByName(ratio)
 
 
@@ -240,7 +240,7 @@ def strict_linear(cells: DataFrame, least: int = 3) -> DataFrame:
     residual = F.max(F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"))).alias("residual")
     worst = p.join(fit.select(*PAIR, "slope", "intercept"), PAIR).groupBy(*PAIR).agg(residual)
     found = fit.join(worst, PAIR).filter(F.col("residual") <= limit)
-    return found.select(*PAIR, F.lit("strict_linear_relation").alias("category"), F.rint(F.col("slope") * 1e4).cast("long").alias("slope"), F.rint(F.col("intercept") * 1e3).cast("long").alias("intercept"), "n")
+    return found.select(*PAIR, F.lit("strict_linear_relation").alias("category"), F.rint(F.col("slope") * 1e4).cast("long").alias("slope"), F.rint(F.col("intercept") * 1e3).cast("long").alias("intercept"), "n", F.when((F.col("n") >= 10) & (F.col("r2") >= 0.9999999), "high").otherwise("medium").alias("risk_level"))
 
 
 def cross_sheet_duplicates(cells: DataFrame, min_overlap: int = 10, support: int = 80) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import findings as ops
 from attesta.operators import pairs
-from attesta.plans import sheets
+from attesta.plans import blocks, relations, sheets
 from attesta.plans.relations import SQL as RELATIONS
 
 
@@ -48,6 +48,52 @@ _CLUSTERS = f"""p AS (
         FROM placed GROUP BY category, workbook, sheet, row_offset, signature)"""
 
 
+_PAIR = "concat_ws('|', CAST(l AS STRING), CAST(r AS STRING))"
+#: Every detector as a part of all findings: query, whether it names column pairs, and the
+#: common fields as expressions that both dialects read; ones left out are null.
+DETECTORS = [
+    ("duplicate_columns", True, {"columns": _PAIR, "relationship": "CAST(value AS STRING)", "support": "support", "overlap": "overlap", "support_rate": "support_rate", "artifact_likelihood": "artifact_likelihood"}),
+    ("fixed_difference", True, {"columns": _PAIR, "relationship": "CAST(value AS STRING)", "support": "support", "overlap": "overlap", "support_rate": "support_rate", "artifact_likelihood": "artifact_likelihood"}),
+    ("fixed_ratio", True, {"columns": _PAIR, "relationship": "CAST(value AS STRING)", "support": "support", "overlap": "overlap", "support_rate": "support_rate", "artifact_likelihood": "artifact_likelihood"}),
+    ("pair_spread", True, {"columns": _PAIR, "overlap": "overlap", "artifact_likelihood": "artifact_likelihood"}),
+    ("small_n_fixed", True, {"columns": _PAIR, "relationship": "CAST(value AS STRING)", "support": "n", "overlap": "n"}),
+    ("strict_linear", True, {"columns": _PAIR, "relationship": "concat_ws('|', CAST(slope AS STRING), CAST(intercept AS STRING))", "support": "n", "overlap": "n"}),
+    ("copy_paste_modify", True, {"columns": _PAIR, "relationship": "CAST(delta AS STRING)", "support": "support", "overlap": "overlap", "support_rate": "support_rate"}),
+    ("shifted_paste", True, {"columns": _PAIR, "row_offset": "lag", "relationship": "CAST(delta AS STRING)", "support": "support", "overlap": "overlap", "support_rate": "support_rate"}),
+    ("decimal_tail_shifted", True, {"columns": _PAIR, "row_offset": "shift", "relationship": "CAST(token AS STRING)", "support": "support", "overlap": "overlap", "support_rate": "support_rate"}),
+    ("binary_arithmetic", False, {"columns": "concat_ws('|', CAST(c1 AS STRING), CAST(c2 AS STRING), CAST(c3 AS STRING))", "relationship": "op", "support": "support", "overlap": "overlap", "support_rate": "support_rate"}),
+    ("row_offset_reuse", False, {"columns": "columns", "row_offset": "row_offset", "relationship": "CAST(ratio AS STRING)", "support": "support", "overlap": "overlap", "support_rate": "support_rate"}),
+    ("paired_ratio_reuse", True, {"columns": _PAIR, "row_offset": "row_offset", "support": "support", "overlap": "overlap"}),
+    ("rounding_bias", False, {"columns": "CAST(col AS STRING)", "row_offset": "row_offset", "risk_level": "'high'", "support": "exact", "overlap": "n"}),
+    ("long_format_reuse", False, {"columns": "'-'", "row_offset": "row_offset", "risk_level": "CASE WHEN support >= 10 THEN 'high' ELSE 'medium' END", "support": "support", "overlap": "overlap"}),
+    ("long_format_enrichment", False, {"columns": "'-'", "relationship": "CAST(ratio AS STRING)", "support": "support", "overlap": "overlap"}),
+    ("internal_sequence", False, {"columns": "CAST(col AS STRING)", "relationship": "concat_ws('|', relation, CAST(start AS STRING))", "support": "n"}),
+    ("cross_block_diff", False, {"columns": "concat_ws('|', CAST(block_x AS STRING), CAST(block_y AS STRING))", "risk_level": "CASE WHEN n_rows >= 10 THEN 'high' ELSE 'medium' END", "support": "n_columns", "overlap": "n_rows"}),
+    ("duplicate_rows", False, {"columns": "CAST(first_row AS STRING)", "width": "width", "support": "n", "overlap": "n"}),
+    ("repeated_values", False, {"columns": "'-'", "relationship": "CAST(value AS STRING)", "support": "n"}),
+    ("tail_reuse", False, {"columns": "'-'", "relationship": "CAST(tail AS STRING)", "support": "n"}),
+    ("cross_sheet_tails", False, {"sheet": "sheet_x", "columns": "concat_ws('|', CAST(row_x AS STRING), sheet_y, CAST(row_y AS STRING))", "risk_level": "'medium'", "support": "support"}),
+]
+_KINDS_OF_FIELDS = {"workbook": "STRING", "sheet": "STRING", "category": "STRING", "risk_level": "STRING", "columns": "STRING", "row_offset": "INT", "relationship": "STRING", "width": "INT", "support": "BIGINT", "overlap": "BIGINT", "support_rate": "DOUBLE", "artifact_likelihood": "STRING"}
+
+
+def _fields(exprs: dict[str, str]) -> list[str]:
+    own = {"workbook": "workbook", "sheet": "sheet", "category": "category", "risk_level": "risk_level"} | exprs
+    return [f"CAST({own.get(name, 'NULL')} AS {kind}) AS {name}" for name, kind in _KINDS_OF_FIELDS.items()]
+
+
+def every_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of all detectors over all their sheets, numbered by category."""
+    run = {**relations.QUERIES, **blocks.QUERIES}
+    return ops.numbered([run[name](spark, sf_dir).withColumnsRenamed({"left": "l", "right": "r"}).selectExpr(*_fields(exprs)) for name, _, exprs in DETECTORS])
+
+
+def _detector_sql(name: str, pairs_named: bool, exprs: dict[str, str]) -> str:
+    source = {**relations.SQL, **blocks.SQL}[name]
+    rows = f'SELECT *, "left" AS l, "right" AS r FROM ({source})' if pairs_named else source
+    return f"SELECT {', '.join(_fields(exprs))} FROM ({rows})"
+
+
 def fixed_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: detectors, priority filter, clusters."""
     return ops.clusters(ops.priority(relation_findings(spark, sf_dir)))
@@ -61,6 +107,7 @@ def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounds.select("category", "workbook", "sheet", "seq", verdict.alias("verdict"))
 
 
+_EVERY = _numbered_sql([_detector_sql(*d) for d in DETECTORS])
 _ISSUES = ("consistency", "completeness", "other")
 _KINDS = ("fixed_ratio", "data_leakage", "paperfraud.methodology_review", "duplicate_row_vector")
 
@@ -93,6 +140,8 @@ _GRADE_SQL = f"""WITH r AS (
 QUERIES = {
     "fixed_relationships": fixed_relationships,
     "findings": relation_findings,
+    "every_finding": every_finding,
+    "finding_clusters": lambda s, d: ops.clusters(ops.priority(every_finding(s, d))),
     "review_tasks": lambda s, d: ops.review_tasks(fixed_relationships(s, d)),
     "finding_layers": lambda s, d: ops.layers(relation_findings(s, d)),
     "risk_summary": lambda s, d: ops.risk_summary(relation_findings(s, d)),
@@ -104,6 +153,8 @@ QUERIES = {
 SQL = {
     "fixed_relationships": f"WITH {_ALL}, {_CLUSTERS} SELECT * FROM c",
     "findings": f"WITH {_ALL} SELECT {_FIELDS} FROM f",
+    "every_finding": f"WITH {_EVERY} SELECT {_FIELDS} FROM f",
+    "finding_clusters": f"WITH {_EVERY}, {_CLUSTERS} SELECT * FROM c",
     "review_tasks": f"WITH {_ALL}, {_CLUSTERS} SELECT category, workbook, sheet, count(*) AS n_clusters, CAST(sum(size) AS BIGINT) AS n_findings, max(rank) AS rank FROM c GROUP BY category, workbook, sheet ORDER BY rank DESC, n_findings DESC, category, workbook, sheet LIMIT 20",
     "finding_layers": f"WITH {_ALL} SELECT CASE WHEN rank >= 3 THEN 1 WHEN rank = 2 THEN 2 ELSE 3 END AS layer, category, count(*) AS n FROM f GROUP BY ALL",
     "risk_summary": f"WITH {_ALL} SELECT workbook, count(*) FILTER (rank = 0) AS n_info, count(*) FILTER (rank = 1) AS n_low, count(*) FILTER (rank = 2) AS n_medium, count(*) FILTER (rank = 3) AS n_high, count(*) FILTER (rank = 4) AS n_critical, ['info', 'low', 'medium', 'high', 'critical'][max(rank) + 1] AS overall FROM f GROUP BY workbook",

@@ -101,8 +101,8 @@ _SMALL_SQL = f"""WITH {sheets.SUPPLIER_SQL}, {sheets.PAIRS_SQL},
     s AS (
         SELECT sheet, l, r, count(*) AS n, min(b - a) AS d0, max(b - a) AS d1, min(k) AS r0, max(k) AS r1, count(k) AS nr
         FROM (SELECT *, CASE WHEN a <> 0 THEN CAST(round_even(b * 1e6 / a, 0) AS BIGINT) END AS k FROM pairs) GROUP BY ALL HAVING count(*) >= 3)
-    SELECT 'lineitem' AS workbook, sheet, l AS "left", r AS "right", 'small_n_fixed_difference' AS category, d0 AS value, n FROM s WHERE d0 = d1 AND d0 <> 0
-    UNION ALL SELECT 'lineitem', sheet, l, r, 'small_n_fixed_ratio', r0, n FROM s WHERE nr = n AND r0 = r1 AND r0 NOT IN (0, 1000000)"""
+    SELECT 'lineitem' AS workbook, sheet, l AS "left", r AS "right", 'small_n_fixed_difference' AS category, d0 AS value, n, 'medium' AS risk_level FROM s WHERE d0 = d1 AND d0 <> 0
+    UNION ALL SELECT 'lineitem', sheet, l, r, 'small_n_fixed_ratio', r0, n, 'medium' FROM s WHERE nr = n AND r0 = r1 AND r0 NOT IN (0, 1000000)"""
 
 _LINEAR_SQL = f"""WITH {sheets.SUPPLIER_SQL}, {sheets.PAIRS_SQL}, xy AS (SELECT sheet, l, r, a / 1e6 AS x, b / 1e6 AS y FROM pairs),
     fit AS (
@@ -110,7 +110,7 @@ _LINEAR_SQL = f"""WITH {sheets.SUPPLIER_SQL}, {sheets.PAIRS_SQL}, xy AS (SELECT
         FROM xy GROUP BY ALL HAVING count(*) >= 3),
     good AS (SELECT * FROM fit WHERE x0 < x1 AND y0 < y1 AND r2 >= 0.999999 AND abs(c) > lim AND abs(m - 1) > 1e-6),
     worst AS (SELECT sheet, l, r, max(abs(y - m * x - c)) AS residual FROM xy JOIN good USING (sheet, l, r) GROUP BY ALL)
-    SELECT 'lineitem' AS workbook, sheet, l AS "left", r AS "right", 'strict_linear_relation' AS category, CAST(round_even(m * 1e4, 0) AS BIGINT) AS slope, CAST(round_even(c * 1e3, 0) AS BIGINT) AS intercept, n
+    SELECT 'lineitem' AS workbook, sheet, l AS "left", r AS "right", 'strict_linear_relation' AS category, CAST(round_even(m * 1e4, 0) AS BIGINT) AS slope, CAST(round_even(c * 1e3, 0) AS BIGINT) AS intercept, n, CASE WHEN n >= 10 AND r2 >= 0.9999999 THEN 'high' ELSE 'medium' END AS risk_level
     FROM good JOIN worst USING (sheet, l, r) WHERE residual <= lim"""
 
 _CROSS_SQL = f"""WITH {sheets.COPIED_SQL},
@@ -184,7 +184,7 @@ _ARITHMETIC_SQL = f"""WITH {sheets.UNIT_SQL}, {sheets.PAIRS_SQL},
     common AS (SELECT t.sheet, c1, c2, c3, count(*) AS overlap FROM (SELECT DISTINCT sheet, c1, c2, c3 FROM trio) t JOIN cells a ON a.sheet = t.sheet AND a.col = c1 JOIN cells b ON b.sheet = t.sheet AND b.col = c2 AND b.row = a.row JOIN cells c ON c.sheet = t.sheet AND c.col = c3 AND c.row = a.row GROUP BY ALL),
     found AS (SELECT * FROM trio JOIN common USING (sheet, c1, c2, c3) WHERE run >= 3 OR support * 2 >= overlap),
     best AS (SELECT *, row_number() OVER (PARTITION BY sheet, c1, c2, c3 ORDER BY support DESC, res DESC, (op = 'mul') DESC, op DESC, l DESC, r DESC) AS rn FROM found)
-    SELECT 'lineitem' AS workbook, sheet, c1, c2, c3, 'binary_arithmetic_relation' AS category, op, res AS result, support, overlap, {_RATE.format("support", "overlap")} AS support_rate FROM best WHERE rn = 1"""
+    SELECT 'lineitem' AS workbook, sheet, c1, c2, c3, 'binary_arithmetic_relation' AS category, CASE WHEN support >= 10 AND support * 100 >= overlap * 95 THEN 'high' ELSE 'medium' END AS risk_level, op, res AS result, support, overlap, {_RATE.format("support", "overlap")} AS support_rate FROM best WHERE rn = 1"""
 
 _MET = """met AS (SELECT a.sheet, a.col, a.row, b.row - a.row AS k, a.v AS a, b.v AS b FROM cells a JOIN cells b ON a.sheet = b.sheet AND a.col = b.col AND b.row BETWEEN a.row + 1 AND a.row + 80)"""
 
