@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from attesta.functions.scalars import clean_space, figure_key, sentences
 
+#: Claims that are compared with every finding at most.
+MAX_CLAIMS = 10_000
 FIGURE_REFERENCE = r"(?i)(?:fig(?:ure|\.)?)\s*(\d+)\s*([a-z]?)\b"
 
 
@@ -46,7 +48,9 @@ def split_posts(docs: DataFrame, id_col: str = "id", text_col: str = "text") ->
 def first_matches(claims: DataFrame, findings: DataFrame) -> DataFrame:
     """(claim_id, finding_id, status): the first finding, in order of ``seq``, whose target
     contains the claim's; gaps are told apart. Claims are written by hand, so they are the
-    small side of the containment join."""
+    small side of the containment join; more than ``MAX_CLAIMS`` are refused."""
+    if claims.limit(MAX_CLAIMS + 1).count() > MAX_CLAIMS:
+        raise ValueError(f"more than {MAX_CLAIMS} claims")
     met = findings.join(F.broadcast(claims.select("claim_id", F.lower("target").alias("t"))), F.expr("t <> '' AND contains(lower(target), t)"))
     first = met.groupBy("claim_id").agg(F.min_by("finding_id", "seq").alias("finding_id"))
     return claims.select("claim_id").join(first, "claim_id", "left").withColumn("status", F.when(F.col("finding_id").isNull(), "gap").otherwise("covered"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.operators import gates, mapping, pairs, visual
+from attesta.functions import scalars
+from attesta.operators import findings, gates, mapping, pairs, text, visual
 from attesta.plans import sheets
 from attesta.plans.sheets import read
 from attesta.sources import markup
@@ -190,7 +191,67 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.verification_level(cases).groupBy("level").agg(F.count("*").alias("n"))
 
 
+def json_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as pages of nations, each nation a block with a text block in a list."""
+    n = read(spark, sf_dir, "nation")
+    leaf = F.struct(F.lit("list").alias("type"), F.array(F.struct(F.lit("text").alias("type"), F.col("n_name").alias("text"))).alias("blocks"))
+    block = F.struct("n_nationkey", F.lit("nation").alias("type"), F.lit(None).cast("string").alias("text"), F.array(leaf).alias("blocks"))
+    whole = n.groupBy("n_regionkey").agg(F.to_json(F.struct(F.lit("page").alias("type"), F.array_sort(F.collect_list(block)).alias("blocks"))).alias("tree"))
+    return markup.blocks(whole, "n_regionkey", "tree")
+
+
+_JSON_SQL = """WITH k AS (SELECT n_regionkey, n_name, '0.' || CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS VARCHAR) AS path FROM nation)
+    SELECT DISTINCT n_regionkey, '0' AS path, 'page' AS type, CAST(NULL AS VARCHAR) AS text FROM nation UNION ALL SELECT n_regionkey, path, 'nation', NULL FROM k
+    UNION ALL SELECT n_regionkey, path || '.0', 'list', NULL FROM k UNION ALL SELECT n_regionkey, path || '.0.0', 'text', n_name FROM k"""
+
+
+def pipe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as markdown tables of two columns."""
+    s = read(spark, sf_dir, "supplier")
+    body = F.concat(F.lit("| key | name |\n|---|:-:|\n|"), F.col("s_suppkey").cast("string"), F.lit("|  "), "s_name", F.lit("|\ntext"))
+    return markup.pipe_cells(text.lines(s.select("s_suppkey", body.alias("text")), "s_suppkey", "text"), "s_suppkey")
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geometry, panels and phrases over the parts table."""
+    p = read(spark, sf_dir, "part")
+    size = F.col("p_size").cast("double")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ring = F.array(point(F.lit(0.0), F.lit(0.0)), point(size, F.lit(0.0)), point(size, F.lit(3.0)), point(F.lit(0.0), F.lit(3.0)))
+    turn = scalars.affine_parts(F.lit(0.0), -size, size, F.lit(0.0))
+    box = F.array(F.lit(0), F.lit(0), F.col("p_size"), F.lit(10))
+    wide = F.concat(F.char(F.lit(97) + F.col("p_partkey") % 20), F.lit("-"), F.char(F.lit(99) + F.col("p_partkey") % 20))
+    found = p.select(
+        "p_partkey", scalars.polygon_area(ring).alias("area"), scalars.box_overlap(box, F.array(F.lit(5), F.lit(4), F.lit(20), F.lit(20))).alias("overlap"), F.round(turn["angle"]).alias("angle"), turn["scale"].alias("scale"), turn["flipped"].alias("flipped"),
+        F.array_join(scalars.panel_range(wide), "").alias("panels"), scalars.row_range(F.concat(F.col("p_size").cast("string"), F.lit(" - 60")))["start"].alias("first_row"), scalars.parse_number(F.concat(F.lit("1,0"), F.format_string("%02d", "p_size"), F.lit("%"))).alias("number"),
+        scalars.figure_key(F.concat(F.lit("ED Fig. "), F.col("p_size").cast("string"), F.lit("b")))["number"].alias("figure"), F.array_join(scalars.found_phrases(F.col("p_name"), ["almond", "blue", "part", "zz"]), ",").alias("phrases"), scalars.hamming(F.col("p_partkey").cast("long"), F.col("p_size").cast("long")).alias("bits"), scalars.clamp(size / 30).alias("clamped"),
+    )
+    return found
+
+
+_SHAPES_SQL = """SELECT p_partkey, p_size * 3.0 AS area, greatest(0, least(p_size, 25) - 5) * 6 AS overlap, 90.0 AS angle, CAST(p_size AS DOUBLE) AS scale, false AS flipped,
+    chr(CAST(97 + p_partkey % 20 AS INTEGER)) || chr(CAST(98 + p_partkey % 20 AS INTEGER)) || chr(CAST(99 + p_partkey % 20 AS INTEGER)) AS panels, p_size AS first_row, CAST(1000 + p_size AS DOUBLE) AS number, p_size AS figure,
+    array_to_string(list_filter(['almond', 'blue', 'part', 'zz'], lambda x: contains(lower(p_name), x)), ',') AS phrases, CAST(bit_count(xor(p_partkey, CAST(p_size AS BIGINT))) AS INTEGER) AS bits, least(1.0, p_size / 30) AS clamped FROM part"""
+
+
+def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures are customers, panels their orders."""
+    return visual.over_segmented(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("figure_id")))
+
+
+def merged_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' mappings refined by hand, and those of all orders' customers."""
+    refined = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("mapping_id"), F.col("s_name").alias("claim"))
+    derived = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mapping_id"), F.col("c_name").alias("claim"))
+    return findings.merge_claims(refined, derived)
+
+
 QUERIES = {
+    "json_blocks": json_blocks,
+    "pipe_tables": pipe_tables,
+    "shape_functions": shapes,
+    "over_segmented": segmented,
+    "merged_claims": merged_claims,
     "html_tables": tables,
     "html_lists": lambda s, d: markup.elements(read(s, d, "pages"), "li", "page_id", "html"),
     "verified_matches": keypoints,
@@ -212,6 +273,11 @@ QUERIES = {
 }
 
 SQL = {
+    "json_blocks": _JSON_SQL,
+    "pipe_tables": "SELECT s_suppkey, 1 AS line, 0 AS col, 'key' AS body FROM supplier UNION ALL SELECT s_suppkey, 1, 1, 'name' FROM supplier UNION ALL SELECT s_suppkey, 3, 0, CAST(s_suppkey AS VARCHAR) FROM supplier UNION ALL SELECT s_suppkey, 3, 1, s_name FROM supplier",
+    "shape_functions": _SHAPES_SQL,
+    "over_segmented": "SELECT o_custkey AS figure_id, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 16",
+    "merged_claims": "SELECT s_suppkey AS mapping_id, s_name AS claim FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
     "html_tables": _TABLES_SQL,
     "html_lists": r"""WITH f AS (SELECT page_id, regexp_extract_all(html, '(?is)<li(?:\s[^>]*)?>(.*?)</li\s*>', 1) AS xs FROM pages), e AS (SELECT page_id, xs, unnest(range(1, len(xs) + 1)) AS k FROM f)
         SELECT page_id, CAST(k - 1 AS INTEGER) AS place, trim(regexp_replace(regexp_replace(xs[k], '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM e""",

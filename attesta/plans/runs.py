@@ -25,7 +25,7 @@ QUERIES = {
     "event_canonical": lambda s, d: ops.canonical(read(s, d, "events"), limit=8),
     "event_replay": lambda s, d: ops.replay(read(s, d, "events"), 100, buffer=1000),
     "stale_runs": _stale,
-    "status_metrics": lambda s, d: ops.status_counts(read(s, d, "events")),
+    "status_metrics": lambda s, d: ops.status_counts(read(s, d, "events")).join(ops.status_users(read(s, d, "events")), "event_type"),
     "event_windows": lambda s, d: ops.tumbling(read(s, d, "events")).withColumn("total", F.round("total", 4)),
     "event_sessions": lambda s, d: ops.sessions(read(s, d, "events"), "6 hours"),
     "heartbeat_gaps": lambda s, d: ops.heartbeat_gaps(read(s, d, "events"), seconds=3600),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from attesta.operators.similarity import checkpointed
 
 #: The entities that text of tables uses.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
@@ -40,18 +41,17 @@ def pipe_cells(lines: DataFrame, id_col: str) -> DataFrame:
     return rows.select(id_col, "line", F.posexplode(parts).alias("col", "cell")).select(id_col, "line", "col", F.trim("cell").alias("body"))
 
 
-def blocks(docs: DataFrame, id_col: str, json_col: str, depth: int = 4) -> DataFrame:
-    """(id, path, type, text): typed blocks of JSON trees whose children are in 'blocks',
-    level by level down to ``depth``."""
-    node = StructType([StructField("type", StringType()), StructField("text", StringType())])
-    for _ in range(depth):
-        node = StructType([*node.fields[:2], StructField("blocks", ArrayType(node))])
-    level = docs.select(id_col, F.lit("0").alias("path"), F.from_json(json_col, node).alias("b"))
+def blocks(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(id, path, type, text): typed blocks of JSON trees whose children are in 'blocks', of
+    any depth. A level at a time is parsed, with its children kept as JSON text, until no
+    tree has a further level."""
+    level = docs.select(id_col, F.lit("0").alias("path"), F.col(json_col).alias("_json"))
     out = None
-    for k in range(depth + 1):
-        rows = level.select(id_col, "path", "b.type", "b.text").filter("type IS NOT NULL")
+    while True:
+        parsed = level.select(id_col, "path", F.from_json("_json", "type string, text string, blocks array<string>").alias("b"))
+        rows = parsed.select(id_col, "path", "b.type", "b.text").filter("type IS NOT NULL")
         out = rows if out is None else out.unionByName(rows)
-        if k == depth:
+        children = parsed.select(id_col, "path", F.posexplode("b.blocks").alias("k", "_json"))
+        level = checkpointed(children.select(id_col, F.concat_ws(".", "path", F.col("k").cast("string")).alias("path"), "_json"))
+        if level.isEmpty():
             return out
-        level = level.select(id_col, "path", F.posexplode("b.blocks").alias("k", "b")).select(id_col, F.concat_ws(".", "path", F.col("k").cast("string")).alias("path"), "b")
-    return out

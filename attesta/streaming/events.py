@@ -39,8 +39,13 @@ def staleness(events: DataFrame, keys: list[str], now: Column, seconds: int = ST
 
 
 def status_counts(events: DataFrame) -> DataFrame:
-    """(event_type, n, users): usable in update mode on a stream."""
-    return events.groupBy("event_type").agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users")) if events.isStreaming else events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    """(event_type, n), in batch and in update mode on a stream alike."""
+    return events.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def status_users(events: DataFrame) -> DataFrame:
+    """(event_type, users): distinct users, exactly and so in batch only."""
+    return events.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

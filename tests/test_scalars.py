@@ -56,5 +56,11 @@ def test_gates(spark):
 def test_markup(spark):
     docs = spark.createDataFrame([(1, '{"type": "page", "blocks": [{"type": "text", "text": "a"}, {"type": "list", "blocks": [{"type": "item", "text": "b"}]}]}')], "id int, j string")
     assert sorted((r.path, r.type, r.text) for r in markup.blocks(docs, "id", "j").collect()) == [("0", "page", None), ("0.0", "text", "a"), ("0.1", "list", None), ("0.1.0", "item", "b")]
+    deep = '{"type": "leaf"}'
+    for k in range(9):
+        deep = f'{{"type": "t{k}", "blocks": [{deep}, 7]}}'
+    rows = sorted((r.path, r.type) for r in markup.blocks(spark.createDataFrame([(1, deep), (2, None), (3, "no json")], "id int, j string"), "id", "j").collect())
+    assert rows == [(".".join(["0"] * (k + 1)), "leaf" if k == 9 else f"t{8 - k}") for k in range(10)]
+    assert markup.blocks(docs.limit(0), "id", "j").count() == 0
     lines = spark.createDataFrame([(1, 1, "| a | b |"), (1, 2, "|---|:-:|"), (1, 3, "|1|  2|"), (1, 4, "text")], "id int, line int, body string")
     assert sorted((r.line, r.col, r.body) for r in markup.pipe_cells(lines, "id").collect()) == [(1, 0, "a"), (1, 1, "b"), (3, 0, "1"), (3, 1, "2")]
