@@ -68,6 +68,20 @@ def test_near_duplicates_against_all_pairs(spark, block):
     assert {i: r.component_id for i, r in found.items()} == roots
 
 
+def test_near_duplicates_of_long_texts_and_hot_copies(spark):
+    """A third of the rows is one text, and two long texts differ in one word."""
+    draw = random.Random(3)
+    long = [f"w{draw.randrange(500)}" for _ in range(60_000)]
+    rows = [(i, "one and the same text") for i in range(400)] + [(400, " ".join(long)), (401, " ".join([*long[:-1], "end"])), (402, "x" * 300_000)]
+    rows += [(i, f"text {draw.getrandbits(60)} of its own {draw.getrandbits(60)}") for i in range(403, 1200)]
+    got = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    prints = {i: brute_print(t) for i, t in rows if i > 399} | {0: brute_print(rows[0][1])}
+    assert all(got[i].fingerprint == f"{p:016x}" for i, p in prints.items())
+    roots = brute_roots(prints, 4)
+    assert {i: got[i].component_id for i in prints} == roots and roots[401] == 400
+    assert {got[i].component_id for i in range(400)} == {0}
+
+
 def test_near_duplicates_of_fingerprint_crowds(spark):
     draw = random.Random(2)
     values = set()
@@ -126,6 +140,20 @@ def test_decontaminate_against_scan(spark, monkeypatch, chars):
             assert brute_hits(text[r.doc_id][s.start : s.end], items[:12], 4)[1] > 0
 
 
+def test_decontaminate_long_texts(spark, monkeypatch):
+    """Shards and located occurrences are bounded, also under a one-word item."""
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(decontaminate, "LOCATED", 50)
+    draw = random.Random(6)
+    words = ["the", "a", "of", "zz", "yy"]
+    docs = [(i, " ".join(draw.choices(words, k=n))) for i, n in enumerate([3000, 3, 900, 0, 40, 1])]
+    items = [(1, "the"), (2, "a of a"), (3, "of of the a"), (4, "yy zz yy zz yy")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.decontaminate(df, bench, window=4).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == [(i, *brute_hits(t, items, 4)) for i, t in docs]
+
+
 def test_decontaminate_without_rows(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
