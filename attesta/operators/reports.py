@@ -176,6 +176,27 @@ def ledger_index(items: DataFrame) -> DataFrame:
     return rows.groupBy("index", "key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ",").alias("ids"))
 
 
+def sheet_briefing(findings: DataFrame, ids: int = 50) -> DataFrame:
+    """(workbook, sheet, category, place, n, max_risk, finding_ids): what was found in each
+    sheet by category, the most frequent first, with the first ``ids`` finding ids."""
+    w = Window.partitionBy("workbook", "sheet", "category").orderBy("finding_id")
+    ranked = findings.withColumns({"_rank": risk_rank(F.col("risk_level")), "_k": F.row_number().over(w)})
+    some = F.array_join(F.array_sort(F.collect_list(F.when(F.col("_k") <= ids, F.col("finding_id")))), ",")
+    by = ranked.groupBy("workbook", "sheet", "category").agg(F.count("*").alias("n"), risk_level(F.max("_rank")).alias("max_risk"), some.alias("finding_ids"))
+    place = F.row_number().over(Window.partitionBy("workbook", "sheet").orderBy(F.desc("n"), "category"))
+    return by.withColumn("place", place)
+
+
+def sample_rows(samples: DataFrame, top: int = 50) -> DataFrame:
+    """(workbook, sheet, row, sample, total): the rows that findings show (workbook, sheet,
+    row, seq, sample), each once as the first finding shows it; the ``top`` first rows of a
+    sheet, and how many it has in all."""
+    first = samples.filter("row IS NOT NULL").groupBy("workbook", "sheet", "row").agg(F.min_by("sample", "seq").alias("sample"))
+    w = Window.partitionBy("workbook", "sheet")
+    numbered = first.withColumns({"_k": F.row_number().over(w.orderBy("row")), "total": F.count("*").over(w)})
+    return numbered.filter(F.col("_k") <= top).drop("_k")
+
+
 def spanning_tree(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(a, b, weight) of a minimum spanning forest of edges (a, b, weight): in each round
     every component takes its lightest edge (the smallest pair in a tie), and components

@@ -188,7 +188,27 @@ def legend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.legends(text.lines(n.select("n_nationkey", body.alias("text")), "n_nationkey", "text"), "n_nationkey")
 
 
+def briefing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as findings; brands are workbooks and sizes sheets."""
+    p = read(spark, sf_dir, "part")
+    return ops.sheet_briefing(p.select(F.col("p_brand").alias("workbook"), (F.col("p_size") % 3).cast("string").alias("sheet"), F.format_string("F-%06d", "p_partkey").alias("finding_id"), _pick(_CATEGORIES, "p_partkey").alias("category"), _pick(_RISKS, "p_partkey", 6).alias("risk_level")))
+
+
+_BRIEFING_SQL = f"""WITH f AS (SELECT p_brand AS workbook, CAST(p_size % 3 AS VARCHAR) AS sheet, 'F-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS finding_id, {_list(_CATEGORIES, 'p_partkey')} AS category, {_list(_RISKS, 'p_partkey', 6)} AS risk_level FROM part),
+    k AS (SELECT *, {_RANK} AS r, row_number() OVER (PARTITION BY workbook, sheet, category ORDER BY finding_id) AS k FROM f),
+    g AS (SELECT workbook, sheet, category, count(*) AS n, ['info', 'low', 'medium', 'high', 'critical'][max(r) + 1] AS max_risk, string_agg(finding_id, ',' ORDER BY finding_id) FILTER (k <= 50) AS finding_ids FROM k GROUP BY ALL)
+    SELECT *, CAST(row_number() OVER (PARTITION BY workbook, sheet ORDER BY n DESC, category) AS INTEGER) AS place FROM g"""
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as samples that findings show; several show the same row."""
+    li = read(spark, sf_dir, "lineitem")
+    return ops.sample_rows(li.select(F.lit("lineitem").alias("workbook"), (F.col("l_suppkey") % 7).cast("string").alias("sheet"), (F.col("l_partkey") % 90).alias("row"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").alias("sample")))
+
+
 QUERIES = {
+    "sheet_briefing": briefing,
+    "sample_rows": samples,
     "judge_input": lambda s, d: ops.judge_input(findings(s, d)).groupBy("category", "risk_level", "layer").agg(F.count("*").alias("n")),
     "top_findings": lambda s, d: ops.top_findings(findings(s, d), 25).select("finding_id", "risk_level"),
     "certainty_texts": lambda s, d: ops.certainty(findings(s, d)),
@@ -212,6 +232,9 @@ QUERIES = {
 }
 
 SQL = {
+    "sheet_briefing": _BRIEFING_SQL,
+    "sample_rows": """WITH l AS (SELECT 'lineitem' AS workbook, CAST(l_suppkey % 7 AS VARCHAR) AS sheet, l_partkey % 90 AS row, arg_min(l_quantity, l_orderkey * 10 + l_linenumber) AS sample FROM lineitem GROUP BY ALL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY row) AS k, count(*) OVER (PARTITION BY sheet) AS total FROM l) SELECT workbook, sheet, row, sample, total FROM k WHERE k <= 50""",
     "judge_input": f"WITH {_FINDINGS}, l AS (SELECT *, {_LAYER} AS layer FROM f) SELECT category, risk_level, layer, count(*) AS n FROM l WHERE layer < 3 GROUP BY ALL",
     "top_findings": f"WITH {_FINDINGS} SELECT finding_id, risk_level FROM f ORDER BY {_RANK} DESC, finding_id LIMIT 25",
     "certainty_texts": _CERTAINTY,

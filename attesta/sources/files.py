@@ -35,6 +35,15 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).filter(material_type(F.col("path")) == "image").select("path", F.sha2("content", 256).alias("digest"))
 
 
+def panel_csv(spark: SparkSession, path: str, figures: DataFrame) -> DataFrame:
+    """Rows of panel lists whose separator may be followed by blanks, with the figure_id of
+    the figure (figure_id, path) whose file stem is their FIGNAME; others are left out."""
+    rows = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    stem = F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"\.[^.]*$", "")
+    named = figures.groupBy(stem.alias("FIGNAME")).agg(F.max("figure_id").alias("figure_id"))
+    return rows.join(named, "FIGNAME")
+
+
 def result_map(spark: SparkSession, path: str) -> DataFrame:
     """(dataset, metric, value, seq) of result CSVs, trimmed, without empty keys; ``seq``
     follows file order within a file."""

@@ -177,6 +177,11 @@ def test_files(spark, tmp_path):
     claims = spark.createDataFrame([(1, "d", "m", 1.0, 0.1), (2, "d", "other", 1.0, 0.1)], "id int, dataset string, metric string, expected double, tolerance double")
     got = text.reconcile_claims(claims, files.result_map(spark, str(tmp_path / "r.csv"))).collect()
     assert {r.id: r.status for r in got} == {1: "unparsed", 2: "missing"}
+    (tmp_path / "panels.csv").write_text("FIGNAME, ID, LABEL\nfig1, 1, a\nfig1, 2, b\nother, 1, a\n")
+    figures = spark.createDataFrame([("F1", "x/fig1.png"), ("F2", "x/y.fig2.png")], "figure_id string, path string")
+    assert sorted((r.figure_id, r.ID, r.LABEL) for r in files.panel_csv(spark, str(tmp_path / "panels.csv"), figures).collect()) == [("F1", "1", "a"), ("F1", "2", "b")]
+    (tmp_path / "p.png").write_bytes(b"abc")
+    assert [(r.path.rsplit("/", 1)[1], r.digest[:8]) for r in files.images(spark, str(tmp_path)).collect()] == [("p.png", "ba7816bf")]
     (tmp_path / "log.jsonl").write_text('{"a": 1}\nnot json\n{"a": 2}\n')
     assert files.tolerant_log(spark, str(tmp_path / "log.jsonl"), "a int").count() == 2
     made = []
