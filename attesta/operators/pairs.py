@@ -163,8 +163,9 @@ def chosen_pairs(rows: DataFrame, wanted: DataFrame, tags: list[str]) -> DataFra
     """(workbook, sheet, row, left, right, tags, a, b): the pairs of gathered rows that
     ``wanted`` (workbook, sheet, left, right, tags) names for their sheet."""
     named = wanted.groupBy("workbook", "sheet").agg(F.collect_list(F.struct("left", "right", *tags)).alias("wanted"))
-    met = rows.join(named, ["workbook", "sheet"]).select("workbook", "sheet", "row", F.map_from_entries("cells").alias("at"), F.explode("wanted").alias("w"))
-    at = lambda side: F.try_element_at("at", F.col(f"w.{side}"))
+    lists = rows.select("workbook", "sheet", "row", F.transform("cells", lambda c: c["col"]).alias("cols"), F.transform("cells", lambda c: c["v"]).alias("values"))
+    met = lists.join(named, ["workbook", "sheet"]).select("workbook", "sheet", "row", "cols", "values", F.explode("wanted").alias("w"))
+    at = lambda side: F.get("values", F.array_position("cols", F.col(f"w.{side}")).cast("int") - 1)
     return met.select("workbook", "sheet", "row", "w.*", at("left").alias("a"), at("right").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
 
 

@@ -41,9 +41,9 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means and their sums in the supplier sheets."""
     cells, labels = sheets.supplier_cells(spark, sf_dir), sheets.supplier_labels(spark, sf_dir)
     side = lambda s: labels.select("workbook", "sheet", F.col("col").alias(s), F.col("label").alias(f"label_{s}"))
-    rows = pairs.row_pairs(cells).join(side("left"), ["workbook", "sheet", "left"]).join(side("right"), ["workbook", "sheet", "right"])
-    rows = rows.withColumn("mean", gates.mean_and_sum(F.col("label_left"), F.col("label_right"))).filter("mean IS NOT NULL")
-    return gates.summaries(rows, gates.PAIR, cells, labels)
+    named = side("left").join(side("right"), ["workbook", "sheet"]).filter("left < right")
+    named = named.withColumn("mean", gates.mean_and_sum(F.col("label_left"), F.col("label_right"))).filter("mean IS NOT NULL")
+    return gates.summaries(pairs.chosen_pairs(pairs.gathered(cells), named.select(*gates.PAIR, "mean"), ["mean"]), gates.PAIR, cells, labels)
 
 
 _SUMMARY_SQL = f"""WITH {sheets.SUPPLIER_SQL}, {sheets.KNOWN_SQL},
