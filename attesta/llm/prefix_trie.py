@@ -68,7 +68,8 @@ def placed(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
 def graft(rows: DataFrame, family: int = 100, most: int = 6) -> tuple[DataFrame, DataFrame]:
     """Conversations rebuilt on shared beginnings, (rows, conversations): conversation c
     starts with the first h turns of c - c % ``family``, h = crc32(c) % ``most``, and goes
-    on with its own turns after its first h."""
+    on with its own turns after its first h. Remainders of negative ids are negative, as in
+    SQL."""
     h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % most
     convs = rows.select("conv_id").distinct().select("conv_id", (F.col("conv_id") - F.col("conv_id") % family).alias("base"), h.alias("h"))
     heads = rows.filter(F.col("place") < most).withColumnRenamed("conv_id", "base")
