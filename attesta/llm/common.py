@@ -84,9 +84,14 @@ def held_out(id_col: str) -> Column:
 
 def cut_spans(text: Column, spans: Column, fill: str = "") -> Column:
     """``text`` with its sorted disjoint code-point spans (start, end) replaced by
-    ``fill``; null spans change nothing."""
+    ``fill``; null spans change nothing. Stretches are taken out of a form with four bytes
+    per code point, as finding a place in a text takes a walk to it."""
     n = F.size(spans)
     begin = lambda i: F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"])
-    end = lambda i: F.when(i == n, F.length(text)).otherwise(F.get(spans, i)["start"])
-    kept = F.transform(F.sequence(F.lit(0), n), lambda i: F.substring(text, begin(i) + 1, end(i) - begin(i)))
+    end = lambda size, i: F.when(i == n, size).otherwise(F.get(spans, i)["start"])
+    # A letter before each stretch: decoding drops a byte-order mark at the start.
+    mark = F.encode(F.lit("x"), "UTF-32")
+    stretch = lambda wide, size, i: F.substring(F.decode(F.concat(mark, F.substring(wide, 4 * begin(i) + 1, 4 * (end(size, i) - begin(i)))), "UTF-32"), F.lit(2), size)
+    held = F.array(F.struct(F.encode(text, "UTF-32").alias("wide"), F.length(text).alias("size")))
+    kept = F.flatten(F.transform(held, lambda h: F.transform(F.sequence(F.lit(0), n), lambda i: stretch(h["wide"], h["size"], i))))
     return F.when(n > 0, F.array_join(kept, fill)).otherwise(text)

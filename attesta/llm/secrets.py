@@ -12,7 +12,9 @@ positions, and a bin can only hold as many candidates as fit into its width.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.common import cut, cut_spans
@@ -30,8 +32,8 @@ WEAK = ("ident", "part", "endpoint")
 IDENT = r"""(?i:(?<![A-Za-z0-9_])(access_?key_?id|client_?id|account_?id|key_?id|username|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{4,})"""
 PART = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 ENDPOINT = r"""(?i:[a-z][a-z0-9+.-]{0,30}://[^\s"'<>|]+|(?<![A-Za-z0-9_])(endpoint|host|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/-]{4,})"""
-#: Matches whose positions are added up in one piece.
-PIECE = 256
+#: Elements of a piece over which running values are gathered.
+PIECE = 128
 #: Code points to either side of an identifier that its scope reaches.
 SCOPE = 300
 
@@ -39,26 +41,40 @@ _ORDER = {k: i for i, k in enumerate((*STRONG, *WEAK))}
 _SPANS = "array<struct<start:int,end:int,body:string>>"
 
 
+def scanned(values: Column, fold: Callable[[Column, Column], Column], start: int) -> Column:
+    """For each of the integers ``values``, ``fold`` over those before it, from ``start``.
+    An accumulator is copied at every step, so that arrays are only gathered over pieces of
+    ``PIECE`` elements and over the pieces. Values are held by arrays of one element, as a
+    lambda computes again what it names."""
+
+    def folds(items: Column, first: Column, step: Callable[[Column, Column], Column]) -> Column:
+        every = F.aggregate(items, F.array(first), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+        return F.slice(every, 1, F.size(items))
+
+    def of_pieces(pieces: Column) -> Column:
+        firsts = folds(pieces, F.lit(start), lambda at, piece: F.aggregate(piece, at, fold))
+        return F.flatten(F.zip_with(pieces, firsts, lambda piece, at: folds(piece, at, fold)))
+
+    def cut_up(held: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / PIECE).cast("int"))
+        pieces = F.transform(places, lambda k: F.slice(held, k * PIECE + 1, PIECE))
+        return F.flatten(F.transform(F.array(pieces), of_pieces))
+
+    return F.when(F.size(values) > 0, F.flatten(F.transform(F.array(values), cut_up))).otherwise(F.array().cast("array<int>"))
+
+
 def spans_of(text: Column, pattern: str, found: Column) -> Column:
     """Code-point spans of the matches ``found`` (all of them, in order): the text between
     matches and the matches themselves give the positions as running sums of lengths."""
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
     parts = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("body")))
-    # Appending to an array copies it: matches are added up in pieces of bounded size.
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / PIECE).cast("int")), lambda k: F.slice(parts, k * PIECE + 1, PIECE))
-    total = lambda piece: F.aggregate(piece, F.lit(0), lambda acc, x: acc + x["gap"] + x["size"])
-    places = F.aggregate(pieces, F.array(F.lit(0)), lambda acc, piece: F.concat(acc, F.array(F.element_at(acc, -1) + total(piece))))
 
-    def placed(piece: Column, at: Column) -> Column:
-        start = F.struct(at.alias("at"), F.array().cast(_SPANS).alias("out"))
-        step = lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["size"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end"), x["body"].alias("body")))).alias("out"),
-        )
-        return F.aggregate(piece, start, step, lambda acc: acc["out"])
+    def placed(held: Column) -> Column:
+        before = scanned(F.transform(held, lambda x: x["gap"] + x["size"]), lambda at, n: at + n, 0)
+        span = lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["body"].alias("body"))
+        return F.zip_with(held, before, span)
 
-    spans = F.flatten(F.zip_with(pieces, F.slice(places, 1, F.size(pieces)), placed))
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(_SPANS))
+    return F.when(F.size(found) > 0, F.flatten(F.transform(F.array(parts), placed))).otherwise(F.array().cast(_SPANS))
 
 
 def _with_spans(df: DataFrame, patterns: dict[str, str], only: Column | None = None) -> DataFrame:
@@ -84,30 +100,43 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = _with_spans(_strong(rows), {"ident": IDENT})
     rows = _with_spans(rows, {"part": PART, "endpoint": ENDPOINT}, (F.size("access") > 0) | (F.size("ident") > 0))
     rows = rows.withColumn("part", F.filter("part", lambda s: s["body"].rlike("[0-9]") & s["body"].rlike("[A-Za-z]")))
-    others = F.concat("access", "ident", "endpoint")
-    rows = rows.withColumn("part", F.filter("part", lambda s: ~F.exists(others, lambda o: _touch(s, o))))
     place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))
     return rows.select("id", "_row", *[F.transform(k, place).alias(k) for k in (*STRONG, *WEAK)])
 
 
-def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """(_row, kind, start, end) of the weak candidates that complementary parts confirm."""
+def apart(spans: DataFrame, own: Column, others: Column) -> DataFrame:
+    """``spans`` (_row, start, end, ...) without those of ``own`` that share a code point
+    with one of ``others``: by start, the greatest end of the others so far and the next
+    start of another one tell it, so that a row's spans are sorted once."""
+    before = Window.partitionBy("_row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # The same frame from the end; frames that end at the last row are computed again for each.
+    after = Window.partitionBy("_row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    far, near = F.max(F.when(others, F.col("end"))).over(before), F.min(F.when(others, F.col("start"))).over(after)
+    touched = own & ((F.coalesce(far, F.lit(-1)) > F.col("start")) | (F.coalesce(near, F.col("end")) < F.col("end")))
+    return spans.withColumn("_touched", touched).filter("NOT _touched").drop("_touched")
 
-    def exploded(kinds: dict[str, str]) -> DataFrame:
-        tagged = [_tagged(k, kind=k, role=role) for k, role in kinds.items()]
-        return found.select("_row", F.inline(F.concat(*tagged)))
 
-    idents = exploded({"access": "ident", "ident": "ident"}).withColumnsRenamed({"kind": "i_kind", "start": "i_start", "end": "i_end"}).drop("role")
+def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """(_row, kind, start, end) of the weak candidates that complementary parts confirm and
+    that touch no strong match."""
+    spans = found.filter((F.size("access") > 0) | (F.size("ident") > 0)).select("_row", F.inline(F.concat(*[_tagged(k, kind=k) for k in (*STRONG, *WEAK)])))
+    spans = apart(spans, F.col("kind") == "part", F.col("kind").isin("access", "ident", "endpoint"))
+    spans = cut(spans.select("_row", "kind", "start", "end"))
+
+    named = F.col("kind").isin("access", "ident")
+    idents = spans.filter(named).select("_row", F.col("kind").alias("i_kind"), F.col("start").alias("i_start"), F.col("end").alias("i_end"))
     idents = idents.withColumns({"low": F.greatest(F.lit(0), F.col("i_start") - scope), "high": F.col("i_end") + scope})
     idents = idents.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / scope), F.floor(F.col("high") / scope))))
-    others = exploded({"assign": "secret", "hex": "secret", "part": "secret", "endpoint": "endpoint"}).withColumn("bin", F.floor(F.col("start") / scope))
+    others = spans.filter(~named).withColumn("bin", F.floor(F.col("start") / scope))
     met = idents.join(others, ["_row", "bin"]).filter((F.col("start") >= F.col("low")) & (F.col("end") <= F.col("high")))
     # An identifier is no secret and no endpoint of its own.
     met = met.filter((F.col("end") <= F.col("i_start")) | (F.col("start") >= F.col("i_end")))
     key = ["_row", "i_kind", "i_start", "i_end"]
-    whole = met.groupBy(*key).agg(F.max(F.col("role") == "secret").alias("whole"), F.collect_set(F.struct("kind", "start", "end")).alias("parts")).filter("whole")
-    spans = F.concat(F.array(F.struct(F.col("i_kind").alias("kind"), F.col("i_start").alias("start"), F.col("i_end").alias("end"))), "parts")
-    return whole.select("_row", F.inline(spans)).filter(F.col("kind").isin(*WEAK)).distinct()
+    whole = met.groupBy(*key).agg(F.max(F.col("kind") != "endpoint").alias("whole"), F.collect_set(F.struct("kind", "start", "end")).alias("parts")).filter("whole")
+    both = F.concat(F.array(F.struct(F.col("i_kind").alias("kind"), F.col("i_start").alias("start"), F.col("i_end").alias("end"))), "parts")
+    weak = whole.select("_row", F.inline(both)).filter(F.col("kind").isin(*WEAK)).distinct()
+    strong = F.col("kind").isin(*STRONG)
+    return apart(weak.unionByName(spans.filter(strong)), ~strong, strong).filter(~strong)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -115,7 +144,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
     end exclusive, by start and then kind as listed. ``base`` holds the strong matches,
     ``spans`` these and the linked weak ones that touch no strong match. Null texts are
     empty; rows without matches have empty arrays; repeated rows stay repeated; other
-    columns are not read."""
+    columns are not read. The work on a text grows in proportion to its matches."""
     found = cut(candidates(df, id_col, text_col))
     extra = linked(found, scope).groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("extra"))
     joined = found.join(extra, "_row", "left")
@@ -127,16 +156,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
 
     base = F.concat(*[_tagged(k, kind=k) for k in STRONG])
     rows = joined.select("id", base.alias("base"), F.coalesce("extra", F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("extra"))
-    fresh = F.filter("extra", lambda x: ~F.exists("base", lambda b: _touch(x, b)))
-    rows = rows.withColumn("extra", fresh)
     return rows.select(F.col("id").alias(id_col), ordered(F.col("base")).alias("base"), ordered(F.concat("base", "extra")).alias("spans"))
 
 
-def _touch(a: Column, b: Column) -> Column:
-    """Whether two spans have a code point in common."""
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-
 def _tagged(spans: str, **tags: str) -> Column:
     """The spans of a column with constant fields before them."""
     fields = [F.lit(v).alias(k) for k, v in tags.items()]
@@ -161,13 +183,20 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def merged(spans: str) -> Column:
-    """Disjoint struct<start,end> spans that cover the sorted ``spans``."""
-    start = F.array().cast("array<struct<start:int,end:int>>")
-    step = lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= s["start"]),
-        F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end")))),
-    ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-    return F.aggregate(F.col(spans), start, step)
+    """Disjoint struct<start,end> spans that cover the sorted ``spans``: a new one begins
+    where a span starts behind all ends so far, and ends at the greatest of these."""
+
+    def islands(held: Column) -> Column:
+        far = scanned(F.transform(held, lambda s: s["end"]), lambda at, end: F.greatest(at, end), -1)
+        heads = F.filter(F.zip_with(held, far, lambda s, f: F.struct(s["start"].alias("start"), f.alias("far"))), lambda x: x["start"] > x["far"])
+        return F.struct(heads.alias("heads"), F.array_max(F.transform(held, lambda s: s["end"])).alias("last"))
+
+    def closed(x: Column) -> Column:
+        ends = F.concat(F.transform(F.slice(x["heads"], 2, F.size(x["heads"])), lambda h: h["far"]), F.array(x["last"]))
+        return F.zip_with(x["heads"], ends, lambda h, end: F.struct(h["start"].alias("start"), end.alias("end")))
+
+    found = F.flatten(F.transform(F.transform(F.array(F.col(spans)), islands), closed))
+    return F.when(F.size(spans) > 0, found).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fill: str = "[secret]") -> DataFrame:
