@@ -3,6 +3,8 @@ instruments."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,45 @@ def timed(left: Column, right: Column) -> Column:
     return has_term(left, TIME_TERMS) | has_term(right, TIME_TERMS)
 
 
+def formula_columns(found: DataFrame, columns: list[str], formulas: DataFrame | None) -> DataFrame:
+    """Adds ``formula``: whether one of the fields ``columns`` names a column of
+    ``formulas`` (workbook, sheet, col)."""
+    if formulas is None:
+        return found.withColumn("formula", F.lit(False))
+    known = formulas.groupBy(*SHEET).agg(F.collect_set("col").alias("_formulas"))
+    inside = reduce(lambda a, b: a | b, [F.array_contains("_formulas", F.col(c).cast("int")) for c in columns])
+    return found.join(known, SHEET, "left").withColumn("formula", F.coalesce(inside, F.lit(False))).drop("_formulas")
+
+
+def labelled(found: DataFrame, columns: list[str], labels: DataFrame) -> DataFrame:
+    """Adds the label of each field of ``columns`` as label_<field>, empty without one."""
+    for c in columns:
+        named = labels.select(*SHEET, F.col("col").alias(c), F.col("label").alias(f"label_{c}"))
+        found = found.join(named, [*SHEET, c], "left").na.fill("", [f"label_{c}"])
+    return found
+
+
+def explained(found: DataFrame, key: list[str], rows: DataFrame, cells: DataFrame, labels: DataFrame | None = None, formulas: DataFrame | None = None) -> DataFrame:
+    """Adds to found column pairs what may explain them: ``formula`` (a side is a formula
+    column), ``semantic`` (labels of one group) and ``summary`` (a mean and its sum on the
+    supporting ``rows`` (key, row)). Only pairs with such labels are looked at again."""
+    found = formula_columns(found, ["left", "right"], formulas)
+    if labels is None:
+        return found.withColumns({"semantic": F.lit(False), "summary": F.lit(False)})
+    left, right = F.col("label_left"), F.col("label_right")
+    found = labelled(found, ["left", "right"], labels).withColumns({"semantic": semantic_pair(left, right), "mean": mean_and_sum(left, right)})
+    asked = rows.join(found.filter("mean IS NOT NULL").select(*key, "mean"), key).distinct()
+    side = lambda s, v: cells.select(*SHEET, "row", F.col("col").alias(s), F.col("v").alias(v))
+    values = asked.join(side("left", "a"), [*SHEET, "row", "left"]).join(side("right", "b"), [*SHEET, "row", "right"])
+    met = found.join(summaries(values, key, cells, labels), key, "left")
+    return met.withColumn("summary", F.coalesce("summary", F.lit(False)))
+
+
+def likelihood(*harmless: str) -> Column:
+    """high where one of the boolean fields holds, else unknown."""
+    return F.when(reduce(lambda a, b: a | b, map(F.col, harmless)), "high").otherwise("unknown").alias("artifact_likelihood")
+
+
 def running_numbers(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, index_like): whether both ``a`` and ``b`` of a key's rows, in row order, are
     running numbers: eight rows or more, 95 % whole numbers, 70 % steps of one."""

@@ -84,7 +84,7 @@ REASONS = {
 }
 
 
-def relations(cells: DataFrame, kinds: tuple[str, ...] = tuple(RELATIONS), support: int = 98, labels: DataFrame | None = None, formulas: DataFrame | None = None) -> DataFrame:
+def relations(cells: DataFrame, kinds: tuple[str, ...] = tuple(RELATIONS), support: int = 98, labels: DataFrame | None = None, formulas: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
     """Column pairs that are one relation on ``support`` percent of their common rows:
     equal values, one difference or one ratio (both in millionths). The value is the most
     frequent one, the one seen first in a tie; the share is out of all common rows.
@@ -99,7 +99,7 @@ def relations(cells: DataFrame, kinds: tuple[str, ...] = tuple(RELATIONS), suppo
     event design; ``labels`` (workbook, sheet, col, label) names the columns for the last
     two. Differences and ratios that involve a column of ``formulas`` (workbook, sheet, col)
     are low, too (artifact_likelihood medium)."""
-    rows = checkpointed(gathered(cells))
+    rows = checkpointed(gathered(cells)) if rows is None else rows
     pairs = pairs_of(rows)
     a, b = F.col("a"), F.col("b")
     values = {k: RELATIONS[k][0](a, b) for k in kinds}
@@ -134,7 +134,7 @@ def relations(cells: DataFrame, kinds: tuple[str, ...] = tuple(RELATIONS), suppo
     found = _with_labels(found, labels)
     # Found relations are few beside cells: a table of their own keeps what follows from
     # computing them again.
-    found = checkpointed(_with_formulas(found, formulas))
+    found = checkpointed(gates.formula_columns(found, ["left", "right"], formulas))
 
     # Only rows of relations that a gate may let off are looked at again.
     able = (F.col("support") >= 8) & (F.col("whole_a") * 100 >= F.col("support") * 95) & (F.col("whole_b") * 100 >= F.col("support") * 95)
@@ -179,15 +179,6 @@ def _with_labels(found: DataFrame, labels: DataFrame | None) -> DataFrame:
     return met.withColumns({"timed": gates.timed(left, right), "mean": gates.mean_and_sum(left, right)})
 
 
-def _with_formulas(found: DataFrame, formulas: DataFrame | None) -> DataFrame:
-    """Adds whether a side is a formula column."""
-    if formulas is None:
-        return found.withColumn("formula", F.lit(False))
-    columns = formulas.groupBy("workbook", "sheet").agg(F.collect_set("col").alias("_formulas"))
-    inside = F.array_contains("_formulas", F.col("left")) | F.array_contains("_formulas", F.col("right"))
-    return found.join(columns, ["workbook", "sheet"], "left").withColumn("formula", F.coalesce(inside, F.lit(False))).drop("_formulas")
-
-
 def duplicate_columns(cells: DataFrame, support: int = 98, **known: DataFrame) -> DataFrame:
     """Column pairs that hold the same values."""
     return relations(cells, ("duplicate_numeric_columns",), support, **known)
@@ -203,12 +194,13 @@ def fixed_ratio(cells: DataFrame, support: int = 98, **known: DataFrame) -> Data
     return relations(cells, ("fixed_ratio",), support, **known)
 
 
-def pair_spread(cells: DataFrame, least: int = 8) -> DataFrame:
+def pair_spread(cells: DataFrame, least: int = 8, rows: DataFrame | None = None) -> DataFrame:
     """Paired differences that are too narrow, of columns that aren't low in information:
     the largest is under 5 % of the mean magnitude, or both the spread of the absolute
     differences and the largest are under 1 % of the range of the absolute values. What
-    looks like an instrument's precision is low."""
-    rows = checkpointed(gathered(informative(cells, least, 1)))
+    looks like an instrument's precision is low. ``rows`` are the gathered informative cells
+    where they are at hand."""
+    rows = checkpointed(gathered(informative(cells, least, 1))) if rows is None else rows
     s = pair_stats(pairs_of(rows)).filter(F.col("overlap") >= least)
     span = F.col("high_abs") - F.col("low_abs")
     by_magnitude = (F.col("magnitude") > 0) & (F.col("max_diff") * 40 * F.col("overlap") < F.col("magnitude"))
@@ -220,28 +212,33 @@ def pair_spread(cells: DataFrame, least: int = 8) -> DataFrame:
     return found.join(precise, PAIR).select(*PAIR, F.lit("paired_difference_too_narrow").alias("category"), "max_diff", "overlap", risk.alias("risk_level"), likely.alias("artifact_likelihood"))
 
 
-def small_n_fixed(cells: DataFrame, least: int = 3) -> DataFrame:
+def small_n_fixed(cells: DataFrame, least: int = 3, rows: DataFrame | None = None) -> DataFrame:
     """Pairs with few common rows that all have one difference, or one ratio."""
-    p = row_pairs(cells).withColumns({"d": F.col("b") - F.col("a"), "r": F.when(F.col("a") != 0, F.rint(F.col("b") * 1e6 / F.col("a")).cast("long"))})
+    p = (row_pairs(cells) if rows is None else pairs_of(rows)).withColumns({"d": F.col("b") - F.col("a"), "r": F.when(F.col("a") != 0, F.rint(F.col("b") * 1e6 / F.col("a")).cast("long"))})
     s = p.groupBy(*PAIR).agg(F.count("*").alias("n"), F.min("d").alias("d0"), F.max("d").alias("d1"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.count("r").alias("nr")).filter(F.col("n") >= least)
     difference = s.filter("d0 = d1 AND d0 <> 0").select(*PAIR, F.lit("small_n_fixed_difference").alias("category"), F.col("d0").alias("value"), "n", F.lit("medium").alias("risk_level"))
     ratio = s.filter("nr = n AND r0 = r1 AND r0 NOT IN (0, 1000000)").select(*PAIR, F.lit("small_n_fixed_ratio").alias("category"), F.col("r0").alias("value"), "n", F.lit("medium").alias("risk_level"))
     return difference.unionByName(ratio)
 
 
-def strict_linear(cells: DataFrame, least: int = 3) -> DataFrame:
+def strict_linear(cells: DataFrame, least: int = 3, rows: DataFrame | None = None, **known: DataFrame | None) -> DataFrame:
     """Pairs on a line: two distinct x, R² of 0.999999 or more, and no residual beyond a
     millionth of the largest |y|; pure differences and pure ratios are left to others.
-    The line comes from centred sums; a second pass takes the largest residual."""
-    p = row_pairs(cells).withColumns({"x": F.col("a") / 1e6, "y": F.col("b") / 1e6})
+    The line comes from centred sums; a second pass takes the largest residual. Low if a side
+    is a formula column; likely an artifact for summary statistics and labels of one group."""
+    rows = checkpointed(gathered(cells)) if rows is None else rows
+    p = pairs_of(rows).withColumns({"x": F.col("a") / 1e6, "y": F.col("b") / 1e6})
     fit = p.groupBy(*PAIR).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.max(F.abs("y")).alias("top"))
     fit = fit.filter((F.col("n") >= least) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")) & (F.col("r2") >= 0.999999))
     limit = F.greatest(F.lit(1.0), F.col("top")) * 1e-6
     fit = fit.filter((F.abs("intercept") > limit) & (F.abs(F.col("slope") - 1) > 1e-6))
+    fit = checkpointed(fit)
     residual = F.max(F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"))).alias("residual")
-    worst = p.join(fit.select(*PAIR, "slope", "intercept"), PAIR).groupBy(*PAIR).agg(residual)
+    again = chosen_pairs(rows, fit.select(*PAIR, "slope", "intercept"), ["slope", "intercept"]).withColumns({"x": F.col("a") / 1e6, "y": F.col("b") / 1e6})
+    worst = again.groupBy(*PAIR).agg(residual)
     found = fit.join(worst, PAIR).filter(F.col("residual") <= limit)
-    return found.select(*PAIR, F.lit("strict_linear_relation").alias("category"), F.rint(F.col("slope") * 1e4).cast("long").alias("slope"), F.rint(F.col("intercept") * 1e3).cast("long").alias("intercept"), "n", F.when((F.col("n") >= 10) & (F.col("r2") >= 0.9999999), "high").otherwise("medium").alias("risk_level"))
+    found = gates.explained(found, PAIR, again.select(*PAIR, "row"), cells, **known)
+    return found.select(*PAIR, F.lit("strict_linear_relation").alias("category"), F.rint(F.col("slope") * 1e4).cast("long").alias("slope"), F.rint(F.col("intercept") * 1e3).cast("long").alias("intercept"), "n", F.when(F.col("formula"), "low").when((F.col("n") >= 10) & (F.col("r2") >= 0.9999999), "high").otherwise("medium").alias("risk_level"), gates.likelihood("semantic", "summary"))
 
 
 def cross_sheet_duplicates(cells: DataFrame, min_overlap: int = 10, support: int = 80) -> DataFrame:

@@ -193,10 +193,10 @@ _OFFSET_SQL = f"""WITH {sheets.OFFSET_SQL.replace("cells AS", "raw AS")}, {_INFO
     counts AS (SELECT sheet, col, k, ratio, count(*) AS n, min(row) AS first FROM keyed GROUP BY ALL),
     best AS (
         SELECT *, row_number() OVER (PARTITION BY sheet, col, k ORDER BY (ratio IS NULL), n DESC, first) AS rn, sum(n) OVER (PARTITION BY sheet, col, k) AS pairs FROM counts),
-    found AS (SELECT * FROM best WHERE rn = 1 AND ratio IS NOT NULL AND n >= 8 AND n * 100 >= pairs * 30)
+    found AS (SELECT * FROM best WHERE rn = 1 AND ratio IS NOT NULL AND n >= 8 AND n * 100 >= pairs * 95)
     SELECT 'events' AS workbook, sheet, CAST(k AS INTEGER) AS row_offset, CASE WHEN ratio = 10000 THEN 'row_offset_exact_reuse' ELSE 'row_offset_scalar_multiple' END AS category, ratio,
            string_agg(CAST(col AS VARCHAR), ',' ORDER BY col) AS columns, CAST(sum(n) AS BIGINT) AS support, CAST(sum(pairs) AS BIGINT) AS overlap, {_RATE.format("sum(n)", "sum(pairs)")} AS support_rate,
-           CASE WHEN sum(n) >= 10 AND ratio <> 10000 THEN 'high' ELSE 'medium' END AS risk_level
+           CASE WHEN max(n) >= 10 AND ratio <> 10000 THEN 'high' ELSE 'medium' END AS risk_level
     FROM found GROUP BY sheet, k, ratio"""
 
 _RATIO_REUSE_SQL = f"""WITH {sheets.OFFSET_SQL.replace("cells AS", "raw AS")}, {_INFORMATIVE.format(1, "cells", "raw")}, {sheets.PAIRS_SQL},
@@ -238,6 +238,10 @@ def long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("v", F.when(planted, first * F.when(F.col("id") % 5 == 0, 3).otherwise(2)).otherwise(F.col("v")))
 
 
+def _long_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offsets.long_pairs(long_rows(spark, sf_dir))
+
+
 _LONG_CTE = f"""{sheets.EVENT_SQL}, raw AS (SELECT sheet, row, v, (row + 1) // 2 AS id, lag(v) OVER (PARTITION BY sheet ORDER BY row) AS first FROM cells WHERE col = 1),
     rows AS (SELECT sheet, row, id, CASE WHEN row % 2 = 0 THEN first * CASE WHEN id % 5 = 0 THEN 3 ELSE 2 END ELSE v END AS v FROM raw),
     ids AS (SELECT sheet, id, count(*) AS n, arg_min(v, row) AS first, arg_max(v, row) AS second FROM rows GROUP BY ALL),
@@ -273,8 +277,8 @@ QUERIES = {
     "row_offset_reuse": lambda s, d: offsets.row_offset_reuse(sheets.offset_cells(s, d)),
     "paired_ratio_reuse": lambda s, d: offsets.paired_ratio_reuse(sheets.offset_cells(s, d)),
     "rounding_bias": lambda s, d: offsets.rounding_bias(bias_cells(s, d)),
-    "long_format_reuse": lambda s, d: offsets.long_format_ratio_reuse(long_rows(s, d)),
-    "long_format_enrichment": lambda s, d: offsets.long_format_enrichment(long_rows(s, d)),
+    "long_format_reuse": lambda s, d: offsets.long_format_ratio_reuse(_long_pairs(s, d)),
+    "long_format_enrichment": lambda s, d: offsets.long_format_enrichment(_long_pairs(s, d)),
 }
 
 SQL = {

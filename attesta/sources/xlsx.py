@@ -112,6 +112,15 @@ def labels(cells: DataFrame, top_rows: int = 30, most: int = 4) -> DataFrame:
     return first.groupBy("workbook", "sheet", "col").agg(F.array_join(F.transform(F.slice(ordered, 1, most), lambda x: x["value"]), " / ").alias("label"))
 
 
+def row_labels(cells: DataFrame) -> DataFrame:
+    """(workbook, sheet, row, label): the distinct texts of a row, in column order, joined
+    by ' / '."""
+    texts = cells.filter(F.col("cell_type").isin("s", "str", "inlineStr") & (F.trim("value") != ""))
+    first = texts.groupBy("workbook", "sheet", "row", "value").agg(F.min("col").alias("col"))
+    ordered = F.array_sort(F.collect_list(F.struct("col", "value")))
+    return first.groupBy("workbook", "sheet", "row").agg(F.array_join(F.transform(ordered, lambda x: x["value"]), " / ").alias("label"))
+
+
 def separators(cells: DataFrame, least: int = 2) -> DataFrame:
     """(workbook, sheet, row) of rows with text in ``least`` cells or more and no number,
     strictly between numeric rows."""

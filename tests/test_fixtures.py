@@ -119,7 +119,7 @@ def test_long_format_pairs(spark):
     values = [(1, 1, 2), (2, 2, 6), (3, 3, 12), (4, 4, 20), (5, 10, 20), (6, 20, 60), (7, 30, 120), (8, 40, 200)]
     rows = [("w", "s", i, 2 * i + k, int(v * 1e6)) for i, a, b in values for k, v in enumerate((a, b))]
     df = spark.createDataFrame(rows, "workbook string, sheet string, id int, row int, v long")
-    found = offsets.long_format_ratio_reuse(df, max_offset=4, least=4, support=100).collect()
+    found = offsets.long_format_ratio_reuse(offsets.long_pairs(df, least=4), max_offset=4, least=4, support=100).collect()
     assert [(r.row_offset, r.support, r.overlap) for r in found] == [(4, 4, 4)]
 
 
@@ -129,7 +129,11 @@ def test_blocks_parted_by_text(spark):
     both = part | late
     sheet = cells(spark, {1: {r: v[0] for r, v in both.items()}, 2: {r: v[1] for r, v in both.items()}})
     marks = spark.createDataFrame([("w", "s", 5)], "workbook string, sheet string, row int")
-    assert [(r.block_x, r.block_y, r.n_columns) for r in blocks.cross_blocks(sheet, marks).collect()] == [(0, 1, 2)]
+    assert sorted((r.block_x, r.block_y, r.col, r.n_columns, r.n_rows) for r in blocks.cross_blocks(sheet, marks).collect()) == [(0, 1, 1, 2, 4), (0, 1, 2, 2, 4)]
+    # One of two shared columns differs widely: the narrow one is reported alone.
+    wide = sheet.withColumn("v", F.when((F.col("col") == 2) & (F.col("row") > 5), F.col("v") * 3).otherwise(F.col("v")))
+    assert [(r.col, r.n_columns) for r in blocks.cross_blocks(wide, marks).collect()] == [(1, 2)]
+    assert blocks.cross_blocks(wide.filter("col = 1"), marks).count() == 0
 
 
 def test_whole_differences_need_equal_signs(spark):
