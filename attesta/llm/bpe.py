@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import map_batches, slices
+from attesta.llm.common import map_batches, slices, trimmed
 
 #: Words of the per-worker memo; it is emptied when full.
 WORD_MEMO = 80_000
@@ -447,7 +447,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                 yield pa.record_batch([part.column(0), ids, e.t.decode(flat, counts)], names=[id_col, "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return df.select(id_col, text_col).mapInArrow(trimmed(run), f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
 def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut_spans, map_batches, slices
+from attesta.llm.common import cut_spans, map_batches, slices, trimmed
 
 #: Consecutive words of a window; shorter items are one window.
 WINDOW = 10
@@ -248,7 +248,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 for part in slices(batch, 1, SHARD_BYTES) if batch.num_rows else ():
                     yield search(part, shared.value)
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(trimmed(run), schema)
 
     def places(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_hit, spans = [], []

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import held_out, map_batches, slices, utf8_of
+from attesta.llm.common import held_out, map_batches, slices, trimmed, utf8_of
 
 #: Labelled documents that the field is fitted on at most, in the order of a hash of the id.
 TRAIN_DOCS = 4000
@@ -235,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.record_batch([pa.array(flat, pa.binary()), part.column(1)], names=["x", "label"])
 
     # Ids that stand in several rows may bring more than ``limit`` texts; each counts once.
-    found = sample.mapInArrow(run, "x binary, label int").filter("x IS NOT NULL").distinct().orderBy(F.xxhash64("x", "label"), "x").limit(2 * limit).collect()
+    found = sample.mapInArrow(trimmed(run), "x binary, label int").filter("x IS NOT NULL").distinct().orderBy(F.xxhash64("x", "label"), "x").limit(2 * limit).collect()
     found = sorted((bytes(r.x), r.label) for r in found)
     parts = [np.frombuffer(r[0], np.float32).reshape(-1, FEATURES) for r in found]
     if not parts:
@@ -282,7 +282,7 @@ def keep_good(docs: DataFrame, field: Field, text_col: str = "text") -> DataFram
                 good = np.bincount(doc, (size + 1.0) * p, n) >= 0.5 * np.bincount(doc, size + 1.0, n)
                 yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import cut, map_batches
+from attesta.llm.common import cut, map_batches, trimmed
 
 #: Fingerprints of a bucket that are compared in one group.
 BLOCK = 1024
@@ -146,7 +146,7 @@ def links(vertices: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
         if held is not None:
             yield _edges(held, [0, len(held)], radius)
 
-    crowd = sorted_groups.mapInArrow(run, "a long, b long")
+    crowd = sorted_groups.mapInArrow(trimmed(run), "a long, b long")
     return pairs.unionByName(crowd).distinct()
 
 
