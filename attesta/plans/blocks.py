@@ -20,17 +20,19 @@ def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ramp_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balances by nation; rows 3 to 9 of column 1 rise by 1.234, rows 2 to 7 of column 2
-    double, row 12 is missing."""
-    rows = _accounts(spark, sf_dir).filter("row <> 12")
+    double; a row is left empty before the third, the eighth and the twelfth."""
+    rows = _accounts(spark, sf_dir)
     up = F.when(F.col("row").between(3, 9), 7_000_123 + F.col("row") * 1_234_000).otherwise(F.col("x"))
     twice = F.when(F.col("row").between(2, 7), (F.lit(1_001_000) * F.lit(2) * F.expr("shiftleft(1L, CAST(row AS INT))"))).otherwise(F.col("x") + 77)
-    return unpivot(rows, [up, twice])
+    gaps = sum(F.when(F.col("row") >= k, 1).otherwise(0) for k in (3, 8, 12))
+    parted = rows.select("workbook", "sheet", (F.col("row") + gaps).cast("int").alias("row"), up.alias("up"), twice.alias("twice"))
+    return unpivot(parted, [F.col("up"), F.col("twice")])
 
 
-_RAMP = f"""{_ACCOUNTS}, kept AS (SELECT * FROM base WHERE row <> 12),
+_RAMP = f"""{_ACCOUNTS}, kept AS (SELECT *, CAST(row + (row >= 3)::INTEGER + (row >= 8)::INTEGER + (row >= 12)::INTEGER AS INTEGER) AS place FROM base),
     cells AS (
-        SELECT workbook, sheet, row, 1 AS col, CASE WHEN row BETWEEN 3 AND 9 THEN 7000123 + row * 1234000 ELSE x END AS v FROM kept
-        UNION ALL SELECT workbook, sheet, row, 2, CASE WHEN row BETWEEN 2 AND 7 THEN 1001000 * 2 * (CAST(1 AS BIGINT) << row) ELSE x + 77 END FROM kept)"""
+        SELECT workbook, sheet, place AS row, 1 AS col, CASE WHEN row BETWEEN 3 AND 9 THEN 7000123 + row * 1234000 ELSE x END AS v FROM kept
+        UNION ALL SELECT workbook, sheet, place, 2, CASE WHEN row BETWEEN 2 AND 7 THEN 1001000 * 2 * (CAST(1 AS BIGINT) << row) ELSE x + 77 END FROM kept)"""
 
 _SEQUENCE_SQL = f"""WITH {_RAMP},
     n1 AS (SELECT *, row - row_number() OVER (PARTITION BY sheet, col ORDER BY row) AS g FROM cells),
@@ -43,14 +45,6 @@ _SEQUENCE_SQL = f"""WITH {_RAMP},
     FROM s WHERE fine >= 3 AND delta <> 0 AND (off <= 1 OR (least > 0 AND crossed <= 1e-9))"""
 
 
-def sequence_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The planted stretches of ``ramp_cells`` alone, as stretches end where rows do."""
-    return ramp_cells(spark, sf_dir).filter("(col = 1 AND row BETWEEN 3 AND 9) OR (col = 2 AND row BETWEEN 2 AND 7) OR row > 14")
-
-
-_SEQUENCE_ALONE = _SEQUENCE_SQL.replace("n1 AS (SELECT *, row -", "chosen AS (SELECT * FROM cells WHERE (col = 1 AND row BETWEEN 3 AND 9) OR (col = 2 AND row BETWEEN 2 AND 7) OR row > 14), n1 AS (SELECT *, row -").replace("AS g FROM cells)", "AS g FROM chosen)")
-
-
 def block_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheets of six balances in three blocks, parted by rows 7 and 14: the second repeats
     the first with a cent more, the third is other data."""
@@ -70,10 +64,11 @@ _BLOCK_SQL = f"""WITH {_ACCOUNTS}, {sheets.parted_sql("base", "parts", 6)}, own
     long AS (SELECT sheet, block, row, 1 AS col, x AS v FROM three UNION ALL SELECT sheet, block, row, 2, y FROM three),
     sized AS (SELECT sheet, block, count(DISTINCT row) AS size FROM long GROUP BY ALL HAVING count(DISTINCT row) >= 3),
     s AS (
-        SELECT a.sheet, a.block AS p, b.block AS q, a.col, count(*) AS n, max(abs(b.v - a.v)) AS md, min(abs(b.v - a.v)) AS ld, sum(abs(a.v) + abs(b.v)) AS mag, least(min(abs(a.v)), min(abs(b.v))) AS la, greatest(max(abs(a.v)), max(abs(b.v))) AS ha
+        SELECT a.sheet, a.block AS p, b.block AS q, a.col, count(*) AS n, count(DISTINCT a.v) AS kinds, max(abs(b.v - a.v)) AS md, min(abs(b.v - a.v)) AS ld, sum(abs(a.v) + abs(b.v)) AS mag, least(min(abs(a.v)), min(abs(b.v))) AS la, greatest(max(abs(a.v)), max(abs(b.v))) AS ha
         FROM long a JOIN long b ON a.sheet = b.sheet AND a.col = b.col AND a.row = b.row AND a.block < b.block JOIN sized ON sized.sheet = a.sheet AND sized.block = a.block GROUP BY ALL)
-    SELECT 'customer' AS workbook, sheet, CAST(p AS BIGINT) AS block_x, CAST(q AS BIGINT) AS block_y, 'cross_block_paired_diff_too_narrow' AS category, count(*) AS n_columns, max(n) AS n_rows
-    FROM s WHERE md * 40 * n < mag OR ((md - ld) * 100 < ha - la AND md * 100 < ha - la) GROUP BY sheet, p, q HAVING count(*) >= 2"""
+    SELECT 'customer' AS workbook, sheet, CAST(col AS INTEGER) AS col, CAST(p AS BIGINT) AS block_x, CAST(q AS BIGINT) AS block_y, 'cross_block_paired_diff_too_narrow' AS category, shared AS n_columns, n AS n_rows, CASE WHEN n >= 10 THEN 'high' ELSE 'medium' END AS risk_level
+    FROM (SELECT *, count(*) OVER (PARTITION BY sheet, p, q) AS shared FROM s)
+    WHERE shared >= 2 AND (md * 40 * n < mag OR ((md - ld) * 100 < ha - la AND md * 100 < ha - la)) AND NOT (n >= 8 AND (kinds <= 3 OR (n >= 20 AND kinds * 10 <= n)))"""
 
 _LOW = "SELECT sheet, col FROM cells GROUP BY ALL HAVING count(*) >= 8 AND (count(DISTINCT v) <= 3 OR (count(*) >= 20 AND count(DISTINCT v) * 10 <= count(*)))"
 
@@ -86,9 +81,11 @@ def group_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _GROUP = f"{sheets._LINES_SQL}, {sheets.parted_sql('lines', 'parts', 60)}, cells AS ({sheets._union(['q', 'd', 't'], 'parts')})"
 
+_EVENT, _ZERO = "(right(sheet, 1) = '3' AND max(days) > 0)", "(count(*) >= 20 AND max(zeros) >= 2)"
 _ROWS_SQL = f"""WITH {_GROUP}, low AS ({_LOW}),
-    vec AS (SELECT sheet, row, list((col, v) ORDER BY col) AS vector, count(*) FILTER (NOT EXISTS (SELECT 1 FROM low WHERE low.sheet = c.sheet AND low.col = c.col)) AS known FROM cells c GROUP BY sheet, row)
-    SELECT 'lineitem' AS workbook, sheet, min(row) AS first_row, 'duplicate_row_vector' AS category, count(*) AS n, CAST(max(len(vector)) AS INTEGER) AS width, CASE WHEN count(*) >= 4 THEN 'high' ELSE 'medium' END AS risk_level
+    vec AS (SELECT sheet, row, list((col, v) ORDER BY col) AS vector, count(*) FILTER (v = 0) AS zeros, count(*) FILTER (col = 3) AS days, count(*) FILTER (NOT EXISTS (SELECT 1 FROM low WHERE low.sheet = c.sheet AND low.col = c.col)) AS known FROM cells c GROUP BY sheet, row)
+    SELECT 'lineitem' AS workbook, sheet, min(row) AS first_row, 'duplicate_row_vector' AS category, count(*) AS n, CAST(max(len(vector)) AS INTEGER) AS width,
+           CASE WHEN {_EVENT} THEN 'low' WHEN {_ZERO} OR count(*) < 4 THEN 'medium' ELSE 'high' END AS risk_level, CASE WHEN {_EVENT} OR {_ZERO} THEN 'high' ELSE 'unknown' END AS artifact_likelihood
     FROM vec WHERE len(vector) >= 2 AND known > 0 GROUP BY sheet, vector HAVING count(*) >= 2"""
 
 _PROFILE_ROWS_SQL = f"""WITH {sheets.SMALL_SQL},
@@ -144,7 +141,7 @@ _REPEATED_SQL = f"""WITH {_BIAS_CELLS},
     placed AS (SELECT *, CASE WHEN {_FRACTION} = 0 THEN 0 ELSE 6 - length(regexp_extract(CAST({_FRACTION} AS VARCHAR), '(0*)$', 1)) END AS places FROM cells WHERE v NOT IN (0, 1000000, -1000000)),
     g AS (SELECT sheet, v, count(*) AS n, CAST(max(places) AS INTEGER) AS places, count(DISTINCT row) AS nr FROM placed GROUP BY ALL)
     SELECT 'events' AS workbook, sheet, v AS value, 'repeated_measurement_value' AS category, n, places,
-           CASE WHEN n >= 3 THEN CASE WHEN places >= 5 THEN 'high' ELSE 'medium' END WHEN nr > 1 AND places < 5 THEN 'low' ELSE 'medium' END AS risk_level, CASE WHEN n >= 3 AND places >= 5 THEN 'high' ELSE 'medium' END AS confidence
+           CASE WHEN n >= 3 THEN CASE WHEN places >= 5 THEN 'high' ELSE 'medium' END WHEN nr > 1 AND places < 5 THEN 'low' ELSE 'medium' END AS risk_level, CASE WHEN n >= 3 THEN 'high' ELSE 'medium' END AS confidence
     FROM g WHERE (n >= 3 AND places >= 3) OR (n = 2 AND places >= 4)"""
 _TAILED = """tailed AS (SELECT *, CAST(CASE WHEN abs(v) % 10 = 0 THEN (abs(v) % 1000000) // 10 ELSE abs(v) % 100000 END AS INTEGER) AS tail FROM cells WHERE abs(v) % 10 <> 0 OR (abs(v) // 10) % 10 <> 0)"""
 _TAIL_REUSE_SQL = f"""WITH {_TAIL_CELLS}, {_TAILED}
@@ -169,7 +166,7 @@ _CROSS_TAIL_SQL = f"""WITH own AS (
     met AS (SELECT a.sheet AS sx, a.row AS rx, b.sheet AS sy, b.row AS ry, a.ord AS o, a.ord - b.ord AS off FROM num a JOIN num b ON a.tail = b.tail AND (a.sheet, a.row) < (b.sheet, b.row) AND a.v <> b.v WHERE a.width >= 4 AND b.width >= 4),
     isl AS (SELECT *, o - row_number() OVER (PARTITION BY sx, rx, sy, ry, off ORDER BY o) AS g FROM met),
     runs AS (SELECT sx, rx, sy, ry, max(n) AS support FROM (SELECT sx, rx, sy, ry, off, g, count(*) AS n FROM isl GROUP BY ALL) GROUP BY ALL HAVING max(n) >= 4)
-    SELECT 'embeddings' AS workbook, sx AS sheet_x, rx AS row_x, sy AS sheet_y, ry AS row_y, 'cross_sheet_fractional_tail_reuse' AS category, support, CASE WHEN support >= 5 THEN 'high' ELSE 'medium' END AS confidence FROM runs"""
+    SELECT 'embeddings' AS workbook, sx AS sheet_x, rx AS row_x, sy AS sheet_y, ry AS row_y, 'cross_sheet_fractional_tail_reuse' AS category, support, CASE WHEN support >= 5 AND rx = ry THEN 'high' ELSE 'medium' END AS risk_level, CASE WHEN support >= 5 THEN 'high' ELSE 'medium' END AS confidence FROM runs"""
 
 
 def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,9 +192,9 @@ _TOP_SQL = f"""WITH {sheets.SUPPLIER_SQL}, c AS (SELECT sheet, v, count(*) AS n
     SELECT 'lineitem' AS workbook, * FROM r WHERE rank <= 30"""
 
 QUERIES = {
-    "internal_sequence": lambda s, d: blocks.sequences(sequence_cells(s, d)),
+    "internal_sequence": lambda s, d: blocks.sequences(ramp_cells(s, d), formulas=sheets.planted_known(ramp_cells(s, d))["formulas"]),
     "cross_block_diff": lambda s, d: blocks.cross_blocks(block_cells(s, d), _separators(block_cells(s, d))),
-    "duplicate_rows": lambda s, d: blocks.duplicate_rows(group_cells(s, d)),
+    "duplicate_rows": lambda s, d: blocks.duplicate_rows(group_cells(s, d), labels=sheets.planted_known(group_cells(s, d))["labels"]),
     "profile_duplicate_rows": lambda s, d: blocks.profile_duplicate_rows(sheets.small_cells(s, d)),
     "cross_group_reuse": lambda s, d: blocks.cross_group_reuse(group_rows(s, d)),
     "compare_groups": lambda s, d: blocks.compare_groups(compare_cells(s, d), (1, 10), (11, 20)),
@@ -213,7 +210,7 @@ QUERIES = {
 }
 
 SQL = {
-    "internal_sequence": _SEQUENCE_ALONE,
+    "internal_sequence": sheets.gated_sql(_SEQUENCE_SQL, ["col"], high=("formula",)),
     "cross_block_diff": _BLOCK_SQL,
     "duplicate_rows": _ROWS_SQL,
     "profile_duplicate_rows": _PROFILE_ROWS_SQL,

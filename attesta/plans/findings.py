@@ -57,22 +57,22 @@ DETECTORS = [
     ("fixed_ratio", True, {"columns": _PAIR, "relationship": "CAST(value AS STRING)", "support": "support", "overlap": "overlap", "support_rate": "support_rate", "artifact_likelihood": "artifact_likelihood"}),
     ("pair_spread", True, {"columns": _PAIR, "overlap": "overlap", "artifact_likelihood": "artifact_likelihood"}),
     ("small_n_fixed", True, {"columns": _PAIR, "relationship": "CAST(value AS STRING)", "support": "n", "overlap": "n"}),
-    ("strict_linear", True, {"columns": _PAIR, "relationship": "concat_ws('|', CAST(slope AS STRING), CAST(intercept AS STRING))", "support": "n", "overlap": "n"}),
-    ("copy_paste_modify", True, {"columns": _PAIR, "relationship": "CAST(delta AS STRING)", "support": "support", "overlap": "overlap", "support_rate": "support_rate"}),
-    ("shifted_paste", True, {"columns": _PAIR, "row_offset": "lag", "relationship": "CAST(delta AS STRING)", "support": "support", "overlap": "overlap", "support_rate": "support_rate"}),
-    ("decimal_tail_shifted", True, {"columns": _PAIR, "row_offset": "shift", "relationship": "CAST(token AS STRING)", "support": "support", "overlap": "overlap", "support_rate": "support_rate"}),
-    ("binary_arithmetic", False, {"columns": "concat_ws('|', CAST(c1 AS STRING), CAST(c2 AS STRING), CAST(c3 AS STRING))", "relationship": "op", "support": "support", "overlap": "overlap", "support_rate": "support_rate"}),
+    ("strict_linear", True, {"columns": _PAIR, "relationship": "concat_ws('|', CAST(slope AS STRING), CAST(intercept AS STRING))", "support": "n", "overlap": "n", "artifact_likelihood": "artifact_likelihood"}),
+    ("copy_paste_modify", True, {"columns": _PAIR, "relationship": "CAST(delta AS STRING)", "support": "support", "overlap": "overlap", "support_rate": "support_rate", "artifact_likelihood": "artifact_likelihood"}),
+    ("shifted_paste", True, {"columns": _PAIR, "row_offset": "lag", "relationship": "CAST(delta AS STRING)", "support": "support", "overlap": "overlap", "support_rate": "support_rate", "artifact_likelihood": "artifact_likelihood"}),
+    ("decimal_tail_shifted", True, {"columns": _PAIR, "row_offset": "shift", "relationship": "CAST(token AS STRING)", "support": "support", "overlap": "overlap", "support_rate": "support_rate", "artifact_likelihood": "artifact_likelihood"}),
+    ("binary_arithmetic", False, {"columns": "concat_ws('|', CAST(c1 AS STRING), CAST(c2 AS STRING), CAST(c3 AS STRING))", "relationship": "op", "support": "support", "overlap": "overlap", "support_rate": "support_rate", "artifact_likelihood": "artifact_likelihood"}),
     ("row_offset_reuse", False, {"columns": "columns", "row_offset": "row_offset", "relationship": "CAST(ratio AS STRING)", "support": "support", "overlap": "overlap", "support_rate": "support_rate"}),
-    ("paired_ratio_reuse", True, {"columns": _PAIR, "row_offset": "row_offset", "support": "support", "overlap": "overlap"}),
+    ("paired_ratio_reuse", True, {"columns": _PAIR, "row_offset": "row_offset", "support": "support", "overlap": "overlap", "artifact_likelihood": "artifact_likelihood"}),
     ("rounding_bias", False, {"columns": "CAST(col AS STRING)", "row_offset": "row_offset", "risk_level": "'high'", "support": "exact", "overlap": "n"}),
     ("long_format_reuse", False, {"columns": "'-'", "row_offset": "row_offset", "risk_level": "CASE WHEN support >= 10 THEN 'high' ELSE 'medium' END", "support": "support", "overlap": "overlap"}),
     ("long_format_enrichment", False, {"columns": "'-'", "relationship": "CAST(ratio AS STRING)", "support": "support", "overlap": "overlap"}),
-    ("internal_sequence", False, {"columns": "CAST(col AS STRING)", "relationship": "concat_ws('|', relation, CAST(start AS STRING))", "support": "n"}),
-    ("cross_block_diff", False, {"columns": "concat_ws('|', CAST(block_x AS STRING), CAST(block_y AS STRING))", "risk_level": "CASE WHEN n_rows >= 10 THEN 'high' ELSE 'medium' END", "support": "n_columns", "overlap": "n_rows"}),
-    ("duplicate_rows", False, {"columns": "CAST(first_row AS STRING)", "width": "width", "support": "n", "overlap": "n"}),
+    ("internal_sequence", False, {"columns": "CAST(col AS STRING)", "relationship": "concat_ws('|', relation, CAST(start AS STRING))", "support": "n", "artifact_likelihood": "artifact_likelihood"}),
+    ("cross_block_diff", False, {"columns": "concat_ws('|', CAST(col AS STRING), CAST(block_x AS STRING), CAST(block_y AS STRING))", "support": "n_rows", "overlap": "n_rows"}),
+    ("duplicate_rows", False, {"columns": "CAST(first_row AS STRING)", "width": "width", "support": "n", "overlap": "n", "artifact_likelihood": "artifact_likelihood"}),
     ("repeated_values", False, {"columns": "'-'", "relationship": "CAST(value AS STRING)", "support": "n"}),
     ("tail_reuse", False, {"columns": "'-'", "relationship": "CAST(tail AS STRING)", "support": "n"}),
-    ("cross_sheet_tails", False, {"sheet": "sheet_x", "columns": "concat_ws('|', CAST(row_x AS STRING), sheet_y, CAST(row_y AS STRING))", "risk_level": "'medium'", "support": "support"}),
+    ("cross_sheet_tails", False, {"sheet": "sheet_x", "columns": "concat_ws('|', CAST(row_x AS STRING), sheet_y, CAST(row_y AS STRING))", "support": "support"}),
 ]
 _KINDS_OF_FIELDS = {"workbook": "STRING", "sheet": "STRING", "category": "STRING", "risk_level": "STRING", "columns": "STRING", "row_offset": "INT", "relationship": "STRING", "width": "INT", "support": "BIGINT", "overlap": "BIGINT", "support_rate": "DOUBLE", "artifact_likelihood": "STRING"}
 

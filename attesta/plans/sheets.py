@@ -169,3 +169,33 @@ OFFSET_SQL = f"""base AS (
            CAST(round_even(value * 1e6, 0) AS BIGINT) AS x FROM events),
     periods AS (SELECT *, first_value(x) OVER (PARTITION BY sheet, (row - 1) % period ORDER BY row) * CASE WHEN user_id % 3 = 0 THEN 1 ELSE CAST(1 AS BIGINT) << ((row - 1) // period) END AS v1 FROM base),
     cells AS ({_union(['v1', 'v1 * ((row - 1) % period + 2)'], 'periods')})"""
+
+
+#: What is planted besides numbers where a sheet has no labels of its own: the first two
+#: columns are ``pre`` and ``post`` in sheets whose name ends in an even digit, the third is
+#: a ``day`` in those that end in 3, and the second is a formula in those that end in 7.
+EVEN = ("0", "2", "4", "6", "8")
+
+
+def planted_known(cells: DataFrame) -> dict[str, DataFrame]:
+    """Labels and formula columns of the sheets of ``cells`` by the rule above."""
+    last = F.substring("sheet", -1, 1)
+    columns = cells.select("workbook", "sheet", "col").distinct()
+    label = F.when(last.isin(*EVEN) & (F.col("col") == 1), "pre").when(last.isin(*EVEN) & (F.col("col") == 2), "post").when((last == "3") & (F.col("col") == 3), "day")
+    named = columns.withColumn("label", F.coalesce(label, F.concat(F.lit("series "), F.col("col").cast("string"))))
+    return {"labels": named, "formulas": columns.filter((last == "7") & (F.col("col") == 2))}
+
+
+PLANTED_SQL = """labs AS (
+        SELECT DISTINCT sheet, col, CASE WHEN right(sheet, 1) IN ('0', '2', '4', '6', '8') AND col = 1 THEN 'pre' WHEN right(sheet, 1) IN ('0', '2', '4', '6', '8') AND col = 2 THEN 'post'
+               WHEN right(sheet, 1) = '3' AND col = 3 THEN 'day' ELSE 'series ' || CAST(col AS VARCHAR) END AS label FROM cells),
+    formulas AS (SELECT DISTINCT sheet, col FROM cells WHERE right(sheet, 1) = '7' AND col = 2)"""
+
+
+def gated_sql(sql: str, columns: list[str], low: tuple[str, ...] = ("formula",), high: tuple[str, ...] = ("semantic",)) -> str:
+    """``sql`` with the planted labels and formulas applied: the risk is low for the reasons
+    in ``low``, artifact_likelihood high for those in ``high``."""
+    both = " AND ".join(f"{k} IN ({', '.join(columns)})" for k in (1, 2))
+    reasons = {"formula": f"(right(sheet, 1) = '7' AND 2 IN ({', '.join(columns)}))", "semantic": f"(right(sheet, 1) IN ('0', '2', '4', '6', '8') AND {both})"}
+    found = {name: " OR ".join(reasons[r] for r in chosen) or "false" for name, chosen in (("low", low), ("high", high))}
+    return f"SELECT * REPLACE (CASE WHEN {found['low']} THEN 'low' ELSE risk_level END AS risk_level), CASE WHEN {found['high']} THEN 'high' ELSE 'unknown' END AS artifact_likelihood FROM ({sql})"
