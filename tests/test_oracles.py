@@ -10,7 +10,7 @@ from attesta.registry import QUERIES, SQL
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Queries whose rows another query's are made of, and which are compared with it.
-WITHIN = {"every_finding"}
+WITHIN = {"every_finding", "workbook_analysis"}
 #: Queries that must find something on the smallest tables, to be worth comparing.
 EMPTY = {"shifted_paste"}
 
