@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import findings as ops
 from attesta.operators import pairs
+from attesta.operators.similarity import checkpointed
 from attesta.plans import blocks, relations, sheets
 from attesta.plans.relations import SQL as RELATIONS
 
@@ -85,7 +86,9 @@ def _fields(exprs: dict[str, str]) -> list[str]:
 def every_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings of all detectors over all their sheets, numbered by category."""
     run = {**relations.QUERIES, **blocks.QUERIES}
-    return ops.numbered([run[name](spark, sf_dir).withColumnsRenamed({"left": "l", "right": "r"}).selectExpr(*_fields(exprs)) for name, _, exprs in DETECTORS])
+    parts = [run[name](spark, sf_dir).withColumnsRenamed({"left": "l", "right": "r"}).selectExpr(*_fields(exprs)) for name, _, exprs in DETECTORS]
+    # One job per detector: what it broadcasts and sorts is given back before the next one.
+    return ops.numbered([checkpointed(part) for part in parts])
 
 
 def _detector_sql(name: str, pairs_named: bool, exprs: dict[str, str]) -> str:
