@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.operators.similarity import checkpointed
+from attesta.operators.ranks import padded, placed
 
 RISKS = ["info", "low", "medium", "high", "critical"]
 #: Id prefix of each category; categories without one have OTHER.
@@ -55,15 +55,10 @@ def numbered(parts: list[DataFrame]) -> DataFrame:
     are range-partitioned in that order and counted per partition, and a partition goes on
     where the ones before it stopped, so no task holds a whole category."""
     union = reduce(DataFrame.unionByName, parts).withColumn("rank", risk_rank(F.col("risk_level")))
-    order = [F.col("category"), -F.col("rank"), *map(F.col, ("workbook", "sheet", "columns", "row_offset", "relationship", "support"))]
-    placed = checkpointed(union.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
-    parts_of = placed.groupBy("category", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    earlier = Window.partitionBy("category").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts_of.select("category", "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-    number = (F.col("_at") + F.col("_shift") + 1).cast("string")
-    digits = F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)
+    order = [-F.col("rank"), *map(F.col, ("workbook", "sheet", "columns", "row_offset", "relationship", "support"))]
+    number = padded(F.col("_n"), 4)
     prefix = F.coalesce(F.create_map(*[F.lit(x) for kv in PREFIX.items() for x in kv])[F.col("category")], F.lit(OTHER))
-    named = placed.join(starts, ["category", "_part"]).withColumn("finding_id", F.concat(prefix, F.lit("-"), digits))
+    named = placed(union, order, ["category"], "_n").withColumn("finding_id", F.concat(prefix, F.lit("-"), number))
     return named.select(*union.columns, "finding_id")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.operators.findings import latest, risk_level, risk_rank
+from attesta.operators.ranks import placed
 from attesta.operators.similarity import checkpointed
 
 #: Categories that are informational whatever their risk, and words of
@@ -64,8 +65,8 @@ def context_top(sources: list[DataFrame], n: int = 5) -> DataFrame:
 
 def performance(runs: DataFrame) -> DataFrame:
     """Steps with a runtime, each with its place among them, longest first."""
-    timed = runs.filter("runtime_seconds IS NOT NULL").orderBy(F.desc("runtime_seconds"), "agent_step")
-    return timed.withColumn("place", F.row_number().over(Window.orderBy(F.desc("runtime_seconds"), "agent_step")))
+    timed = runs.filter("runtime_seconds IS NOT NULL")
+    return placed(timed, [F.desc("runtime_seconds"), "agent_step"]).withColumn("place", F.col("place").cast("int"))
 
 
 def visual_queue(clusters: DataFrame, top: int = 20) -> DataFrame:
@@ -162,7 +163,7 @@ def derived_pages(records: DataFrame, known: DataFrame) -> DataFrame:
     the known ones."""
     fresh = records.filter("page IS NOT NULL").select("page").distinct().join(known.select("page"), "page", "left_anti")
     before = known.agg(F.count("*").alias("_n"))
-    return fresh.crossJoin(F.broadcast(before)).select(F.format_string("page-%04d", F.col("_n") + F.row_number().over(Window.orderBy("page"))).alias("id"), "page")
+    return placed(fresh, ["page"]).crossJoin(F.broadcast(before)).select(F.format_string("page-%04d", F.col("_n") + F.col("place")).alias("id"), "page")
 
 
 def ledger_index(items: DataFrame) -> DataFrame:
