@@ -86,7 +86,10 @@ def _fields(exprs: dict[str, str]) -> list[str]:
 def every_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings of all detectors over all their sheets, numbered by category."""
     run = {**relations.QUERIES, **blocks.QUERIES}
-    parts = [run[name](spark, sf_dir).withColumnsRenamed({"left": "l", "right": "r"}).selectExpr(*_fields(exprs)) for name, _, exprs in DETECTORS]
+    shared = ("duplicate_columns", "fixed_difference", "fixed_ratio")  # three categories of one pass over the pairs
+    found = [(pairs.relations(sheets.supplier_cells(spark, sf_dir), **sheets.known(spark, sf_dir)), DETECTORS[0][2])]
+    found += [(run[name](spark, sf_dir), exprs) for name, _, exprs in DETECTORS if name not in shared]
+    parts = [df.withColumnsRenamed({"left": "l", "right": "r"}).selectExpr(*_fields(exprs)) for df, exprs in found]
     # One job per detector: what it broadcasts and sorts is given back before the next one.
     return ops.numbered([checkpointed(part) for part in parts])
 
