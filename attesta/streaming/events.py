@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 #: Longest detail that an event keeps.
 DETAIL = 2000
 STALE_SECONDS = 600
+#: Keys that no event shows, and the characters of its summary.
+STRIPPED = ("stdout", "stderr", "traceback", "full_output")
+SUMMARY = 200
 #: Events that a replay goes back at most, over all runs.
 BUFFER = 1000
 
@@ -19,6 +22,28 @@ def canonical(events: DataFrame, payload: str = "props", limit: int = DETAIL) ->
     return events.select("event_id", "ts", "user_id", "event_type", F.substring(payload, 1, limit).alias("detail"), (F.coalesce(F.length(payload), F.lit(0)) > limit).alias("truncated"))
 
 
+def contract(events: DataFrame, payload: str = "payload", limit: int = SUMMARY, stripped: tuple[str, ...] = STRIPPED) -> tuple[DataFrame, DataFrame]:
+    """Events whose JSON ``payload`` keeps to what may be shown, and the texts that were too
+    long for it. The payload's forbidden keys go, its detail is cut to ``limit`` characters
+    and given as summary too, and events gain log_ref, detail, summary and a map of the other
+    keys. A longer detail is a row (log_ref, text) of the second table, and so is the detail
+    of a failed event that names no log; a log is named by step and event_id, so a replay
+    writes the same names. A payload that is no JSON object has no keys. No aggregates:
+    both are projections, on batches and streams alike."""
+    keys = F.coalesce(F.from_json(payload, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    raw = events.withColumn("_keys", F.map_filter(keys, lambda k, _: ~k.isin(*stripped)))
+    text = F.coalesce(F.try_element_at("_keys", F.lit("detail")), F.lit(""))
+    step = F.coalesce(F.try_element_at("_keys", F.lit("key")), F.try_element_at("_keys", F.lit("step")), F.lit("unknown"))
+    raw = raw.withColumns({"_text": text, "_named": F.try_element_at("_keys", F.lit("log_ref"))})
+    failed = F.coalesce(F.try_element_at("_keys", F.lit("status")) == "failed", F.lit(False)) & F.col("_named").isNull() & (F.col("_text") != "")
+    spills = (F.length("_text") > limit) | failed
+    raw = raw.withColumn("log_ref", F.when(spills, F.concat(F.lit("logs/"), step, F.lit("_"), F.col("event_id").cast("string"), F.lit(".log"))).otherwise(F.col("_named")))
+    rest = F.map_filter("_keys", lambda k, _: ~k.isin("detail", "summary", "log_ref"))
+    cut = F.substring("_text", 1, limit)
+    shown = raw.withColumns({"detail": cut, "summary": cut, "other": rest}).drop(payload, "_keys", "_text", "_named")
+    return shown, raw.filter(spills).select("log_ref", F.col("_text").alias("text"))
+
+
 def replay(events: DataFrame, after: int | str, run_col: str | None = None, run: object = None, buffer: int = BUFFER) -> DataFrame:
     """The buffered events with ids beyond ``after``, of one run if it is named. The buffer
     holds the last events of all runs; an id that is no integer replays nothing."""
