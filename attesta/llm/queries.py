@@ -50,8 +50,16 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, media): a recording per vector. Those that follow a multiple of five hold a
+    part of the recording before them under noise, where there is one."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    before = vectors.filter("vec_id % 5 = 0").groupBy((F.col("vec_id") + 1).alias("vec_id")).agg(F.min("embedding").alias("before"))
+    return vectors.join(before, "vec_id", "left").select("vec_id", F.struct(F.col("vec_id").alias("seed"), "embedding", "before").alias("media"))
+
+
 def op7_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chroma.align(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", chroma.tones)
+    return chroma.align(recordings(spark, sf_dir), "vec_id", "media", chroma.cut_or_own)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
