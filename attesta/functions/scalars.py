@@ -31,6 +31,39 @@ def row_range(text: Column) -> Column:
     return F.when(a != "", F.struct(a.try_cast("int").alias("start"), b.try_cast("int").alias("end")))
 
 
+def column_range(text: Column) -> Column:
+    """'B-E' or '2-5' to struct<start,end> of column numbers; null for anything else."""
+    part = lambda kind, k: F.regexp_extract(text, rf"^\s*({kind}+)\s*-\s*({kind}+)\s*$", k)
+    letters = F.struct(*[col_to_index(part("[A-Za-z]", k)).alias(name) for k, name in ((1, "start"), (2, "end"))])
+    return F.when(part("[A-Za-z]", 1) != "", letters).otherwise(row_range(text))
+
+
+def cell_ranges(text: Column) -> Column:
+    """All 'A1:C9' of a text in order, as structs of their first and last row and column."""
+    shape = r"([A-Z]+)(\d+):([A-Z]+)(\d+)"
+    part = lambda x, k: F.regexp_extract(x, shape, k)
+    row, col = lambda x, k: part(x, k).try_cast("int"), lambda x, k: col_to_index(part(x, k))
+    one = lambda x: F.struct(row(x, 2).alias("first_row"), col(x, 1).alias("first_col"), row(x, 4).alias("last_row"), col(x, 3).alias("last_col"))
+    return F.transform(F.regexp_extract_all(text, F.lit(shape), F.lit(0)), one)
+
+
+def value_bucket(value: Column, width: float = 1e-6) -> Column:
+    """The number of the bucket of ``width`` that is nearest, ties to even; 0 for NaN and
+    infinities, null where the number is beyond a BIGINT."""
+    odd = F.isnan(value) | (F.abs(value) == float("inf"))
+    return F.when(odd, F.lit(0)).otherwise(F.rint(value / width).try_cast("long"))
+
+
+def report_id(prefix: str, at: Column, key: Column) -> Column:
+    """PREFIX-YYYYMM-XXXXXX: month of ``at``, and six hex digits of the key's SHA-256, so
+    that a report gets the same id when it is made again."""
+    return F.concat(F.lit(f"{prefix}-"), F.date_format(at, "yyyyMM"), F.lit("-"), F.upper(F.substring(F.sha2(key.cast("string"), 256), 1, 6)))
+
+
+def is_report_id(text: Column, prefix: str) -> Column:
+    return F.coalesce(text.rlike(rf"^{prefix}-\d{{6}}-[0-9A-Fa-f]{{6}}\z"), F.lit(False))
+
+
 def parse_number(raw: Column) -> Column:
     """Number text without commas and per cent signs; null if it is none (NaN and
     infinities included)."""

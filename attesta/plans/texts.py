@@ -182,7 +182,22 @@ _SCALAR_SQL = r"""WITH p AS (SELECT *, CAST(p_partkey % 18000 + 1 AS INTEGER) AS
            CASE WHEN n % 2 = 0 THEN 0.01 <= 1e-6 * (p_retailprice + 0.01) ELSE true END AS near, CASE WHEN length(p_name) > 8 THEN substr(p_name, 1, 7) || '…' ELSE p_name END AS short
     FROM (SELECT *, p_size / 50.0 * [1.0, 0.2, 0.6, 0.5][p_partkey % 4 + 1] AS w FROM f)"""
 
+def _ranges(spark, sf_dir):
+    """Parts whose sizes and keys make cell ranges, column ranges, buckets and report ids."""
+    letter = F.char(F.col("p_partkey") % 26 + 65)
+    text = F.concat(F.lit("see "), letter, F.col("p_size").cast("string"), F.lit(":AB"), (F.col("p_size") + 9).cast("string"), F.when(F.col("p_partkey") % 2 == 0, " and B2:AA3, c1:d2").otherwise(""))
+    found = scalars.cell_ranges(text)
+    made = scalars.report_id("RUN", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("p_partkey") % 1000).cast("int")), F.col("p_partkey"))
+    columns = scalars.column_range(F.concat(letter, F.when(F.col("p_size") % 3 == 0, "-9").otherwise(" - e")))
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", F.size(found).alias("n_ranges"), found[0]["first_row"].alias("first_row"), found[0]["first_col"].alias("first_col"), F.element_at(found, -1)["last_row"].alias("last_row"),
+        F.element_at(found, -1)["last_col"].alias("last_col"), columns["start"].alias("from_col"), columns["end"].alias("to_col"),
+        scalars.value_bucket(F.col("p_retailprice").cast("double"), 0.25).alias("bucket"), made.alias("report_id"), scalars.is_report_id(made, "RUN").alias("valid"),
+    )
+
+
 QUERIES = {
+    "ranges_and_buckets": _ranges,
     "number_extraction": lambda s, d: text.numbers(read(s, d, "documents")),
     "number_digits": lambda s, d: text.numbers(read(s, d, "documents")).select(profile.text_terminal_digit(F.col("raw")).alias("digit"), profile.first_digit(F.col("raw")).alias("first")).groupBy("digit", "first").agg(F.count("*").alias("n")),
     "repeated_numbers": lambda s, d: text.numbers(read(s, d, "documents")).groupBy("x").agg(F.count("*").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "x").limit(50),
@@ -203,6 +218,10 @@ QUERIES = {
 }
 
 SQL = {
+    "ranges_and_buckets": """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END::INTEGER AS n_ranges, p_size::INTEGER AS first_row, (p_partkey % 26 + 1)::INTEGER AS first_col,
+            CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE p_size + 9 END::INTEGER AS last_row, CASE WHEN p_partkey % 2 = 0 THEN 27 ELSE 28 END::INTEGER AS last_col,
+            CASE WHEN p_size % 3 <> 0 THEN (p_partkey % 26 + 1)::INTEGER END AS from_col, CASE WHEN p_size % 3 <> 0 THEN 5::INTEGER END AS to_col, round_even(p_retailprice::DOUBLE / 0.25, 0)::BIGINT AS bucket,
+            'RUN-' || strftime(DATE '2020-01-01' + (p_partkey % 1000)::INTEGER, '%Y%m') || '-' || upper(substr(sha256(p_partkey::VARCHAR), 1, 6)) AS report_id, true AS valid FROM part""",
     "number_extraction": f"WITH {_NUMBERS} SELECT doc_id, line, place, raw, TRY_CAST(replace(replace(raw, ',', ''), '%', '') AS DOUBLE) AS x FROM numbers",
     "number_digits": f"WITH {_NUMBERS} SELECT regexp_extract(replace(replace(raw, ',', ''), '%', ''), '(\\d)\\D*$', 1) AS digit, regexp_extract(regexp_replace(raw, '[-+.,]', '', 'g'), '^0*([1-9])', 1) AS first, count(*) AS n FROM numbers GROUP BY ALL",
     "repeated_numbers": f"WITH {_NUMBERS}, x AS (SELECT TRY_CAST(replace(replace(raw, ',', ''), '%', '') AS DOUBLE) AS x FROM numbers) SELECT x, count(*) AS n FROM x GROUP BY x HAVING count(*) >= 3 ORDER BY n DESC, x NULLS FIRST LIMIT 50",

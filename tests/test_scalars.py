@@ -64,3 +64,14 @@ def test_markup(spark):
     assert markup.blocks(docs.limit(0), "id", "j").count() == 0
     lines = spark.createDataFrame([(1, 1, "| a | b |"), (1, 2, "|---|:-:|"), (1, 3, "|1|  2|"), (1, 4, "text")], "id int, line int, body string")
     assert sorted((r.line, r.col, r.body) for r in markup.pipe_cells(lines, "id").collect()) == [(1, 0, "a"), (1, 1, "b"), (3, 0, "1"), (3, 1, "2")]
+
+
+def test_ranges_buckets_and_report_ids(spark):
+    rows = [("B-E", 0.5), (" 2 - 5 ", 1.5), ("b-3", float("nan")), ("A1:C9", float("-inf")), ("", 1e300), (None, None), ("see AA10:AB12,A1:A1", -2.5)]
+    df = spark.createDataFrame(rows, "t string, v double")
+    got = df.select(s.column_range(F.col("t")).alias("c"), s.cell_ranges(F.col("t")).alias("r"), s.value_bucket(F.col("v"), 1.0).alias("b")).collect()
+    assert [r.c and tuple(r.c) for r in got] == [(2, 5), (2, 5), None, None, None, None, None]
+    assert [r.r and [tuple(x) for x in r.r] for r in got] == [[], [], [], [(1, 1, 9, 3)], [], None, [(10, 27, 12, 28), (1, 1, 1, 1)]]
+    assert [r.b for r in got] == [0, 2, 0, 0, None, None, -2]
+    ids = spark.createDataFrame([("R-202401-0aF9bC",), ("R-202401-0aF9bC\n",), ("R-2024-0aF9bC",), ("Q-202401-000000",), (None,)], "t string")
+    assert [r[0] for r in ids.select(s.is_report_id(F.col("t"), "R")).collect()] == [True, False, False, False, False]
