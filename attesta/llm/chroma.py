@@ -5,18 +5,21 @@ classes, and an integral image over (frame, pitch class) gives the sum of any re
 in four reads. Sixteen filters compare two parts of a rectangle that slides over time;
 each answer is quantised to two Gray-coded bits, so every step yields one 32-bit integer.
 
-Two recordings are compared where they share landmarks: integers of a recording, kept by
-a hash of their value so that both sides keep the same ones. Landmarks that stand in over
-``CROWD`` places are too common to meet in; there the integers ``GAP`` steps on count too,
-first one, then three, and the longest landmarks meet whatever their number. Equal
-landmarks vote for the difference of their places; of the histogram, every offset with a
-quarter of the fullest one's votes is tried, and the least share of differing bits over
-the overlap decides. Recordings with equal fingerprints are one class and are matched once.
+Every integer of a recording is a landmark. Two landmarks meet where at most ``NEAR`` of
+their bits differ, and vote for the difference of their places. A match has at most the
+share ``ERRORS`` of differing bits, so that places with over ``NEAR`` of them can't be all:
+at least the share ``VOTES`` of its overlap votes for its offset. Every offset with so many
+votes is tried, and the least share of differing bits over the overlap decides; none is
+lost. Near landmarks share one of ten keys of 18 to 21 bits: of five parts of their bits,
+three are equal. Recordings are dealt out into blocks, and each block of queries meets each
+block of recordings in a group of its own, so that no key meets in one task, however
+common. Recordings with equal fingerprints are one class and are matched once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +39,17 @@ FILTERS = [(k % 5, (5 * k) % (13 - h), h, w) for k, (h, w) in enumerate((h, w) f
 CUT = 0.25
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
-#: Steps between the integers of a longer landmark, and how many a landmark has by level.
-GAP = 6
-LEVELS = (1, 2, 4)
-#: Places of a landmark from which on it is taken to the next level.
-CROWD = 4096
-#: One landmark value in so many is kept; 1 keeps all.
-EVERY = 2
 #: Steps of overlap, and share of differing bits of a match.
 OVERLAP, ERRORS = 24, 0.08
+#: Differing bits of landmarks that meet: some place of a match has no more of them.
+NEAR = int(32 * ERRORS)
+#: Share of a match's places that have at most so many, as each of the others has more.
+VOTES = 1 - 32 * ERRORS / (NEAR + 1)
+#: Bits of the keys: all but ``NEAR`` of ``NEAR`` + 3 parts.
+_MASKS = np.array([sum(1 << b for b in range(32) if b % (NEAR + 3) in kept) for kept in combinations(range(NEAR + 3), 3)], np.uint32)
+#: Integers of recordings in a block, and pairs of landmarks compared at once; a recording
+#: and a landmark count whole.
+CROWD, AT_ONCE = 1 << 16, 1 << 20
 #: Every row whose id is a multiple of this is a query.
 QUERY_STEP = 50
 
@@ -143,46 +148,110 @@ def fingerprints(df: DataFrame, id_col: str, media_col: str, decode: Callable[..
     return map_batches(df.select(id_col, media_col), run, f"`{id_col}` {kind}, fp array<int>")
 
 
-def landmarks(prints: DataFrame, every: int = EVERY) -> DataFrame:
-    """(id, place, key0, key1, ...) of the kept landmarks, with a key per level; where an
-    integer holds on, its first place. A key is null where the recording is too short."""
-    at = lambda i, k: F.get("fp", i + k * GAP)
-    longer = lambda n, i: F.when(F.size("fp") > i + (n - 1) * GAP, F.xxhash64(*[at(i, k) for k in range(n)]))
-    keys = [F.get("fp", F.col("place")).cast("long").alias("key0"), *[longer(n, F.col("place")).alias(f"key{k}") for k, n in enumerate(LEVELS[1:], 1)]]
-    placed = prints.filter(F.size("fp") > 0).select("id", "fp", F.explode(F.sequence(F.lit(0), F.size("fp") - 1)).alias("place"))
-    fresh = (F.col("place") == 0) | (at(F.col("place") - 1, 0) != at(F.col("place"), 0))
-    return placed.filter(fresh & _kept(at(F.col("place"), 0), every)).select("id", "place", *keys)
-
-
-def _kept(value: Column, every: int) -> Column:
-    return F.pmod(F.xxhash64(value.cast("int")), F.lit(every)) == 0
-
-
-def match(prints: DataFrame, queries: DataFrame, every: int = EVERY, crowd: int | None = CROWD) -> DataFrame:
+class _Block:
+    """The landmarks of a block's recordings: of equal integers in a row one, with its first
+    and last place."""
+
+    def __init__(self, prints: pa.ChunkedArray) -> None:
+        found = [p.values.to_numpy().view(np.uint32) for p in prints]
+        self.sizes = np.array([*map(len, found)], np.int64)
+        flat = np.concatenate(found)
+        own = np.repeat(np.arange(len(found)), self.sizes)
+        fresh = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (own[1:] != own[:-1])]))
+        self.value, self.own = flat[fresh], own[fresh]
+        self.first = fresh - (np.cumsum(self.sizes) - self.sizes)[self.own]
+        self.last = self.first + np.diff(np.append(fresh, len(flat))) - 1
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``counts`` its index so many times, and the turns."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) - (np.cumsum(counts) - counts)[which]
+
+
+def _parts(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of ``counts`` that sum to about ``AT_ONCE``, at least one each."""
+    turn = np.cumsum(counts) // AT_ONCE
+    bounds = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(counts)]
+    return zip(bounds, bounds[1:], strict=False)
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+
+
+def _votes(asked: _Block, marks: _Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, recording, offset) by their places in the blocks, of all offsets with enough
+    votes for a match."""
+    tables = []
+    for mask in _MASKS:
+        order = np.argsort(marks.value & mask, kind="stable")
+        held, wanted = (marks.value & mask)[order], asked.value & mask
+        low = np.searchsorted(held, wanted)
+        tables.append((order, low, np.searchsorted(held, wanted, "right") - low))
+    met = np.bincount(asked.own, sum(n for _, _, n in tables), len(asked.sizes)).astype(np.int64)
+    left, span = int(asked.sizes.max()), int(asked.sizes.max() + marks.sizes.max())
+    for start, end in _parts(met):
+        some = slice(*np.searchsorted(asked.own, [start, end]))
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, (order, low, n) in enumerate(tables):
+            for a, b in _parts(n[some]):
+                a, b = a + some.start, b + some.start
+                i, turn = _spread(n[a:b])
+                i, j = i + a, order[low[a:b][i] + turn]
+                apart = asked.value[i] ^ marks.value[j]
+                near = np.flatnonzero(np.bitwise_count(apart) <= NEAR)
+                # Of the keys that two landmarks share, the first counts.
+                near = near[np.all(apart[near, None] & _MASKS[:k], axis=1)]
+                i, j = i[near], j[near]
+                lowest = marks.first[j] - asked.last[i]
+                width = marks.last[j] - asked.first[i] - lowest + 1
+                for c, d in _parts(width):
+                    which, turn = _spread(width[c:d])
+                    p, q, offset = i[c:d][which], j[c:d][which], lowest[c:d][which] + turn
+                    places = np.minimum(asked.last[p], marks.last[q] - offset) - np.maximum(asked.first[p], marks.first[q] - offset) + 1
+                    one = _summed([(asked.own[p] * len(marks.sizes) + marks.own[q]) * span + offset + left], [places])
+                    keys.append(one[0])
+                    counts.append(one[1])
+        key, count = _summed(keys, counts)
+        pair, offset = key // span, key % span - left
+        query, other = pair // len(marks.sizes), pair % len(marks.sizes)
+        overlap = np.minimum(asked.sizes[query], marks.sizes[other] - offset) - np.maximum(0, -offset)
+        enough = (overlap >= OVERLAP) & (count >= VOTES * overlap - 1e-6)
+        yield query[enough], other[enough], offset[enough]
+
+
+def _blocks(prints: DataFrame, crowd: int | None) -> int:
+    whole = prints.agg(F.sum(F.size("fp")), F.count("*")).first()
+    return max(1, min(-(-(whole[0] or 0) // crowd), whole[1])) if crowd else 1
+
+
+def match(prints: DataFrame, queries: DataFrame, crowd: int | None = CROWD) -> DataFrame:
     """(query, id, offset, overlap, bit_error): recordings of ``prints`` (id, fp) that align
-    with one of ``queries`` (id, fp). Place p of the query is place p + offset of the other.
-    Without a ``crowd`` every kept landmark meets all its equals, and with ``every`` 1 so
-    does every integer: what is lost then has no integer in common at its offset."""
-    marks, asked = landmarks(prints, every), landmarks(queries, every).withColumnsRenamed({"id": "query", "place": "from"})
-    votes = None
-    for level in range(len(LEVELS)):
-        key = f"key{level}"
-        asking = asked.filter(F.col(key).isNotNull()).select("query", "from", key)
-        common = None
-        if crowd is not None and level + 1 < len(LEVELS):
-            common = cut(marks.groupBy(key).count().filter(F.col("count") > crowd).select(key))
-            found = asking.join(marks.join(common, key, "left_anti").select("id", "place", key), key)
-        else:
-            found = asking.join(marks.select("id", "place", key), key)
-        found = found.select("query", "id", (F.col("place") - F.col("from")).alias("offset"))
-        votes = found if votes is None else votes.unionByName(found)
-        if common is None or common.isEmpty():
-            break
-        marks, asked = marks.join(common, key, "left_semi"), asked.join(common, key, "left_semi")
-    counted = votes.filter("query <> id").groupBy("query", "id", "offset").count()
-    pairs = counted.groupBy("query", "id").agg(F.max("count").alias("most"), F.collect_list(F.struct("offset", "count")).alias("bins"))
-    offsets = F.transform(F.filter("bins", lambda b: b["count"] * 4 >= F.col("most")), lambda b: b["offset"])
-    pairs = pairs.select("query", "id", offsets.alias("offsets"))
+    with one of ``queries`` (id, fp), all of them. Place p of the query is place p + offset of
+    the other. Blocks hold about ``crowd`` integers, or all; they change no result."""
+    prints, queries = (x.filter(F.size("fp") > 0).select("id", "fp") for x in (prints, queries))
+    many, asking = _blocks(prints, crowd), _blocks(queries, crowd)
+    kind = prints.schema["id"].dataType.simpleString()
+
+    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = [left.schema.field("id").type, right.schema.field("id").type, pa.int32()]
+        parts = []
+        if left.num_rows and right.num_rows:
+            for query, other, offset in _votes(_Block(left["fp"]), _Block(right["fp"])):
+                parts.append([left["id"].take(pa.array(query)), right["id"].take(pa.array(other)), pa.array(offset, pa.int32())])
+        names = ["query", "id", "offset"]
+        empty = pa.table([pa.array([], k) for k in kinds], names=names)
+        return pa.concat_tables([empty, *(pa.table(p, names=names) for p in parts)])
+
+    asked = dealt(queries, "_from", asking, "_to", many).groupBy("_from", "_to")
+    marks = dealt(prints, "_to", many, "_from", asking).groupBy("_from", "_to")
+    pairs = asked.cogroup(marks).applyInArrow(meet, f"query {kind}, id {kind}, offset int")
+    pairs = pairs.filter("query <> id").groupBy("query", "id").agg(F.collect_set("offset").alias("offsets"))
     both = pairs.join(queries.select(F.col("id").alias("query"), F.col("fp").alias("a")), "query").join(prints.select("id", F.col("fp").alias("b")), "id")
 
     def tried(offset: Column) -> Column:
@@ -197,7 +266,7 @@ def match(prints: DataFrame, queries: DataFrame, every: int = EVERY, crowd: int
     return scored.filter(F.col("best.bit_error") <= ERRORS).select("query", "id", "best.offset", "best.overlap", "best.bit_error")
 
 
-def align(df: DataFrame, id_col: str, media_col: str, decode: Callable[..., np.ndarray] = pcm16, step: int = QUERY_STEP, every: int = EVERY, crowd: int | None = CROWD) -> DataFrame:
+def align(df: DataFrame, id_col: str, media_col: str, decode: Callable[..., np.ndarray] = pcm16, step: int = QUERY_STEP, crowd: int | None = CROWD) -> DataFrame:
     """Membership and matches of recordings, as (id, match_id, kind, offset, overlap,
     bit_error). A 'member' row for every input row names its class: the smallest id with
     the same fingerprint. A 'match' row aligns the class of a query - an id that is a
@@ -208,7 +277,7 @@ def align(df: DataFrame, id_col: str, media_col: str, decode: Callable[..., np.n
     numeric = isinstance(df.schema[id_col].dataType, NumericType)
     asked = F.max((F.col("id") if numeric else F.xxhash64("id")) % step == 0)
     classes = cut(prints.filter("size(fp) > 0").groupBy("sha").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), asked.alias("asked")).filter("id IS NOT NULL"))
-    found = match(classes.select("id", "fp"), classes.filter("asked").select("id", "fp"), every, crowd)
+    found = match(classes.select("id", "fp"), classes.filter("asked").select("id", "fp"), crowd)
     matched = found.select(F.col("query").alias(id_col), F.col("id").alias("match_id"), F.lit("match").alias("kind"), "offset", "overlap", "bit_error")
     named = prints.select("id", "sha", F.size("fp").alias("n")).join(classes.select("sha", F.col("id").alias("class")), "sha", "left")
     members = named.select(F.col("id").alias(id_col), F.coalesce("class", "id").alias("match_id"), F.lit("member").alias("kind"), F.lit(0).alias("offset"), F.col("n").alias("overlap"), F.lit(0.0).alias("bit_error"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,54 @@ def test_recall_by_noise(spark, crowd):
     assert sum(got[p] == want[p] for p in got) / len(got) > 0.95
 
 
+@pytest.mark.parametrize("crowd", [1 << 16, 200, None])
+def test_every_match_against_all_offsets(spark, crowd):
+    """Matches without one equal integer, with integers that all recordings share, with
+    equal integers in a row, and with repeats that crowd another offset: none is lost."""
+    draw = np.random.default_rng(12)
+    common = draw.integers(0, 1 << 32, 30, dtype=np.uint32)
+
+    def noised(print_, most):
+        out = print_.copy()
+        for k in range(len(out)):
+            for bit in draw.choice(32, draw.integers(0, most + 1) if most > 2 else most, replace=False):
+                out[k] ^= np.uint32(1 << bit)
+        return out
+
+    prints = {}
+    for k in range(0, 1000, 50):
+        base = draw.integers(0, 1 << 32, draw.integers(40, 90), dtype=np.uint32)
+        base[5:9] = base[5]
+        prints[k] = base
+        prints[k + 1] = noised(base[draw.integers(12) :], 2)
+        prints[k + 2] = noised(np.concatenate([base[8:], base[:30]]), 5)
+        prints[k + 3] = np.concatenate([noised(common[:8], 1), base[10:34], common[8:]])
+        prints[k + 4] = noised(base[-24:], 4)
+    for k in range(1001, 1200):
+        prints[k] = np.concatenate([common[:12], draw.integers(0, 1 << 32, 30, dtype=np.uint32)])
+    prints[1250], prints[1201] = np.full(300, 7, np.uint32), np.concatenate([np.full(90, 5, np.uint32), common])
+    rows = [(i, p.view(np.int32).tolist()) for i, p in prints.items()]
+    df = spark.createDataFrame(rows, "id long, fp array<int>").repartition(4)
+    want = brute(prints)
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesced, "false")
+    found = chroma.match(df, df.filter("id % 50 = 0"), crowd=crowd).collect()
+    spark.conf.unset(coalesced)
+    assert len(want) > 50 and {(r.query, r.id): (r.bit_error, r.offset, r.overlap) for r in found} == want
+    assert len(found) == len(want)
+    assert sum(not np.any(prints[q][max(0, -o) :][:n] == prints[i][max(0, o) :][:n]) for (q, i), (_, o, n) in want.items()) >= 15
+
+
+def test_landmarks_are_compared_in_parts(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    prints = [draw.integers(0, 4, 60).astype(np.int32) for _ in range(6)]
+    blocks = [chroma._Block(pa.chunked_array([pa.array(prints[a:b], pa.list_(pa.int32()))])) for a, b in ((0, 3), (3, 6))]
+    whole = {x for part in chroma._votes(*blocks) for x in zip(*(v.tolist() for v in part), strict=True)}
+    monkeypatch.setattr(chroma, "AT_ONCE", 7)
+    parts = [x for part in chroma._votes(*blocks) for x in zip(*(v.tolist() for v in part), strict=True)]
+    assert len(whole) > 100 and len(parts) == len(whole) and set(parts) == whole
+
+
 def test_ids_that_are_text(spark):
     base = chroma.tones(np.random.default_rng(1).normal(size=64).tolist())
     rows = [(f"r{i}", chroma.fingerprint(base[128 * i :]).view(np.int32).tolist()) for i in range(4)]
