@@ -8,6 +8,10 @@ at 0.8 about ten of 64 bits differ, and tables that cover as many bits are thous
 Sets that meet under a key are compared exactly. Keys with the same members count once;
 larger groups are split into blocks by a salt, and each pair of blocks emits a spanning
 forest of its links, as in ``simhash``.
+
+With a ``radius``, texts whose SimHash fingerprints differ in at most so many bits are
+linked too, by ``simhash.links``, and groups are those of both kinds of links. Fingerprints
+weigh shingles by their number, so they link texts whose sets are not similar.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm.common import cut, slices, trimmed
-from attesta.llm.simhash import _FOLD, components, label_rows, name_components
+from attesta.llm.simhash import _FOLD, components, label_rows, name_components, simhash
+from attesta.llm.simhash import links as fingerprint_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -66,17 +71,18 @@ def _vertex(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 42)).view(np.int64))
 
 
-def _sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sketches(df: DataFrame, id_col: str, text_col: str, printed: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, AT_ONCE) if batch.num_rows else ():
                 sets = [shingles(t.as_py()) for t in part.column(1)]
                 keys = pa.array([band_keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.record_batch([part.column(0), part.column(2), pa.array(map(_vertex, sets), pa.int64()), keys], names=[id_col, "text_hash", "vertex", "keys"])
+                prints = np.array([simhash(t.as_py()) if printed else 0 for t in part.column(1)], np.uint64).view(np.int64)
+                yield pa.record_batch([part.column(0), part.column(2), pa.array(map(_vertex, sets), pa.int64()), keys, pa.array(prints)], names=[id_col, "text_hash", "vertex", "keys", "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash"))
-    return rows.mapInArrow(trimmed(run), f"`{id_col}` {kind}, text_hash long, vertex long, keys array<long>")
+    return rows.mapInArrow(trimmed(run), f"`{id_col}` {kind}, text_hash long, vertex long, keys array<long>, fp long")
 
 
 def _sets(df: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -181,13 +187,27 @@ def links(df: DataFrame, vertices: DataFrame, text_col: str = "text", similarity
     return ready.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
-def groups_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def _by_fingerprint(sketches: DataFrame, radius: int, block: int) -> DataFrame:
+    """(a, b) edges between vertices of ``sketches`` (vertex, fp): each fingerprint stands at
+    its least vertex, is linked with its others, and with those of fingerprints near it."""
+    met = cut(sketches.select("vertex", "fp").distinct())
+    least = cut(met.groupBy("fp").agg(F.min("vertex").alias("at"), F.count("*").alias("n")))
+    same = met.join(least.filter("n > 1"), "fp").filter("vertex <> at").select(F.col("vertex").alias("a"), F.col("at").alias("b"))
+    near = fingerprint_links(least.select("fp"), radius, block)
+    ends = near.join(least.select(F.col("fp").alias("a"), F.col("at").alias("u")), "a").join(least.select(F.col("fp").alias("b"), F.col("at").alias("v")), "b")
+    return same.unionByName(ends.select(F.col("u").alias("a"), F.col("v").alias("b")))
+
+
+def groups_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, block: int = BLOCK, radius: int | None = None) -> DataFrame:
     """(id, text_hash, component_id) of every row: texts whose sets of five-word shingles have a
-    Jaccard similarity of at least ``similarity`` are linked; component_id is the smallest
+    Jaccard similarity of at least ``similarity`` are linked, and with a ``radius`` those whose
+    fingerprints differ in at most so many bits; component_id is the smallest
     id reachable and text_hash is Spark's xxhash64 of the text. Null and empty texts are copies of each other; repeated rows stay
     repeated; null ids never name a component unless it has no other id."""
-    sketches = cut(_sketches(df, id_col, text_col))
+    sketches = cut(_sketches(df, id_col, text_col, radius is not None))
     vertices = cut(sketches.groupBy("vertex").agg(F.min(id_col).alias("least"), F.count("*").alias("n"), F.first("keys").alias("keys")))
-    roots = components(links(df, vertices, text_col, similarity, block))
-    named = name_components(vertices.drop("keys"), roots, "vertex")
+    edges = links(df, vertices, text_col, similarity, block)
+    if radius is not None:
+        edges = edges.unionByName(_by_fingerprint(sketches, radius, block))
+    named = name_components(vertices.drop("keys"), components(edges), "vertex")
     return label_rows(sketches.select(id_col, "text_hash", "vertex"), named, "vertex").select(id_col, "text_hash", "component_id")

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import bpe, decontaminate, near_copies, quality, secrets
+from attesta.llm import bpe, decontaminate, near_copies, quality, secrets, simhash
 from attesta.llm.common import delete_folder, ensure_checkpoint_dir, table
 from attesta.llm.queries import vocabulary
 
@@ -30,11 +30,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more), the
-    document with the smallest id stays. Texts without words are copies of each other. Rows
+    """Of each group of near copies, the document with the smallest id stays. Links are those
+    of op1 (SimHash fingerprints that differ in at most four bits) and those of five-word
+    shingles with a similarity of 0.8 or more. Texts without words are copies of each other. Rows
     with one id and one text are one document, rows with one id and different texts are
     not; rows without an id stay."""
-    groups = near_copies.groups_of(docs)
+    groups = near_copies.groups_of(docs, radius=simhash.RADIUS)
     dropped = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id", F.col("text_hash").alias("_hash")).distinct()
     same = (docs["doc_id"] == dropped["doc_id"]) & (F.xxhash64(docs["text"]) == dropped["_hash"])
     return docs.join(dropped, same, "left_anti")

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from attesta.llm import near_copies
+from attesta.llm import near_copies, simhash
 from tests.llm.test_near_and_filters import brute_roots
 
 
@@ -55,3 +55,31 @@ def test_stage_drops_edited_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()}
     assert left == {2 * k for k in range(60)}
+
+
+def test_stage_drops_documents_of_near_fingerprints(spark):
+    """op1's links count too: a line that is repeated outweighs what follows it, so texts have
+    near fingerprints while their shingle sets differ. Groups are those of both links."""
+    draw = random.Random(5)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    rows = []
+    for k in range(0, 60, 3):
+        line = " ".join(word() for _ in range(7)) + " "
+        first, second = (line * 60 + " ".join(word() for _ in range(12)) for _ in range(2))
+        # The third is a near copy of the second's only by its shingles.
+        third = " ".join(dict.fromkeys(second.split())) if k % 2 else second + " " + word()
+        rows += [(k, first), (k + 1, second), (k + 2, third)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {i: simhash.simhash(t) for i, t in rows}
+    linked = [(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= 4]
+    sets = {i: Linked(grams(t)) for i, t in rows}
+    similar = [(i, j) for i in sets for j in sets if i < j and not sets[i] ^ sets[j]]
+    assert len({*linked} - {*similar}) >= 15
+    root = {i: i for i in prints}
+    for _ in rows:
+        for i, j in linked + similar:
+            root[i] = root[j] = min(root[i], root[j])
+    got = {r.doc_id: r.component_id for r in near_copies.groups_of(docs, radius=simhash.RADIUS).collect()}
+    assert got == root
+    left = {r.doc_id for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()}
+    assert left == {i for i in root if root[i] == i} and len(left) < 50
