@@ -7,12 +7,14 @@ LSTM over characters with a linear-chain CRF, trained in numpy on labelled spans
 of sampled texts, where the patterns give the labels, and the same texts with such forms
 written into them (``written_forms``), among numbers that are no personal data.
 
-Every text is covered by overlapping windows; a window without a digit, an ``@`` and a
-lone ``dot`` is all "outside", as a span needs one of them, and is not computed. Each
-other window is decoded on its own (Viterbi), a character takes its label from the window
-in which it is most central, and the spans are read off the whole text. A model span is
-added where no pattern span overlaps it, its marginals are sure, and what is left of it
-without its guards passes its kind's check.
+Every text is covered by overlapping windows. Each is decoded on its own (Viterbi), a
+character takes its label from the window in which it is most central, and the spans are
+read off the whole text. A model span is added where no pattern span overlaps it, its
+marginals are sure, and what is left of it without its guards passes its kind's check. No
+span passes without a seed: a digit, an ``@``, or an ``at`` that a name and a dot follow.
+So the windows over seeds and pattern spans come first, and then those over whatever a
+labelled stretch reaches, until every such stretch is whole; the windows left over can't
+change a result.
 """
 
 from __future__ import annotations
@@ -51,6 +53,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANCHOR = re.compile(r"[0-9@]|(?i:(?<![a-z])dot(?![a-z]))")
+#: What every span that passes its check holds. Guards may stand loosely: more is found.
+_SEED = re.compile(r"[0-9@]|(?i:(?<=[\s(\[{])at(?=\s*+(?:[)\]}]\s*+)?[a-z0-9-]++\s*+(?:[(\[{]\s*+)?(?:dot|\.)))")
 _CHARS = " @.-+()_%:/,;'\"=\n#[]{}|"
 #: Symbols: padding, digits, 26 letters in either case, wide characters, marks, others.
 _OTHER = 29 + len(_CHARS)
@@ -126,7 +130,8 @@ _SYMBOL[128] = 28
 
 
 def windows(text: str) -> np.ndarray:
-    """Starts of the windows that hold an anchor: a digit, an ``@`` or a lone ``dot``."""
+    """Starts of the windows that hold an anchor: a digit, an ``@`` or a lone ``dot``. The
+    model is fitted on such windows; what it is asked about, ``_Cover`` tells."""
     last = max(0, -(-(len(text) - WIDTH) // STRIDE))
     found: set[int] = set()
     for m in _ANCHOR.finditer(text):
@@ -280,20 +285,35 @@ class Tagger:
         return np.concatenate(labels), np.concatenate(sure)
 
 
-def reconcile(length: int, starts: np.ndarray, labels: np.ndarray, sure: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(kind, start, end, mean marginal) over a whole text: each character follows the
-    window in whose middle it lies nearest."""
-    whole, score, centred = np.zeros(length, np.int8), np.zeros(length), np.full(length, -1)
+def _bare(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Label, marginal and distance to the window's edge of each character, before any."""
+    return np.zeros(length, np.int8), np.zeros(length), np.full(length, -1)
+
+
+def _lay(laid: tuple[np.ndarray, np.ndarray, np.ndarray], starts: np.ndarray, labels: np.ndarray, sure: np.ndarray) -> None:
+    """Adds windows: each character follows the one in whose middle it lies nearest."""
+    whole, score, centred = laid
     near = np.minimum(np.arange(WIDTH), np.arange(WIDTH)[::-1])
     for s, y, p in zip(starts.tolist(), labels, sure, strict=True):
-        n = min(WIDTH, length - s)
+        n = min(WIDTH, len(whole) - s)
         better = near[:n] > centred[s : s + n]
         at = np.flatnonzero(better) + s
         whole[at], score[at], centred[at] = y[:n][better], p[:n][better], near[:n][better]
+
+
+def _stretches(whole: np.ndarray, score: np.ndarray) -> list[tuple[int, int, int, float]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], whole, [0]])))
     return [(int(whole[a]) - 1, a, b, float(score[a:b].mean())) for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False) if whole[a]]
 
 
+def reconcile(length: int, starts: np.ndarray, labels: np.ndarray, sure: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(kind, start, end, mean marginal) over a whole text: each character follows the
+    window in whose middle it lies nearest."""
+    laid = _bare(length)
+    _lay(laid, starts, labels, sure)
+    return _stretches(*laid[:2])
+
+
 def _word(draw: random.Random, low: int, high: int, letters: str = "abcdefghijklmnopqrstuvwxyz") -> str:
     return "".join(draw.choices(letters, k=draw.randint(low, high)))
 
@@ -387,41 +407,84 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit
     return tagger.fit(unpack("codes"), unpack("labels"))
 
 
+_NONE = np.zeros((0, WIDTH), np.int8)
+
+
+class _Cover:
+    """The windows of a text that are computed, and what they gave. A block is a stretch of
+    ``STRIDE`` characters; it is settled when both windows over it are computed."""
+
+    def __init__(self, text: str, base: list[tuple[int, int, int]]) -> None:
+        self.codes = symbols(text).astype(np.uint8)
+        self.last = max(0, -(-(len(text) - WIDTH) // STRIDE))
+        self.blocks = -(-len(text) // STRIDE)
+        self.settled, self.done = np.zeros(self.blocks, bool), np.zeros(self.last + 1, bool)
+        self.laid = _bare(len(text))
+        found = {m.start() // STRIDE for m in _SEED.finditer(text)}
+        for _, start, end in base:
+            found.update(range(start // STRIDE, (end - 1) // STRIDE + 1))
+        self.wanted = self._over(np.array(sorted(found), np.int64))
+
+    def _over(self, blocks: np.ndarray) -> np.ndarray:
+        """Numbers of the windows over ``blocks`` that are not computed yet."""
+        self.settled[blocks] = True
+        both = np.unique(np.clip(np.concatenate([blocks - 1, blocks]), 0, self.last))
+        return both[~self.done[both]]
+
+    def take(self, labels: np.ndarray, sure: np.ndarray) -> None:
+        """Takes what the wanted windows gave, and wants the windows over the blocks that
+        labelled stretches of settled ones reach."""
+        self.done[self.wanted] = True
+        _lay(self.laid, self.wanted * STRIDE, labels, sure)
+        edge = np.diff(np.concatenate([[False], self.settled, [False]]).astype(np.int8))
+        whole = self.laid[0]
+        firsts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        before = firsts[(firsts > 0) & (whole[firsts * STRIDE] > 0)] - 1
+        after = ends[ends < self.blocks]
+        after = after[whole[after * STRIDE - 1] > 0]
+        self.wanted = self._over(np.unique(np.concatenate([before, after])))
+        if not len(self.wanted) and (len(before) or len(after)):
+            self.take(_NONE, _NONE)
+
+
 def _find(texts: list[str], tagger: Tagger) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[float]]]:
     """Pattern spans of each text, model spans added to them, and how sure the model is of
     each pattern span."""
     base = [strict_spans(t) if _ANCHOR.search(t) else [] for t in texts]
-    judged: list[tuple[list[tuple[int, int, int]], list[float]]] = [([], [0.0] * len(b)) for b in base]
-    starts = [windows(t) for t in texts]
-    for k, (text, places) in enumerate(zip(texts, starts, strict=True)):
-        if len(places) > CHUNK:  # a text with many windows goes alone
-            judged[k] = _judged(text, places, *_tagged(text, places, tagger), base[k])
-    busy = [k for k, s in enumerate(starts) if 0 < len(s) <= CHUNK]
-    if busy:
-        labels, sure = tagger.tag(np.concatenate([_cut(symbols(texts[k]), starts[k]) for k in busy]))
-        at = 0
-        for k in busy:
-            n = len(starts[k])
-            judged[k] = _judged(texts[k], starts[k], labels[at : at + n], sure[at : at + n], base[k])
-            at += n
-    return [(b, *j) for b, j in zip(base, judged, strict=True)]
-
-
-def _tagged(text: str, starts: np.ndarray, tagger: Tagger) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and marginals of one text's windows, cut out and computed by chunks."""
-    codes = symbols(text).astype(np.uint8)
-    found = [tagger.tag(_cut(codes, starts[at : at + CHUNK]).astype(np.int64)) for at in range(0, len(starts), CHUNK)]
+    covers = {k: c for k, t in enumerate(texts) if t and len((c := _Cover(t, base[k])).wanted)}
+    open_ = [*covers]
+    while open_:
+        busy = [k for k in open_ if len(covers[k].wanted) <= CHUNK]
+        for k in open_:
+            if len(covers[k].wanted) > CHUNK:  # a text with many windows goes alone
+                covers[k].take(*_tagged(covers[k], tagger))
+        if busy:
+            labels, sure = tagger.tag(np.concatenate([_cut(covers[k].codes, covers[k].wanted * STRIDE) for k in busy]).astype(np.int64))
+            at = 0
+            for k in busy:
+                n = len(covers[k].wanted)
+                covers[k].take(labels[at : at + n], sure[at : at + n])
+                at += n
+        open_ = [k for k in open_ if len(covers[k].wanted)]
+    nothing = lambda b: ([], [0.0] * len(b))
+    return [(b, *(_judged(t, c.laid, b) if (c := covers.get(k)) else nothing(b))) for k, (t, b) in enumerate(zip(texts, base, strict=True))]
+
+
+def _tagged(cover: _Cover, tagger: Tagger) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and marginals of one text's wanted windows, cut out and computed by chunks."""
+    starts = cover.wanted * STRIDE
+    found = [tagger.tag(_cut(cover.codes, starts[at : at + CHUNK]).astype(np.int64)) for at in range(0, len(starts), CHUNK)]
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _judged(text: str, starts: np.ndarray, labels: np.ndarray, sure: np.ndarray, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], list[float]]:
+def _judged(text: str, laid: tuple[np.ndarray, np.ndarray, np.ndarray], base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], list[float]]:
     """The model's spans of one text that are sure, pass their check and touch no pattern
     span; and per pattern span the marginals of its characters that the model gives the
     same kind, over all its characters."""
     taken, kind, weight = np.zeros(len(text), bool), np.zeros(len(text), np.int8), np.zeros(len(text))
     for _, a, b in base:
         taken[a:b] = True
-    found = reconcile(len(text), starts, labels, sure)
+    found = _stretches(*laid[:2])
     for k, a, b, mean in found:
         kind[a:b], weight[a:b] = k + 1, mean
     added = [(k, a, b) for k, a, b, mean in found if mean >= SURE and not taken[a:b].any() and unguarded(KINDS[k], text[a:b])]

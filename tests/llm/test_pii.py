@@ -154,6 +154,42 @@ def test_pattern_spans_are_judged(spark, tagger):
     assert added / hard < 0.05, (added, hard)
 
 
+def test_spans_are_those_of_all_windows(spark, tagger):
+    """Texts with every form, some without digit, ``@`` and ``dot``, against all windows."""
+    draw = random.Random(11)
+    docs = table(spark, "/root/testdata/sf0.01", "documents").filter("text IS NOT NULL").orderBy("doc_id").limit(60).collect()
+    texts = [pii.with_written_forms(r.text, r.doc_id + 7, many=6)[0] for r in docs] + [r.text[:3000] for r in docs[:15]]
+    names = [("".join(draw.choices("abcdefghijklmnop", k=draw.randint(3, 8))), draw.choice(["(at)", " [at] ", " at "]), draw.choice([".", " . ", "(.)"])) for _ in range(60)]
+    texts += ["they wrote about it in the evening and " * 2 + f"{n}{at}mailbox{dot}org" + " was what they had said to us all " * 2 for n, at, dot in names]
+    texts += ["7", "a", "jo(at)mail.org", "x" * 64 + "1", "y" * 63 + "@", "1" * 700]
+    lost = 0
+
+    def judged(text, starts, base):
+        laid = pii._bare(len(text))
+        if len(starts):
+            pii._lay(laid, starts, *tagger.tag(pii._cut(pii.symbols(text), starts)))
+        return pii._judged(text, laid, base)
+
+    for text, (base, extra, sure) in zip(texts, pii._find(texts, tagger), strict=True):
+        starts = np.arange(max(0, -(-(len(text) - pii.WIDTH) // pii.STRIDE)) + 1) * pii.STRIDE
+        want, want_sure = judged(text, starts, base)
+        assert extra == want and np.allclose(sure, want_sure, atol=1e-4), text
+        lost += len({*want} - {*judged(text, pii.windows(text), base)[0]})
+    assert lost >= 5, lost
+
+
+def test_every_passing_form_holds_a_seed():
+    draw = random.Random(4)
+    parts = ["jo", "a", "at", "AT", "dot", "Dot", ".", "@", " ", "  ", "(", ")", "[", "]", "{", "}", "\n", "org", "x-y", "é"]
+    passed = 0
+    for _ in range(600_000):
+        body = "".join(draw.choices(parts, k=draw.randint(5, 11)))
+        if pii.unguarded("email", body):
+            passed += 1
+            assert pii._SEED.search(body), body
+    assert passed > 50
+
+
 def test_find_keeps_base_spans(spark):
     draw = random.Random(1)
     words = ["the", "and", "of", "thing", "ering"]
