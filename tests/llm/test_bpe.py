@@ -1,5 +1,7 @@
+import gc
 import hashlib
 import json
+import pickle
 import random
 from itertools import chain
 
@@ -115,3 +117,17 @@ def test_documents_against_the_library(spark, library):
     encoded = bpe.encode(both.filter("doc_id < 20"), bpe.read_vocabulary(PATH))
     assert encoded.join(bpe.decode(encoded, bpe.read_vocabulary(PATH)), "doc_id").filter("decoded <> text").count() == 0
     assert bpe.encode(both.limit(0), bpe.read_vocabulary(PATH)).count() == 0
+
+
+def test_driver_keeps_the_tokenizer_packed(spark):
+    """The unfolded tables are a tenth of a small driver's memory."""
+    alive = lambda: sum(isinstance(x, bpe.MergeAutomaton) for x in gc.get_objects())
+    gc.collect()
+    before = alive()
+    content = bpe.read_vocabulary(PATH) + "\n"  # compiled by no other test
+    key, shared = bpe.share(spark, content)
+    gc.collect()
+    assert alive() == before
+    assert len(pickle.dumps(bpe.packed(content))) < 8 << 20
+    read = spark.sparkContext.parallelize([0], 1).map(lambda _: type(shared.value).__name__ + shared.value.key).first()
+    assert read == "Tokenizer" + key

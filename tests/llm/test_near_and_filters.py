@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from attesta.llm import decontaminate, simhash, url_filter
-from attesta.llm.common import cut_spans
+from attesta.llm.common import cut, cut_spans
 
 
 def brute_print(text):
@@ -100,6 +100,30 @@ def test_near_duplicates_of_fingerprint_crowds(spark):
     assert {v: roots.get(v, v) for v in signed} == expected
 
 
+def test_components_stop_at_stars_in_few_parts(spark, monkeypatch):
+    """A forest of stars takes no round, others none beyond the last that changes edges, and
+    the tables of rounds have no more parts than their edges need."""
+    made = []
+    monkeypatch.setattr(simhash, "cut", lambda df: made.append(cut(df)) or made[-1])
+    stars = spark.createDataFrame([(1, 5), (7, 1), (1, 9), (20, 21)], "a long, b long")
+    assert {(r.vertex, r.root) for r in simhash.components(stars).collect()} == {(1, 1), (5, 1), (7, 1), (9, 1), (20, 20), (21, 20)}
+    assert len(made) == 1
+    made.clear()
+    draw = random.Random(4)
+    pairs = [(k, k + 1) for k in range(40)] + [(draw.randrange(100, 200), draw.randrange(100, 200)) for _ in range(80)]
+    root = {v: v for pair in pairs for v in pair}
+    for _ in range(200):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    found = {r.vertex: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert {v: found.get(v, v) for v in root} == root
+    tables = [sorted(map(tuple, df.collect())) for df in made]
+    assert len(tables) > 2 and tables[-1] != tables[-2]
+    assert [df.rdd.getNumPartitions() for df in made[1:]] == [1] * (len(made) - 1)
+    empty = spark.createDataFrame([], "a long, b long")
+    assert simhash.components(empty).count() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
