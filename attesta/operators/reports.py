@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,27 +200,71 @@ def sample_rows(samples: DataFrame, top: int = 50) -> DataFrame:
     return numbered.filter(F.col("_k") <= top).drop("_k")
 
 
-def spanning_tree(edges: DataFrame, rounds: int = 40) -> DataFrame:
+#: Edges that one task may take to settle the rest of a forest.
+SMALL = 100_000
+
+
+def _settled(live: DataFrame) -> DataFrame:
+    """The forest of few edges (a, b, weight, x, y), taken lightest first: an edge stays if
+    its vertices x and y aren't connected yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict = {}
+
+        def top(v):
+            while (up := above.get(v, v)) != v:
+                above[v] = v = above.get(up, up)
+            return v
+
+        for batch in batches:
+            kept = []
+            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+                p, q = top(x), top(y)
+                if p != q:
+                    above[p] = q
+                    kept.append(i)
+            yield batch.select(["a", "b", "weight"]).take(pa.array(kept, pa.int64()))
+
+    ordered = live.coalesce(1).sortWithinPartitions("weight", "a", "b")
+    return ordered.mapInArrow(run, live.select("a", "b", "weight").schema)
+
+
+def _roots(chosen: DataFrame, rounds: int) -> DataFrame:
+    """(x, root) of vertices x that each point to a neighbour y along their lightest edge.
+    Such paths end in two vertices that point to each other, of which the smaller is the
+    root; pointers move to their pointer's pointer until nothing changes."""
+    back = chosen.select(F.col("x").alias("y"), F.col("y").alias("_back"))
+    at = chosen.select("x", "y").join(back, "y").select("x", F.when((F.col("_back") == F.col("x")) & (F.col("x") < F.col("y")), F.col("x")).otherwise(F.col("y")).alias("root"))
+    jump = lambda p: p.join(p.select(F.col("x").alias("root"), F.col("root").alias("_far")), "root").select("x", F.col("_far").alias("root"))
+    at = checkpointed(at)
+    for _ in range(rounds):
+        moved = checkpointed(jump(jump(at)).join(at.withColumnRenamed("root", "_old"), "x"))
+        at = moved.select("x", "root")
+        if moved.filter("root <> _old").isEmpty():
+            return at
+    raise RuntimeError(f"pointers did not settle in {rounds} rounds")
+
+
+def spanning_tree(edges: DataFrame, rounds: int = 40, small: int = SMALL) -> DataFrame:
     """(a, b, weight) of a minimum spanning forest of edges (a, b, weight): in each round
     every component takes its lightest edge (the smallest pair in a tie), and components
-    that meet become one. The components of a round's chosen edges name the next vertices."""
-    from attesta.operators.similarity import components
-
+    that meet become one, of whose edges the lightest between two components stays. The
+    last ``small`` edges are settled in one task, lightest first."""
     plain = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").groupBy("a", "b").agg(F.min("weight").alias("weight"))
     live = checkpointed(plain.select("a", "b", "weight", F.col("a").alias("x"), F.col("b").alias("y")))
-    tree = None
+    tree = []
     for _ in range(rounds):
-        if live.isEmpty():
-            return tree.distinct() if tree is not None else plain.limit(0)
+        if live.count() <= small:
+            return reduce(DataFrame.unionByName, [*tree, _settled(live)])
         both = live.unionByName(live.select("a", "b", "weight", F.col("y").alias("x"), F.col("x").alias("y")))
         lightest = both.groupBy("x").agg(F.min(F.struct("weight", "a", "b", "y")).alias("m"))
         chosen = checkpointed(lightest.select("x", "m.y", "m.a", "m.b", "m.weight"))
-        picked = chosen.select("a", "b", "weight").distinct()
-        tree = picked if tree is None else checkpointed(tree.unionByName(picked))
-        names = components(chosen.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        name = lambda side: names.select(F.col("id").alias(side), F.col("component").alias(f"_{side}"))
-        moved = live.join(name("x"), "x", "left").join(name("y"), "y", "left")
-        live = checkpointed(moved.select("a", "b", "weight", F.coalesce("_x", "x").alias("x"), F.coalesce("_y", "y").alias("y")).filter("x <> y"))
+        tree.append(chosen.select("a", "b", "weight").distinct())
+        names = _roots(chosen, rounds)
+        name = lambda side: names.select(F.col("x").alias(side), F.col("root").alias(f"_{side}"))
+        moved = live.join(name("x"), "x").join(name("y"), "y").filter("_x <> _y")
+        lightest = moved.groupBy(F.least("_x", "_y").alias("x"), F.greatest("_x", "_y").alias("y")).agg(F.min(F.struct("weight", "a", "b")).alias("m"))
+        live = checkpointed(lightest.select("m.a", "m.b", "m.weight", "x", "y"))
     raise RuntimeError(f"no spanning forest in {rounds} rounds")
 
 
