@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.operators.similarity import checkpointed
+
 COLUMN = ["workbook", "sheet", "col"]
 
 
@@ -24,6 +26,15 @@ def informative(cells: DataFrame, min_pairs: int = 8, least: int = 3) -> DataFra
     return cells.join(kept, COLUMN, "left_semi")
 
 
+def informative_rows(rows: DataFrame, min_pairs: int = 8, least: int = 3) -> DataFrame:
+    """The same of gathered rows (workbook, sheet, row, cells); rows without such cells go."""
+    cells = rows.select("workbook", "sheet", F.inline("cells"))
+    kept = column_stats(cells, min_pairs).filter((F.col("n") >= least) & ~F.col("low_info")).groupBy("workbook", "sheet").agg(F.collect_set("col").alias("_kept"))
+    kept = checkpointed(kept)
+    met = rows.join(kept.hint("shuffle_hash"), ["workbook", "sheet"])
+    return met.select("workbook", "sheet", "row", F.filter("cells", lambda c: F.array_contains("_kept", c["col"])).alias("cells")).filter(F.size("cells") > 0)
+
+
 def rate(part: Column, whole: Column) -> Column:
     """A share to four places, half up."""
     return F.floor(part * 10000.0 / whole + 0.5) / 10000.0

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.scalars import COUNT_TERMS, MEAN_TERMS, SUM_TERMS, TIME_TERMS, has_term
+from attesta.operators.similarity import checkpointed
 
 SHEET = ["workbook", "sheet"]
 PAIR = [*SHEET, "left", "right"]
@@ -71,10 +72,18 @@ def explained(found: DataFrame, key: list[str], rows: DataFrame, cells: DataFram
         return found.withColumns({"semantic": F.lit(False), "summary": F.lit(False)})
     left, right = F.col("label_left"), F.col("label_right")
     found = labelled(found, ["left", "right"], labels).withColumns({"semantic": semantic_pair(left, right), "mean": mean_and_sum(left, right)})
-    asked = rows.join(found.filter("mean IS NOT NULL").select(*key, "mean"), key).distinct()
+    found = checkpointed(found)
+    asked = found.filter("mean IS NOT NULL").select(*key, "mean")
+    if asked.isEmpty():
+        return found.withColumn("summary", F.lit(False))
+    asked = rows.join(asked, key).distinct()
     side = lambda s, v: cells.select(*SHEET, "row", F.col("col").alias(s), F.col("v").alias(v))
     values = asked.join(side("left", "a"), [*SHEET, "row", "left"]).join(side("right", "b"), [*SHEET, "row", "right"])
-    met = found.join(summaries(values, key, cells, labels), key, "left")
+    counts = count_columns(labels)
+    named = counts.select(*SHEET, F.explode("columns").alias("col")).distinct()
+    others = cells.join(named, [*SHEET, "col"]).groupBy(*SHEET, "row").agg(F.collect_list(F.struct("col", "v")).alias("others"))
+    values = values.join(others, [*SHEET, "row"], "left").withColumn("others", F.coalesce("others", F.array()))
+    met = found.join(summaries(values, key, counts), key, "left")
     return met.withColumn("summary", F.coalesce("summary", F.lit(False)))
 
 
@@ -102,27 +111,28 @@ def designs(rows: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(*keys, (few("da") | few("db")).alias("design"))
 
 
-def summaries(rows: DataFrame, keys: list[str], cells: DataFrame, labels: DataFrame) -> DataFrame:
+def count_columns(labels: DataFrame) -> DataFrame:
+    """(workbook, sheet, columns): the columns that are labelled as counts."""
+    return labels.filter(has_term(F.col("label"), COUNT_TERMS)).groupBy(*SHEET).agg(F.collect_set("col").alias("columns"))
+
+
+def summaries(rows: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
     """(keys, summary) of keys whose ``mean`` is 1 where ``a`` is a mean and ``b`` a sum, or
     2: three rows or more with a non-zero mean, 80 % of whose ratios sum / mean are whole
-    numbers over one. Where the sheet has columns labelled as counts, the ratio must be
-    such a count, to a thousandth, on 80 % of the rows that have it; where it has none, the
-    whole ratios are at most two numbers."""
+    numbers over one. Where the sheet has columns labelled as counts (``count_columns``), the
+    ratio must be such a count, to a thousandth, on 80 % of the rows that have it; where it
+    has none, the whole ratios are at most two numbers. ``others`` are a row's cells of
+    these columns."""
     mean, total = F.when(F.col("mean") == 1, F.col("a")).otherwise(F.col("b")), F.when(F.col("mean") == 1, F.col("b")).otherwise(F.col("a"))
-    used = rows.select(*keys, "row", mean.alias("m"), total.alias("s")).filter("m <> 0").withColumn("ratio", F.col("s").cast("double") / F.col("m"))
+    used = rows.select(*keys, "others", mean.alias("m"), total.alias("s")).filter("m <> 0").withColumn("ratio", F.col("s").cast("double") / F.col("m"))
     whole = (F.col("ratio") > 1) & (F.abs(F.col("ratio") - F.rint("ratio")) <= 1e-6)
     s = used.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(whole).alias("whole"), F.count_distinct(F.when(whole, F.rint("ratio"))).alias("ratios"))
     s = s.filter("n >= 3 AND whole * 10 >= n * 8")
-    counts = labels.filter(has_term(F.col("label"), COUNT_TERMS)).select(*SHEET, F.col("col").alias("count_col")).distinct()
-    able = s.join(counts, SHEET, "left").filter(F.col("count_col").isNull() | ~F.col("count_col").isin(F.col("left"), F.col("right")))
-    able = able.select(*keys, "ratios", "count_col")
-    with_count = able.filter("count_col IS NOT NULL").select(*keys, "count_col")
-    value = cells.select(*SHEET, F.col("col").alias("count_col"), "row", F.col("v").alias("count"))
-    met = used.join(with_count, keys).join(value, [*SHEET, "count_col", "row"])
-    near = F.abs(F.col("ratio") - F.col("count") / 1e6) <= 0.001 + 1e-12
-    fits = met.groupBy(*keys, "count_col").agg((F.count_if(near) * 10 >= F.count("*") * 8).alias("fits")).groupBy(*keys).agg(F.max("fits").alias("fits"))
-    counted = s.join(with_count.select(*keys).distinct().withColumn("counted", F.lit(True)), keys, "left").join(fits, keys, "left")
-    return counted.select(*keys, F.when(F.col("counted"), F.coalesce("fits", F.lit(False))).otherwise(F.col("ratios") <= 2).alias("summary"))
+    near = F.abs(F.col("ratio") - F.col("v") / 1e6) <= 0.001 + 1e-12
+    met = used.select(*keys, "ratio", F.inline("others")).filter((F.col("col") != F.col("left")) & (F.col("col") != F.col("right")))
+    fits = met.groupBy(*keys, "col").agg((F.count_if(near) * 10 >= F.count("*") * 8).alias("fits")).groupBy(*keys).agg(F.max("fits").alias("fits"))
+    able = s.join(counts, SHEET, "left").withColumn("counted", F.coalesce(F.size(F.array_except("columns", F.array("left", "right"))) > 0, F.lit(False)))
+    return able.join(fits, keys, "left").select(*keys, F.when(F.col("counted"), F.coalesce("fits", F.lit(False))).otherwise(F.col("ratios") <= 2).alias("summary"))
 
 
 def instrument(pairs: DataFrame) -> DataFrame:
@@ -131,12 +141,13 @@ def instrument(pairs: DataFrame) -> DataFrame:
     correlated over 0.99 while their difference hardly varies. Places are counted over
     sorted rows, so no pair's values are held at once."""
     s = pairs.groupBy(*PAIR).agg(F.count("*").alias("rows"), F.try_divide(F.covar_samp("a", "b"), F.stddev_samp("a") * F.stddev_samp("b")).alias("corr"), F.stddev_samp((F.col("b") - F.col("a")) / 1e6).alias("sd"))
-    n = 2 * F.col("rows")
+    n = F.col("n")
     at = lambda q: F.greatest(F.lit(1.0), F.least(n.cast("double") - 1, (n + 1) * q))
     places = {k: at(q) for k, q in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))}
-    sized = s.withColumns(places)
-    pooled = pairs.select(*PAIR, F.explode(F.array("a", "b")).alias("v")).withColumn("k", F.row_number().over(Window.partitionBy(*PAIR).orderBy("v")))
-    met = pooled.join(sized.select(*PAIR, *places), PAIR)
+    # Counted by a window, so that a pair's values aren't exchanged to meet their number.
+    w = Window.partitionBy(*PAIR)
+    pooled = pairs.select(*PAIR, F.explode(F.array("a", "b")).alias("v")).withColumns({"k": F.row_number().over(w.orderBy("v")), "n": F.count("*").over(w)})
+    met = pooled.withColumns(places)
     part = lambda p: F.sum(F.when(F.col("k") == F.floor(p), F.col("v") * (1 - (F.col(p) - F.floor(p)))).when(F.col("k") == F.floor(p) + 1, F.col("v") * (F.col(p) - F.floor(p)))).alias(p)
     quartiles = met.groupBy(*PAIR).agg(*[part(p) for p in places])
     narrow = (F.col("q2") > 0) & (F.col("q3") - F.col("q1") < 0.01 * F.col("q2"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import gates
 from attesta.operators.columns import informative, rate, strength
+from attesta.operators.shelf import shelf
 from attesta.operators.similarity import checkpointed
 from attesta.sources.cells import MICRO
 
@@ -29,12 +30,9 @@ def row_pairs(cells: DataFrame) -> DataFrame:
 
 def pairs_of(rows: DataFrame) -> DataFrame:
     """The pairs of gathered rows."""
-    size = F.size("cells")
-
-    def rest(x: Column, i: Column) -> Column:
-        return F.transform(F.slice("cells", i + 2, size), lambda y: F.struct(x["col"].alias("left"), y["col"].alias("right"), x["v"].alias("a"), y["v"].alias("b")))
-
-    return rows.select("workbook", "sheet", "row", F.inline(F.flatten(F.transform("cells", rest))))
+    each = rows.select("workbook", "sheet", "row", "cells", F.posexplode("cells").alias("_i", "_x"))
+    rest = F.inline(F.slice("cells", F.col("_i") + 2, F.size("cells"))).alias("right", "b")
+    return each.select("workbook", "sheet", "row", F.col("_x.col").alias("left"), F.col("_x.v").alias("a"), rest).select("workbook", "sheet", "row", "left", "right", "a", "b")
 
 
 def pair_stats(pairs: DataFrame) -> DataFrame:
@@ -91,42 +89,52 @@ def relations(cells: DataFrame, kinds: tuple[str, ...] = tuple(RELATIONS), suppo
 
     A first pass only sums: rows of a pair are counted by ``BUCKETS`` hash buckets of each
     kind's value, and a value that reaches the support fills its bucket at least as far.
-    Only pairs that pass are counted by value, so the many pairs without a relation never
-    leave as one row per value.
+    Pairs that hold one value on all rows are done with that. Only others that pass are
+    counted by value, so the many pairs without a relation never leave as one row per value.
 
     Relations are harmless (low risk, artifact_likelihood high) if the supporting rows are
     running numbers on both sides, zero-inflated (copies), a mean and its sum, or a time or
     event design; ``labels`` (workbook, sheet, col, label) names the columns for the last
     two. Differences and ratios that involve a column of ``formulas`` (workbook, sheet, col)
     are low, too (artifact_likelihood medium)."""
-    rows = checkpointed(gathered(cells)) if rows is None else rows
+    with shelf(cells.sparkSession) as keep:
+        rows = keep(gathered(cells)) if rows is None else rows
+        return checkpointed(_relations(rows, kinds, support, labels, formulas))
+
+
+def _relations(rows: DataFrame, kinds: tuple[str, ...], support: int, labels: DataFrame | None, formulas: DataFrame | None) -> DataFrame:
     pairs = pairs_of(rows)
     a, b = F.col("a"), F.col("b")
     values = {k: RELATIONS[k][0](a, b) for k in kinds}
     one = lambda c: F.sum(c.cast("int"))
-    hashed = pairs.withColumns({f"_{k}": F.when(v.isNotNull(), F.pmod(F.hash(v), F.lit(BUCKETS))) for k, v in values.items()})
+    hashed = pairs.withColumns({f"v_{k}": v for k, v in values.items()}).withColumns({f"_{k}": F.when(F.col(f"v_{k}").isNotNull(), F.pmod(F.hash(f"v_{k}"), F.lit(BUCKETS))) for k in kinds})
+    whole = lambda c: one(F.col(c) % MICRO == 0).alias(f"whole_{c}")
     sums = [one(F.col(f"_{k}") == n).alias(f"{k}_{n}") for k in kinds for n in range(BUCKETS)]
     stats = hashed.groupBy(*PAIR).agg(
         F.count("*").alias("overlap"),
         one((a == 0) & (b == 0)).alias("both_zero"),
         one((a != 0) | (b != 0)).alias("non_zero"),
         one((a == b) & (a != 0)).alias("equal_non_zero"),
+        whole("a"),
+        whole("b"),
+        *[f(f"v_{k}").alias(f"{k}_{name}") for k in kinds for name, f in (("low", F.min), ("high", F.max))],
         *sums,
     )
-    fullest = F.array(*[F.struct(F.lit(k).alias("category"), F.greatest(*[F.coalesce(f"{k}_{n}", F.lit(0)) for n in range(BUCKETS)]).alias("most"), F.lit(RELATIONS[k][2]).alias("least")) for k in kinds])
-    stats = stats.select(*PAIR, "overlap", "both_zero", "non_zero", "equal_non_zero", F.inline(fullest))
-    stats = stats.filter((F.col("most") * 100 >= F.col("overlap") * support) & (F.col("overlap") >= F.col("least"))).drop("most", "least")
+    fullest = F.array(*[F.struct(F.lit(k).alias("category"), F.greatest(*[F.coalesce(f"{k}_{n}", F.lit(0)) for n in range(BUCKETS)]).alias("most"), F.lit(RELATIONS[k][2]).alias("least"), F.col(f"{k}_low").alias("low"), F.col(f"{k}_high").alias("high")) for k in kinds])
+    stats = stats.select(*PAIR, "overlap", "both_zero", "non_zero", "equal_non_zero", "whole_a", "whole_b", F.inline(fullest))
+    stats = stats.filter((F.col("most") * 100 >= F.col("overlap") * support) & (F.col("overlap") >= F.col("least"))).withColumn("one", (F.col("low") == F.col("high")) & (F.col("most") == F.col("overlap"))).drop("most", "least", "high")
     key = [*PAIR, "category"]
     value = F.lit(None).cast("long")
     for k, v in values.items():
         value = F.when(F.col("category") == k, v).otherwise(value)
     # A sheet's pairs that passed meet its gathered rows; only these pairs are unfolded.
     stats = checkpointed(stats)
-    keyed = chosen_pairs(rows, stats.select(*key), ["category"]).withColumn("value", value).filter("value IS NOT NULL")
-    whole = lambda c: one(F.col(c) % MICRO == 0).alias(f"whole_{c}")
+    keyed = chosen_pairs(rows, stats.filter("NOT one").select(*key), ["category"]).withColumn("value", value).filter("value IS NOT NULL")
     counts = keyed.groupBy(*key, "value").agg(F.count("*").alias("n"), F.min("row").alias("first"), whole("a"), whole("b"))
     best = counts.groupBy(*key).agg(F.max(F.struct("n", (-F.col("first")).alias("early"), "value", "whole_a", "whole_b")).alias("m"))
     best = best.select(*key, F.col("m.value").alias("value"), F.col("m.n").alias("support"), "m.whole_a", "m.whole_b")
+    best = best.unionByName(stats.filter("one").select(*key, F.col("low").alias("value"), F.col("overlap").alias("support"), "whole_a", "whole_b"))
+    stats = stats.drop("low", "one", "whole_a", "whole_b")
     refused = F.lit(False)
     for k in kinds:
         refused = refused | ((F.col("category") == k) & F.col("value").isin(*RELATIONS[k][1]))
@@ -140,13 +148,13 @@ def relations(cells: DataFrame, kinds: tuple[str, ...] = tuple(RELATIONS), suppo
     able = (F.col("support") >= 8) & (F.col("whole_a") * 100 >= F.col("support") * 95) & (F.col("whole_b") * 100 >= F.col("support") * 95)
     same = F.col("category") == "duplicate_numeric_columns"
     asked = found.select(*key, "value", able.alias("numbers"), "timed", F.when(~same, F.col("mean")).alias("mean")).filter("numbers OR timed OR mean IS NOT NULL")
-    again = chosen_pairs(rows, asked, ["category", "value", "numbers", "timed", "mean"]).withColumn("_v", value).filter("_v = value")
+    look = lambda gate, *tags, **more: chosen_pairs(rows, asked.filter(gate), ["category", "value", *tags], **more).withColumn("_v", value).filter("_v = value")
     if labels is not None:
-        again = checkpointed(again)
-        found = found.join(gates.designs(again.filter("timed"), key), key, "left").join(gates.summaries(again.filter("mean IS NOT NULL"), key, cells, labels), key, "left")
+        counts = gates.count_columns(labels)
+        found = found.join(gates.designs(look("timed"), key), key, "left").join(gates.summaries(look("mean IS NOT NULL", "mean", sheets=counts), key, counts), key, "left")
     else:
         found = found.withColumns({"design": F.lit(False), "summary": F.lit(False)})
-    found = found.join(gates.running_numbers(again.filter("numbers"), key), key, "left").na.fill(False, ["index_like", "design", "summary"])
+    found = found.join(gates.running_numbers(look("numbers"), key), key, "left").na.fill(False, ["index_like", "design", "summary"])
     found = found.withColumns({"zero": same & zero_inflated(), "formula": ~same & F.col("formula")})
 
     share = rate(F.col("support"), F.col("overlap"))
@@ -159,14 +167,20 @@ def relations(cells: DataFrame, kinds: tuple[str, ...] = tuple(RELATIONS), suppo
     return found.select(*PAIR, "category", "value", "support", "overlap", share.alias("support_rate"), risk.alias("risk_level"), confidence.alias("confidence"), strength(share).alias("pattern_strength"), likely.alias("artifact_likelihood"), reason.alias("artifact_reason"))
 
 
-def chosen_pairs(rows: DataFrame, wanted: DataFrame, tags: list[str]) -> DataFrame:
+def chosen_pairs(rows: DataFrame, wanted: DataFrame, tags: list[str], sheets: DataFrame | None = None) -> DataFrame:
     """(workbook, sheet, row, left, right, tags, a, b): the pairs of gathered rows that
-    ``wanted`` (workbook, sheet, left, right, tags) names for their sheet."""
+    ``wanted`` (workbook, sheet, left, right, tags) names for their sheet. With ``sheets``
+    (workbook, sheet, columns) also ``others``: the cells of these columns of the row."""
     named = wanted.groupBy("workbook", "sheet").agg(F.collect_list(F.struct("left", "right", *tags)).alias("wanted"))
-    lists = rows.select("workbook", "sheet", "row", F.transform("cells", lambda c: c["col"]).alias("cols"), F.transform("cells", lambda c: c["v"]).alias("values"))
-    met = lists.join(named, ["workbook", "sheet"]).select("workbook", "sheet", "row", "cols", "values", F.explode("wanted").alias("w"))
+    more = []
+    if sheets is not None:
+        named = named.join(sheets, ["workbook", "sheet"], "left")
+        more = [F.when(F.size("columns") > 0, F.filter("cells", lambda c: F.array_contains("columns", c["col"]))).otherwise(F.slice("cells", 1, 0)).alias("others")]
+    # A sheet's list is small beside its rows, which stay where they are.
+    met = rows.join(named.hint("shuffle_hash"), ["workbook", "sheet"])
+    met = met.select("workbook", "sheet", "row", F.col("cells.col").alias("cols"), F.col("cells.v").alias("values"), *more, F.explode("wanted").alias("w"))
     at = lambda side: F.get("values", F.array_position("cols", F.col(f"w.{side}")).cast("int") - 1)
-    return met.select("workbook", "sheet", "row", "w.*", at("left").alias("a"), at("right").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
+    return met.select("workbook", "sheet", "row", "w.*", at("left").alias("a"), at("right").alias("b"), *(["others"] if more else [])).filter("a IS NOT NULL AND b IS NOT NULL")
 
 
 def _with_labels(found: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -200,16 +214,17 @@ def pair_spread(cells: DataFrame, least: int = 8, rows: DataFrame | None = None)
     differences and the largest are under 1 % of the range of the absolute values. What
     looks like an instrument's precision is low. ``rows`` are the gathered informative cells
     where they are at hand."""
-    rows = checkpointed(gathered(informative(cells, least, 1))) if rows is None else rows
-    s = pair_stats(pairs_of(rows)).filter(F.col("overlap") >= least)
-    span = F.col("high_abs") - F.col("low_abs")
-    by_magnitude = (F.col("magnitude") > 0) & (F.col("max_diff") * 40 * F.col("overlap") < F.col("magnitude"))
-    by_range = (span > 0) & ((F.col("max_diff") - F.col("min_diff")) * 100 < span) & (F.col("max_diff") * 100 < span)
-    found = checkpointed(s.filter(by_magnitude | by_range).select(*PAIR, "max_diff", "overlap"))
-    precise = gates.instrument(chosen_pairs(rows, found.select(*PAIR), []))
-    risk = F.when(F.col("instrument"), "low").when(F.col("overlap") >= 10, "high").otherwise("medium")
-    likely = F.when(F.col("instrument"), "high")
-    return found.join(precise, PAIR).select(*PAIR, F.lit("paired_difference_too_narrow").alias("category"), "max_diff", "overlap", risk.alias("risk_level"), likely.alias("artifact_likelihood"))
+    with shelf(cells.sparkSession) as keep:
+        rows = keep(gathered(informative(cells, least, 1))) if rows is None else rows
+        s = pair_stats(pairs_of(rows)).filter(F.col("overlap") >= least)
+        span = F.col("high_abs") - F.col("low_abs")
+        by_magnitude = (F.col("magnitude") > 0) & (F.col("max_diff") * 40 * F.col("overlap") < F.col("magnitude"))
+        by_range = (span > 0) & ((F.col("max_diff") - F.col("min_diff")) * 100 < span) & (F.col("max_diff") * 100 < span)
+        found = checkpointed(s.filter(by_magnitude | by_range).select(*PAIR, "max_diff", "overlap"))
+        precise = gates.instrument(chosen_pairs(rows, found.select(*PAIR), []))
+        risk = F.when(F.col("instrument"), "low").when(F.col("overlap") >= 10, "high").otherwise("medium")
+        likely = F.when(F.col("instrument"), "high")
+        return checkpointed(found.join(precise, PAIR).select(*PAIR, F.lit("paired_difference_too_narrow").alias("category"), "max_diff", "overlap", risk.alias("risk_level"), likely.alias("artifact_likelihood")))
 
 
 def small_n_fixed(cells: DataFrame, least: int = 3, rows: DataFrame | None = None) -> DataFrame:
@@ -226,19 +241,20 @@ def strict_linear(cells: DataFrame, least: int = 3, rows: DataFrame | None = Non
     millionth of the largest |y|; pure differences and pure ratios are left to others.
     The line comes from centred sums; a second pass takes the largest residual. Low if a side
     is a formula column; likely an artifact for summary statistics and labels of one group."""
-    rows = checkpointed(gathered(cells)) if rows is None else rows
-    p = pairs_of(rows).withColumns({"x": F.col("a") / 1e6, "y": F.col("b") / 1e6})
-    fit = p.groupBy(*PAIR).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.max(F.abs("y")).alias("top"))
-    fit = fit.filter((F.col("n") >= least) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")) & (F.col("r2") >= 0.999999))
-    limit = F.greatest(F.lit(1.0), F.col("top")) * 1e-6
-    fit = fit.filter((F.abs("intercept") > limit) & (F.abs(F.col("slope") - 1) > 1e-6))
-    fit = checkpointed(fit)
-    residual = F.max(F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"))).alias("residual")
-    again = chosen_pairs(rows, fit.select(*PAIR, "slope", "intercept"), ["slope", "intercept"]).withColumns({"x": F.col("a") / 1e6, "y": F.col("b") / 1e6})
-    worst = again.groupBy(*PAIR).agg(residual)
-    found = fit.join(worst, PAIR).filter(F.col("residual") <= limit)
-    found = gates.explained(found, PAIR, again.select(*PAIR, "row"), cells, **known)
-    return found.select(*PAIR, F.lit("strict_linear_relation").alias("category"), F.rint(F.col("slope") * 1e4).cast("long").alias("slope"), F.rint(F.col("intercept") * 1e3).cast("long").alias("intercept"), "n", F.when(F.col("formula"), "low").when((F.col("n") >= 10) & (F.col("r2") >= 0.9999999), "high").otherwise("medium").alias("risk_level"), gates.likelihood("semantic", "summary"))
+    with shelf(cells.sparkSession) as keep:
+        rows = keep(gathered(cells)) if rows is None else rows
+        p = pairs_of(rows).withColumns({"x": F.col("a") / 1e6, "y": F.col("b") / 1e6})
+        fit = p.groupBy(*PAIR).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.max(F.abs("y")).alias("top"))
+        fit = fit.filter((F.col("n") >= least) & (F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")) & (F.col("r2") >= 0.999999))
+        limit = F.greatest(F.lit(1.0), F.col("top")) * 1e-6
+        fit = fit.filter((F.abs("intercept") > limit) & (F.abs(F.col("slope") - 1) > 1e-6))
+        fit = checkpointed(fit)
+        residual = F.max(F.abs(F.col("y") - F.col("slope") * F.col("x") - F.col("intercept"))).alias("residual")
+        again = chosen_pairs(rows, fit.select(*PAIR, "slope", "intercept"), ["slope", "intercept"]).withColumns({"x": F.col("a") / 1e6, "y": F.col("b") / 1e6})
+        worst = again.groupBy(*PAIR).agg(residual)
+        found = fit.join(worst, PAIR).filter(F.col("residual") <= limit)
+        found = gates.explained(found, PAIR, again.select(*PAIR, "row"), cells, **known)
+        return checkpointed(found.select(*PAIR, F.lit("strict_linear_relation").alias("category"), F.rint(F.col("slope") * 1e4).cast("long").alias("slope"), F.rint(F.col("intercept") * 1e3).cast("long").alias("intercept"), "n", F.when(F.col("formula"), "low").when((F.col("n") >= 10) & (F.col("r2") >= 0.9999999), "high").otherwise("medium").alias("risk_level"), gates.likelihood("semantic", "summary")))
 
 
 def cross_sheet_duplicates(cells: DataFrame, min_overlap: int = 10, support: int = 80) -> DataFrame:

@@ -8,17 +8,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder that ``spark.checkpoint.dir`` names, or the one
-    already set. Where neither is set, a local master gets a folder beside its warehouse; on
-    a cluster it is an error, as executors must see one folder."""
-    spark: SparkSession = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names, or the one already set. Where
+    neither is set, a local master gets a folder beside its warehouse; on a cluster it is an
+    error, as executors must see one folder."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path and sc.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(path or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the shared folder (``checkpoint_dir``)."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

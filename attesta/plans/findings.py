@@ -16,9 +16,14 @@ def _columns():
     return F.concat_ws("|", F.col("left").cast("string"), F.col("right").cast("string"))
 
 
+def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with sheets.kept_supplier(spark, sf_dir) as (cells, rows):
+        return pairs.relations(cells, rows=rows, **sheets.known(spark, sf_dir))
+
+
 def relation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Duplicate columns, fixed differences and fixed ratios of the supplier sheets."""
-    found = pairs.relations(sheets.supplier_cells(spark, sf_dir), **sheets.known(spark, sf_dir)).withColumn("relationship", F.col("value"))
+    found = _relations(spark, sf_dir).withColumn("relationship", F.col("value"))
     return ops.numbered([ops.unified(found, _columns())])
 
 
@@ -87,7 +92,7 @@ def every_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings of all detectors over all their sheets, numbered by category."""
     run = {**relations.QUERIES, **blocks.QUERIES}
     shared = ("duplicate_columns", "fixed_difference", "fixed_ratio")  # three categories of one pass over the pairs
-    found = [(pairs.relations(sheets.supplier_cells(spark, sf_dir), **sheets.known(spark, sf_dir)), DETECTORS[0][2])]
+    found = [(_relations(spark, sf_dir), DETECTORS[0][2])]
     found += [(run[name](spark, sf_dir), exprs) for name, _, exprs in DETECTORS if name not in shared]
     parts = [df.withColumnsRenamed({"left": "l", "right": "r"}).selectExpr(*_fields(exprs)) for df, exprs in found]
     # One job per detector: what it broadcasts and sorts is given back before the next one.

@@ -43,7 +43,7 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda s: labels.select("workbook", "sheet", F.col("col").alias(s), F.col("label").alias(f"label_{s}"))
     named = side("left").join(side("right"), ["workbook", "sheet"]).filter("left < right")
     named = named.withColumn("mean", gates.mean_and_sum(F.col("label_left"), F.col("label_right"))).filter("mean IS NOT NULL")
-    return gates.summaries(pairs.chosen_pairs(pairs.gathered(cells), named.select(*gates.PAIR, "mean"), ["mean"]), gates.PAIR, cells, labels)
+    return gates.summaries(pairs.chosen_pairs(pairs.gathered(cells), named.select(*gates.PAIR, "mean"), ["mean"], gates.count_columns(labels)), gates.PAIR, gates.count_columns(labels))
 
 
 _SUMMARY_SQL = f"""WITH {sheets.SUPPLIER_SQL}, {sheets.KNOWN_SQL},

@@ -5,10 +5,14 @@ columns plant what the detectors look for; they are integer arithmetic on both s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+from contextlib import AbstractContextManager, contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attesta.sources.cells import from_table, micro, unpivot
+from attesta.operators.shelf import shelf
+from attesta.sources.cells import from_table, micro, packed, unpivot
 
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate"]
 
@@ -40,11 +44,29 @@ _LINES_SQL = f"""lines AS (
     FROM lineitem)"""
 
 
+def _supplier_columns() -> list[Column]:
+    q, p = F.col("q"), F.col("p")
+    return [q, p, q, p + 3_500_000, p * 2, p * 2 + 300_000, p + 10_000, F.col("d")]
+
+
 def supplier_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantity, price, a copy of quantity, price + 3.5, price * 2, price * 2 + 0.3,
     price + 0.01 and discount, by supplier."""
-    q, p = F.col("q"), F.col("p")
-    return unpivot(_lines(spark, sf_dir), [q, p, q, p + 3_500_000, p * 2, p * 2 + 300_000, p + 10_000, F.col("d")])
+    return unpivot(_lines(spark, sf_dir), _supplier_columns())
+
+
+@contextmanager
+def kept(wide: DataFrame, columns: list[Column]) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """The cells of wide rows, and the same gathered by row: both are made from one table of
+    the wide rows, which is kept while the block runs."""
+    with shelf(wide.sparkSession) as keep:
+        table = keep(wide)
+        yield unpivot(table, columns), packed(table, columns)
+
+
+def kept_supplier(spark: SparkSession, sf_dir: str) -> AbstractContextManager[tuple[DataFrame, DataFrame]]:
+    """``supplier_cells`` and their gathered rows."""
+    return kept(_lines(spark, sf_dir), _supplier_columns())
 
 
 def _union(columns: list[str], source: str) -> str:
@@ -88,10 +110,19 @@ KNOWN_SQL = """labs AS (""" + " UNION ALL ".join(
 ) + """), formulas AS (SELECT CAST(s_suppkey AS VARCHAR) AS sheet, 6 AS col FROM supplier WHERE s_suppkey % 7 = 0)"""
 
 
+def _unit_columns() -> list[Column]:
+    q, unit = F.col("q"), F.rint(F.col("p") * 1e6 / F.col("q")).cast("long")
+    return [q, unit, F.rint(q * unit.cast("double") / 1e6).cast("long"), F.col("t")]
+
+
 def unit_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantity, unit price, quantity times unit price, and tax, by supplier."""
-    q, unit = F.col("q"), F.rint(F.col("p") * 1e6 / F.col("q")).cast("long")
-    return unpivot(_lines(spark, sf_dir), [q, unit, F.rint(q * unit.cast("double") / 1e6).cast("long"), F.col("t")])
+    return unpivot(_lines(spark, sf_dir), _unit_columns())
+
+
+def kept_unit(spark: SparkSession, sf_dir: str) -> AbstractContextManager[tuple[DataFrame, DataFrame]]:
+    """``unit_cells`` and their gathered rows."""
+    return kept(_lines(spark, sf_dir), _unit_columns())
 
 
 UNIT_SQL = f"""{_LINES_SQL}, units AS (SELECT *, CAST(round_even(p * 1e6 / q, 0) AS BIGINT) AS u FROM lines),

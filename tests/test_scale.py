@@ -1,10 +1,14 @@
 """Queries that larger tables stopped: what they gave then they still give, with less work."""
 
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from attesta.operators import reports
+from attesta.operators import pairs, reports
+from attesta.operators.shelf import shelf
+from attesta.sources.cells import SCHEMA, from_table, packed
 
 
 def jobs_of(spark, run):
@@ -41,3 +45,26 @@ def test_spanning_tree_settles_in_few_jobs(spark, small):
     rows, jobs = jobs_of(spark, lambda: reports.spanning_tree(df, small=small).collect())
     assert sorted(map(tuple, rows)) == sorted(kruskal(edges))
     assert small < reports.SMALL or jobs < 30
+
+
+def test_rows_kept_by_sheet_are_grouped_without_an_exchange(spark):
+    """Gathered rows went to the shared folder uncompressed, and to every join by an exchange."""
+    line = spark.range(600).selectExpr("id % 7 AS s", "CAST(id AS INT) AS k")
+    wide = from_table(line, "w", F.col("s"), ["k"], {"x": F.col("k") * 1_000_000, "y": F.col("k") * 1_000_000 + 5})
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    with shelf(spark) as keep:
+        table = keep(wide)
+        path = table.inputFiles()[0].removeprefix("file:")
+        rows = packed(table, [F.col("x"), F.col("y")])
+        assert "Exchange" not in plan(pairs.pair_stats(pairs.pairs_of(rows)))
+        wanted = spark.createDataFrame([("w", "3", 1, 2)], "workbook string, sheet string, left int, right int")
+        met = plan(pairs.chosen_pairs(rows, wanted, []))
+        assert met.count("Exchange") <= 2 and "ShuffledHashJoin" in met  # of what is wanted only
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_relations_that_hold_on_most_rows_are_counted_by_value(spark):
+    rows = [("w", s, r, c, v) for s, wrong in (("all", 0), ("most", 1), ("few", 9)) for r in range(100) for c, v in ((1, r * 37 + 11), (2, r * 37 + 11 + (5 if r >= wrong else r)))]
+    found = pairs.relations(spark.createDataFrame(rows, SCHEMA), ("fixed_difference",))
+    assert sorted((r.sheet, r.value, r.support, r.overlap) for r in found.collect()) == [("all", -5, 100, 100), ("most", -5, 99, 100)]
