@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -268,25 +270,40 @@ def spanning_tree(edges: DataFrame, rounds: int = 40, small: int = SMALL) -> Dat
     raise RuntimeError(f"no spanning forest in {rounds} rounds")
 
 
+def _gray_counts(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    """What ``gray_anomalies`` asks of each image; a null among the pixels is a value that
+    is near to none."""
+    for width, height, pixels in batches:
+        rows = []
+        for w, h, image in zip(width, height, pixels, strict=True):
+            values = np.array([] if image is None else image, float)
+            k = np.arange(len(values))
+            x, y, bw, bh = k % w, k // w, max(1, w // 10), max(1, h // 10)
+            border = (x < bw) | (x >= w - bw) | (y < bh) | (y >= h - bh)
+            known, at, counts = np.unique(values, return_inverse=True, return_counts=True)
+            edge = np.bincount(at, border, len(known))
+            mode = known[edge.argmax()] if len(known) else 0.0
+            near = edge[np.abs(known - mode) <= 2].sum()
+            rows.append((len(values), np.nansum(values), counts.max(initial=0), edge.sum(), near))
+        yield pd.DataFrame(rows, columns=["total", "mass", "most", "edge", "inside"]).astype({"total": "int64", "mass": float, "most": "int64", "edge": "int64", "inside": "int64"})
+
+
 def gray_anomalies(images: DataFrame) -> DataFrame:
     """(image_id, anomaly_type, severity) of gray images (image_id, width, height, pixels in
     rows): a border of a tenth whose values lie within two of their mode on over 95 %, one
-    value on over 80 % of all pixels, a mean over 250 or under 5. Values are counted before
-    anything is ranked; of equally frequent values the smallest is the mode."""
-    pixels = images.filter("width > 0 AND height > 0").select("image_id", "width", "height", F.posexplode("pixels").alias("k", "v"))
-    x, y = F.col("k") % F.col("width"), F.floor(F.col("k") / F.col("width"))
-    bw, bh = F.greatest(F.lit(1), F.floor(F.col("width") / 10)), F.greatest(F.lit(1), F.floor(F.col("height") / 10))
-    border = (x < bw) | (x >= F.col("width") - bw) | (y < bh) | (y >= F.col("height") - bh)
-    counts = checkpointed(pixels.groupBy("image_id", "v").agg(F.count("*").alias("n"), F.count_if(border).alias("nb")))
-    top = counts.groupBy("image_id").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("v")).alias("mass"), F.max("n").alias("most"), F.sum("nb").alias("edge"), F.max(F.struct("nb", (-F.col("v")).alias("low"))).alias("m"))
-    near = counts.join(top.select("image_id", (-F.col("m.low")).alias("mode")), "image_id").groupBy("image_id").agg(F.sum(F.when(F.abs(F.col("v") - F.col("mode")) <= 2, F.col("nb")).otherwise(0)).alias("inside"))
+    value on over 80 % of all pixels, a mean over 250 or under 5. An image is counted in its
+    row, and its pixels are never rows of their own; of equally frequent values the
+    smallest is the mode."""
+    counted = F.pandas_udf(_gray_counts, "total long, mass double, most long, edge long, inside long")
+    sized = images.filter("width > 0 AND height > 0 AND size(pixels) > 0")
+    seen = sized.select("image_id", counted("width", "height", "pixels").alias("c")).select("image_id", "c.*")
     mean = F.col("mass") / F.col("total")
     kinds = F.array(
         F.when(F.col("inside") / F.col("edge") > 0.95, F.struct(F.lit("uniform_border").alias("anomaly_type"), F.lit("high").alias("severity"))),
         F.when(F.col("most") / F.col("total") > 0.8, F.struct(F.lit("globally_uniform").alias("anomaly_type"), F.lit("medium").alias("severity"))),
         F.when((mean > 250) | (mean < 5), F.struct(F.lit("near_solid_color").alias("anomaly_type"), F.lit("high").alias("severity"))),
     )
-    return top.join(near, "image_id").select("image_id", F.inline(F.array_compact(kinds)))
+    return seen.select("image_id", F.inline(F.array_compact(kinds)))
 
 
 def tile_candidates(tiles: DataFrame, limit: int = 24, top: int = 500) -> tuple[DataFrame, DataFrame]:

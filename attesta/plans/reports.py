@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import reports as ops
 from attesta.operators import similarity, text
-from attesta.plans.sheets import read
+from attesta.plans.sheets import read, spread
 
 _CATEGORIES = ("duplicate_row_vector", "fixed_ratio", "paperfraud.methodology_review", "benford_analysis", "offset_mismatch", "missing_panel")
 _RISKS = ("critical", "high", "medium", "low", "info")
@@ -152,7 +152,7 @@ def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     place = F.sequence(F.lit(0), F.lit(119))
     value = lambda i: F.when(k % 4 == 0, F.lit(7)).when(k % 4 == 1, F.when((i % 12 == 0) | (i % 12 == 11) | (i < 12) | (i >= 108), 40 + i % 2).otherwise((i * 31 + k) % 200)).when(k % 4 == 2, 252 + i % 3).otherwise((i * 37 + k * 11) % 256)
-    return ops.gray_anomalies(read(spark, sf_dir, "part").select(k.alias("image_id"), F.lit(12).alias("width"), F.lit(10).alias("height"), F.transform(place, lambda i: value(i).cast("int")).alias("pixels")))
+    return ops.gray_anomalies(spread(read(spark, sf_dir, "part").select("p_partkey")).select(k.alias("image_id"), F.lit(12).alias("width"), F.lit(10).alias("height"), F.transform(place, lambda i: value(i).cast("int")).alias("pixels")))
 
 
 _GRAY_SQL = """WITH px AS (SELECT p_partkey AS k, i, i % 12 = 0 OR i % 12 = 11 OR i < 12 OR i >= 108 AS edge FROM part, (SELECT unnest(range(120)) AS i)),

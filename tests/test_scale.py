@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import pairs, reports
 from attesta.operators.shelf import shelf
+from attesta.registry import QUERIES
 from attesta.sources.cells import SCHEMA, from_table, packed
 
 
@@ -68,3 +69,24 @@ def test_relations_that_hold_on_most_rows_are_counted_by_value(spark):
     rows = [("w", s, r, c, v) for s, wrong in (("all", 0), ("most", 1), ("few", 9)) for r in range(100) for c, v in ((1, r * 37 + 11), (2, r * 37 + 11 + (5 if r >= wrong else r)))]
     found = pairs.relations(spark.createDataFrame(rows, SCHEMA), ("fixed_difference",))
     assert sorted((r.sheet, r.value, r.support, r.overlap) for r in found.collect()) == [("all", -5, 100, 100), ("most", -5, 99, 100)]
+
+
+def test_gray_images_are_counted_in_their_rows(spark):
+    """Pixels became rows that were grouped by image and value."""
+    flat, odd = [7] * 20, [None, 300, *range(18)]
+    images = spark.createDataFrame([(1, 5, 4, flat), (2, 5, 4, odd), (3, 5, 4, []), (4, 0, 4, flat)], "image_id long, width int, height int, pixels array<int>")
+    found = reports.gray_anomalies(images)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, "globally_uniform", "medium"), (1, "uniform_border", "high")]
+
+
+def test_picture_turns_hash_each_picture_once(spark):
+    plan = QUERIES["pixel_turns"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan  # both sides read the hashes that were written
+
+
+@pytest.mark.parametrize("name", ["copy_paste_modify", "shifted_paste"])
+def test_pasted_findings_are_written_before_they_are_returned(spark, name):
+    """The plan held the cells some thirty times, which the driver kept for each update."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
