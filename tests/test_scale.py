@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import pairs, reports
+from attesta.operators import blocks, pairs, reports
+from attesta.operators.runs import longest_run
 from attesta.operators.shelf import shelf
 from attesta.registry import QUERIES
 from attesta.sources.cells import SCHEMA, from_table, packed
@@ -90,3 +91,23 @@ def test_pasted_findings_are_written_before_they_are_returned(spark, name):
     """The plan held the cells some thirty times, which the driver kept for each update."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_places_and_runs_of_kept_sheets_need_no_exchange(spark):
+    """Cells met cells by place, and every value of every pair was a row of its own."""
+    cells = spark.createDataFrame([("w", s, r, c, r * c + 1) for s in "ab" for r in range(9) for c in (1, 2)], SCHEMA)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    with shelf(spark) as keep:
+        table = keep(cells)
+        assert "Exchange" not in plan(blocks._by_place(table, 8))
+        found = longest_run(table, ["workbook", "sheet", "col"], "row", "n")
+        assert "Exchange" not in plan(found)
+        assert {(r.run, r.n) for r in found.collect()} == {(9, 9)}
+
+
+def test_positional_relations_of_one_and_of_several_values(spark):
+    rows = [("w", "s", r, c, v) for r in range(1, 11) for c, v in ((1, r * 1_000_000), (2, r * 2_000_000), (3, r * 1_000_000 + (700 if r > 1 else 0)), (4, 0))]
+    found = blocks.positional_relations(spark.createDataFrame(rows, SCHEMA))
+    got = {(r.left, r.right, r.kind): (r.value, r.support, r.n) for r in found.collect()}
+    assert got[1, 2, "ratio"] == (20000, 10, 10) and got[1, 3, "difference"] == (7, 9, 10)
+    assert (1, 2, "difference") not in got and (4, 1, "ratio") not in got
